@@ -184,7 +184,7 @@ def asof_prior_close(left: DataFrame, prices: DataFrame) -> DataFrame:
 
 def _fold_breaker(pdf: pd.DataFrame) -> pd.DataFrame:
     """Walk one instrument's days in order; the previous close is the stored one."""
-    pdf = pdf.sort_values("trade_date", kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["trade_date", "first_id"], ignore_index=True)
     verdicts: list[bool] = []
     day = prev = pending = newest = None
     rows = zip(
@@ -210,7 +210,8 @@ def sequential_breaker(rows: DataFrame, curated: DataFrame | None = None) -> Dat
     A rejected row is never stored, so it is not the reference for the next day;
     the walk is sequential per instrument.  Equal (day, close, adjusted close)
     versions are merged before the walk, so a group is one instrument's calendar.
-    ``rows``: instrument_id, trade_date, close_px, adj_close_px, ingested_ts.
+    At equal arrival times the lowest record id counts as first.  ``rows``:
+    instrument_id, trade_date, close_px, adj_close_px, ingested_ts, source_record_id.
     """
     cand = rows.where("instrument_id is not null and trade_date is not null and adj_close_px is not null")
     cand = cand.groupBy(
@@ -219,6 +220,7 @@ def sequential_breaker(rows: DataFrame, curated: DataFrame | None = None) -> Dat
     ).agg(
         F.max(F.unix_micros("ingested_ts")).alias("arrived"),
         F.min(F.unix_micros("ingested_ts")).alias("first_seen"),
+        F.min("source_record_id").alias("first_id"),
     ).withColumn("is_stored", F.lit(False))
     if curated is not None:
         cand = cand.unionByName(
@@ -226,7 +228,7 @@ def sequential_breaker(rows: DataFrame, curated: DataFrame | None = None) -> Dat
                 "instrument_id", "trade_date", F.col("close_px").cast("double").alias("close"),
                 F.col("close_px").cast("double").alias("adj"),
                 F.unix_micros("ingested_at").alias("arrived"), F.unix_micros("ingested_at").alias("first_seen"),
-                F.lit(True).alias("is_stored"),
+                F.lit("").alias("first_id"), F.lit(True).alias("is_stored"),
             )
         )
     verdict = cand.groupBy("instrument_id").applyInPandas(

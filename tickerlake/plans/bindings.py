@@ -197,3 +197,129 @@ def market(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("date").agg(F.sum("px_u").alias("s"), F.count(F.lit(1)).alias("n"))
         .select("date", F.expr("s div n").cast("double").alias("close"))
     )
+
+
+# --- fundamentals and the valuation universe (customers) -----------------------------
+
+# line item -> (id, statement, expression in cents over one customer's orders of a year)
+LINES = {
+    "TOTAL_REVENUE": (1, "PL", "case when (instrument_id + fiscal_year) % 19 = 0 then null when (instrument_id + fiscal_year) % 23 = 0 then 0 else rev end"),
+    "GROSS_PROFIT": (2, "PL", "gp"),
+    "EBITDA": (3, "PL", "p123"),
+    "EBIT": (4, "PL", "p12"),
+    "NET_INCOME": (5, "PL", "p1 - coalesce(p5, 0) div 2"),
+    "TOTAL_EQUITY": (6, "BS", "bal * (fiscal_year - 1990) * 10"),
+    "TOTAL_DEBT": (7, "BS", "p5"),
+    "CASH": (8, "BS", "coalesce(gp, 0) div 20"),
+    "SHARES_OUTSTANDING": (9, "BS", "case when instrument_id % 10 <> 7 then (1000 + instrument_id % 500) * 100 end"),
+    "CAPEX": (10, "CF", "p4 div 10"),
+    "FREE_CASH_FLOW": (11, "CF", "p2 - p3"),
+    "DEPRECIATION": (12, "CF", "p3 div 4"),
+}
+
+
+def yearly(spark: SparkSession, sf: str) -> DataFrame:
+    """Order sums in cents per customer and year, by status and priority."""
+    o = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("instrument_id"), F.year("o_orderdate").alias("fiscal_year"), F.round(F.col("o_totalprice") * 100).cast("long").alias("c"),
+        "o_orderstatus", F.substring("o_orderpriority", 1, 1).cast("int").alias("p"))
+
+    def cents(cond: str):
+        return F.expr(f"sum(case when {cond} then c end)")
+
+    y = o.groupBy("instrument_id", "fiscal_year").agg(
+        F.sum("c").alias("rev"), cents("o_orderstatus <> 'P'").alias("gp"), cents("p <= 3").alias("p123"), cents("p <= 2").alias("p12"),
+        *[cents(f"p = {k}").alias(f"p{k}") for k in range(1, 6)])
+    cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("instrument_id"), F.round(F.col("c_acctbal") * 100).cast("long").alias("bal"))
+    return y.join(cust, "instrument_id")
+
+
+def parsed_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Statement facts as parsed: null values and revenue-less periods included."""
+    items = ", ".join(f"struct('{k}' as line_item_code, '{st}' as statement_type, cast({e} as bigint) as cents, {i} as line_no)" for k, (i, st, e) in LINES.items())
+    rows = yearly(spark, sf).select("instrument_id", "fiscal_year", F.expr(f"explode(array({items})) as i")).select("instrument_id", "fiscal_year", "i.*")
+    return rows.select(
+        ((F.col("instrument_id") * 100 + F.col("fiscal_year") - 1990) * 20 + F.col("line_no")).alias("statement_fact_id"),
+        "instrument_id", "fiscal_year", F.lit("FY").alias("fiscal_period"), "statement_type", "line_item_code",
+        scaled("cents", 2, 24).cast("decimal(24,4)").alias("value"), F.make_date("fiscal_year", F.lit(12), F.lit(31)).cast("timestamp").alias("as_reported_ts"),
+        F.expr("cast(make_date(fiscal_year + 1, 2, 1) as timestamp)").alias("ingested_at"))
+
+
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored facts: those with a value."""
+    return parsed_facts(spark, sf).where("value is not null")
+
+
+def info(spark: SparkSession, sf: str) -> DataFrame:
+    """Company profile figures from the customer row."""
+    return table(spark, sf, "customer").selectExpr(
+        "c_custkey as instrument_id", "cast(case when c_custkey % 11 <> 0 then c_custkey % 30 / 10.0 end as double) as current_ratio",
+        "cast(c_custkey % 20 / 10.0 as double) as quick_ratio", "cast((c_custkey % 1000 + 1) * 1000 as double) as market_cap",
+        "cast(c_custkey % 4 * 10 as double) as current_price", "cast(c_custkey % 3 * 7 as double) as regular_market_price", "cast(c_custkey % 5 as double) as previous_close",
+        "cast(c_custkey % 6 * 1.5 as double) as trailing_eps", "cast(c_custkey % 9 * 100 as double) as ebitda", "cast(c_custkey % 7 * 3 as double) as book_value",
+        "cast(case when c_custkey % 8 <> 0 then c_custkey % 50 * 1000 end as double) as total_revenue", "cast((c_custkey % 100 + 3) * 900 as double) as enterprise_value",
+        "cast(c_custkey % 5 * 4 as double) as trailing_pe", "cast(case when c_custkey % 3 = 0 then 0.2 end as double) as profit_margins", "cast(c_custkey % 4 * 0.5 as double) as price_to_sales",
+        "cast(case when c_custkey % 6 = 0 then c_custkey % 40 * 10 end as double) as depreciation_amortization", "cast(-(c_custkey % 12 * 25) as double) as capital_expenditure",
+        "cast(case when c_custkey % 2 = 0 then 0.3 end as double) as effective_tax_rate", "cast(c_custkey % 90 * 50 as double) as total_debt", "cast(c_custkey % 70 * 20 as double) as total_cash",
+        "cast(c_custkey % 500 as double) as shares_outstanding",
+        "cast(0.10 as double) as wacc", "cast(case when c_custkey % 13 = 0 then 0.12 else 0.03 end as double) as terminal_growth", "5 as forecast_years", "cast(0.08 as double) as revenue_cagr", "cast(0.18 as double) as ebit_margin")
+
+
+def value_instruments(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").selectExpr(
+        "c_custkey as instrument_id", "md5(concat('V', c_custkey)) as instrument_uuid", "c_custkey as company_id", "c_nationkey % 3 + 1 as exchange_id", "concat('C', c_custkey) as symbol",
+        "case when c_custkey % 4 <> 1 then date_add(date'1995-01-01', cast(c_custkey % 900 as int)) end as listing_date",
+        "case when c_custkey % 29 = 4 then date'1999-06-30' end as delisting_date", "c_custkey % 17 <> 3 as is_active")
+
+
+def value_companies(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").selectExpr(
+        "c_custkey as company_id", "case when c_custkey % 37 <> 0 then c_mktsegment end as sector_code",
+        "case when c_custkey % 37 <> 0 and c_nationkey % 5 <> 0 then concat(c_mktsegment, '_', c_nationkey) end as industry_code")
+
+
+METRIC_RULES = {
+    "EBITDA": "ebitda", "EARNINGS": "ni", "BOOK_VALUE": "eq", "SALES": "rev", "NET_DEBT": "debt - cash",
+    "EQUITY_VALUE": "rev * (1 + instrument_id % 5)", "ENTERPRISE_VALUE": "rev * (1 + instrument_id % 5) + debt - cash", "SHARE_COUNT": "sh",
+}
+
+
+def metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Long metric facts at each year end."""
+    f = parsed_facts(spark, sf)
+    names = {"EBITDA": "ebitda", "NET_INCOME": "ni", "TOTAL_EQUITY": "eq", "TOTAL_REVENUE": "rev", "TOTAL_DEBT": "debt", "CASH": "cash"}
+    w = f.groupBy("instrument_id", "fiscal_year").agg(*[F.max(F.when(F.col("line_item_code") == k, F.col("value").cast("decimal(18,2)"))).alias(v) for k, v in names.items()])
+    w = w.withColumn("sh", F.expr("cast(1000 + instrument_id % 500 as decimal(18,2))")).withColumn("debt", F.coalesce("debt", F.lit(0).cast("decimal(18,2)")))
+    items = ", ".join(f"struct('{k}' as metric_code, cast({e} as decimal(24,8)) as metric_value, {i} as n)" for i, (k, e) in enumerate(METRIC_RULES.items()))
+    return w.select("instrument_id", "fiscal_year", F.expr(f"explode(array({items})) as m")).select(
+        F.expr("(instrument_id * 100 + fiscal_year - 1990) * 20 + m.n").alias("metric_fact_id"), "instrument_id", "m.metric_code", "m.metric_value",
+        F.make_date("fiscal_year", F.lit(12), F.lit(31)).alias("as_of_date")).where("metric_value is not null")
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One valuation request per customer, with assumptions by key arithmetic."""
+    return table(spark, sf, "customer").selectExpr(
+        "c_custkey + 1 as val_run_id", "c_custkey as instrument_id", "cast(0.09 + c_custkey % 5 * 0.01 as double) as wacc",
+        "cast(case when c_custkey % 41 = 0 then 0.2 else 0.03 + c_custkey % 3 * 0.005 end as double) as terminal_growth", "cast(3 + c_custkey % 5 as int) as forecast_years",
+        "cast(0.02 + c_custkey % 7 * 0.01 as double) as revenue_cagr", "cast(0.1 + c_custkey % 4 * 0.05 as double) as ebit_margin",
+        "case when c_custkey % 43 = 0 then array(1000D, 2000D) end as capex_schedule")
+
+
+def statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Long analyst statements: label, period, value."""
+    o = table(spark, sf, "orders")
+    label = F.expr("""element_at(array('Current Assets','Current Liabilities','Inventory','Total Revenue','Revenue','Cost Of Revenue','Accounts Receivable','Accounts Payable',
+        'Free Cash Flow','Operating Cash Flow','Capital Expenditure','Net Income','Gross Profit','EBITDA','Stockholders Equity','Total Equity Gross Minority Interest'), cast(o_orderkey % 16 as int) + 1)""")
+    return o.groupBy(F.col("o_custkey").alias("instrument_id"), label.alias("label"), F.trunc("o_orderdate", "year").alias("period")).agg(
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("c")).selectExpr(
+        "instrument_id", "label", "period", "case when c % 10 <> 0 then cast(case when label like 'C%' and instrument_id % 3 = 0 then -c else c end as double) end as value")
+
+
+def wide_income(spark: SparkSession, sf: str) -> DataFrame:
+    """Income statement as delivered: label rows, one column per period end."""
+    o = table(spark, sf, "orders")
+    label = F.expr("element_at(array('Total Revenue','Operating Revenue','Gross Profit','Net Income','Capital Expenditure'), cast(substr(o_orderpriority, 1, 1) as int))")
+    years = [f"{y}-12-31" for y in range(1995, 2002)]
+    signed = F.round(F.col("o_totalprice") * 100).cast("long") * F.when(label == "Capital Expenditure", -1).otherwise(1)
+    rows = o.select(F.col("o_custkey").alias("instrument_id"), label.alias("label"), F.concat(F.year("o_orderdate").cast("string"), F.lit("-12-31")).alias("y"), signed.alias("v"))
+    return rows.groupBy("instrument_id", "label").pivot("y", years).agg(F.sum("v"))

@@ -169,23 +169,26 @@ def normalize_checks(spark, sf):
     return prices.normalize_ohlcv_checks(_feed_rows(spark, sf), LATE).select("source_record_id", "reason")
 
 
+_OK = "(s.stored OR w.prev <= 0 OR (s.a{n} / w.prev >= 0.2 AND s.a{n} / w.prev <= 5))"
 WALK = """
 WITH RECURSIVE {pre}
 cand AS ({cand}),
-seq AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date) AS rn FROM cand),
+pos AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, trade_date ORDER BY source_record_id) AS p FROM cand),
+seq AS (SELECT instrument_id, trade_date, bool_or(stored) AS stored, max(CASE WHEN p = 1 THEN close END) AS c1, max(CASE WHEN p = 1 THEN adj END) AS a1,
+  max(CASE WHEN p = 2 THEN close END) AS c2, max(CASE WHEN p = 2 THEN adj END) AS a2, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date) AS rn FROM pos GROUP BY 1, 2),
 walk AS (
-  SELECT instrument_id, rn, close, true AS ok, close AS prev FROM seq WHERE rn = 1
+  SELECT instrument_id, rn, true AS ok1, true AS ok2, c1 AS prev FROM seq WHERE rn = 1
   UNION ALL
-  SELECT s.instrument_id, s.rn, s.close, s.stored OR w.prev <= 0 OR (s.adj / w.prev >= 0.2 AND s.adj / w.prev <= 5),
-    CASE WHEN s.stored OR w.prev <= 0 OR (s.adj / w.prev >= 0.2 AND s.adj / w.prev <= 5) THEN s.close ELSE w.prev END
-  FROM walk w JOIN seq s ON s.instrument_id = w.instrument_id AND s.rn = w.rn + 1)
-"""
+  SELECT s.instrument_id, s.rn, ok1, ok2, CASE WHEN ok1 THEN c1 WHEN ok2 AND c2 IS NOT NULL THEN c2 ELSE prev END FROM (
+    SELECT s.*, w.prev, __1 AS ok1, __2 AS ok2 FROM walk w JOIN seq s ON s.instrument_id = w.instrument_id AND s.rn = w.rn + 1) s),
+judged AS (SELECT pos.*, CASE WHEN p = 1 THEN ok1 ELSE ok2 END AS ok FROM pos JOIN seq USING (instrument_id, trade_date) JOIN walk USING (instrument_id, rn))
+""".replace("__1", _OK.format(n=1)).replace("__2", _OK.format(n=2))
 
 
-@register("sequential_breaker", WALK.format(pre="", cand="SELECT instrument_id, trade_date, CAST(close_px AS DOUBLE) AS close, CAST(adj_close_px AS DOUBLE) AS adj, false AS stored FROM adjusted") + """
-SELECT s.instrument_id, CAST(s.trade_date AS VARCHAR) AS trade_date, w.ok AS breaker_ok FROM seq s JOIN walk w USING (instrument_id, rn)""")
+@register("sequential_breaker", WALK.format(pre="", cand="SELECT instrument_id, trade_date, CAST(close_px AS DOUBLE) AS close, CAST(adj_close_px AS DOUBLE) AS adj, false AS stored, '' AS source_record_id FROM adjusted") + """
+SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, ok AS breaker_ok FROM judged""")
 def sequential_breaker(spark, sf):
-    rows = prices.adjusted_close(b.bars(spark, sf), b.actions(spark, sf)).withColumn("ingested_ts", F.col("ingested_at"))
+    rows = prices.adjusted_close(b.bars(spark, sf), b.actions(spark, sf)).withColumn("ingested_ts", F.col("ingested_at")).withColumn("source_record_id", F.lit(""))
     return prices.sequential_breaker(rows).select("instrument_id", "trade_date", "breaker_ok")
 
 
@@ -209,8 +212,7 @@ def _normalized(spark, sf):
 
 
 @register("normalize_ohlcv", NORMALIZED + """
-SELECT s.source_record_id, s.instrument_id, CAST(s.trade_date AS VARCHAR) AS trade_date, s.close AS close_px, s.adj AS adj_close_px
-FROM seq s JOIN walk w USING (instrument_id, rn) WHERE NOT s.stored AND w.ok""")
+SELECT source_record_id, instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, close AS close_px, adj AS adj_close_px FROM judged WHERE NOT stored AND ok""")
 def normalize(spark, sf):
     return _normalized(spark, sf)[0].select(
         "source_record_id", "instrument_id", "trade_date", "close_px", "adj_close_px")
@@ -218,7 +220,7 @@ def normalize(spark, sf):
 
 @register("normalize_ohlcv_rejects", NORMALIZED + """
 SELECT source_record_id, reason FROM rz WHERE reason IS NOT NULL
-UNION ALL SELECT s.source_record_id, 'adjusted_close_outlier' FROM seq s JOIN walk w USING (instrument_id, rn) WHERE NOT s.stored AND NOT w.ok""")
+UNION ALL SELECT source_record_id, 'adjusted_close_outlier' FROM judged WHERE NOT stored AND NOT ok""")
 def normalize_rejects(spark, sf):
     return _normalized(spark, sf)[1].select("source_record_id", "reason")
 
@@ -239,13 +241,14 @@ def ingest_actions(spark, sf):
 
 # --- indicators ---------------------------------------------------------------------
 
-WIN = W.partitionBy("instrument_id").orderBy("date")
+def _by_month():
+    return W.partitionBy("instrument_id").orderBy("date")
 
 
 @register("pct_change", """
 SELECT instrument_id, CAST(date AS VARCHAR) AS date, round(close / lag(close) OVER (PARTITION BY instrument_id ORDER BY date) - 1, 9) AS ret FROM monthly""")
 def pct(spark, sf):
-    return b.monthly(spark, sf).select("instrument_id", "date", F.round(indicators.pct_change(F.col("close"), WIN), 9).alias("ret"))
+    return b.monthly(spark, sf).select("instrument_id", "date", F.round(indicators.pct_change(F.col("close"), _by_month()), 9).alias("ret"))
 
 
 @register("sma", """
@@ -254,7 +257,7 @@ SELECT instrument_id, CAST(date AS VARCHAR) AS date,
   CASE WHEN count(*) OVER (PARTITION BY instrument_id ORDER BY date ROWS 49 PRECEDING) = 50 THEN round(avg(close) OVER (PARTITION BY instrument_id ORDER BY date ROWS 49 PRECEDING), 3) END AS sma_50
 FROM monthly""")
 def sma(spark, sf):
-    return b.monthly(spark, sf).select("instrument_id", "date", F.round(indicators.sma(F.col("close"), 5, WIN), 3).alias("sma_5"), F.round(indicators.sma(F.col("close"), 50, WIN), 3).alias("sma_50"))
+    return b.monthly(spark, sf).select("instrument_id", "date", F.round(indicators.sma(F.col("close"), 5, _by_month()), 3).alias("sma_5"), F.round(indicators.sma(F.col("close"), 50, _by_month()), 3).alias("sma_50"))
 
 
 @register("rsi", """
@@ -291,7 +294,7 @@ def macd(spark, sf):
 WITH g AS (SELECT *, count(*) OVER w AS n, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s FROM monthly WINDOW w AS (PARTITION BY instrument_id ORDER BY date ROWS 19 PRECEDING))
 SELECT instrument_id, CAST(date AS VARCHAR) AS date, CASE WHEN n = 20 THEN round(m + 2 * s, 1) END AS upper_band, CASE WHEN n = 20 THEN round(m - 2 * s, 1) END AS lower_band FROM g""")
 def bollinger(spark, sf):
-    up, low = indicators.bollinger(F.col("close"), WIN)
+    up, low = indicators.bollinger(F.col("close"), _by_month())
     return b.monthly(spark, sf).select("instrument_id", "date", F.round(up, 1).alias("upper_band"), F.round(low, 1).alias("lower_band"))
 
 

@@ -12,6 +12,7 @@ from tickerlake.plans import sqlparts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+MODULE_OF: dict[str, str] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -36,6 +37,7 @@ def register(name: str, oracle: str | None = None, keep_order: bool = False):
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
+        MODULE_OF[name] = fn.__module__.rsplit(".", 1)[-1]
         QUERIES[name] = lambda spark, sf: plain(fn(spark, sf))
         if oracle is not None:
             ORACLE[name] = sqlparts.query(oracle)
