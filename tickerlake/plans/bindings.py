@@ -323,3 +323,123 @@ def wide_income(spark: SparkSession, sf: str) -> DataFrame:
     signed = F.round(F.col("o_totalprice") * 100).cast("long") * F.when(label == "Capital Expenditure", -1).otherwise(1)
     rows = o.select(F.col("o_custkey").alias("instrument_id"), label.alias("label"), F.concat(F.year("o_orderdate").cast("string"), F.lit("-12-31")).alias("y"), signed.alias("v"))
     return rows.groupBy("instrument_id", "label").pivot("y", years).agg(F.sum("v"))
+
+
+# --- quality, compliance and operations ------------------------------------------------
+
+
+def feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Records for the quality gate, some of them damaged."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("c"))
+    e = e.withColumn("hi", F.col("c") + 100).withColumn("lo", F.expr("c div 2")).withColumn("cl", F.expr("case when event_id % 211 = 0 then 200000000 else c end"))
+    return e.select(
+        "event_id", F.expr("case when event_id % 97 <> 0 then user_id end").alias("instrument_id"), F.expr("case when event_id % 194 <> 0 then concat('U', user_id) end").alias("symbol"),
+        F.col("ts").cast("date").alias("trade_date"), F.upper("event_type").alias("source_system"),
+        F.when(F.col("event_id") % 53 != 0, scaled("c", 2)).cast("decimal(18,6)").alias("open_px"), scaled("hi", 2).cast("decimal(18,6)").alias("high_px"),
+        scaled("lo", 2).cast("decimal(18,6)").alias("low_px"), scaled("cl", 2).cast("decimal(18,6)").alias("close_px"), F.expr("case when event_id % 31 <> 0 then ts end").alias("event_ts"))
+
+
+def feed_curated(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored closes: the last view event of each user and day."""
+    v = table(spark, sf, "events").where("event_type = 'view'").select("event_id", F.col("user_id").alias("instrument_id"), F.col("ts").cast("date").alias("trade_date"), F.round(F.col("value") * 100).cast("long").alias("c"))
+    return v.groupBy("instrument_id", "trade_date").agg(F.max_by("c", "event_id").alias("c")).select(
+        "instrument_id", "trade_date", F.lit("VIEW").alias("source_system"), scaled("c", 2).cast("decimal(18,6)").alias("close_px"))
+
+
+def policies(spark: SparkSession, sf: str) -> DataFrame:
+    """Usage policy per document source; one source has none."""
+    n = "cast(substr(source, 4) as int)"
+    return table(spark, sf, "documents").select("source").distinct().where("source <> 'src19'").selectExpr(
+        "source as source_name", f"{n} % 3 <> 0 as redistribution_allowed", f"{n} % 4 <> 1 as commercial_use", f"{n} % 2 = 0 as attribution_required")
+
+
+def policy_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").selectExpr(
+        "doc_id", "doc_id div 3 as request_id", "concat(' ', upper(source)) as source_name", "doc_id % 2 = 0 as external_call", "lang = 'en' as derived_output",
+        "case when doc_id % 7 < 3 then 'given' when doc_id % 7 = 3 then '' end as attribution", "doc_id % 5 = 0 as commercial_context", "doc_id % 11 as user_id", "case when doc_id % 4 = 0 then concat('r', doc_id) end as resource_id")
+
+
+def job_events(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("job_event_id"), F.expr("user_id * 100 + day(ts)").alias("pipeline_run_id"),
+        F.expr("case event_type when 'view' then 'START' when 'click' then 'RETRY' when 'error' then 'FAILED' when 'signup' then 'WARN' else 'END' end").alias("event_type"),
+        F.col("ts").cast("timestamp").alias("event_ts"), F.concat(F.lit("m"), "event_id").alias("message"),
+        F.expr("concat('{\"attempt\":3,\"retryable\":', case when event_id % 2 = 0 then 'true' else 'false' end, '}')").alias("metrics_payload"))
+
+
+def pipeline_run_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """One run per user and day."""
+    e = job_events(spark, sf)
+    return e.groupBy("pipeline_run_id").agg(
+        F.min("event_ts").alias("started_at"), F.max("event_ts").alias("last_ts"), F.max_by("event_type", "job_event_id").alias("last_type"), F.count(F.lit(1)).alias("row_count_in"),
+    ).select("pipeline_run_id", F.expr("case when pipeline_run_id div 100 % 2 = 0 then 'nse_eod_ingest' else 'bse_eod_ingest' end").alias("pipeline_name"),
+             F.expr("case when pipeline_run_id % 13 = 0 then 'RUNNING' when last_type = 'FAILED' then 'FAILED' else 'SUCCESS' end").alias("status"), "started_at",
+             F.expr("case when pipeline_run_id % 13 <> 0 then last_ts end").alias("ended_at"), "row_count_in")
+
+
+def breaches(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").where("event_type = 'error' and value > 100").selectExpr("user_id * 100 + day(ts) as pipeline_run_id", "'RAW_WRITE_BY_20_00_IST' as sla_type")
+
+
+def source_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """One run per source and day; confirmed by its last early purchase, if any."""
+    e = table(spark, sf, "events").selectExpr("case when user_id % 2 = 0 then 'nse_eod_ingest' else 'bse_eod_ingest' end as pipeline_name", "user_id % 2 as par", "cast(ts as date) as trade_date", "cast(ts as timestamp) as ts", "event_type", "event_id")
+    return e.groupBy("pipeline_name", "trade_date").agg((F.max("par") + F.dayofmonth(F.max("trade_date")) * 2).alias("pipeline_run_id"),
+        F.max(F.expr("case when event_type = 'purchase' and (day(trade_date) % 3 <> 0 or hour(ts) < 14) then ts end")).alias("confirmed_at"))
+
+
+def incident_results(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").selectExpr(
+        "event_id as dq_result_id", "event_id % 6 + 1 as dq_rule_id", "'market_ohlcv_1d' as target_table",
+        "case when event_id % 9 = 0 then '' else concat('px:', md5(concat('I', user_id)), ':', cast(cast(ts as date) as string)) end as target_record_key", "concat('why', event_id % 4) as failure_reason")
+
+
+def incidents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").where("event_type = 'error'").selectExpr(
+        "event_id + 1000000 as dq_incident_id", "event_id as dq_result_id", "element_at(array('OPEN','IN_PROGRESS','RESOLVED'), cast(event_id % 3 as int) + 1) as incident_status",
+        "element_at(array('MEDIUM','HIGH'), cast(event_id % 2 as int) + 1) as impact_level", "cast(ts as timestamp) as opened_at", "cast(null as timestamp) as resolved_at", "cast(null as string) as resolution_notes")
+
+
+def rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule rows, numbered by the five regions and one more."""
+    r = table(spark, sf, "region").selectExpr("r_regionkey + 1 as dq_rule_id").union(table(spark, sf, "region").selectExpr("max(r_regionkey) + 2"))
+    return r.selectExpr("dq_rule_id", "concat('RULE_', dq_rule_id) as rule_code", "element_at(array('HIGH','CRITICAL','MEDIUM'), dq_rule_id % 3 + 1) as severity", "case when dq_rule_id % 2 = 0 then 'MARKET' else 'NEWS' end as domain_name")
+
+
+# --- stored valuations -------------------------------------------------------------------
+
+
+def val_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").selectExpr(
+        "o_orderkey + 1 as val_run_id", "md5(concat('R', o_orderkey)) as run_uuid", "o_custkey as instrument_id", "cast(o_orderdate as timestamp) as as_of_ts",
+        "case o_orderstatus when 'F' then 'SUCCESS' when 'O' then 'OVERRIDDEN' else case when o_orderkey % 2 = 0 then 'RUNNING' else 'QUEUED' end end as status", "cast(o_orderdate as timestamp) as created_at")
+
+
+def val_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus", "cast(round(o_totalprice * 100) as bigint) as c",
+        "explode(array(struct(0 as k, 'DCF' as m), struct(1 as k, 'RELATIVE' as m), struct(2 as k, 'BLENDED' as m))) as x")
+    return o.where("not (o_orderkey % 10 = 0 and x.k = 2)").selectExpr("(o_orderkey + 1) * 3 + x.k as model_output_id", "o_orderkey + 1 as val_run_id", "x.m as model_name",
+        "case when not (o_orderstatus = 'P' and x.k = 1) then cast(c div (x.k + 1) as double) end as target_price", "cast(c as double) as equity_value", "cast(c + 5 as double) as enterprise_value")
+
+
+def val_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "orders").where("o_orderkey % 9 <> 0").selectExpr("o_orderkey * 2 as confidence_id", "o_orderkey + 1 as val_run_id", "cast(o_orderkey % 100 as double) as overall_confidence", "cast(o_orderdate as timestamp) as created_at")
+    c = table(spark, sf, "orders").where("o_orderkey % 4 = 0").selectExpr("o_orderkey * 2 + 1", "o_orderkey + 1", "cast(o_orderkey % 77 as double)", "cast(o_orderdate as timestamp) + interval 1 day")
+    return a.union(c)
+
+
+def val_labels(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    a = o.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey + 1 as val_run_id", "'RUN_LABEL' as assumption_key", "cast(null as double) as assumption_value_numeric", "o_orderpriority as assumption_value_text")
+    return a.union(o.selectExpr("o_orderkey + 1", "'wacc'", "cast(o_orderkey % 7 as double)", "cast(null as string)"))
+
+
+def val_attributions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").selectExpr(
+        "(l_orderkey * 16 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint) % 100000000 as attribution_id", "l_orderkey + 1 as val_run_id", "concat('T', l_returnflag) as driver_type",
+        "concat('YEAR_', l_linenumber) as driver_key", "cast(round(l_extendedprice * 100) as bigint) as impact_value_abs", "case when l_linestatus = 'F' then 'UP' else 'DOWN' end as direction")
+
+
+def val_sensitivities(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").selectExpr("(l_orderkey + 1) * 3 as model_output_id", "case when l_linestatus = 'F' then 'wacc' else 'terminal_growth' end as assumption_key",
+        "concat('S', l_linenumber) as shock_label", "cast(l_quantity as bigint) as shock_value", "cast(round(l_extendedprice * 100) as bigint) as result_target_price")
