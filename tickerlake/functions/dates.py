@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 OPEN_END = "9999-12-31"
 # --- fixed values -----------------------------------------------------------
 TRADE_DATE_FORMATS = [
-    ("yyyy-MM-dd", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("dd-MM-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("dd-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
-    ("dd/MM/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
 ]
 IST = "Asia/Kolkata"
 # ----------------------------------------------------------------------------
@@ -21,9 +21,12 @@ IST = "Asia/Kolkata"
 
 def parse_trade_date(c: Column) -> Column:
     """First matching of the four exchange date layouts, else null."""
-    text = F.initcap(F.lower(F.trim(c)))
+    text = F.trim(c)
+    # month names match in any case
+    parts = F.split(text, "-")
+    named = F.concat_ws("-", F.get(parts, F.lit(0)), F.initcap(F.get(parts, F.lit(1))), F.get(parts, F.lit(2)))
     tries = [
-        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt.replace("dd", "d").replace("MM-", "M-").replace("/MM/", "/M/")))).cast("date")
+        F.when(text.rlike(shape), F.try_to_timestamp(named if "MMM" in fmt else text, F.lit(fmt))).cast("date")
         for fmt, shape in TRADE_DATE_FORMATS
     ]
     return F.coalesce(*tries)

@@ -45,5 +45,10 @@ def format_metric(c: Column) -> Column:
         F.when(c.isNull(), "N/A")
         .when(size >= 1000, F.format_number(c, 0))
         .when(size >= 1, F.format_number(c, 2))
-        .otherwise(F.concat(F.format_string("%.2f", c * 100), F.lit("%")))
+        .otherwise(percent_text(c, 2))
     )
+
+
+def percent_text(c: Column, places: int) -> Column:
+    """Percent text; the digits round half to even on the exact binary value."""
+    return F.concat(F.format_number(c * 100, places), F.lit("%"))

@@ -9,9 +9,8 @@ out, so no (target, peer) pair is ever formed.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerlake.functions import dates, numeric, text
@@ -498,11 +497,8 @@ def shock_grid(wacc: Column, growth: Column, step: float = 0.01) -> Column:
 def dcf_sensitivity(info: DataFrame) -> DataFrame:
     """Quick DCF on the nine shocks of each row, shocks labelled as percent text."""
     grid = info.withColumn("_s", F.explode(shock_grid(d("wacc"), d("terminal_growth")))).withColumn("wacc", F.col("_s.wacc")).withColumn("terminal_growth", F.col("_s.terminal_growth")).drop("_s")
-
-    def pct(c: Column) -> Column:
-        return F.concat(F.format_string("%.1f", c * 100), F.lit("%"))
-
-    return margin_dcf(grid).select("instrument_id", pct(F.col("wacc")).alias("wacc"), pct(F.col("terminal_growth")).alias("terminal_growth"), "intrinsic_value")
+    w, g = (numeric.percent_text(F.col(c), 1).alias(c) for c in ("wacc", "terminal_growth"))
+    return margin_dcf(grid).select("instrument_id", w, g, "intrinsic_value")
 
 
 def dcf_delta(core: Column, quick: Column) -> Column:

@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import importlib
-import os
-
-from tickerlake.plans import registry
-
-MODULES = sorted(
-    f[:-3] for f in os.listdir(os.path.dirname(__file__)) if f.startswith("on_") and f.endswith(".py")
-)
-
-
-def _load() -> None:
-    for m in MODULES:
-        importlib.import_module(f"tickerlake.plans.{m}")
+from tickerlake.plans import on_files, on_identity, on_ops, on_prices, on_value, registry, sqlparts  # noqa: F401
 
 
 def queries():
-    _load()
     return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    _load()
-    return dict(registry.ORACLE)
+    """Checking SQL with the binding rules it needs in front."""
+    return {name: sqlparts.query(sql) for name, sql in registry.ORACLE.items()}

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickerlake.plans import sqlparts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,7 +30,7 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def register(name: str, oracle: str | None = None, keep_order: bool = False):
+def register(name: str, oracle: str | None = None):
     """Decorator: add a query and, when given, its checking SQL."""
 
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
@@ -40,7 +39,7 @@ def register(name: str, oracle: str | None = None, keep_order: bool = False):
         MODULE_OF[name] = fn.__module__.rsplit(".", 1)[-1]
         QUERIES[name] = lambda spark, sf: plain(fn(spark, sf))
         if oracle is not None:
-            ORACLE[name] = sqlparts.query(oracle)
+            ORACLE[name] = oracle
         return fn
 
     return wrap
