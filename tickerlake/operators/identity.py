@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerlake import session
 from tickerlake.functions import dates, text
 from tickerlake.operators import timejoin
 
@@ -233,7 +234,8 @@ def resolve_fuzzy_alias(rows: DataFrame, aliases: DataFrame, instruments: DataFr
 def resolve_cascade(rows: DataFrame, companies: DataFrame, instruments: DataFrame, exchanges: DataFrame, aliases: DataFrame) -> DataFrame:
     """ISIN, then ticker, then fuzzy alias for (identifier, exchange_mic, as_of)."""
     asked = _asked(rows)
-    points = asked.select("_id", "_mic", "as_of").distinct()
+    # distinct questions, staged once for the three resolvers
+    points = session.stage(asked.select("_id", "_mic", "as_of").distinct(), "identifiers")
     isin = _isin_hits(points, companies, instruments).select("_id", "as_of", F.col("instrument_id").alias("_i1"))
     ticker = _ticker_hits(points, instruments, exchanges).withColumns(_ticker_columns()).withColumn("_i2", F.col("instrument_id"))
     ticker = ticker.select("_id", "_mic", "as_of", "_i2", *[F.col(c).alias(f"_t_{c}") for c in ("confidence_score", "matched_input", "source_provenance")])

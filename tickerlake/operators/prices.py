@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tickerlake.functions import dates, numeric, text
+from tickerlake import session
+from tickerlake.functions import dates, numeric
 from tickerlake.operators import identity, timejoin
 
 # --- fixed values -----------------------------------------------------------
@@ -27,21 +28,24 @@ def asof_dividend_close(actions: DataFrame, prices: DataFrame) -> DataFrame:
     return timejoin.asof_join(actions, closes, ["instrument_id"], "ex_date", F.col("close_px"), True, "prior_close")
 
 
-def action_factor(actions: DataFrame, prices: DataFrame) -> DataFrame:
-    """Add ``factor``: what one action multiplies earlier closes by."""
+def _factor(prior_close: Column) -> Column:
+    """What one action multiplies earlier closes by."""
     kind = F.upper(F.trim("action_type"))
-    with_prior = asof_dividend_close(actions, prices)
     ratio = numeric.safe_ratio(F.col("action_ratio_den").cast("double"), F.col("action_ratio_num").cast("double"))
-    prior = F.col("prior_close").cast("double")
+    prior = prior_close.cast("double")
     paid = numeric.safe_ratio(prior - F.col("action_value").cast("double"), prior)
-    return with_prior.withColumn(
-        "factor",
+    return (
         F.when(kind.isin(RATIO_ACTIONS), F.coalesce(ratio, F.lit(1.0)))
         .when((kind == "DIVIDEND") & (prior > 0) & (paid > 0), paid)
-        .otherwise(F.lit(1.0)),
+        .otherwise(F.lit(1.0))
     )
 
 
+def action_factor(actions: DataFrame, prices: DataFrame) -> DataFrame:
+    """Add ``factor`` to each action."""
+    return asof_dividend_close(actions, prices).withColumn("factor", _factor(F.col("prior_close")))
+
+
 def actions_after_date(prices: DataFrame, actions: DataFrame, window_start: dt.date | None = None) -> DataFrame:
     """Add ``later_actions``: how many actions lie strictly after the trade date."""
     acts = actions if window_start is None else actions.where(F.col("ex_date") >= F.lit(window_start))
@@ -74,10 +78,26 @@ def _scaled(px: Column, factor: Column) -> Column:
 
 
 def adjusted_close(prices: DataFrame, actions: DataFrame, window_start: dt.date | None = None) -> DataFrame:
-    """Add ``adj_close_px``: close times the product of later action factors."""
-    factors = action_factor(actions, prices)
-    return cumulative_adjustment(prices, factors, window_start).withColumn(
-        "adj_close_px", _scaled(F.col("close_px"), F.col("adj_factor"))
+    """Add ``adj_factor`` and ``adj_close_px``: close times the later action factors.
+
+    ``prices`` is a bar table (one row per instrument and day), so prices and
+    actions can share one shuffle by instrument: a pass forward in time finds the
+    dividend's prior close, a pass backward multiplies the factors.  Equal actions
+    of a day are counted first and raised to their number.
+    """
+    acts = actions if window_start is None else actions.where(F.col("ex_date") >= F.lit(window_start))
+    terms = ["action_type", "action_value", "action_ratio_num", "action_ratio_den"]
+    acts = acts.groupBy("instrument_id", F.col("ex_date").alias("trade_date"), *terms).agg(F.count(F.lit(1)).alias("_n")).withColumn("_price", F.lit(0))
+    both = prices.withColumn("_price", F.lit(1)).unionByName(acts, allowMissingColumns=True)
+    # an action comes before the price of its own day going up, after it going down
+    up = W.partitionBy("instrument_id").orderBy("trade_date", "_price").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("instrument_id").orderBy(F.desc("trade_date"), F.desc("_price")).rowsBetween(W.unboundedPreceding, 0)
+    factor = F.when(F.col("_price") == 1, F.lit(1.0)).otherwise(F.pow(_factor(F.col("prior_close")), F.col("_n")))
+    return (
+        both.withColumn("prior_close", F.last("close_px", ignorenulls=True).over(up))
+        .withColumn("adj_factor", F.product(factor).over(down))
+        .where("_price = 1").drop("_price", "_n", "prior_close", *terms)
+        .withColumn("adj_close_px", _scaled(F.col("close_px"), F.col("adj_factor")))
     )
 
 
@@ -295,12 +315,13 @@ def normalize_ohlcv(
     ).withColumn("event_ts", dates.event_ts_default(F.col("trade_date")))
     found = identity.resolve_symbol_as_of(typed.withColumn("as_of", F.col("trade_date")), instruments, exchanges, aliases).drop("as_of", "state")
     money = fx_convert(found, fx, ["open_px", "high_px", "low_px", "close_px", "turnover"])
-    first = normalize_ohlcv_checks(money, as_of)
+    # both branches start from here: resolve and convert once
+    first = session.stage(normalize_ohlcv_checks(money, as_of), "normalize-checked")
     early = first.where("reason is not null")
     good = first.where("reason is null").drop("reason", "rule_code")
     factors = action_factor(actions, curated)
     adj = cumulative_adjustment(good, factors, window_start).withColumn("adj_close_px", _scaled(F.col("close_px"), F.col("adj_factor")))
-    judged = normalize_ohlcv_checks(sequential_breaker(adj, curated), as_of)
+    judged = session.stage(normalize_ohlcv_checks(sequential_breaker(adj, curated), as_of), "normalize-judged")
     cols = ["instrument_id", "trade_date", "open_px", "high_px", "low_px", "close_px", "adj_close_px", "volume",
             "turnover", "source_system", "source_record_id", "event_ts", "ingested_ts"]
     accepted = judged.where("reason is null").select(*cols, F.col("ingested_ts").alias("valid_from"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerlake.functions import dates, text
-from tickerlake.operators import prices
+from tickerlake.operators import prices, timejoin
 
 MAX_PAGE = 200
 
@@ -115,7 +115,7 @@ def model_prices(outputs: DataFrame) -> DataFrame:
 
 def latest_confidence(confidence: DataFrame) -> DataFrame:
     """Most recent confidence snapshot per run."""
-    return confidence.groupBy("val_run_id").agg(F.max_by("overall_confidence", F.struct("created_at", "confidence_id")).alias("confidence_score"))
+    return confidence.groupBy("val_run_id").agg(F.max_by("overall_confidence", timejoin.packed(F.unix_micros("created_at"), F.col("confidence_id"))).alias("confidence_score"))
 
 
 def valuation_list(runs: DataFrame, outputs: DataFrame, confidence: DataFrame, assumptions: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ join on (key, day), which adaptive execution splits when a key is hot.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -103,6 +105,16 @@ def overlap_counts(probe: DataFrame, wanted: dict[str, tuple[DataFrame, list[str
     return out.drop("_to")
 
 
+def packed(major: Column, ident: Column) -> Column:
+    """One decimal that orders by ``major`` (days or micros), then by a non-negative id.
+
+    A fixed-width order value keeps ``max_by`` a hash aggregate; a struct would make
+    Spark sort the input first.
+    """
+    wide = F.lit(Decimal(10**19)).cast("decimal(20,0)")
+    return (major.cast("decimal(18,0)") * wide + ident.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[Column], cols: list[str]) -> DataFrame:
     """Newest row per key by aggregation (map-side combined, no per-key sort)."""
     best = F.max_by(F.struct(*cols), F.struct(*order))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerlake.functions import dates, numeric, text
-from tickerlake.operators import orderstats
+from tickerlake.operators import orderstats, timejoin
 
 # --- fixed values -----------------------------------------------------------
 DCF_KEYS = {"wacc": "RATIO", "terminal_growth": "RATIO", "forecast_years": "YEARS", "revenue_cagr": "RATIO", "ebit_margin": "RATIO"}
@@ -55,8 +55,9 @@ def asof_metric(metrics: DataFrame, codes: dict[str, str], as_of: dt.date) -> Da
     cols = []
     for name, code in codes.items():
         mine = F.col("metric_code") == code
-        cols.append(F.max_by(F.when(mine, d("metric_value")), F.when(mine, F.struct("as_of_date", "metric_fact_id"))).alias(name))
-    wide = metrics.where(F.col("as_of_date") <= F.lit(as_of)).where(F.col("metric_code").isin(list(codes.values()))).groupBy("instrument_id").agg(*cols)
+        cols.append(F.max_by(F.when(mine, d("metric_value")), F.when(mine, F.col("_o"))).alias(name))
+    known = metrics.where(F.col("as_of_date") <= F.lit(as_of)).where(F.col("metric_code").isin(list(codes.values())))
+    wide = known.withColumn("_o", timejoin.packed(F.unix_date("as_of_date"), F.col("metric_fact_id"))).groupBy("instrument_id").agg(*cols)
     return wide.withColumn("missing_metric", F.coalesce(*[F.when(F.col(n).isNull(), code) for n, code in codes.items()]))
 
 
@@ -67,15 +68,15 @@ def asof_statement_period(facts: DataFrame, as_of: dt.date, codes: list[str]) ->
     # one map-side combined pass: newest period per instrument by (time, id)
     per = annual.groupBy("instrument_id", "as_reported_ts").agg(
         *[F.max_by(F.when(F.col("line_item_code") == c, d("value")), F.when(F.col("line_item_code") == c, F.col("statement_fact_id"))).alias(c) for c in codes])
-    newest = F.max_by(F.struct(*codes), "as_reported_ts")
-    return per.groupBy("instrument_id").agg(newest.alias("_r"), F.max("as_reported_ts").alias("period_ts")).select("instrument_id", "period_ts", "_r.*")
+    newest = [F.max_by(c, "as_reported_ts").alias(c) for c in codes]
+    return per.groupBy("instrument_id").agg(F.max("as_reported_ts").alias("period_ts"), *newest)
 
 
 def asof_latest_revenue(facts: DataFrame, as_of: dt.date) -> DataFrame:
     """Latest older-code revenue fact by the end of the day; ties by highest id."""
     end = F.lit(dt.datetime.combine(as_of, dt.time.max))
     return facts.where((F.col("line_item_code") == "Revenue") & (F.col("as_reported_ts") <= end)).groupBy("instrument_id").agg(
-        F.max_by("value", F.struct("as_reported_ts", "statement_fact_id")).alias("revenue"))
+        F.max_by("value", timejoin.packed(F.unix_micros("as_reported_ts"), F.col("statement_fact_id"))).alias("revenue"))
 
 
 def build_projection_input(facts: DataFrame, as_of: dt.date) -> DataFrame:

@@ -206,13 +206,22 @@ def bse_isin_map(spark, sf):
     return identity.bse_isin_map(a, i, c)
 
 
-@register("list_instruments", """
-SELECT *, CAST(count(*) OVER () AS BIGINT) AS total FROM (SELECT instrument_id, symbol, exchange_code, sector_code, isin_primary FROM instruments JOIN companies USING (company_id) JOIN exchanges USING (exchange_id)
-WHERE exchange_code = 'NSE' AND sector_code = 'ASIA' AND is_active) ORDER BY instrument_id LIMIT 5 OFFSET 0""")
-def list_instruments(spark, sf):
+_LISTED = "FROM instruments JOIN companies USING (company_id) JOIN exchanges USING (exchange_id) WHERE exchange_code = 'NSE' AND sector_code = 'ASIA' AND is_active"
+
+
+def _listed(spark, sf):
     c, i, x, _ = _refs(spark, sf)
-    page, total = serving.list_instruments(i, c, x, exchange="nse", sector="ASIA", is_active=True, page=1, size=5)
-    return page.select("instrument_id", "symbol", "exchange_code", "sector_code", "isin_primary").crossJoin(total)
+    return serving.list_instruments(i, c, x, exchange="nse", sector="ASIA", is_active=True, page=1, size=5)
+
+
+@register("list_instruments", f"SELECT instrument_id, symbol, exchange_code, sector_code, isin_primary {_LISTED} ORDER BY instrument_id LIMIT 5")
+def list_instruments(spark, sf):
+    return _listed(spark, sf)[0].select("instrument_id", "symbol", "exchange_code", "sector_code", "isin_primary")
+
+
+@register("list_instruments_total", f"SELECT count(*) AS total {_LISTED}")
+def list_instruments_total(spark, sf):
+    return _listed(spark, sf)[1]
 
 
 @register("search_instruments", """
@@ -246,9 +255,9 @@ SELECT symbol, isin_primary AS isin, exchange_code AS exchange, CAST(last_price_
 FROM instruments i JOIN companies USING (company_id) JOIN exchanges USING (exchange_id)
 LEFT JOIN (SELECT b.instrument_id, max(trade_date) AS last_price_date FROM bars b JOIN instruments i USING (instrument_id)
   WHERE trade_date BETWEEN DATE '2001-10-01' - 3650 AND DATE '2001-10-01' AND trade_date BETWEEN coalesce(listing_date, DATE '0001-01-01') AND coalesce(delisting_date, DATE '9999-12-31') GROUP BY 1) USING (instrument_id)
-LEFT JOIN (SELECT l_suppkey AS instrument_id, max(CAST(l_shipdate AS TIMESTAMP)) AS last_val_date FROM lineitem WHERE l_tax = 0.08 AND l_suppkey % 3 = 0 GROUP BY 1) USING (instrument_id)""")
+LEFT JOIN (SELECT l_suppkey AS instrument_id, max(CAST(l_shipdate AS TIMESTAMP)) AS last_val_date FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O' AND l_quantity = 50 GROUP BY 1) USING (instrument_id)""")
 def coverage(spark, sf):
     c, i, x, _ = _refs(spark, sf)
-    runs = b.table(spark, sf, "lineitem").where("l_tax = 0.08 and l_suppkey % 3 = 0").select(
+    runs = b.table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'O' AND l_quantity = 50").select(
         F.col("l_suppkey").alias("instrument_id"), F.col("l_shipdate").cast("timestamp").alias("as_of_ts"))
     return serving.coverage_map(i, c, x, b.bars(spark, sf), runs, dt.date(2001, 10, 1))

@@ -250,12 +250,21 @@ def last_activity(spark, sf):
     return serving.last_activity_status(b.pipeline_run_rows(spark, sf), dt.datetime(2024, 1, 31, 12))
 
 
-@register("open_incidents", """
-SELECT *, CAST((SELECT count(*) FROM star WHERE incident_status = 'OPEN' AND severity = 'HIGH' AND opened_at >= TIMESTAMP '2024-01-10') AS BIGINT) AS total FROM (
- SELECT dq_incident_id, rule_code FROM star WHERE incident_status = 'OPEN' AND severity = 'HIGH' AND opened_at >= TIMESTAMP '2024-01-10' ORDER BY opened_at DESC, dq_incident_id DESC LIMIT 50 OFFSET 50)""")
+_OPEN = "FROM star WHERE incident_status = 'OPEN' AND severity = 'HIGH' AND opened_at >= TIMESTAMP '2024-01-10'"
+
+
+def _open_page(spark, sf):
+    return serving.open_incidents(b.incidents(spark, sf), b.incident_results(spark, sf), b.rules(spark, sf), "high", None, dt.date(2024, 1, 10), 2, 50)
+
+
+@register("open_incidents", f"SELECT dq_incident_id, rule_code {_OPEN} ORDER BY opened_at DESC, dq_incident_id DESC LIMIT 50 OFFSET 50")
 def open_incidents(spark, sf):
-    page, total = serving.open_incidents(b.incidents(spark, sf), b.incident_results(spark, sf), b.rules(spark, sf), "high", None, dt.date(2024, 1, 10), 2, 50)
-    return page.select("dq_incident_id", "rule_code").crossJoin(total)
+    return _open_page(spark, sf)[0].select("dq_incident_id", "rule_code")
+
+
+@register("open_incidents_total", f"SELECT count(*) AS total {_OPEN}")
+def open_incidents_total(spark, sf):
+    return _open_page(spark, sf)[1]
 
 
 @register("incident_detail", "SELECT dq_incident_id, incident_status, severity, domain_name, rule_code, target_record_key, failure_reason FROM star")
@@ -373,9 +382,9 @@ def run_browser(spark, sf):
     return serving.run_browser(b.value_instruments(spark, sf), b.exchanges(spark, sf), _list(spark, sf)).select("val_run_id", "instrument", "exchange", "status", "override_required")
 
 
-@register("multi_key_sort", "SELECT val_run_id, driver_type, driver_key FROM val_attributions ORDER BY driver_type, driver_key, val_run_id LIMIT 100")
+@register("multi_key_sort", "SELECT val_run_id, driver_type, driver_key FROM val_attributions ORDER BY driver_type, driver_key, val_run_id")
 def sort_keys(spark, sf):
-    return serving.multi_key_sort(b.val_attributions(spark, sf).select("val_run_id", "driver_type", "driver_key"), [("driver_type", False), ("driver_key", False), ("val_run_id", False)]).limit(100)
+    return serving.multi_key_sort(b.val_attributions(spark, sf).select("val_run_id", "driver_type", "driver_key"), [("driver_type", False), ("driver_key", False), ("val_run_id", False)])
 
 
 @register("top1_by_time", "SELECT instrument_id, max_by(val_run_id, (as_of_ts, val_run_id)) AS val_run_id FROM val_runs GROUP BY 1")

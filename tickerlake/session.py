@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, partitions: int = 8, app: str = "tickerlake") -> SparkSession:
@@ -34,3 +34,15 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="tickerlake-")
     return f"{base.rstrip('/')}/tickerlake/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame once to the shared folder and go on from the written table.
+
+    Used where several branches follow from one costly frame: they then scan the
+    written columns instead of repeating the work, and a lost executor costs only
+    the reading of its files.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
