@@ -37,7 +37,7 @@ def test_input_errors(spark, over, text):
 
 
 def test_default_valuation_matches_a_plain_loop(spark):
-    sched = dict(da_plan=[40.0, 42, 44, 46, 48], capex_plan=[55.0, 58, 60, 62, 65], nwc_plan=[10.0, 11, 12, 13, 14])
+    sched = dict(da_plan=[40.0, 42.0, 44.0, 46.0, 48.0], capex_plan=[55.0, 58.0, 60.0, 62.0, 65.0], nwc_plan=[10.0, 11.0, 12.0, 13.0, 14.0])
     r = va.dcf_value(dcf_frame(spark, forecast_years=5, revenue_cagr=0.08, ebit_margin=0.24, **sched)).head()
     pv, fcf = 0.0, 0.0
     for t in range(1, 6):
@@ -109,7 +109,7 @@ def test_missing_peer_metric_fails_the_row(spark):
     rows, groups, metrics = universe(spark)
     broken = metrics.withColumn("missing_metric", F.when(F.col("instrument_id") == 3, "SALES"))
     got = {r.instrument_id: r.rel_status for r in va.relative_valuation(groups, broken).collect()}
-    assert 3 not in got and got[0] == "FAILED" and got[1] != "FAILED"
+    assert got[3] == "REFUSED" and got[0] == "FAILED" and got[1] != "FAILED"
 
 
 def test_agreement_and_confidence(spark):

@@ -7,8 +7,6 @@ is thus spread over its bins, and what reaches one task is one bin.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -22,11 +20,11 @@ def monotone_bin(v: Column) -> Column:
     return F.when(v > 0, octave).when(v < 0, -octave).otherwise(F.lit(0)).cast("long")
 
 
-def order_stats(df: DataFrame, keys: list[str], value: str, positions: Callable[[Column], Column]) -> DataFrame:
+def order_stats(df: DataFrame, keys: list[str], value: str, positions: str) -> DataFrame:
     """keys, n, at: map of 0-based rank -> value for the wanted ranks.
 
-    ``positions`` turns the group size column into an array of ranks; ranks
-    outside the group are ignored.
+    ``positions`` is a SQL expression over the group size ``n`` giving an array of
+    ranks; ranks outside the group are ignored.
     """
     c = (
         df.where(F.col(value).isNotNull())
@@ -42,7 +40,7 @@ def order_stats(df: DataFrame, keys: list[str], value: str, positions: Callable[
         .withColumn("_from", F.col("_upto") - F.col("_bw"))
         .withColumn(
             "_need",
-            F.filter(F.array_distinct(positions(F.col("n"))), lambda p: (p >= F.col("_from")) & (p < F.col("_upto"))),
+            F.expr(f"filter(array_distinct({positions}), p -> p >= _from and p < _upto)"),
         )
         .where(F.size("_need") > 0)
         .select(*keys, "_bin", "n", "_from", "_need")
@@ -52,7 +50,7 @@ def order_stats(df: DataFrame, keys: list[str], value: str, positions: Callable[
         c.join(bins, [*keys, "_bin"])
         .withColumn("_hi", F.sum("_w").over(inside) + F.col("_from"))
         .withColumn("_lo", F.col("_hi") - F.col("_w"))
-        .withColumn("_p", F.explode(F.filter("_need", lambda p: (p >= F.col("_lo")) & (p < F.col("_hi")))))
+        .withColumn("_p", F.expr("explode(filter(_need, p -> p >= _lo and p < _hi))"))
     )
     return hits.groupBy(*keys).agg(
         F.max("n").alias("n"),
@@ -60,64 +58,46 @@ def order_stats(df: DataFrame, keys: list[str], value: str, positions: Callable[
     )
 
 
-def half_ranks(m: Column) -> dict[str, tuple[Column, Column]]:
-    """Ranks whose mean gives q1, median and q3 of ``m`` sorted values.
+def quartile_ranks(m: str) -> str:
+    """SQL array of the six ranks whose pairwise means are q1, median and q3.
 
-    The halves leave out the middle element of an odd count; a single value is
-    its own quartile.
+    The halves leave out the middle element of an odd count; a single value is its
+    own quartile.
     """
-    h = F.floor(m / 2).cast("long")
-    up = m - h
-    lone = h == 0
-
-    def pick(x: Column) -> Column:
-        return F.when(lone, F.lit(0)).otherwise(x).cast("long")
-
-    q1 = (pick(F.floor((h - 1) / 2)), pick(F.floor(h / 2)))
-    med = (F.floor((m - 1) / 2).cast("long"), F.floor(m / 2).cast("long"))
-    q3 = (pick(up + F.floor((h - 1) / 2)), pick(up + F.floor(h / 2)))
-    return {"q1": q1, "med": med, "q3": q3}
-
-
-def quartile_ranks(m: Column) -> Column:
-    r = half_ranks(m)
-    return F.array(*[x for pair in r.values() for x in pair])
+    h, up = f"({m} div 2)", f"({m} - {m} div 2)"
+    six = [f"({h} - 1) div 2", f"{h} div 2", f"({m} - 1) div 2", f"{m} div 2", f"{up} + ({h} - 1) div 2", f"{up} + {h} div 2"]
+    return f"if({m} < 2, array_repeat(0L, 6), array({', '.join(six)}))"
 
 
 def exclusive_quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n, q1, med, q3 with halves that exclude the middle element."""
-    s = order_stats(df, keys, value, quartile_ranks)
-    r = half_ranks(F.col("n"))
-    return s.select(*keys, "n", *[((_at(a) + _at(b)) / 2).alias(k) for k, (a, b) in r.items()])
+    s = order_stats(df, keys, value, quartile_ranks("n"))
+    return s.withColumn("_v", F.expr(f"transform({quartile_ranks('n')}, p -> try_element_at(at, p))")).select(*keys, "n", *quartile_columns("_v"))
 
 
-def median_exact(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
-    """keys, n and the median (mean of the middle two for an even count)."""
-    s = order_stats(df, keys, value, lambda m: F.array(*half_ranks(m)["med"]))
-    a, b = half_ranks(F.col("n"))["med"]
-    return s.select(*keys, "n", ((_at(a) + _at(b)) / 2).alias(out))
+def quartile_columns(v: str) -> list[Column]:
+    """q1, med, q3 from the six ranked values."""
+    return [F.expr(f"(get({v}, {i}) + get({v}, {i + 1})) / 2").alias(n) for i, n in ((0, "q1"), (2, "med"), (4, "q3"))]
 
 
-def _at(p: Column) -> Column:
-    return F.try_element_at(F.col("at"), p)
+def median_exact(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+    """keys, n and the median (mean of the middle two for an even count)."""
+    s = order_stats(df, keys, value, "array((n - 1) div 2, n div 2)")
+    return s.select(*keys, "n", F.expr("(try_element_at(at, (n - 1) div 2) + try_element_at(at, n div 2)) / 2").alias(out))
 
 
-def ranks_without_one(n: Column) -> Column:
+def ranks_without_one(n: str) -> str:
     """Ranks needed for the quartiles of the group with and without one member."""
-    less = quartile_ranks(n - 1)
-    return F.array_distinct(F.concat(quartile_ranks(n), less, F.transform(less, lambda p: p + 1)))
+    less = quartile_ranks(f"({n} - 1)")
+    return f"concat({quartile_ranks(n)}, {less}, transform({less}, p -> p + 1))"
 
 
-def quartiles_without(n: Column, at: Column, own: Column) -> dict[str, Column]:
-    """q1, med, q3 of the group after taking out one member of value ``own``.
+def ranked_without(n: str, at: str, own: str) -> Column:
+    """The six ranked values of the group after taking out one member of value ``own``.
 
-    ``own`` null means the row is not a member.  After the removal rank p holds
-    the old value of p if that is below ``own``, else the old value of p + 1.
+    ``own`` null means the row is not a member.  After the removal rank p holds the
+    old value of p if that is below ``own``, else the old value of p + 1.
     """
-    m = n - F.when(own.isNull(), 0).otherwise(1)
-
-    def value_at(p: Column) -> Column:
-        here = F.try_element_at(at, p)
-        return F.when(own.isNull() | (here < own), here).otherwise(F.try_element_at(at, p + 1))
-
-    return {k: (value_at(a) + value_at(b)) / 2 for k, (a, b) in half_ranks(m).items()}
+    m = f"({n} - if({own} is null, 0, 1))"
+    return F.expr(
+        f"transform({quartile_ranks(m)}, p -> case when {own} is null or try_element_at({at}, p) < {own} then try_element_at({at}, p) else try_element_at({at}, p + 1) end)")

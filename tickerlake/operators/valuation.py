@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerlake import session
 from tickerlake.functions import dates, numeric, text
 from tickerlake.operators import orderstats, timejoin
 
@@ -245,61 +246,61 @@ def implied_values(name: str, multiple: Column) -> tuple[Column, Column]:
 
 
 def relative_valuation(groups: DataFrame, metrics: DataFrame, min_peers: int = MIN_PEERS, multiples: list[str] | None = None) -> DataFrame:
-    """Peer valuation of every instrument that has all its metrics.
+    """Peer valuation of every instrument.
 
     Per multiple: valid peers, q1/median/q3 and the implied prices.  Every multiple
-    needs ``min_peers`` valid peers, else the whole result is UNAVAILABLE.  A peer
-    lacking a metric makes the row FAILED.
+    needs ``min_peers`` valid peers, else the whole result is UNAVAILABLE.  A target
+    lacking a metric is REFUSED; a peer lacking one makes the row FAILED.
     """
     names = multiples or list(MULTIPLES)
+    ks = range(len(names))
     have = groups.join(metrics, "instrument_id", "left")
-    complete = F.col("missing_metric").isNull() & F.col("share_count").isNotNull()
-    have = have.withColumn("_gap", F.when(~complete, F.coalesce("missing_metric", F.lit("ENTERPRISE_VALUE"))))
-    have = have.withColumns({f"_m{i}": F.when(complete & (F.col(MULTIPLES[m][1]) > 0), F.col(MULTIPLES[m][0]) / F.col(MULTIPLES[m][1])) for i, m in enumerate(names)})
+    gap = F.when(F.col("share_count").isNull() | F.col("missing_metric").isNotNull(), F.coalesce("missing_metric", F.lit("ENTERPRISE_VALUE")))
+    have = have.withColumn("_gap", gap).withColumns({
+        f"_m{i}": F.when(F.col("_gap").isNull() & (F.col(MULTIPLES[m][1]) > 0), F.col(MULTIPLES[m][0]) / F.col(MULTIPLES[m][1])) for i, m in enumerate(names)})
+    # one row per instrument; three branches follow, so write it once
+    have = session.stage(have, "peer-metrics")
     key = ["group_kind", "group_key"]
-    members = group_members(have.select("instrument_id", "sector_code", "industry_code", *key, "is_peer", "_gap", *[f"_m{i}" for i in range(len(names))]))
-    long = members.select(*key, F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"_m{i}").alias("v")) for i in range(len(names))])).alias("_x")).select(*key, "_x.*")
-    stats = orderstats.order_stats(long, [*key, "k"], "v", orderstats.ranks_without_one)
-    per_group = stats.groupBy(*key).agg(*[
-        F.max_by(F.struct("n", "at"), F.when(F.col("k") == i, F.lit(1))).alias(f"_s{i}") for i in range(len(names))])
-    gaps = members.groupBy(*key).agg(F.count("_gap").alias("_gaps"), F.min_by("_gap", F.when(F.col("_gap").isNotNull(), F.col("instrument_id"))).alias("_gap1"))
-    rows = have.where(complete).join(per_group, key, "left").join(gaps, key, "left")
-    out = {}
-    for i, m in enumerate(names):
-        own = F.when(F.col("is_peer"), F.col(f"_m{i}"))
-        n, at = F.coalesce(F.col(f"_s{i}.n"), F.lit(0)), F.col(f"_s{i}.at")
-        out[f"_n{i}"] = n - F.when(own.isNotNull() & F.col("group_key").isNotNull(), 1).otherwise(0)
-        q = orderstats.quartiles_without(n, at, own)
-        for part, c in q.items():
-            out[f"_{part}{i}"] = c
-    rows = rows.withColumns(out)
+    members = group_members(have.select("instrument_id", "sector_code", "industry_code", *key, "is_peer", "_gap", *[f"_m{i}" for i in ks]))
+    long = members.select(*key, F.expr(f"posexplode(array({', '.join(f'_m{i}' for i in ks)})) as (k, v)"))
+    stats = orderstats.order_stats(long, [*key, "k"], "v", orderstats.ranks_without_one("n"))
+    per_group = stats.groupBy(*key).agg(*[F.expr(f"max_by(struct(n, at), 1) filter (where k = {i})").alias(f"_s{i}") for i in ks])
+    gaps = members.groupBy(*key).agg(F.count("_gap").alias("_gaps"), F.expr("min_by(_gap, instrument_id) filter (where _gap is not null)").alias("_gap1"))
+    # one row per peer group; writing it keeps the wide expressions below out of the
+    # re-planning of the stages above
+    per_group = session.stage(gaps.join(per_group, key, "left"), "peer-statistics")
+    rows = have.join(per_group, key, "left")
+    rows = rows.withColumns({f"_o{i}": F.expr(f"if(is_peer and group_key is not null, _m{i}, null)") for i in ks})
+    rows = rows.withColumns({f"_v{i}": orderstats.ranked_without(f"coalesce(_s{i}.n, 0L)", f"_s{i}.at", f"_o{i}") for i in ks})
+    rows = rows.withColumns({f"_n{i}": F.expr(f"coalesce(_s{i}.n, 0L) - if(_o{i} is null, 0, 1)") for i in ks})
+    rows = rows.withColumns({f"_q{i}": F.struct(*orderstats.quartile_columns(f"_v{i}")) for i in ks})
     short = F.coalesce(*[
         F.when(F.col(f"_n{i}") < min_peers, F.concat(F.lit(f"Insufficient valid peers for {m}: "), F.col(f"_n{i}").cast("string"))) for i, m in enumerate(names)])
-    failed = F.when(F.coalesce("_gaps", F.lit(0)) > 0, F.concat(F.lit("Missing required metric: "), F.col("_gap1"))).when(
+    # a peer list holds the target's own gap only when it is a member itself
+    failed = F.when(F.col("_gaps") > 0, F.concat(F.lit("Missing required metric: "), F.col("_gap1"))).when(
         (F.col("_n0") >= min_peers) & (F.col("share_count") <= 0), "share_count must be positive")
-    rows = rows.withColumn("failure", failed).withColumn("reason", F.when(F.col("failure").isNull(), short))
-    usable = F.col("failure").isNull() & F.col("reason").isNull()
-    results = F.array(*[
-        F.struct(
-            F.lit(m).alias("multiple_name"), F.col(f"_n{i}").alias("peer_count"),
-            *[F.col(f"_{p}{i}").alias(p) for p in ("q1", "med", "q3")],
-            *[implied_values(m, F.col(f"_{p}{i}"))[0].alias(f"equity_{p}") for p in ("q1", "med", "q3")],
-            *[implied_values(m, F.col(f"_{p}{i}"))[1].alias(f"price_{p}") for p in ("q1", "med", "q3")],
-        ) for i, m in enumerate(names)])
-    rows = rows.withColumn("multiple_results", F.when(usable, results))
+    refused = F.col("_gap").isNotNull()
+    rows = rows.withColumn("rel_status", F.when(refused, "REFUSED").when(failed.isNotNull(), "FAILED").when(short.isNotNull(), "UNAVAILABLE").otherwise("AVAILABLE"))
+    rows = rows.withColumn("rel_reason", F.when(refused, F.concat(F.lit("Missing required metric: "), F.col("_gap"))).otherwise(F.coalesce(failed, short)))
+
+    def result(i: int, m: str) -> Column:
+        q = {p: F.col(f"_q{i}.{p}") for p in ("q1", "med", "q3")}
+        implied = {p: implied_values(m, c) for p, c in q.items()}
+        return F.struct(
+            F.lit(m).alias("multiple_name"), F.col(f"_n{i}").alias("peer_count"), *[c.alias(p) for p, c in q.items()],
+            *[v[0].alias(f"equity_{p}") for p, v in implied.items()], *[v[1].alias(f"price_{p}") for p, v in implied.items()])
+
+    usable = F.col("rel_status") == "AVAILABLE"
+    rows = rows.withColumn("multiple_results", F.when(usable, F.array(*[result(i, m) for i, m in enumerate(names)])))
 
     def mid(field: str) -> Column:
-        s = F.array_sort(F.transform("multiple_results", lambda r: r[field]))
-        n = len(names)
-        return (F.get(s, F.lit((n - 1) // 2)) + F.get(s, F.lit(n // 2))) / 2
+        s = f"array_sort(transform(multiple_results, r -> r.{field}))"
+        return F.expr(f"(get({s}, {(len(names) - 1) // 2}) + get({s}, {len(names) // 2})) / 2")
 
+    rows = rows.withColumns({"rel_equity": mid("equity_med"), "rel_price": mid("price_med")})
     return rows.select(
-        "instrument_id", "group_kind", "group_key",
-        F.when(F.col("failure").isNotNull(), "FAILED").when(F.col("reason").isNotNull(), "UNAVAILABLE").otherwise("AVAILABLE").alias("rel_status"),
-        F.coalesce("failure", "reason").alias("rel_reason"), "multiple_results",
-        mid("equity_med").alias("rel_equity"), mid("price_med").alias("rel_price"), (mid("equity_med") + F.col("net_debt")).alias("rel_enterprise"),
-        F.when(usable, F.greatest(*[F.col(f"_n{i}") for i in range(len(names))]) if len(names) > 1 else F.col("_n0")).alias("max_peer_count"),
-    )
+        "instrument_id", *key, "rel_status", "rel_reason", "multiple_results", "rel_equity", "rel_price", (F.col("rel_equity") + F.col("net_debt")).alias("rel_enterprise"),
+        F.expr("array_max(transform(multiple_results, r -> r.peer_count))").alias("max_peer_count"))
 
 
 # --- blend and confidence ---------------------------------------------------------------
@@ -344,15 +345,15 @@ def value_universe(
     wide = asof_metric(metrics, PEER_METRICS, as_of)
     rel = relative_valuation(peer_group(instruments, companies, as_of), wide, min_peers)
     rows = dcf_value(projection_with_fallback(build_projection_input(facts, as_of), requests, allow_placeholder))
-    rows = rows.join(rel, "instrument_id", "left").join(wide.select("instrument_id", "missing_metric", F.lit(True).alias("_m")), "instrument_id", "left")
+    rows = rows.join(rel, "instrument_id", "left")
     rows = rows.withColumn(
         "failure",
-        F.when(F.col("_m").isNull(), "Missing required metric: ENTERPRISE_VALUE")
-        .when(F.col("missing_metric").isNotNull(), F.concat(F.lit("Missing required metric: "), F.col("missing_metric")))
+        F.when(F.col("rel_status").isNull(), "Missing required metric: ENTERPRISE_VALUE")
+        .when(F.col("rel_status") == "REFUSED", F.col("rel_reason"))
         .when(F.col("input_source").isNull(), "Missing fundamentals")
         .when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("rel_status") == "FAILED", F.col("rel_reason")),
-    ).drop("_m")
+    )
     rows = blend_valuations(rows).withColumns(
         {
             "peer_count": F.coalesce("max_peer_count", F.lit(0)), "model_agreement": model_agreement(F.col("dcf_price"), F.col("rel_price")),

@@ -314,7 +314,7 @@ def _relative(spark, sf):
     return va.relative_valuation(_groups(spark, sf), va.asof_metric(b.metrics(spark, sf), va.PEER_METRICS, DAY))
 
 
-@register("relative_valuation", "SELECT instrument_id, rel_status, round(rel_equity, 2) AS rel_equity, round(rel_price, 5) AS rel_price, round(rel_enterprise, 2) AS rel_enterprise, CAST(peers AS BIGINT) AS max_peer_count FROM rel_value")
+@register("relative_valuation", "SELECT instrument_id, rel_status, round(rel_equity, 2) AS rel_equity, round(rel_price, 5) AS rel_price, round(rel_enterprise, 2) AS rel_enterprise, CAST(peers AS BIGINT) AS max_peer_count FROM rel_value UNION ALL SELECT instrument_id, 'REFUSED', NULL, NULL, NULL, NULL FROM universe WHERE instrument_id NOT IN (SELECT instrument_id FROM rel_value)")
 def relative(spark, sf):
     return _relative(spark, sf).select("instrument_id", "rel_status", F.round("rel_equity", 2).alias("rel_equity"), F.round("rel_price", 5).alias("rel_price"), F.round("rel_enterprise", 2).alias("rel_enterprise"), "max_peer_count")
 
