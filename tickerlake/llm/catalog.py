@@ -1,4 +1,4 @@
-"""Registered queries of the numbered operators and of the corpus pipeline."""
+"""Registered queries of the numbered operators, with their checking SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickerlake.llm import op3_warc as warc
+from tickerlake.llm import op8_url_filters as urls
 from tickerlake.llm.op1_fingerprints import op1_fingerprints
+from tickerlake.llm.op7_simhash import op7_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints,)}
+    return {f.__name__: f for f in (op1_fingerprints, warc.op3_warc, op7_simhash, urls.op8_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": warc.ORACLE, "op8_url_filters": urls.ORACLE}
