@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tickerlake.llm import op3_warc as warc
 from tickerlake.llm import op8_url_filters as urls
 from tickerlake.llm.op1_fingerprints import op1_fingerprints
+from tickerlake.llm.op2_sentencepiece import op2_sentencepiece
+from tickerlake.llm.op4_bitplanes import op4_bitplanes
 from tickerlake.llm.op7_simhash import op7_simhash
+from tickerlake.llm.op10_packing import op10_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, warc.op3_warc, op7_simhash, urls.op8_url_filters)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_sentencepiece, warc.op3_warc, op4_bitplanes, op7_simhash, urls.op8_url_filters, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
