@@ -76,7 +76,7 @@ def reputation(hosts: DataFrame) -> DataFrame:
     """
     own = hosts.select("host", domain(F.col("host")).alias("domain"), "n", "bad")
     domains = own.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("suffix", suffix(F.col("domain")))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.lit(""))
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.left("suffix", F.lit(0)))  # one value, kept a column so that levels join on keys
     root = suffixes.groupBy("root").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean"))
     level = _shrunk(suffixes, "suffix", "root", root)
     level = _shrunk(domains, "domain", "suffix", level.select("suffix", "mean"))
