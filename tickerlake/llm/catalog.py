@@ -11,6 +11,7 @@ from tickerlake.llm import op8_url_filters as urls
 from tickerlake.llm.op1_fingerprints import op1_fingerprints
 from tickerlake.llm.op2_sentencepiece import op2_sentencepiece
 from tickerlake.llm.op4_bitplanes import op4_bitplanes
+from tickerlake.llm.op5_ann import op5_ann
 from tickerlake.llm.op6_pii import op6_pii
 from tickerlake.llm.op7_simhash import op7_simhash
 from tickerlake.llm.op9_langid import op9_langid
@@ -18,7 +19,7 @@ from tickerlake.llm.op10_packing import op10_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_sentencepiece, warc.op3_warc, op4_bitplanes, op6_pii, op7_simhash, urls.op8_url_filters, op9_langid, op10_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_sentencepiece, warc.op3_warc, op4_bitplanes, op5_ann, op6_pii, op7_simhash, urls.op8_url_filters, op9_langid, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
