@@ -173,7 +173,11 @@ def test_segments_and_words():
             joined[owners[0]] += data
     assert joined[3].split() == (b"x" * 300 + b" y " * 50).split()
     kept = []
-    words = distinct.Words(b" ", lambda new, first: kept.extend(new), kept.clear, most=4)
-    for data in (b"a b a c ", b"c  b d e", b"", b"   ", b"zz a"):
+
+    def learn(new, first):
+        kept[first:] = new
+
+    words = distinct.Words(b" ", learn, most=4)
+    for data in (b"a b a c ", b"c  b d e f", b"", b"   ", b"zz a", b"e f a d", b"y"):
         codes, starts = words.codes(data)
         assert [kept[c] for c in codes] == data.split() and [data[s : s + 1] for s in starts] == [w[:1] for w in data.split()]

@@ -8,6 +8,7 @@ called for new words only.  Both hashes must agree, so that mixing up two words
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,8 @@ import numpy as np
 from tickerlake.llm import common
 
 STEP = 0x5851F42D4C957F2D, 0xD1342543DE82EF95
-SEGMENT = 1 << 21
-MOST_WORDS = 500_000
+SEGMENT = 1 << 19
+MOST_WORDS = 300_000
 
 
 @functools.cache
@@ -51,40 +52,40 @@ def hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int)
 
 
 class Words:
-    """A worker's table of distinct words; ``learn`` gets new words (bytes) and keeps what it wants by code."""
+    """A worker's table of distinct words; ``learn(words, code)`` gets new words (bytes) whose codes count up from ``code``.
 
-    def __init__(self, blanks: bytes, learn: Callable[[list[bytes], int], None], forget: Callable[[], None], most: int = MOST_WORDS):
+    A full table is kept as it is: the words of common texts come early.  Further words are learned for one call
+    only, under codes behind the table's that the next call uses again.
+    """
+
+    def __init__(self, blanks: bytes, learn: Callable[[list[bytes], int], None], most: int = MOST_WORDS):
         self.blank = np.zeros(256, dtype=bool)
         self.blank[list(blanks)] = True
-        self.learn, self.forget, self.most = learn, forget, most
-        self.clear()
-
-    def clear(self) -> None:
+        self.learn, self.most = learn, most
         self.code: dict[int, int] = {}
         self.second = np.empty(1 << 16, dtype=np.uint64)
-        self.forget()
 
     def codes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(code, start) of every word in its place.  Data are a text or texts with a blank between."""
+        """(code, start) of every word in its place, valid until the next call.  Data are texts with a blank between."""
         buffer = np.frombuffer(data, dtype=np.uint8)
         starts, ends = split(buffer, self.blank)
         if not len(starts):
             return np.empty(0, np.int64), starts
         first, second = (hashes(buffer, starts, ends, k) for k in (0, 1))
         seen, one, back = np.unique(first, return_index=True, return_inverse=True)
-        if len(self.code) + len(seen) > self.most:
-            self.clear()
-        keys, known = seen.tolist(), self.code
-        new = [i for i, k in enumerate(keys) if k not in known]
-        if new:
-            n = len(known)
+        keys, n = seen.tolist(), len(self.code)
+        codes = np.fromiter(map(self.code.get, keys, itertools.repeat(-1)), dtype=np.int64, count=len(keys))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
             at = one[new]
             self.learn([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], n)
             while n + len(new) > len(self.second):
                 self.second = np.concatenate([self.second, np.empty_like(self.second)])
             self.second[n : n + len(new)] = second[at]
-            known.update(zip([keys[i] for i in new], range(n, n + len(new))))
-        codes = np.fromiter(map(known.__getitem__, keys), dtype=np.int64, count=len(keys))[back]
+            codes[new] = np.arange(n, n + len(new))
+            room = max(self.most - n, 0)
+            self.code.update(zip([keys[i] for i in new[:room].tolist()], range(n, n + room)))
+        codes = codes[back]
         if (self.second[codes] != second).any():
             raise ValueError("two words with one hash")
         return codes, starts

@@ -36,7 +36,7 @@ class Pieces:
         self.by_word = not any(MARKER in p.lstrip(MARKER) for p in pieces)
         self.end = self.library.eos_id()
         self.pool = Pool()
-        self.words = Words(b" ", self.learn, self.pool.clear)
+        self.words = Words(b" ", self.learn)
 
     def learn(self, words: list[bytes], first: int) -> None:
         self.pool.put(self.library.encode([w.decode() for w in words], num_threads=1), first)

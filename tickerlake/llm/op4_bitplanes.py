@@ -62,11 +62,8 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(packed).view("<u4").ravel()
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids binary): the library's ids of every whole text and END, as little-endian unsigned 32-bit numbers.
-
-    A null text is empty and has END alone.
-    """
+def encoder(path: str | None = None):
+    """A function that turns batches of (doc_id, text) into batches of (doc_id, ids)."""
     path = path or vocabulary_path()
 
     def run(batches):
@@ -75,11 +72,25 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [np.append(x, END).astype("<u4").tobytes() for x in chunks.ids(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return common.documents(docs).mapInArrow(run, "doc_id long, ids binary")
+    return run
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, ids binary): the library's ids of every whole text and END, as little-endian unsigned 32-bit numbers.
+
+    A null text is empty and has END alone.
+    """
+    return common.documents(docs).mapInArrow(encoder(path), "doc_id long, ids binary")
+
 
+def write_documents(docs: DataFrame, path: str, vocabulary: str | None = None, bits: int = 1) -> None:
+    """Writes the ids of (doc_id, text) in ascending doc_id as a dataset of blocks.
 
-def write_ids(encoded: DataFrame, firsts: list[int], nulls: bool, path: str, bits: int = 1) -> None:
-    """Writes (doc_id, ids) in ascending doc_id as a dataset of blocks; equal ids stand in the order of their bytes."""
+    Documents without a doc_id come first, those with one doc_id stand in the order of their ids' bytes; an empty
+    table writes no block.
+    """
+    docs = common.documents(docs)
+    firsts, nulls = ordered.bounds(docs)
 
     def run(batches):
         shard, row, block, first = None, 0, 0, 0
@@ -114,7 +125,8 @@ def write_ids(encoded: DataFrame, firsts: list[int], nulls: bool, path: str, bit
         if size:
             yield close()
 
-    ordered.deal(encoded, firsts, nulls, with_next=False).mapInArrow(run, DATASET).write.option("compression", "none").parquet(path)
+    dealt = ordered.deal(docs, firsts, nulls, with_next=False, prepare=encoder(vocabulary), made="ids binary")
+    dealt.mapInArrow(run, DATASET).write.option("compression", "none").parquet(path)
 
 
 def join_crc(first: int, second: int, bytes_of_second: int) -> int:
@@ -188,13 +200,6 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_documents(docs: DataFrame, path: str, vocabulary: str | None = None, bits: int = 1) -> None:
-    """Encodes (doc_id, text) and writes the ids; documents without a doc_id come first, an empty table writes no block."""
-    docs = common.documents(docs)
-    firsts, nulls = ordered.bounds(docs)
-    write_ids(encode(docs, vocabulary), firsts, nulls, path, bits)
-
-
 def op4_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.work_dir(spark, "bitplanes")
     write_documents(common.table(spark, sf_dir, "documents"), path)

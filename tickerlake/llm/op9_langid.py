@@ -181,9 +181,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.words = Words(BLANKS, self.learn, self.clear)
-
-    def clear(self) -> None:
+        self.words = Words(BLANKS, self.learn)
         self.score = np.empty((1 << 16, len(self.model.languages)))
         self.letters = np.empty(1 << 16, dtype=np.int64)
 

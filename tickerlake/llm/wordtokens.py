@@ -7,6 +7,7 @@ the other.  A worker keeps the chunks that it has met in a bounded table and han
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -19,8 +20,9 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Bytes that are white space for the tokenizer; other white space stays inside chunks, where the library sees it.
 BLANKS = b" \t\n\r\f\v"
-#: Chunks that need no normalizing but lower case: ASCII and Latin-1 letters, then a full stop or comma.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Chunks that need no normalizing but lower case: ASCII and Latin-1 letters, then ASCII marks without the apostrophe.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+MOST_MARKS = 10_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -30,26 +32,23 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Pool:
-    """Rows of ids of different lengths by code."""
+    """Rows of ids of different lengths by code; rows put again are given up with all behind them."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.values, self.used = np.empty(1 << 20, dtype=np.int32), 0
+        self.values = np.empty(1 << 20, dtype=np.int32)
         self.start, self.size = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int32)
 
     def put(self, rows: list[list[int]], first: int) -> None:
         sizes = np.fromiter(map(len, rows), dtype=np.int32, count=len(rows))
         total, behind = int(sizes.sum()), first + len(rows)
-        while self.used + total > len(self.values):
+        used = int(self.start[first - 1] + self.size[first - 1]) if first else 0
+        while used + total > len(self.values):
             self.values = np.concatenate([self.values, np.empty_like(self.values)])
         while behind > len(self.start):
             self.start, self.size = np.concatenate([self.start, np.empty_like(self.start)]), np.concatenate([self.size, np.empty_like(self.size)])
-        self.values[self.used : self.used + total] = [i for ids in rows for i in ids]
-        self.start[first:behind] = self.used + np.cumsum(sizes) - sizes
+        self.values[used : used + total] = list(itertools.chain.from_iterable(rows))
+        self.start[first:behind] = used + np.cumsum(sizes) - sizes
         self.size[first:behind] = sizes
-        self.used += total
 
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all codes, how many each has)."""
@@ -70,18 +69,30 @@ class Chunks:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spell = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.mark = {"": [], **{c: self.library.encode(c, add_special_tokens=False).ids for c in ".,"}}
+        self.marks: dict[str, list[int]] = {}
         self.pool = Pool()
-        self.words = Words(BLANKS, self.learn, self.pool.clear)
+        self.words = Words(BLANKS, self.learn)
 
     def learn(self, chunks: list[bytes], first: int) -> None:
-        self.pool.put([self.one(c.decode()) for c in chunks], first)
-
-    def one(self, chunk: str) -> list[int]:
-        if m := PLAIN.fullmatch(chunk):
-            word = m[1].lower()
-            return [t.id for t in self.tokenize(word if word.isascii() else word.translate(self.spell))] + self.mark[m[2]]
-        return self.library.encode(chunk, add_special_tokens=False).ids
+        found, rows = {}, []
+        tokenize, plain, spell = self.tokenize, PLAIN.fullmatch, self.spell
+        for chunk in b" ".join(chunks).decode().split(" "):
+            if m := plain(chunk):
+                word, marks = m.groups()
+                word = word.lower()
+                if (ids := found.get(word)) is None:
+                    ids = found[word] = [t.id for t in tokenize(word if word.isascii() else word.translate(spell))]
+                rows.append(ids + self.mark(marks) if marks else ids)
+            else:
+                rows.append(self.library.encode(chunk, add_special_tokens=False).ids)
+        self.pool.put(rows, first)
+
+    def mark(self, text: str) -> list[int]:
+        if text not in self.marks:
+            if len(self.marks) > MOST_MARKS:
+                self.marks.clear()
+            self.marks[text] = self.library.encode(text, add_special_tokens=False).ids
+        return self.marks[text]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """int32 ids of every text."""
