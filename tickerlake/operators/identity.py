@@ -184,8 +184,11 @@ def deletion_keys(c: Column) -> Column:
 
 def _near_pairs(ids: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct (_id, _name) text pairs within the edit distance, with distance."""
-    a = ids.select("_id").distinct().withColumn("_k", F.explode(deletion_keys(F.col("_id"))))
-    b = names.select("_name").distinct().withColumn("_k", F.explode(deletion_keys(F.col("_name"))))
+    b = names.select("_name").distinct()
+    # keys grow with the square of a text's length: only texts as long as some name, give or take two, get any
+    reach = b.select(F.explode(F.array(*(F.length("_name") + k for k in range(-MAX_DISTANCE, MAX_DISTANCE + 1)))).alias("_len")).distinct()
+    a = ids.select("_id").distinct().withColumn("_len", F.length("_id")).join(reach, "_len", "left_semi").drop("_len")
+    a, b = (t.withColumn("_k", F.explode(deletion_keys(F.col(c)))) for t, c in ((a, "_id"), (b, "_name")))
     return (
         a.join(b, "_k").select("_id", "_name").distinct()
         .withColumn("distance", F.levenshtein(F.col("_id"), F.col("_name"), MAX_DISTANCE))

@@ -73,8 +73,13 @@ def _later(prices: DataFrame, per_day: DataFrame, total: Column, out: str, empty
 
 
 def _scaled(px: Column, factor: Column) -> Column:
-    """px * factor at six places, half even, in decimal arithmetic."""
-    return numeric.half_even(px * F.round(factor, 14).cast("decimal(19,14)"), 6)
+    """px * factor at six places, half even, in decimal arithmetic.
+
+    The factor keeps fourteen places below 1e5, nine below 1e10, four beyond; a result that decimal(18,6) cannot
+    hold is null.
+    """
+    tries = [F.bround(px * F.round(factor, places).try_cast(f"decimal(19,{places})"), 6).try_cast("decimal(18,6)") for places in (14, 9, 4)]
+    return F.coalesce(*tries)
 
 
 def adjusted_close(prices: DataFrame, actions: DataFrame, window_start: dt.date | None = None) -> DataFrame:
@@ -103,19 +108,20 @@ def adjusted_close(prices: DataFrame, actions: DataFrame, window_start: dt.date
 
 def adjusted_close_requests(requests: DataFrame, prices: DataFrame, actions: DataFrame, instruments: DataFrame) -> DataFrame:
     """Answer (instrument_id, as_of_date) requests; ``error`` tells why there is no value."""
-    adj = adjusted_close(prices, actions).select("instrument_id", F.col("trade_date").alias("as_of_date"), "adj_close_px")
+    adj = adjusted_close(prices, actions).select("instrument_id", F.col("trade_date").alias("as_of_date"), "adj_close_px", F.lit(True).alias("_priced"))
     known = instruments.select("instrument_id", "delisting_date", F.lit(True).alias("_known"))
     error = (
         F.when(F.col("_known").isNull(), "INSTRUMENT_NOT_FOUND")
         .when(F.col("as_of_date") > F.col("delisting_date"), "DELISTED")
-        .when(F.col("adj_close_px").isNull(), "NO_PRICE_ROW")
+        .when(F.col("_priced").isNull(), "NO_PRICE_ROW")
+        .when(F.col("adj_close_px").isNull(), "ADJUSTED_CLOSE_OUT_OF_RANGE")
     )
     return (
         requests.join(adj, ["instrument_id", "as_of_date"], "left")
         .join(known, "instrument_id", "left")
         .withColumn("error", error)
         .withColumn("adj_close_px", F.when(F.col("error").isNull(), F.col("adj_close_px")))
-        .drop("_known", "delisting_date")
+        .drop("_known", "_priced", "delisting_date")
     )
 
 
@@ -228,7 +234,8 @@ def sequential_breaker(rows: DataFrame, curated: DataFrame | None = None) -> Dat
     """Add ``breaker_ok``: adjusted close within [0.2, 5] of the last accepted close.
 
     A rejected row is never stored, so it is not the reference for the next day;
-    the walk is sequential per instrument.  Equal (day, close, adjusted close)
+    the walk is sequential per instrument, and only instruments where a row may
+    fail are walked.  Equal (day, close, adjusted close)
     versions are merged before the walk, so a group is one instrument's calendar.
     At equal arrival times the lowest record id counts as first.  ``rows``:
     instrument_id, trade_date, close_px, adj_close_px, ingested_ts, source_record_id.
@@ -251,11 +258,29 @@ def sequential_breaker(rows: DataFrame, curated: DataFrame | None = None) -> Dat
                 F.lit("").alias("first_id"), F.lit(True).alias("is_stored"),
             )
         )
-    verdict = cand.groupBy("instrument_id").applyInPandas(
+    walked = cand.join(_unsettled(cand), "instrument_id", "left_semi")
+    verdict = walked.groupBy("instrument_id").applyInPandas(
         _fold_breaker, "instrument_id long, trade_date date, close double, adj double, breaker_ok boolean"
     )
     keyed = rows.withColumn("close", F.col("close_px").cast("double")).withColumn("adj", F.col("adj_close_px").cast("double"))
-    return keyed.join(verdict, ["instrument_id", "trade_date", "close", "adj"], "left").drop("close", "adj")
+    judged = F.col("instrument_id").isNotNull() & F.col("trade_date").isNotNull() & F.col("adj").isNotNull()
+    ok = F.when(judged, F.coalesce("breaker_ok", F.lit(True)))
+    return keyed.join(verdict, ["instrument_id", "trade_date", "close", "adj"], "left").withColumn("breaker_ok", ok).drop("close", "adj")
+
+
+def _unsettled(cand: DataFrame) -> DataFrame:
+    """Instruments that need the walk: on some day a version would fail against some version of the day before.
+
+    Where every version passes against every version of its previous day, no row can be rejected whichever of
+    them is stored, so that a window over days settles the instrument without Python.
+    """
+    own = F.when(~F.col("is_stored"), F.col("adj"))
+    per_day = cand.groupBy("instrument_id", "trade_date").agg(
+        F.min("close").alias("low"), F.max("close").alias("high"), F.min(own).alias("least"), F.max(own).alias("most"))
+    w = W.partitionBy("instrument_id").orderBy("trade_date")
+    low, high = F.lag("low").over(w), F.lag("high").over(w)
+    calm = low.isNull() | F.col("least").isNull() | ((low > 0) & (F.col("least") / high >= BREAKER_LOW) & (F.col("most") / low <= BREAKER_HIGH))
+    return per_day.select("instrument_id", calm.alias("calm")).where(~F.coalesce("calm", F.lit(False))).select("instrument_id").distinct()
 
 
 def bad_number(raw: DataFrame) -> Column:
@@ -321,6 +346,7 @@ def normalize_ohlcv(
     good = first.where("reason is null").drop("reason", "rule_code")
     factors = action_factor(actions, curated)
     adj = cumulative_adjustment(good, factors, window_start).withColumn("adj_close_px", _scaled(F.col("close_px"), F.col("adj_factor")))
+    adj = session.stage(adj, "normalize-adjusted")  # read for the walk and for the verdicts
     judged = session.stage(normalize_ohlcv_checks(sequential_breaker(adj, curated), as_of), "normalize-judged")
     cols = ["instrument_id", "trade_date", "open_px", "high_px", "low_px", "close_px", "adj_close_px", "volume",
             "turnover", "source_system", "source_record_id", "event_ts", "ingested_ts"]

@@ -13,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerlake import session
 from tickerlake.functions import dates, text
 from tickerlake.operators import prices, timejoin
 
 MAX_PAGE = 200
+MOST_TAKEN = 100_000
 
 
 def count_total(df: DataFrame) -> DataFrame:
@@ -25,10 +27,31 @@ def count_total(df: DataFrame) -> DataFrame:
 
 
 def paginate(df: DataFrame, page: int, size: int, order: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """(page rows, total).  ``size`` is 1 to 200, ``page`` starts at 1."""
+    """(page rows, total).  ``size`` is 1 to 200, ``page`` starts at 1.
+
+    Early pages come from a top-k; beyond MOST_TAKEN rows the sorted rows are numbered where they lie, so that only
+    the page itself travels.
+    """
     if page < 1 or not 1 <= size <= MAX_PAGE:
         raise ValueError("page must be >= 1 and size within 1..200")
-    return df.orderBy(*order).offset((page - 1) * size).limit(size), count_total(df)
+    if page * size <= MOST_TAKEN:
+        return df.orderBy(*order).offset((page - 1) * size).limit(size), count_total(df)
+    return _far_page(df, (page - 1) * size, size, order).orderBy(*order), count_total(df)
+
+
+def _far_page(df: DataFrame, skip: int, size: int, order: list[Column]) -> DataFrame:
+    """Rows skip .. skip + size - 1 of the order: range partitions are sorted and counted, then addressed."""
+    lies = F.monotonically_increasing_id()
+    rows = session.stage(df.orderBy(*order).withColumn("_at", lies), "sorted")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
+    wanted, before = F.lit(False), 0
+    for p, n in counts:
+        low, high = max(skip - before, 0), min(skip + size - before, n)
+        if low < high:
+            wanted = wanted | ((part == p) & (place >= low) & (place < high))
+        before += n
+    return rows.where(wanted).drop("_at")
 
 
 def multi_key_sort(df: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:

@@ -335,13 +335,15 @@ def run_status() -> Column:
 
 def value_universe(
     facts: DataFrame, metrics: DataFrame, instruments: DataFrame, companies: DataFrame, requests: DataFrame, as_of: dt.date,
-    data_quality: float = 85.0, stability: float = DEFAULT_STABILITY, allow_placeholder: bool = False, min_peers: int = MIN_PEERS,
+    data_quality: float | DataFrame = 85.0, stability: float = DEFAULT_STABILITY, allow_placeholder: bool = False, min_peers: int = MIN_PEERS,
 ) -> DataFrame:
     """The whole valuation of all requested instruments in one job.
 
     ``requests``: val_run_id, instrument_id, the five assumptions and optional
     schedules.  A row that cannot be valued is FAILED with its ``failure`` reason.
+    ``data_quality``: a score, or the one-row frame of ``serving.data_quality_score``.
     """
+    quality = data_quality.select("data_quality_score").scalar() if isinstance(data_quality, DataFrame) else F.lit(data_quality)
     wide = asof_metric(metrics, PEER_METRICS, as_of)
     rel = relative_valuation(peer_group(instruments, companies, as_of), wide, min_peers)
     rows = dcf_value(projection_with_fallback(build_projection_input(facts, as_of), requests, allow_placeholder))
@@ -357,7 +359,7 @@ def value_universe(
     rows = blend_valuations(rows).withColumns(
         {
             "peer_count": F.coalesce("max_peer_count", F.lit(0)), "model_agreement": model_agreement(F.col("dcf_price"), F.col("rel_price")),
-            "data_quality_score": F.lit(data_quality), "assumption_stability": F.lit(stability),
+            "data_quality_score": quality, "assumption_stability": F.lit(stability),
         })
     return confidence_score(rows).withColumn("status", run_status())
 

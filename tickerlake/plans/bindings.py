@@ -148,9 +148,9 @@ def identifier_requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def raw_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw text rows of daily files, some of them damaged."""
-    b = bars(spark, sf).where("trade_date >= date'1995-03-01'")
+def raw_feed(spark: SparkSession, sf: str, since: str = "1995-03-01") -> DataFrame:
+    """Raw text rows of daily files, some of them damaged; older bars are stored already (``curated_bars``)."""
+    b = bars(spark, sf).where(F.col("trade_date") >= F.lit(since).cast("date"))
     i = instruments(spark, sf).join(exchanges(spark, sf), "exchange_id").select("instrument_id", "symbol", "exchange_code")
     a = aliases(spark, sf).where("alias_id % 2 = 0").select("instrument_id", F.col("alias_symbol").alias("old_name"))
     rows = b.join(i, "instrument_id").join(a, "instrument_id").withColumn("k", F.expr("instrument_id * 31 + datediff(trade_date, date'1995-01-01')"))
@@ -319,7 +319,8 @@ def wide_income(spark: SparkSession, sf: str) -> DataFrame:
     """Income statement as delivered: label rows, one column per period end."""
     o = table(spark, sf, "orders")
     label = F.expr("element_at(array('Total Revenue','Operating Revenue','Gross Profit','Net Income','Capital Expenditure'), cast(substr(o_orderpriority, 1, 1) as int))")
-    years = [f"{y}-12-31" for y in range(1995, 2002)]
+    first, last = o.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).head()
+    years = [f"{y}-12-31" for y in range(first, last + 1)]  # columns of the frame: those that the orders have
     signed = F.round(F.col("o_totalprice") * 100).cast("long") * F.when(label == "Capital Expenditure", -1).otherwise(1)
     rows = o.select(F.col("o_custkey").alias("instrument_id"), label.alias("label"), F.concat(F.year("o_orderdate").cast("string"), F.lit("-12-31")).alias("y"), signed.alias("v"))
     return rows.groupBy("instrument_id", "label").pivot("y", years).agg(F.sum("v"))

@@ -84,6 +84,17 @@ def scan_nse(spark, sf):
     return bhavcopy.scan_nse_bhavcopy(spark, _nse_files(spark, sf), "WANTED", "quarantine", ["k"])[0].select(*SCAN)
 
 
+@register("scan_nse_column_orders", _file_sql("nse_file", NSE_SERIES_SQL))
+def scan_nse_orders(spark, sf):
+    """A folder whose files have their columns in different orders."""
+    path = work_dir(spark, "nse-orders")
+    rows = _file_rows(spark, sf, "NSE").drop("SC_CODE").withColumnsRenamed(NSE_NAMES)
+    odd = F.col("k") % 2 == 1
+    for part, own in ((rows.where(~odd), rows.columns), (rows.where(odd), rows.columns[::-1])):
+        part.select(*own).write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return bhavcopy.scan_nse_bhavcopy(spark, path, "WANTED", "quarantine", ["k"])[0].select(*SCAN)
+
+
 @register("scan_nse_rejects", "SELECT CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS k, error FROM nse_file WHERE error IS NOT NULL")
 def scan_nse_rejects(spark, sf):
     return bhavcopy.scan_nse_bhavcopy(spark, _nse_files(spark, sf), "WANTED", "quarantine", ["k"])[1].select("k", "error")
@@ -230,11 +241,11 @@ def quarantine_write(spark, sf):
     return sinks.quarantine_read(spark, path).groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("export_metrics_csv", "SELECT metric_code AS metric, count(*) AS n FROM metrics GROUP BY 1")
+@register("export_metrics_csv", "SELECT metric_code AS metric, round(CAST(metric_value AS DOUBLE), 6) AS value FROM metrics")
 def export_csv(spark, sf):
     path = work_dir(spark, "metrics")
     sinks.export_metrics_csv(b.metrics(spark, sf).select(F.col("metric_code").alias("metric"), F.col("metric_value").alias("value")), path)
-    return spark.read.option("header", True).csv(path).groupBy("metric").agg(F.count("value").alias("n"))
+    return spark.read.option("header", True).csv(path).select("metric", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 @register("normalize_history_frame", """
@@ -402,13 +413,13 @@ def window_guard(spark, sf):
 # --- streams ------------------------------------------------------------------------------------------------------
 
 
-@register("stream_bhavcopy", "SELECT coalesce(error, 'valid') AS outcome, count(*) AS n FROM nse_file GROUP BY 1")
+@register("stream_bhavcopy", "SELECT CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS k, coalesce(error, 'valid') AS outcome FROM nse_file")
 def stream_files(spark, sf):
     out, cp = work_dir(spark, "stream"), work_dir(spark, "stream-cp")
     order = [NSE_NAMES.get(n, n) for n in FILE_ROW if n != "SC_CODE"] + ["SERIES"]
     ingest.stream_bhavcopy(spark, _nse_files(spark, sf), out, cp, "WANTED", order, ["k"]).awaitTermination()
     good, bad = spark.read.parquet(f"{out}/valid"), spark.read.parquet(f"{out}/rejected")
-    return good.select(F.lit("valid").alias("outcome")).union(bad.select("error")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return good.select("k", F.lit("valid").alias("outcome")).union(bad.select("k", "error"))
 
 
 def _batches(spark, df, path, column):
@@ -456,6 +467,7 @@ def stream_breaker(spark, sf):
     src, out, cp = (work_dir(spark, x) for x in ("breaker", "breaker-out", "breaker-cp"))
     bars = b.bars(spark, sf).select("instrument_id", "trade_date", F.col("close_px").cast("double").alias("close"), F.col("close_px").cast("double").alias("adj"), F.floor(F.year("trade_date") / 4).alias("part"))
     schema = bars.drop("part").schema
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.ROCKSDB)
     for batch, path in _batches(spark, bars, src, "part"):
         batch.write.parquet(path)
         ingest.stream_breaker(spark.readStream.schema(schema).parquet(f"{src}/*"), out, cp).awaitTermination()

@@ -150,7 +150,7 @@ def _feed_rows(spark, sf):
     """Typed, resolved and converted feed, before the checks."""
     from tickerlake.operators import identity
 
-    raw = b.raw_feed(spark, sf)
+    raw = b.raw_feed(spark, sf, since="0001-01-01")
     day = F.when(F.col("timestamp").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("timestamp").try_cast("date"))
     typed = raw.select(
         "symbol", "exchange", "currency_code", "source_record_id", day.alias("trade_date"),
@@ -163,7 +163,7 @@ def _feed_rows(spark, sf):
 
 
 @register("normalize_ohlcv_checks", f"""
-WITH ck AS ({CHECKED}), rs AS ({RESOLVED}), rz AS ({REASONED})
+WITH ck AS ({CHECKED.replace("raw_feed f", "raw_feed_all f")}), rs AS ({RESOLVED}), rz AS ({REASONED})
 SELECT source_record_id, reason FROM rz""")
 def normalize_checks(spark, sf):
     return prices.normalize_ohlcv_checks(_feed_rows(spark, sf), LATE).select("source_record_id", "reason")

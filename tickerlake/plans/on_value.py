@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickerlake.functions import numeric
 from tickerlake.operators import fundamentals as fu
-from tickerlake.operators import merge, orderstats
+from tickerlake.operators import merge, orderstats, serving
 from tickerlake.operators import valuation as va
 from tickerlake.plans import bindings as b
 from tickerlake.plans import sqlparts_value  # noqa: F401
@@ -32,7 +32,7 @@ def _dcf_rows(spark, sf):
 
 
 @register("unpivot_statements", "\nUNION ALL ".join(
-    f"""SELECT instrument_id, y AS fiscal_year, '{code}' AS line_item_code, CAST({expr} AS BIGINT) AS value FROM (SELECT DISTINCT instrument_id, y2.y FROM income_long, (SELECT unnest(range(1995, 2002)) AS y) y2)
+    f"""SELECT instrument_id, y AS fiscal_year, '{code}' AS line_item_code, CAST({expr} AS BIGINT) AS value FROM (SELECT DISTINCT instrument_id, y2.y FROM income_long, (SELECT DISTINCT y FROM income_long) y2)
     LEFT JOIN (SELECT instrument_id, y, max(CASE WHEN label = 'Total Revenue' THEN v END) AS tr, max(CASE WHEN label = 'Operating Revenue' THEN v END) AS opr, max(CASE WHEN label = 'Gross Profit' THEN v END) AS gp,
       max(CASE WHEN label = 'Net Income' THEN v END) AS ni, max(CASE WHEN label = 'Capital Expenditure' THEN v END) AS cx FROM income_long GROUP BY 1, 2) USING (instrument_id, y)"""
     for code, expr in {"TOTAL_REVENUE": "coalesce(tr, opr)", "GROSS_PROFIT": "gp", "NET_INCOME": "ni", "EBIT": "NULL", "CAPEX": "cx"}.items()))
@@ -203,11 +203,12 @@ def margin_trends(spark, sf):
 
 
 @register("merge_statement_facts", """
-SELECT statement_fact_id, CAST(CASE WHEN fiscal_year >= 1999 AND instrument_id % 3 = 0 THEN value * 2 ELSE value END AS DOUBLE) AS value FROM facts WHERE fiscal_year < 2000 OR instrument_id % 3 = 0""")
+SELECT statement_fact_id, CAST(CASE WHEN fiscal_year >= 1999 AND instrument_id % 3 = 0 THEN value * 2 ELSE value END AS DOUBLE) AS value FROM facts""")
 def merge_facts(spark, sf):
     f = b.facts(spark, sf)
     newer = f.where("fiscal_year >= 1999 and instrument_id % 3 = 0").withColumn("value", (F.col("value") * 2).cast("decimal(24,4)"))
-    return merge.merge_statement_facts(f.where("fiscal_year < 2000"), newer).select("statement_fact_id", "value")
+    # stored: all but what only the new delivery has
+    return merge.merge_statement_facts(f.where("fiscal_year < 2000 or instrument_id % 3 <> 0"), newer).select("statement_fact_id", "value")
 
 
 @register("merge_metric_facts", """
@@ -346,6 +347,17 @@ def value_universe(spark, sf):
                     F.when(ok, F.round("blended_price", 5)).alias("blended_price"), F.when(ok, F.round("composite_score", 2)).alias("composite_score"))
 
 
+@register("value_universe_live", """
+WITH q AS (SELECT CASE WHEN count(*) FILTER (incident_status IN ('OPEN', 'IN_PROGRESS')) > 0 THEN 20.0::DOUBLE ELSE 85.0::DOUBLE END AS dq FROM incidents),
+scored AS (SELECT val_run_id, failure, round_even(((SELECT dq FROM q) + least(peers * 20.0::DOUBLE, 100) + 75.0::DOUBLE + agreement) / 4, 2) AS composite FROM valued)
+SELECT val_run_id, CASE WHEN failure IS NOT NULL THEN 'FAILED' WHEN composite < 40 THEN 'OVERRIDDEN' ELSE 'SUCCESS' END AS status,
+ CASE WHEN failure IS NULL THEN round(composite, 2) END AS composite_score FROM scored""")
+def value_universe_live(spark, sf):
+    v = va.value_universe(b.facts(spark, sf), b.metrics(spark, sf), b.value_instruments(spark, sf), b.value_companies(spark, sf), b.requests(spark, sf), DAY,
+                          data_quality=serving.data_quality_score(b.incidents(spark, sf)))
+    return v.select("val_run_id", "status", F.when(F.col("status") != "FAILED", F.round("composite_score", 2)).alias("composite_score"))
+
+
 @register("model_agreement", "SELECT instrument_id, round(agreement, 2) AS model_agreement FROM valued WHERE status <> 'FAILED'")
 def agreement(spark, sf):
     return va._done(_valued(spark, sf)).select("instrument_id", F.round("model_agreement", 2).alias("model_agreement"))

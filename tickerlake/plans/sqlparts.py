@@ -104,8 +104,8 @@ JOIN aliases n ON n.instrument_id = t.instrument_id AND n.alias_id % 2 = 1""")
 part("feed_k", """
 SELECT b.*, i.symbol AS sym, exchange_code, o.alias_symbol AS old_name, b.instrument_id * 31 + date_diff('day', DATE '1995-01-01', trade_date) AS k
 FROM bars b JOIN instruments i ON i.instrument_id = b.instrument_id JOIN exchanges USING (exchange_id)
-JOIN aliases o ON o.instrument_id = b.instrument_id AND o.alias_id % 2 = 0 WHERE trade_date >= DATE '1995-03-01'""")
-part("raw_feed", """
+JOIN aliases o ON o.instrument_id = b.instrument_id AND o.alias_id % 2 = 0""")
+part("raw_feed_all", """
 SELECT CASE WHEN k % 17 = 0 THEN 'UNK' || k WHEN k % 10 = 0 THEN lower(old_name) ELSE sym END AS symbol, exchange_code AS exchange,
   lower(source_system) || ' ' AS source_system, CASE WHEN k % 6 = 0 THEN 'usd' ELSE 'INR' END AS currency_code,
   CAST(open_px AS VARCHAR) AS open, CASE WHEN k % 103 = 0 THEN '0.01' ELSE CAST(high_px AS VARCHAR) END AS high,
@@ -113,7 +113,8 @@ SELECT CASE WHEN k % 17 = 0 THEN 'UNK' || k WHEN k % 10 = 0 THEN lower(old_name)
   CASE WHEN k % 101 = 0 THEN 'n/a' WHEN k % 107 = 0 THEN '0' ELSE CAST(close_px AS VARCHAR) END AS close,
   CAST(volume AS VARCHAR) AS volume, CASE WHEN k % 3 = 0 THEN '' WHEN k % 89 = 0 THEN 'x' ELSE CAST(volume * 2 AS VARCHAR) END AS turnover,
   CASE WHEN k % 109 = 0 THEN '31/12/1999' ELSE CAST(trade_date AS VARCHAR) END AS timestamp,
-  ingested_at AS ingested_ts, 'f' || instrument_id || ':' || CAST(trade_date AS VARCHAR) AS source_record_id FROM feed_k""")
+  ingested_at AS ingested_ts, 'f' || instrument_id || ':' || CAST(trade_date AS VARCHAR) AS source_record_id, trade_date AS bar_date FROM feed_k""")
+part("raw_feed", "SELECT * EXCLUDE (bar_date) FROM raw_feed_all WHERE bar_date >= DATE '1995-03-01'")
 part("curated_bars", "SELECT * FROM bars WHERE trade_date < DATE '1995-03-01'")
 part("fx_rates", """
 SELECT DISTINCT 'USD' AS currency_code, trade_date, CAST(80 + month(trade_date) AS DECIMAL(18,6)) AS rate FROM ticks WHERE day(trade_date) <> 13""")

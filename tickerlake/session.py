@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import pathlib
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,18 +30,42 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "tickerlake") -
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever the driver was started from (once for each context)."""
+    context = spark.sparkContext
+    if getattr(context, "_tickerlake_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="tickerlake-")) / "tickerlake.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted([*root.rglob("*.py"), *root.rglob("*.json")]):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._tickerlake_shipped = True
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint location.
+    """A fresh folder under the shared location that ``spark.checkpoint.dir`` names.
 
-    The location comes from ``spark.checkpoint.dir``.  Only where that is unset
-    (plain local runs) a temporary folder of this machine is used instead.
+    Only a local master may do without the setting: its one machine then uses a temporary folder, which goes when
+    the process ends.  Elsewhere executors would not see each other's files, so a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tickerlake-")
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master})")
+        base = _own_folder()
     return f"{base.rstrip('/')}/tickerlake/{label}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tickerlake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once to the shared folder and go on from the written table.
 

@@ -7,6 +7,7 @@ import datetime as dt
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,9 +67,31 @@ def _split(checked: DataFrame, mode: str, headers: list[str], keep: list[str]) -
     return checked.where("error is null").select(*keep, *ROW), checked.where("error is not null").select(*keep, *headers, "error")
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    # all fields stay text: schema inference would read every file twice
-    return spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(path)
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> files that begin with it.  One line a file comes back; empty files have none."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    first = lines.where("at.s = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    found: dict[str, list[str]] = {}
+    for r in first.orderBy("file").toLocalIterator():
+        found.setdefault(r.header, []).append(r.file)
+    return found
+
+
+def _read_csv(spark: SparkSession, path: str, needed: list[str], label: str) -> DataFrame:
+    """All files of a folder as text columns, each file by its own header line; a file without a needed header fails.
+
+    Spark takes one header for all files of a read, so files are read in groups of one header.
+    """
+    groups = []
+    for header, files in sorted(_headers(spark, path).items()):
+        names = [n.strip() for n in next(csv.reader([header.lstrip("\ufeff")]))]
+        validate.require_columns(spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names)), needed, label)
+        # all fields stay text: schema inference would read every file twice
+        groups.append(spark.read.option("header", True).schema(", ".join(f"`{n}` string" for n in names)).csv(files))
+    if not groups:
+        return spark.createDataFrame([], ", ".join(f"{h} string" for h in needed))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), groups)
 
 
 def nse_rows(df: DataFrame, trade_date: dt.date | str, mode: str = "failfast", keep: list[str] | None = None):
@@ -83,11 +106,7 @@ def scan_nse_bhavcopy(spark: SparkSession, path: str, trade_date: dt.date | str,
     back-fills over many files.  ``failfast`` fails the job on the first bad row;
     ``quarantine`` returns (valid, rejected with error).
     """
-    df = _read_csv(spark, path)
-    if set(NSE_HEADERS) - set(df.columns) and df.isEmpty():
-        df = spark.createDataFrame([], ", ".join(f"{h} string" for h in NSE_HEADERS))
-    validate.require_columns(df, NSE_HEADERS, "required NSE")
-    return nse_rows(df, trade_date, mode, keep)
+    return nse_rows(_read_csv(spark, path, NSE_HEADERS, "required NSE"), trade_date, mode, keep)
 
 
 def bse_rows(df: DataFrame, trade_date: dt.date | str, isin_map: DataFrame, mode: str = "failfast", keep: list[str] | None = None):
@@ -105,9 +124,7 @@ def bse_rows(df: DataFrame, trade_date: dt.date | str, isin_map: DataFrame, mode
 
 def scan_bse_bhavcopy(spark: SparkSession, path: str, trade_date: dt.date | str, isin_map: DataFrame, mode: str = "failfast", zipped: bool = False, keep: list[str] | None = None):
     """BSE file to nine typed columns; ``zipped`` reads whole payloads, else plain CSV."""
-    df = read_zipped_csv(spark, path, BSE_HEADERS + [k for k in keep or []]) if zipped else _read_csv(spark, path)
-    if set(BSE_HEADERS) - set(df.columns) and df.isEmpty():
-        df = spark.createDataFrame([], ", ".join(f"{h} string" for h in BSE_HEADERS))
+    df = read_zipped_csv(spark, path, BSE_HEADERS + [k for k in keep or []]) if zipped else _read_csv(spark, path, BSE_HEADERS, "required BSE")
     validate.require_columns(df, BSE_HEADERS, "required BSE")
     return bse_rows(df, trade_date, isin_map, mode, keep)
 
@@ -120,23 +137,25 @@ def unzip_csv(payloads: DataFrame, columns: list[str]) -> DataFrame:
     payloads spread over tasks.  Columns a file lacks are null.
     """
 
-    def csv_text(content: bytes) -> str:
-        if content[:2] != b"PK":
-            return content.decode("utf-8")
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
+    def lines(content: bytes) -> Iterator[str]:
+        data = io.BytesIO(content)
+        if content[:2] == b"PK":
+            z = zipfile.ZipFile(data)
             names = [n for n in z.namelist() if n.lower().endswith(".csv")]
             if not names:
                 raise ValueError("archive does not contain a CSV payload")
-            return z.read(names[0]).decode("utf-8")
+            data = z.open(names[0])  # unpacked as it is read
+        return io.TextIOWrapper(data, encoding="utf-8", newline="")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                out += [(path, *(r.get(c) for c in columns)) for r in csv.DictReader(io.StringIO(csv_text(bytes(content))))]
-                if len(out) >= EMIT_ROWS:
-                    yield pd.DataFrame(out, columns=["path", *columns])
-                    out = []
+                for r in csv.DictReader(lines(bytes(content))):
+                    out.append((path, *(r.get(c) for c in columns)))
+                    if len(out) >= EMIT_ROWS:
+                        yield pd.DataFrame(out, columns=["path", *columns])
+                        out = []
             yield pd.DataFrame(out, columns=["path", *columns])
 
     return payloads.select("path", "content").mapInPandas(rows, "path string, " + ", ".join(f"{c} string" for c in columns))

@@ -32,7 +32,8 @@ def stream_bhavcopy(
     """
     names = columns or bhavcopy.NSE_HEADERS
     validate.require_columns(spark.createDataFrame([], ", ".join(f"{n} string" for n in names)), bhavcopy.NSE_HEADERS, "required NSE")
-    files = spark.readStream.option("header", True).schema(", ".join(f"{n} string" for n in names)).csv(folder)
+    # enforceSchema off: a file whose header differs in names or order fails instead of being read by position
+    files = spark.readStream.option("header", True).option("enforceSchema", False).schema(", ".join(f"{n} string" for n in names)).csv(folder)
 
     def store(batch: DataFrame, number: int) -> None:
         valid, rejected = bhavcopy.nse_rows(batch, trade_date, "quarantine", keep)
@@ -53,7 +54,11 @@ def stream_dedupe_payloads(payloads: DataFrame, out: str, checkpoint: str) -> St
         past = f"{out}/manifest/batch={number - 1}"
         manifest = spark.read.parquet(past) if number > 0 else spark.createDataFrame(
             [], "source_system string, trade_date date, current_checksum string, previous_checksum string, row_count long")
-        versions, after = rawzone.raw_zone_write(batch, manifest)
+        stored = None
+        if number > 0:  # what earlier batches have stored for this batch's keys: a payload that returns is not created again
+            earlier = spark.read.parquet(f"{out}/versions").where(F.col("batch") < number)
+            stored = earlier.join(batch.select(*rawzone.KEYS).distinct(), rawzone.KEYS, "left_semi").select(*rawzone.KEYS, "checksum")
+        versions, after = rawzone.raw_zone_write(batch, manifest, stored)
         versions.write.mode("overwrite").parquet(f"{out}/versions/batch={number}")
         rawzone.save_manifest(after, out, number)
 
@@ -76,12 +81,13 @@ def stream_late_corrections(rows: DataFrame, table: str, staging: str, checkpoin
         spark = batch.sparkSession
         good = guard_times(batch, as_of, days).where("reason is null").drop("reason", "event_ts").withColumn("month", F.date_format("trade_date", "yyyy-MM"))
         stored = spark.read.schema(good.schema).parquet(table) if _exists(spark, table) else spark.createDataFrame([], good.schema)
-        months = good.select("month").distinct()
-        touched = stored.join(months, "month", "left_semi")
+        # the stale window bounds the months of a batch; as plain values they prune the table's folders
+        months = [r.month for r in good.select("month").distinct().collect()]
+        touched = stored.where(F.col("month").isin(months))
         merged, _ = merge.merge_ohlcv(touched, good, as_of)
         stage = f"{staging}/batch={number}"
         merged.write.mode("overwrite").parquet(stage)
-        spark.read.parquet(stage).repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
+        spark.read.parquet(stage).hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
 
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -93,23 +99,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 class _LastAccepted(StatefulProcessor):
-    """Keeps the last accepted close of an instrument."""
+    """Keeps an instrument's newest day, the close that its rows are judged against, and the day's accepted close."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._close = handle.getValueState("close", "close double")
+        self._state = handle.getValueState("state", "day date, prior double, close double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        # one instrument's rows of a batch: at most its trading days
-        day = pd.concat(list(rows)).sort_values("trade_date", ignore_index=True)
-        prev = self._close.get()[0] if self._close.exists() else None
-        flags = []
-        for close, adj in zip(day["close"].tolist(), day["adj"].tolist()):
-            ok = prev is None or prev <= 0 or BREAKER_LOW <= adj / prev <= BREAKER_HIGH
+        # one instrument's rows of a batch: at most its trading days and their versions
+        pdf = pd.concat(list(rows)).sort_values("trade_date", kind="stable", ignore_index=True)
+        day, prior, close = self._state.get() if self._state.exists() else (None, None, None)
+        flags: list[bool | None] = []
+        for d, px, adj in zip(pdf["trade_date"].tolist(), pdf["close"].tolist(), pdf["adj"].tolist()):
+            if day is not None and d < day:
+                flags.append(None)
+                continue
+            if d != day:
+                day, prior, close = d, prior if close is None else close, None
+            ok = prior is None or prior <= 0 or BREAKER_LOW <= adj / prior <= BREAKER_HIGH
             flags.append(ok)
-            prev = close if ok else prev
-        if prev is not None:
-            self._close.update((prev,))
-        yield pd.DataFrame({"instrument_id": day["instrument_id"], "trade_date": day["trade_date"], "breaker_ok": flags})
+            close = px if ok else close
+        self._state.update((day, prior, close))
+        late = [f is None for f in flags]
+        yield pd.DataFrame({"instrument_id": pdf["instrument_id"], "trade_date": pdf["trade_date"], "breaker_ok": pd.array(flags, dtype="boolean"), "late": late})
 
     def close(self) -> None:
         pass
@@ -118,11 +129,13 @@ class _LastAccepted(StatefulProcessor):
 def stream_breaker(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Compare each row with the last accepted close of its instrument.
 
-    ``rows``: instrument_id, trade_date, close, adj (doubles); batches arrive in date
-    order.  Rejected rows do not become the reference.
+    ``rows``: instrument_id, trade_date, close, adj (doubles).  Rows of one day, also when they come in several
+    batches, are judged against the day before; rejected rows do not become the reference.  A row older than the
+    newest day seen is not judged: ``breaker_ok`` null, ``late`` true, for the batch form to settle.  The session's
+    state store provider must be ROCKSDB.
     """
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if rows.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     judged = rows.groupBy("instrument_id").transformWithStateInPandas(
-        statefulProcessor=_LastAccepted(), outputStructType="instrument_id long, trade_date date, breaker_ok boolean", outputMode="Append", timeMode="None")
+        statefulProcessor=_LastAccepted(), outputStructType="instrument_id long, trade_date date, breaker_ok boolean, late boolean", outputMode="Append", timeMode="None")
     return judged.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
