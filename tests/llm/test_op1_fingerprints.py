@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Row
 
 from tickerlake.llm import op1_fingerprints as op
@@ -70,3 +71,28 @@ def test_edits_keep_likeness():
 def test_row_type(spark):
     df = op.with_next(spark.createDataFrame([Row(doc_id=1, text="x")]))
     assert dict(df.dtypes)["n_chars"] == "bigint" and dict(df.dtypes)["near_next"] == "double"
+
+
+@pytest.mark.parametrize("large,part", [(64, 512), (2, 3)])
+def test_near_duplicates(spark, monkeypatch, large, part):
+    monkeypatch.setattr(op, "LARGE", large)
+    monkeypatch.setattr(op, "PART", part)
+    rng = random.Random(8)
+    rows, group = [], {}
+    for g in range(12):
+        text = words(rng, 600)
+        for k in range(rng.choice([1, 2, 9])):
+            chars = list(text)
+            for _ in range(k % 3):
+                chars[rng.randrange(len(chars))] = "q"
+            group[g * 100 + k] = g
+            rows.append((g * 100 + k, "".join(chars), 1, "x"))
+    rows += [(5000, None, 1, "x"), (5001, "", 1, "x"), (0, rows[0][1], 1, "x")]
+    group |= {5000: 50, 5001: 50}
+    got = op.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    least = {g: min(i for i, x in group.items() if x == g) for g in group.values()}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.class_id == least[group[r.doc_id]]
+        assert r.fingerprint == op.as_hex(op.embed_bits([next(t or "" for i, t, *_ in rows if i == r.doc_id)]))[0]
+    assert op.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []

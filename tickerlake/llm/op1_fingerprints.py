@@ -15,11 +15,14 @@ import functools
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerlake import session
 from tickerlake.llm import common, ordered
+from tickerlake.llm.components import components
 
 WALKS = 2
 BITS = 512
@@ -219,5 +222,86 @@ def with_next(docs: DataFrame) -> DataFrame:
     return ordered.deal(docs, firsts, nulls, with_next=True).mapInArrow(run, OUT)
 
 
+# --- near-duplicates by banding and verification ------------------------------------------------
+
+#: Bands, bits sampled for each, likeness of a link, largest bucket whose pairs are listed, rows of a part of larger ones.
+BANDS, BAND_BITS = 24, 20
+THRESHOLD = 0.8
+LARGE, PART = 64, 512
+WORDS64 = BITS // 64
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, bits array<long>, bands array<int>): fingerprint and band keys of every document."""
+
+    def run(batches):
+        sampled = (common.mix(np.arange(BANDS * BAND_BITS) + (1 << 42)) % common.U64(BITS)).astype(np.int64).reshape(BANDS, BAND_BITS)
+        for batch in common.slices(batches, "text", SLICE_BYTES):
+            bits = embed_bits(batch.column(1).to_pylist())
+            words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+            keys = (bits[:, sampled] << np.arange(BAND_BITS)).sum(axis=2).astype(np.int32)
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)) for x, kind in ((words, pa.int64()), (keys, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "bits", "bands"])
+
+    return common.documents(docs).mapInArrow(run, "doc_id long, bits array<long>, bands array<int>")
+
+
+def most_apart(threshold: float) -> int:
+    return int((1 - threshold) / 2 * BITS)
+
+
+def forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Links that connect whatever a part's verified pairs connect, fewer than there are rows."""
+    nodes = pdf["node"].to_numpy()
+    words = np.array(pdf["bits"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(nodes), WORDS64)
+    root = np.arange(len(nodes))
+    out = []
+    for i in range(len(nodes)):
+        near = np.flatnonzero(np.bitwise_count(words[: i + 1] ^ words[i]).sum(axis=1) <= most)
+        groups = np.unique(root[near])
+        out += [(nodes[g], nodes[i]) for g in groups if g != i]
+        root[np.isin(root, groups)] = i
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def near_links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) of distinct fingerprints (node long, bits, bands) that share a band and are verified on all bits.
+
+    Buckets of more than LARGE members are cut into parts of about PART; each two parts meet in a task of their own,
+    which returns enough links to connect its members, so that no pair is lost and none but links are written.
+    """
+    most = most_apart(threshold)
+    keyed = distinct.select("node", "bits", F.posexplode("bands").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = session.stage(keyed.join(sizes, ["band", "key"]), "bands")
+    small = shared.where(F.col("n") <= LARGE)
+    a, b = (small.select("band", "key", F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = a.join(b, ["band", "key"]).where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    own = F.pmod(F.xxhash64("node", "band"), parts).cast("int")
+    large = shared.where(F.col("n") > LARGE).select("band", "key", "node", "bits", parts.alias("parts"), own.alias("own"))
+    met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "bits")
+    stars = met.groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: forest(pdf, most), "a long, b long")
+    return pairs.unionByName(stars)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, fingerprint, class_id) of every document; class_id is the smallest doc_id reachable over links.
+
+    Null texts are empty; repeated rows are repeated; class_id is null only where no document of a class has an id;
+    an empty table gives an empty result.
+    """
+    prints = session.stage(fingerprints(docs), "prints")
+    distinct = prints.groupBy("bits", "bands").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    distinct = session.stage(distinct, "distinct")
+    found = components(near_links(distinct.select("node", "bits", "bands"), threshold))
+    whole = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = whole.join(whole.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("bits", "class_id")
+    text = F.lower(F.array_join(F.transform("bits", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    return prints.join(named, "bits").select("doc_id", text.alias("fingerprint"), "class_id")
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(common.table(spark, sf_dir, "documents"))
