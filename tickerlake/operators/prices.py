@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from tickerlake import session
 from tickerlake.functions import dates, numeric
-from tickerlake.operators import identity, timejoin
+from tickerlake.operators import identity, merge, timejoin
 
 # --- fixed values -----------------------------------------------------------
 RATIO_ACTIONS = ["SPLIT", "BONUS", "RIGHTS"]
@@ -386,3 +386,25 @@ def ingest_corporate_actions(raw: DataFrame, instruments: DataFrame, as_of: dt.d
         rows.where("error is null").drop("error").withColumn("ingested_at", F.lit(as_of)),
         rows.where("error is not null"),
     )
+
+
+STORED = ["instrument_id", "trade_date", "open_px", "high_px", "low_px", "close_px", "adj_close_px", "volume", "turnover", "source_system", "source_record_id", "ingested_at"]
+
+
+def curate_ohlcv(
+    raw: DataFrame, instruments: DataFrame, exchanges: DataFrame, aliases: DataFrame, fx: DataFrame, actions: DataFrame, curated: DataFrame,
+    as_of: dt.datetime, window_start: dt.date | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Raw rows to curated ones as one run: (curated after, DQ results, incidents, superseded rows).
+
+    Accepted rows are merged into ``curated`` (columns of STORED; missing ones count as null), a strictly newer
+    arrival replacing the stored row of its day; rejected rows become FAIL results with incidents, replaced ones
+    WARN results.  Dividends are priced from ``curated`` as it was before the run.
+    """
+    accepted, rejected = normalize_ohlcv(raw, instruments, exchanges, aliases, fx, actions, curated, as_of, window_start)
+    incoming = accepted.withColumnRenamed("ingested_ts", "ingested_at").select(*STORED)
+    kinds = {f.name: f.dataType for f in incoming.schema}
+    current = curated.select(*[(F.col(c) if c in curated.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in STORED])
+    merged, superseded = merge.merge_ohlcv(current, incoming, as_of)
+    results, incidents = normalization_incidents(rejected, as_of)
+    return merged, results, incidents, superseded

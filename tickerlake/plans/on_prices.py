@@ -225,6 +225,36 @@ def normalize_rejects(spark, sf):
     return _normalized(spark, sf)[1].select("source_record_id", "reason")
 
 
+def _curated(spark, sf):
+    return prices.curate_ohlcv(
+        b.raw_feed(spark, sf), b.instruments(spark, sf), b.exchanges(spark, sf), b.aliases(spark, sf),
+        b.fx_rates(spark, sf), b.actions(spark, sf), b.curated_bars(spark, sf), LATE)
+
+
+_FX = "CAST(CASE WHEN ccy = 'INR' THEN {0} ELSE CAST({0} AS DECIMAL(24,6)) * CAST(rate AS DECIMAL(12,6)) END AS DOUBLE)"
+
+
+@register("normalize_ohlcv_curated", NORMALIZED + f"""
+SELECT j.instrument_id, CAST(j.trade_date AS VARCHAR) AS trade_date, {_FX.format('o')} AS open_px, {_FX.format('h')} AS high_px, {_FX.format('l')} AS low_px, j.close AS close_px, j.adj AS adj_close_px,
+  CAST(rz.volume AS DOUBLE) AS volume, CASE WHEN turnover <> '' THEN {_FX.format('CAST(turnover AS DECIMAL(24,6))')} END AS turnover, upper(trim(rz.source_system)) AS source_system, j.source_record_id, CAST(ingested_ts AS VARCHAR) AS ingested_at
+FROM judged j JOIN rz USING (source_record_id) WHERE NOT stored AND ok
+UNION ALL SELECT instrument_id, CAST(trade_date AS VARCHAR), CAST(open_px AS DOUBLE), CAST(high_px AS DOUBLE), CAST(low_px AS DOUBLE), CAST(close_px AS DOUBLE), NULL, CAST(volume AS DOUBLE), NULL, source_system, NULL, CAST(ingested_at AS VARCHAR) FROM curated_bars""")
+def normalize_curated(spark, sf):
+    return _curated(spark, sf)[0].withColumn("volume", F.col("volume").cast("double"))
+
+
+_CODE = """CASE WHEN reason = 'future_event_ts' THEN 'FUTURE_EVENT_TS' WHEN reason = 'unresolved_symbol' THEN 'UNRESOLVED_SYMBOL' WHEN reason = 'missing_fx_rate' THEN 'MISSING_FX_RATE'
+  WHEN reason = 'adjusted_close_outlier' THEN 'ADJUSTED_CLOSE_CIRCUIT_BREAKER' ELSE 'INVALID_OHLCV_PAYLOAD' END"""
+
+
+@register("normalize_ohlcv_incidents", NORMALIZED + f"""
+SELECT symbol || ':' || timestamp AS target_record_key, {_CODE} AS rule_code, 'OPEN' AS incident_status, 'MEDIUM' AS impact_level, 'DATA_ENGINEERING' AS assigned_to, reason AS resolution_notes FROM (
+  SELECT symbol, timestamp, reason FROM rz WHERE reason IS NOT NULL
+  UNION ALL SELECT rz.symbol, rz.timestamp, 'adjusted_close_outlier' FROM judged JOIN rz USING (source_record_id) WHERE NOT stored AND NOT ok)""")
+def normalize_incidents(spark, sf):
+    return _curated(spark, sf)[2].drop("opened_at")
+
+
 @register("ingest_corporate_actions", """
 SELECT corp_action_id, action_type, upper(trim(source_system)) AS source_system,
   CASE WHEN action_type = 'XMERGER' THEN 'UNSUPPORTED_ACTION_TYPE' WHEN i.instrument_id IS NULL THEN 'INSTRUMENT_NOT_FOUND' END AS error
