@@ -54,28 +54,36 @@ def bollinger(c: Column, w: WindowSpec, n: int = 20) -> tuple[Column, Column]:
     return F.when(full, mean + 2 * dev), F.when(full, mean - 2 * dev)
 
 
-def ema(df: DataFrame, keys: list[str], order: str, c: str, spans: dict[str, int]) -> DataFrame:
-    """Add one recursive mean per entry of ``spans`` (alpha 2/(span+1), seeded by
-    the first value).  Recursion has no window form; one Arrow batch per instrument."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+def _recursive(df: DataFrame, keys: list[str], order: str, c: str, run, made: list[str]) -> DataFrame:
+    """Adds columns that ``run`` makes of each key's values in order.
+
+    Recursion has no window form.  Only key, order and value go through Python; the other columns are joined back
+    by key and order, which name a row.
+    """
+    narrow = df.select(*keys, order, c)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name != c)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        return pdf.assign(**{k: pdf[c].ewm(span=n, adjust=False).mean() for k, n in spans.items()})
+        return pdf[[*keys, order]].assign(**run(pdf[c]))
+
+    found = narrow.groupBy(*keys).applyInPandas(one, schema + "".join(f", {m} double" for m in made))
+    return df.join(found, [*keys, order])
+
 
-    return df.groupBy(*keys).applyInPandas(run, schema + "".join(f", {k} double" for k in spans))
+def ema(df: DataFrame, keys: list[str], order: str, c: str, spans: dict[str, int]) -> DataFrame:
+    """Add one recursive mean per entry of ``spans`` (alpha 2/(span+1), seeded by the first value)."""
+    return _recursive(df, keys, order, c, lambda v: {k: v.ewm(span=n, adjust=False).mean() for k, n in spans.items()}, list(spans))
 
 
 def macd(df: DataFrame, keys: list[str], order: str, c: str) -> DataFrame:
     """Add ``macd`` = EMA12 - EMA26 and ``signal`` = EMA9 of it."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        line = pdf[c].ewm(span=12, adjust=False).mean() - pdf[c].ewm(span=26, adjust=False).mean()
-        return pdf.assign(macd=line, signal=line.ewm(span=9, adjust=False).mean())
+    def run(v: pd.Series) -> dict[str, pd.Series]:
+        line = v.ewm(span=12, adjust=False).mean() - v.ewm(span=26, adjust=False).mean()
+        return {"macd": line, "signal": line.ewm(span=9, adjust=False).mean()}
 
-    return df.groupBy(*keys).applyInPandas(run, schema + ", macd double, signal double")
+    return _recursive(df, keys, order, c, run, ["macd", "signal"])
 
 
 def annualized_drift(prices: DataFrame, keys: list[str], order: str, close: str) -> DataFrame:
@@ -145,5 +153,11 @@ def tail_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*[F.desc(o) for o in order]).limit(n).orderBy(*order)
 
 
+def tail_each(df: DataFrame, n: int, keys: list[str], order: str) -> DataFrame:
+    """The last n rows of every key's series."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))
+    return df.withColumn("_at", rank).where(F.col("_at") <= n).drop("_at")
+
+
 def head_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(n)

@@ -192,11 +192,6 @@ def replace_run_artifacts(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return current.join(runs, "val_run_id", "left_anti").unionByName(incoming)
 
 
-def write_run_artifacts(incoming: DataFrame, path: str) -> None:
-    """The same on storage: only the partitions of the incoming runs are rewritten."""
-    incoming.repartition("val_run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("val_run_id").parquet(path)
-
-
 def requeue_runs(runs: DataFrame) -> DataFrame:
     """RUNNING goes back to QUEUED; queued runs in creation order."""
     return (

@@ -78,6 +78,19 @@ def run_log_rows(batches: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, Dat
     return runs, events
 
 
+def retry_rows(attempts: DataFrame) -> DataFrame:
+    """RETRY events of failed attempts that were tried again.
+
+    ``attempts``: pipeline_run_id, pipeline_name, attempt, error, event_ts; attempts beyond MAX_ATTEMPTS - 1 end a
+    run and belong to its FAILED event.
+    """
+    wait = dates.retry_delay_schedule(F.col("attempt"))
+    load = text.payload_json(attempt=F.col("attempt"), max_attempts=F.lit(MAX_ATTEMPTS), delay_seconds=wait)
+    return attempts.where(F.col("attempt") < MAX_ATTEMPTS).select(
+        "pipeline_run_id", F.col("pipeline_name").alias("job_name"), F.lit("RETRY").alias("event_type"), "event_ts",
+        F.concat(F.lit("retrying_after_failure: "), F.col("error")).alias("message"), load.alias("metrics_payload"))
+
+
 def _group_check(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
     full = reduce(lambda a, c: a & F.col(c).isNotNull(), cols[1:], F.col(cols[0]).isNotNull())
     return df.where(full).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(

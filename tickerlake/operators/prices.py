@@ -46,6 +46,11 @@ def action_factor(actions: DataFrame, prices: DataFrame) -> DataFrame:
     return asof_dividend_close(actions, prices).withColumn("factor", _factor(F.col("prior_close")))
 
 
+def factor_product(factors: DataFrame) -> DataFrame:
+    """(instrument_id, factor): product of an instrument's action factors."""
+    return factors.groupBy("instrument_id").agg(F.product("factor").alias("factor"))
+
+
 def actions_after_date(prices: DataFrame, actions: DataFrame, window_start: dt.date | None = None) -> DataFrame:
     """Add ``later_actions``: how many actions lie strictly after the trade date."""
     acts = actions if window_start is None else actions.where(F.col("ex_date") >= F.lit(window_start))

@@ -193,14 +193,6 @@ def process_batch(rows: DataFrame, curated: DataFrame, rules: list[Rule], run_id
     }
 
 
-def rule_catalog(rules: list[Rule]) -> Column:
-    """The declared rules as rows: an array to explode from any one-row frame."""
-    return F.array(*[
-        F.struct(F.lit(r.code).alias("rule_code"), F.lit(r.name).alias("rule_name"), F.lit(r.domain).alias("domain_name"), F.lit(r.severity).alias("severity"),
-                 text.payload_json(name=F.lit(r.name), quarantine_on_fail=F.lit(r.quarantine_on_fail), severity=F.lit(r.severity), version=F.lit(r.version)).alias("rule_expression"))
-        for r in rules])
-
-
 def contract_incidents(rejected: DataFrame, target_table: str, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Contract rejects as FAIL results and MEDIUM incidents of one rule."""
     key = F.coalesce("symbol", F.lit("unknown"))

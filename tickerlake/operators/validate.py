@@ -137,7 +137,3 @@ def first_error(*errors: Column) -> Column:
 def fail_fast(df: DataFrame, error: str = "error") -> DataFrame:
     """Fail the job on the first refused row, as a whole-file reader does."""
     return df.where(F.when(F.col(error).isNull(), True).otherwise(F.raise_error(F.col(error)).cast("boolean"))).drop(error)
-
-
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)

@@ -220,6 +220,15 @@ def run_log(spark, sf):
     return ops.run_log_rows(batches, NOW)[1].select("pipeline_run_id", "job_name", "event_type", "message")
 
 
+@register("run_log_retries", """
+SELECT pipeline_run_id, pipeline_name AS job_name, 'RETRY' AS event_type, 'retrying_after_failure: boom' AS message, '{"attempt":' || a || ',"max_attempts":3,"delay_seconds":' || CASE a WHEN 1 THEN '5.0' ELSE '10.0' END || '}' AS metrics_payload
+FROM runs, (SELECT unnest([1, 2]) AS a) WHERE status = 'FAILED'""")
+def run_log_retries(spark, sf):
+    failed = b.pipeline_run_rows(spark, sf).where("status = 'FAILED'")
+    attempts = failed.select("pipeline_run_id", "pipeline_name", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), F.lit("boom").alias("error"), F.col("started_at").alias("event_ts"))
+    return ops.retry_rows(attempts).select("pipeline_run_id", "job_name", "event_type", "message", "metrics_payload")
+
+
 @register("pipeline_runs", "SELECT pipeline_run_id, status FROM runs WHERE status = 'FAILED' AND pipeline_name = 'nse_eod_ingest'")
 def pipeline_runs(spark, sf):
     return serving.pipeline_runs(b.pipeline_run_rows(spark, sf), "failed", "nse_eod_ingest").select("pipeline_run_id", "status")
@@ -308,6 +317,12 @@ def batch_summary(spark, sf):
     return serving.batch_summary(r)
 
 
+@register("batch_skip_reasons", "SELECT 'I' || pipeline_run_id || ': ' || pipeline_name || ' failed' AS skip_line FROM runs WHERE status = 'FAILED'")
+def batch_skip_reasons(spark, sf):
+    r = b.pipeline_run_rows(spark, sf).select((F.col("status") == "FAILED").alias("skipped"), F.concat(F.lit("I"), "pipeline_run_id").alias("symbol"), F.concat("pipeline_name", F.lit(" failed")).alias("skip_reason"))
+    return serving.skip_reasons(r)
+
+
 @register("constraint_audit", """
 SELECT 'ref_instrument' AS table_name, 'UNIQUE' AS kind, 'exchange_id,symbol,is_active' AS rule, CAST(sum(n - 1) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM instruments GROUP BY exchange_id, symbol, is_active HAVING count(*) > 1) HAVING sum(n - 1) > 0
 UNION ALL SELECT 'market_corporate_action', 'UNIQUE', 'corp_action_id', CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM actions GROUP BY corp_action_id HAVING count(*) > 1) HAVING sum(n - 1) > 0

@@ -53,8 +53,8 @@ def actions_after(spark, sf):
 
 @register("factor_product", "SELECT instrument_id, round(product(factor), 10) AS factor FROM action_factors GROUP BY 1")
 def factor_product(spark, sf):
-    f = prices.action_factor(b.actions(spark, sf), b.bars(spark, sf))
-    return f.groupBy("instrument_id").agg(F.round(F.product("factor"), 10).alias("factor"))
+    f = prices.factor_product(prices.action_factor(b.actions(spark, sf), b.bars(spark, sf)))
+    return f.select("instrument_id", F.round("factor", 10).alias("factor"))
 
 
 @register("cumulative_adjustment", "SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, round(adj_factor, 10) AS adj_factor FROM adjusted")
@@ -290,6 +290,17 @@ def sma(spark, sf):
     return b.monthly(spark, sf).select("instrument_id", "date", F.round(indicators.sma(F.col("close"), 5, _by_month()), 3).alias("sma_5"), F.round(indicators.sma(F.col("close"), 50, _by_month()), 3).alias("sma_50"))
 
 
+@register("sma_daily", """
+WITH g AS (SELECT *, count(*) OVER w50 AS n50, avg(CAST(close_px AS DOUBLE)) OVER w50 AS a50, count(*) OVER w200 AS n200, avg(CAST(close_px AS DOUBLE)) OVER w200 AS a200, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date DESC) AS back FROM bars
+  WINDOW w50 AS (PARTITION BY instrument_id ORDER BY trade_date ROWS 49 PRECEDING), w200 AS (PARTITION BY instrument_id ORDER BY trade_date ROWS 199 PRECEDING))
+SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, CASE WHEN n50 = 50 THEN round(a50, 7) END AS sma_50, CASE WHEN n200 = 200 THEN round(a200, 7) END AS sma_200 FROM g WHERE back <= 20""")
+def sma_daily(spark, sf):
+    """Means of daily closes, the last 20 rows of every instrument."""
+    w, px = W.partitionBy("instrument_id").orderBy("trade_date"), F.col("close_px").cast("double")
+    rows = b.bars(spark, sf).select("instrument_id", "trade_date", *[F.round(indicators.sma(px, n, w), 7).alias(f"sma_{n}") for n in (50, 200)])
+    return indicators.tail_each(rows, 20, ["instrument_id"], "trade_date")
+
+
 @register("rsi", """
 WITH d AS (SELECT *, close - lag(close) OVER (PARTITION BY instrument_id ORDER BY date) AS d FROM monthly),
 g AS (SELECT *, count(d) OVER w AS n, avg(CASE WHEN d > 0 THEN d WHEN d <= 0 THEN 0 END) OVER w AS g, avg(CASE WHEN d < 0 THEN -d WHEN d >= 0 THEN 0 END) OVER w AS l FROM d
