@@ -1,8 +1,4 @@
-"""Table schemas, keys and constraints.
-
-Types: L long, I int, H short, S string, B boolean, D date, T timestamp, J JSON
-text, and N(p,s) decimal.  A trailing ``?`` marks a nullable column.
-"""
+"""Table schemas, keys and constraints."""
 
 from __future__ import annotations
 
@@ -12,35 +8,40 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-_TYPES = {"L": T.LongType(), "I": T.IntegerType(), "H": T.ShortType(), "S": T.StringType(), "B": T.BooleanType(), "D": T.DateType(), "T": T.TimestampType(), "J": T.StringType()}
-PX, SCORE = "N(18,6)", "N(5,2)"
+_TYPES = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "SMALLINT": T.ShortType(), "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "DATE": T.DateType(), "TIMESTAMP": T.TimestampType()}
 
 
 @dataclass(frozen=True)
 class Table:
-    """Columns with types, the key column, uniqueness, foreign keys and checks."""
+    """Columns as Spark DDL, the first of them the key; uniqueness, foreign keys and checks."""
 
-    columns: dict[str, str]
+    ddl: str
     unique: list[list[str]] = field(default_factory=list)
     foreign: dict[str, tuple[str, str]] = field(default_factory=dict)
     checks: list[str] = field(default_factory=list)
 
+    @property
+    def columns(self) -> dict[str, str]:
+        """Column -> its type, with NOT NULL where it is required."""
+        lines = (line.strip().rstrip(",") for line in self.ddl.strip().splitlines())
+        return dict(line.split(" ", 1) for line in lines)
+
     @property
     def key(self) -> str:
         return next(iter(self.columns))
 
     @property
     def required(self) -> list[str]:
-        return [c for c, t in self.columns.items() if not t.endswith("?")]
+        return [c for c, t in self.columns.items() if t.endswith(" NOT NULL")]
 
     @property
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(c, spark_type(t.rstrip("?")), t.endswith("?")) for c, t in self.columns.items()])
+        return T.StructType([T.StructField(c, spark_type(t.removesuffix(" NOT NULL")), not t.endswith(" NOT NULL")) for c, t in self.columns.items()])
 
 
-def spark_type(code: str) -> T.DataType:
-    m = re.match(r"N\((\d+),(\d+)\)", code)
-    return T.DecimalType(int(m.group(1)), int(m.group(2))) if m else _TYPES[code]
+def spark_type(name: str) -> T.DataType:
+    m = re.fullmatch(r"DECIMAL\((\d+),(\d+)\)", name)
+    return T.DecimalType(int(m.group(1)), int(m.group(2))) if m else _TYPES[name]
 
 
 def columns_of(expression: str) -> set[str]:
@@ -49,86 +50,587 @@ def columns_of(expression: str) -> set[str]:
     return {w for w in re.findall(r"\b[a-z][a-z0-9_]*\b(?!\s*\()", bare)} - {"is", "null", "or", "and", "in", "not", "between"}
 
 
-def _t(text: str, **kw) -> Table:
-    return Table(dict(p.split(":", 1) for p in text.split()), **kw)
-
-
-def _in(col: str, *values: str) -> str:
-    return f"{col} IN ({', '.join(repr(v) for v in values)})"
-
-
-def _percent(*cols: str) -> list[str]:
-    return [f"{c} BETWEEN 0 AND 100" for c in cols]
-
-
-INSTRUMENT = {"instrument_id": ("ref_instrument", "instrument_id")}
-RUN = {"val_run_id": ("val_run", "val_run_id")}
-PIPE = {"pipeline_run_id": ("ops_pipeline_run", "pipeline_run_id")}
-ARTICLE = {"article_id": ("news_article", "article_id")}
-OHLC = f"open_px:{PX} high_px:{PX} low_px:{PX} close_px:{PX}"
-_REL = ["source_reliability", "content_consistency", "cross_source_confirmation", "final_reliability_score"]
-_CONF = ["overall_confidence", "data_quality_score", "management_credibility_score", "industry_stability_score", "forecast_accuracy_score",
-         "news_reliability_score", "model_agreement_score", "scenario_dispersion_score"]
-
-# --- fixed values: the 37 tables of the domain ---------------------------------
-TABLES: dict[str, Table] = {
-    "ref_exchange": _t("exchange_id:H exchange_code:S exchange_name:S country_code:S timezone:S currency_code:S is_active:B created_at:T updated_at:T", unique=[["exchange_code"]]),
-    "ref_company": _t("company_id:L company_uuid:S legal_name:S display_name:S isin_primary:S? sector_code:S? industry_code:S? incorporation_country:S? is_listed:B is_active:B created_at:T updated_at:T", unique=[["company_uuid"]]),
-    "ref_instrument": _t("instrument_id:L instrument_uuid:S company_id:L exchange_id:H symbol:S instrument_type:S listing_date:D? delisting_date:D? tick_size:N(12,6)? lot_size:I? is_active:B created_at:T updated_at:T",
-                         unique=[["instrument_uuid"], ["exchange_id", "symbol", "is_active"]], foreign={"company_id": ("ref_company", "company_id"), "exchange_id": ("ref_exchange", "exchange_id")},
-                         checks=[_in("instrument_type", "EQUITY", "ETF", "ADR", "PREF")]),
-    "ref_symbol_alias": _t("alias_id:L instrument_id:L source_system:S alias_symbol:S valid_from:D valid_to:D? created_at:T", foreign=INSTRUMENT),
-    "ref_calendar": _t("calendar_id:L exchange_id:H trade_date:D is_trading_day:B session_open_ts:T? session_close_ts:T? holiday_name:S? created_at:T",
-                       unique=[["exchange_id", "trade_date"]], foreign={"exchange_id": ("ref_exchange", "exchange_id")}),
-    "market_ohlcv_1d": _t(f"ohlcv_1d_id:L instrument_id:L trade_date:D {OHLC} adj_close_px:{PX}? volume:N(24,0) turnover:N(24,2)? source_system:S source_record_id:S? ingested_at:T",
-                          unique=[["instrument_id", "trade_date"]], foreign=INSTRUMENT, checks=["high_px >= greatest(open_px, close_px)", "low_px <= least(open_px, close_px)"]),
-    "market_ohlcv_intraday": _t(f"ohlcv_intraday_id:L instrument_id:L bar_start_ts:T bar_end_ts:T bar_interval_sec:I {OHLC} volume:N(24,0) vwap:{PX}? source_system:S ingested_at:T",
-                                unique=[["instrument_id", "bar_start_ts", "bar_interval_sec"]], foreign=INSTRUMENT, checks=["bar_end_ts > bar_start_ts"]),
-    "market_corporate_action": _t("corp_action_id:L instrument_id:L action_type:S announcement_date:D? ex_date:D record_date:D? effective_date:D? action_value:N(20,8)? action_ratio_num:N(20,8)? action_ratio_den:N(20,8)? currency_code:S? source_system:S source_record_id:S? ingested_at:T",
-                                  foreign=INSTRUMENT, checks=[_in("action_type", "SPLIT", "BONUS", "RIGHTS", "DIVIDEND", "MERGER", "DEMERGER", "DELISTING")]),
-    "market_orderbook_snapshot": _t(f"snapshot_id:L instrument_id:L snapshot_ts:T depth_level:H best_bid_px:{PX}? best_bid_qty:N(24,0)? best_ask_px:{PX}? best_ask_qty:N(24,0)? book_payload:J source_system:S ingested_at:T",
-                                    foreign=INSTRUMENT, checks=["depth_level >= 1"]),
-    "fund_statement_fact": _t("statement_fact_id:L instrument_id:L fiscal_year:H fiscal_period:S statement_type:S line_item_code:S value:N(24,4) currency_code:S scale_code:S as_reported_ts:T effective_from_ts:T effective_to_ts:T? source_system:S source_record_id:S? ingested_at:T",
-                              foreign=INSTRUMENT, checks=[_in("statement_type", "PL", "BS", "CF"), _in("fiscal_period", "Q1", "Q2", "Q3", "Q4", "FY", "H1", "H2", "TTM")]),
-    "fund_metric_fact": _t("metric_fact_id:L instrument_id:L metric_code:S metric_value:N(24,8) metric_unit:S as_of_date:D lookback_period:S? calc_version:S input_hash:S created_at:T",
-                           unique=[["instrument_id", "metric_code", "as_of_date", "calc_version"]], foreign=INSTRUMENT),
-    "fund_restatement_log": _t("restatement_id:L statement_fact_id:L restatement_type:S old_value:N(24,4) new_value:N(24,4) reason_text:S? detected_at:T source_system:S",
-                               foreign={"statement_fact_id": ("fund_statement_fact", "statement_fact_id")}, checks=["new_value <> old_value"]),
-    "fund_segment_fact": _t("segment_fact_id:L instrument_id:L segment_code:S segment_name:S metric_code:S metric_value:N(24,4) fiscal_year:H fiscal_period:S currency_code:S as_reported_ts:T source_system:S ingested_at:T", foreign=INSTRUMENT),
-    "news_source_profile": _t(f"source_id:L source_code:S source_name:S source_type:S license_class:S base_reliability_score:{SCORE} terms_url:S? is_active:B created_at:T", unique=[["source_code"]], checks=_percent("base_reliability_score")),
-    "news_article": _t("article_id:L source_id:L external_article_id:S? url:S headline:S published_at:T captured_at:T language_code:S? article_text_hash:S article_text:S? raw_payload:J? is_paywalled:B",
-                       unique=[["source_id", "external_article_id"]], foreign={"source_id": ("news_source_profile", "source_id")}, checks=["captured_at >= published_at"]),
-    "news_entity_link": _t(f"entity_link_id:L article_id:L company_id:L mention_type:S relevance_score:{SCORE} sentiment_score:N(6,3)? created_at:T",
-                           unique=[["article_id", "company_id", "mention_type"]], foreign=ARTICLE | {"company_id": ("ref_company", "company_id")}, checks=_percent("relevance_score")),
-    "news_event": _t(f"event_id:L article_id:L event_type:S event_subtype:S? event_direction:S? event_severity:{SCORE}? event_payload:J? event_confidence:{SCORE} created_at:T", foreign=ARTICLE, checks=[*_percent("event_confidence"), _in("event_direction", "POSITIVE", "NEGATIVE", "NEUTRAL")]),
-    "news_reliability_score": _t("reliability_id:L article_id:L " + " ".join(f"{c}:{SCORE}" for c in _REL) + " scoring_version:S scored_at:T", unique=[["article_id", "scoring_version"]], foreign=ARTICLE, checks=_percent(*_REL)),
-    "ops_pipeline_run": _t("pipeline_run_id:L run_uuid:S pipeline_name:S run_mode:S triggered_by:S status:S started_at:T ended_at:T? run_context:J?", unique=[["run_uuid"]], checks=[_in("status", "QUEUED", "RUNNING", "SUCCESS", "FAILED", "CANCELLED")]),
-    "val_run": _t("val_run_id:L run_uuid:S instrument_id:L as_of_ts:T run_type:S trigger_type:S status:S pipeline_run_id:L? created_at:T completed_at:T?",
-                  unique=[["run_uuid"]], foreign=INSTRUMENT | PIPE, checks=[_in("status", "QUEUED", "RUNNING", "SUCCESS", "FAILED", "OVERRIDDEN")]),
-    "val_assumption_set": _t("assumption_set_id:L val_run_id:L assumption_key:S assumption_value_numeric:N(24,8)? assumption_value_text:S? assumption_unit:S? source_type:S source_reference:S? created_at:T",
-                             unique=[["val_run_id", "assumption_key"]], foreign=RUN, checks=["assumption_value_numeric IS NOT NULL OR assumption_value_text IS NOT NULL"]),
-    "val_model_output": _t(f"model_output_id:L val_run_id:L model_name:S model_version:S equity_value:N(24,4)? enterprise_value:N(24,4)? target_price:{PX}? weight:N(8,6)? currency_code:S output_payload:J? created_at:T",
-                           unique=[["val_run_id", "model_name", "model_version"]], foreign=RUN, checks=[_in("model_name", "DCF", "RELATIVE", "SOTP", "SCENARIO_WEIGHTED", "BLENDED")]),
-    "val_sensitivity": _t(f"sensitivity_id:L model_output_id:L assumption_key:S shock_label:S shock_value:N(24,8) result_target_price:{PX} created_at:T",
-                          unique=[["model_output_id", "assumption_key", "shock_label"]], foreign={"model_output_id": ("val_model_output", "model_output_id")}),
-    "val_attribution": _t(f"attribution_id:L val_run_id:L driver_type:S driver_key:S impact_value_abs:{PX} impact_value_pct:N(9,4)? direction:S evidence_ref:J? created_at:T", foreign=RUN, checks=[_in("direction", "UP", "DOWN", "NEUTRAL")]),
-    "val_confidence_snapshot": _t("confidence_id:L val_run_id:L " + " ".join(f"{c}:{SCORE}" for c in _CONF) + " scoring_version:S created_at:T", unique=[["val_run_id", "scoring_version"]], foreign=RUN, checks=_percent(*_CONF)),
-    "dq_rule": _t("dq_rule_id:L rule_code:S rule_name:S domain_name:S severity:S rule_expression:S is_active:B owner_team:S created_at:T updated_at:T", unique=[["rule_code"]], checks=[_in("severity", "LOW", "MEDIUM", "HIGH", "CRITICAL")]),
-    "dq_result": _t("dq_result_id:L dq_rule_id:L pipeline_run_id:L? target_table:S target_record_key:S? status:S failure_reason:S? measured_value:S? threshold_value:S? evaluated_at:T",
-                    foreign=PIPE | {"dq_rule_id": ("dq_rule", "dq_rule_id")}, checks=[_in("status", "PASS", "FAIL", "WARN", "SKIPPED")]),
-    "dq_incident": _t("dq_incident_id:L dq_result_id:L incident_status:S impact_level:S assigned_to:S? opened_at:T resolved_at:T? resolution_notes:S?", foreign={"dq_result_id": ("dq_result", "dq_result_id")}, checks=[_in("incident_status", "OPEN", "IN_PROGRESS", "RESOLVED", "CLOSED")]),
-    "auth_user": _t("user_id:L user_uuid:S email:S full_name:S status:S is_mfa_enabled:B last_login_at:T? created_at:T updated_at:T", unique=[["user_uuid"], ["email"]], checks=[_in("status", "ACTIVE", "INACTIVE", "LOCKED")]),
-    "dq_override": _t("dq_override_id:L dq_incident_id:L approved_by_user_id:L override_reason:S override_expiry_ts:T? created_at:T",
-                      foreign={"dq_incident_id": ("dq_incident", "dq_incident_id"), "approved_by_user_id": ("auth_user", "user_id")}),
-    "ops_job_event": _t("job_event_id:L pipeline_run_id:L job_name:S event_type:S event_ts:T message:S? metrics_payload:J?", foreign=PIPE, checks=[_in("event_type", "START", "END", "WARN", "ERROR", "RETRY", "FAILED")]),
-    "ops_data_lineage": _t("lineage_id:L pipeline_run_id:L source_asset:S target_asset:S transform_id:S record_count_in:L? record_count_out:L? lineage_ts:T", foreign=PIPE,
-                           checks=["record_count_in IS NULL OR record_count_in >= 0", "record_count_out IS NULL OR record_count_out >= 0"]),
-    "ops_sla_breach": _t("sla_breach_id:L pipeline_run_id:L? sla_type:S service_name:S expected_value:N(18,4)? actual_value:N(18,4)? breach_detected_at:T resolved_at:T? status:S", foreign=PIPE, checks=[_in("status", "OPEN", "ACKNOWLEDGED", "RESOLVED")]),
-    "auth_role": _t("role_id:L role_code:S role_name:S description:S? is_system_role:B created_at:T", unique=[["role_code"]]),
-    "auth_permission": _t("permission_id:L role_id:L resource_code:S action_code:S effect:S created_at:T", unique=[["role_id", "resource_code", "action_code"]], foreign={"role_id": ("auth_role", "role_id")}, checks=[_in("effect", "ALLOW", "DENY")]),
-    "auth_user_role": _t("user_role_id:L user_id:L role_id:L granted_by_user_id:L? valid_from:T valid_to:T? created_at:T", unique=[["user_id", "role_id", "valid_from"]],
-                         foreign={"user_id": ("auth_user", "user_id"), "role_id": ("auth_role", "role_id")}, checks=["valid_to IS NULL OR valid_to > valid_from"]),
-    "auth_audit_event": _t("audit_event_id:L user_id:L? event_type:S resource_code:S? resource_id:S? event_ts:T ip_address:S? user_agent:S? event_payload:J?", foreign={"user_id": ("auth_user", "user_id")}),
+# --- fixed values ---------------------------------------------------------------
+TABLES = {
+    "ref_exchange": Table(
+        """
+        exchange_id SMALLINT NOT NULL,
+        exchange_code STRING NOT NULL,
+        exchange_name STRING NOT NULL,
+        country_code STRING NOT NULL,
+        timezone STRING NOT NULL,
+        currency_code STRING NOT NULL,
+        is_active BOOLEAN NOT NULL,
+        created_at TIMESTAMP NOT NULL,
+        updated_at TIMESTAMP NOT NULL
+        """,
+        unique=[["exchange_code"]],
+    ),
+    "ref_company": Table(
+        """
+        company_id BIGINT NOT NULL,
+        company_uuid STRING NOT NULL,
+        legal_name STRING NOT NULL,
+        display_name STRING NOT NULL,
+        isin_primary STRING,
+        sector_code STRING,
+        industry_code STRING,
+        incorporation_country STRING,
+        is_listed BOOLEAN NOT NULL,
+        is_active BOOLEAN NOT NULL,
+        created_at TIMESTAMP NOT NULL,
+        updated_at TIMESTAMP NOT NULL
+        """,
+        unique=[["company_uuid"]],
+    ),
+    "ref_instrument": Table(
+        """
+        instrument_id BIGINT NOT NULL,
+        instrument_uuid STRING NOT NULL,
+        company_id BIGINT NOT NULL,
+        exchange_id SMALLINT NOT NULL,
+        symbol STRING NOT NULL,
+        instrument_type STRING NOT NULL,
+        listing_date DATE,
+        delisting_date DATE,
+        tick_size DECIMAL(12,6),
+        lot_size INT,
+        is_active BOOLEAN NOT NULL,
+        created_at TIMESTAMP NOT NULL,
+        updated_at TIMESTAMP NOT NULL
+        """,
+        unique=[["instrument_uuid"], ["exchange_id", "symbol", "is_active"]],
+        foreign={"company_id": ("ref_company", "company_id"), "exchange_id": ("ref_exchange", "exchange_id")},
+        checks=["instrument_type IN ('EQUITY', 'ETF', 'ADR', 'PREF')"],
+    ),
+    "ref_symbol_alias": Table(
+        """
+        alias_id BIGINT NOT NULL,
+        instrument_id BIGINT NOT NULL,
+        source_system STRING NOT NULL,
+        alias_symbol STRING NOT NULL,
+        valid_from DATE NOT NULL,
+        valid_to DATE,
+        created_at TIMESTAMP NOT NULL
+        """,
+        foreign={"instrument_id": ("ref_instrument", "instrument_id")},
+    ),
+    "ref_calendar": Table(
+        """
+        calendar_id BIGINT NOT NULL,
+        exchange_id SMALLINT NOT NULL,
+        trade_date DATE NOT NULL,
+        is_trading_day BOOLEAN NOT NULL,
+        session_open_ts TIMESTAMP,
+        session_close_ts TIMESTAMP,
+        holiday_name STRING,
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["exchange_id", "trade_date"]],
+        foreign={"exchange_id": ("ref_exchange", "exchange_id")},
+    ),
+    "market_ohlcv_1d": Table(
+        """
+        ohlcv_1d_id BIGINT NOT NULL,
+        instrument_id BIGINT NOT NULL,
+        trade_date DATE NOT NULL,
+        open_px DECIMAL(18,6) NOT NULL,
+        high_px DECIMAL(18,6) NOT NULL,
+        low_px DECIMAL(18,6) NOT NULL,
+        close_px DECIMAL(18,6) NOT NULL,
+        adj_close_px DECIMAL(18,6),
+        volume DECIMAL(24,0) NOT NULL,
+        turnover DECIMAL(24,2),
+        source_system STRING NOT NULL,
+        source_record_id STRING,
+        ingested_at TIMESTAMP NOT NULL
+        """,
+        unique=[["instrument_id", "trade_date"]],
+        foreign={"instrument_id": ("ref_instrument", "instrument_id")},
+        checks=["high_px >= greatest(open_px, close_px)", "low_px <= least(open_px, close_px)"],
+    ),
+    "market_ohlcv_intraday": Table(
+        """
+        ohlcv_intraday_id BIGINT NOT NULL,
+        instrument_id BIGINT NOT NULL,
+        bar_start_ts TIMESTAMP NOT NULL,
+        bar_end_ts TIMESTAMP NOT NULL,
+        bar_interval_sec INT NOT NULL,
+        open_px DECIMAL(18,6) NOT NULL,
+        high_px DECIMAL(18,6) NOT NULL,
+        low_px DECIMAL(18,6) NOT NULL,
+        close_px DECIMAL(18,6) NOT NULL,
+        volume DECIMAL(24,0) NOT NULL,
+        vwap DECIMAL(18,6),
+        source_system STRING NOT NULL,
+        ingested_at TIMESTAMP NOT NULL
+        """,
+        unique=[["instrument_id", "bar_start_ts", "bar_interval_sec"]],
+        foreign={"instrument_id": ("ref_instrument", "instrument_id")},
+        checks=["bar_end_ts > bar_start_ts"],
+    ),
+    "market_corporate_action": Table(
+        """
+        corp_action_id BIGINT NOT NULL,
+        instrument_id BIGINT NOT NULL,
+        action_type STRING NOT NULL,
+        announcement_date DATE,
+        ex_date DATE NOT NULL,
+        record_date DATE,
+        effective_date DATE,
+        action_value DECIMAL(20,8),
+        action_ratio_num DECIMAL(20,8),
+        action_ratio_den DECIMAL(20,8),
+        currency_code STRING,
+        source_system STRING NOT NULL,
+        source_record_id STRING,
+        ingested_at TIMESTAMP NOT NULL
+        """,
+        foreign={"instrument_id": ("ref_instrument", "instrument_id")},
+        checks=["action_type IN ('SPLIT', 'BONUS', 'RIGHTS', 'DIVIDEND', 'MERGER', 'DEMERGER', 'DELISTING')"],
+    ),
+    "market_orderbook_snapshot": Table(
+        """
+        snapshot_id BIGINT NOT NULL,
+        instrument_id BIGINT NOT NULL,
+        snapshot_ts TIMESTAMP NOT NULL,
+        depth_level SMALLINT NOT NULL,
+        best_bid_px DECIMAL(18,6),
+        best_bid_qty DECIMAL(24,0),
+        best_ask_px DECIMAL(18,6),
+        best_ask_qty DECIMAL(24,0),
+        book_payload STRING NOT NULL,
+        source_system STRING NOT NULL,
+        ingested_at TIMESTAMP NOT NULL
+        """,
+        foreign={"instrument_id": ("ref_instrument", "instrument_id")},
+        checks=["depth_level >= 1"],
+    ),
+    "fund_statement_fact": Table(
+        """
+        statement_fact_id BIGINT NOT NULL,
+        instrument_id BIGINT NOT NULL,
+        fiscal_year SMALLINT NOT NULL,
+        fiscal_period STRING NOT NULL,
+        statement_type STRING NOT NULL,
+        line_item_code STRING NOT NULL,
+        value DECIMAL(24,4) NOT NULL,
+        currency_code STRING NOT NULL,
+        scale_code STRING NOT NULL,
+        as_reported_ts TIMESTAMP NOT NULL,
+        effective_from_ts TIMESTAMP NOT NULL,
+        effective_to_ts TIMESTAMP,
+        source_system STRING NOT NULL,
+        source_record_id STRING,
+        ingested_at TIMESTAMP NOT NULL
+        """,
+        foreign={"instrument_id": ("ref_instrument", "instrument_id")},
+        checks=["statement_type IN ('PL', 'BS', 'CF')", "fiscal_period IN ('Q1', 'Q2', 'Q3', 'Q4', 'FY', 'H1', 'H2', 'TTM')"],
+    ),
+    "fund_metric_fact": Table(
+        """
+        metric_fact_id BIGINT NOT NULL,
+        instrument_id BIGINT NOT NULL,
+        metric_code STRING NOT NULL,
+        metric_value DECIMAL(24,8) NOT NULL,
+        metric_unit STRING NOT NULL,
+        as_of_date DATE NOT NULL,
+        lookback_period STRING,
+        calc_version STRING NOT NULL,
+        input_hash STRING NOT NULL,
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["instrument_id", "metric_code", "as_of_date", "calc_version"]],
+        foreign={"instrument_id": ("ref_instrument", "instrument_id")},
+    ),
+    "fund_restatement_log": Table(
+        """
+        restatement_id BIGINT NOT NULL,
+        statement_fact_id BIGINT NOT NULL,
+        restatement_type STRING NOT NULL,
+        old_value DECIMAL(24,4) NOT NULL,
+        new_value DECIMAL(24,4) NOT NULL,
+        reason_text STRING,
+        detected_at TIMESTAMP NOT NULL,
+        source_system STRING NOT NULL
+        """,
+        foreign={"statement_fact_id": ("fund_statement_fact", "statement_fact_id")},
+        checks=["new_value <> old_value"],
+    ),
+    "fund_segment_fact": Table(
+        """
+        segment_fact_id BIGINT NOT NULL,
+        instrument_id BIGINT NOT NULL,
+        segment_code STRING NOT NULL,
+        segment_name STRING NOT NULL,
+        metric_code STRING NOT NULL,
+        metric_value DECIMAL(24,4) NOT NULL,
+        fiscal_year SMALLINT NOT NULL,
+        fiscal_period STRING NOT NULL,
+        currency_code STRING NOT NULL,
+        as_reported_ts TIMESTAMP NOT NULL,
+        source_system STRING NOT NULL,
+        ingested_at TIMESTAMP NOT NULL
+        """,
+        foreign={"instrument_id": ("ref_instrument", "instrument_id")},
+    ),
+    "news_source_profile": Table(
+        """
+        source_id BIGINT NOT NULL,
+        source_code STRING NOT NULL,
+        source_name STRING NOT NULL,
+        source_type STRING NOT NULL,
+        license_class STRING NOT NULL,
+        base_reliability_score DECIMAL(5,2) NOT NULL,
+        terms_url STRING,
+        is_active BOOLEAN NOT NULL,
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["source_code"]],
+        checks=["base_reliability_score BETWEEN 0 AND 100"],
+    ),
+    "news_article": Table(
+        """
+        article_id BIGINT NOT NULL,
+        source_id BIGINT NOT NULL,
+        external_article_id STRING,
+        url STRING NOT NULL,
+        headline STRING NOT NULL,
+        published_at TIMESTAMP NOT NULL,
+        captured_at TIMESTAMP NOT NULL,
+        language_code STRING,
+        article_text_hash STRING NOT NULL,
+        article_text STRING,
+        raw_payload STRING,
+        is_paywalled BOOLEAN NOT NULL
+        """,
+        unique=[["source_id", "external_article_id"]],
+        foreign={"source_id": ("news_source_profile", "source_id")},
+        checks=["captured_at >= published_at"],
+    ),
+    "news_entity_link": Table(
+        """
+        entity_link_id BIGINT NOT NULL,
+        article_id BIGINT NOT NULL,
+        company_id BIGINT NOT NULL,
+        mention_type STRING NOT NULL,
+        relevance_score DECIMAL(5,2) NOT NULL,
+        sentiment_score DECIMAL(6,3),
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["article_id", "company_id", "mention_type"]],
+        foreign={"article_id": ("news_article", "article_id"), "company_id": ("ref_company", "company_id")},
+        checks=["relevance_score BETWEEN 0 AND 100"],
+    ),
+    "news_event": Table(
+        """
+        event_id BIGINT NOT NULL,
+        article_id BIGINT NOT NULL,
+        event_type STRING NOT NULL,
+        event_subtype STRING,
+        event_direction STRING,
+        event_severity DECIMAL(5,2),
+        event_payload STRING,
+        event_confidence DECIMAL(5,2) NOT NULL,
+        created_at TIMESTAMP NOT NULL
+        """,
+        foreign={"article_id": ("news_article", "article_id")},
+        checks=["event_confidence BETWEEN 0 AND 100", "event_direction IN ('POSITIVE', 'NEGATIVE', 'NEUTRAL')"],
+    ),
+    "news_reliability_score": Table(
+        """
+        reliability_id BIGINT NOT NULL,
+        article_id BIGINT NOT NULL,
+        source_reliability DECIMAL(5,2) NOT NULL,
+        content_consistency DECIMAL(5,2) NOT NULL,
+        cross_source_confirmation DECIMAL(5,2) NOT NULL,
+        final_reliability_score DECIMAL(5,2) NOT NULL,
+        scoring_version STRING NOT NULL,
+        scored_at TIMESTAMP NOT NULL
+        """,
+        unique=[["article_id", "scoring_version"]],
+        foreign={"article_id": ("news_article", "article_id")},
+        checks=["source_reliability BETWEEN 0 AND 100", "content_consistency BETWEEN 0 AND 100", "cross_source_confirmation BETWEEN 0 AND 100", "final_reliability_score BETWEEN 0 AND 100"],
+    ),
+    "ops_pipeline_run": Table(
+        """
+        pipeline_run_id BIGINT NOT NULL,
+        run_uuid STRING NOT NULL,
+        pipeline_name STRING NOT NULL,
+        run_mode STRING NOT NULL,
+        triggered_by STRING NOT NULL,
+        status STRING NOT NULL,
+        started_at TIMESTAMP NOT NULL,
+        ended_at TIMESTAMP,
+        run_context STRING
+        """,
+        unique=[["run_uuid"]],
+        checks=["status IN ('QUEUED', 'RUNNING', 'SUCCESS', 'FAILED', 'CANCELLED')"],
+    ),
+    "val_run": Table(
+        """
+        val_run_id BIGINT NOT NULL,
+        run_uuid STRING NOT NULL,
+        instrument_id BIGINT NOT NULL,
+        as_of_ts TIMESTAMP NOT NULL,
+        run_type STRING NOT NULL,
+        trigger_type STRING NOT NULL,
+        status STRING NOT NULL,
+        pipeline_run_id BIGINT,
+        created_at TIMESTAMP NOT NULL,
+        completed_at TIMESTAMP
+        """,
+        unique=[["run_uuid"]],
+        foreign={"instrument_id": ("ref_instrument", "instrument_id"), "pipeline_run_id": ("ops_pipeline_run", "pipeline_run_id")},
+        checks=["status IN ('QUEUED', 'RUNNING', 'SUCCESS', 'FAILED', 'OVERRIDDEN')"],
+    ),
+    "val_assumption_set": Table(
+        """
+        assumption_set_id BIGINT NOT NULL,
+        val_run_id BIGINT NOT NULL,
+        assumption_key STRING NOT NULL,
+        assumption_value_numeric DECIMAL(24,8),
+        assumption_value_text STRING,
+        assumption_unit STRING,
+        source_type STRING NOT NULL,
+        source_reference STRING,
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["val_run_id", "assumption_key"]],
+        foreign={"val_run_id": ("val_run", "val_run_id")},
+        checks=["assumption_value_numeric IS NOT NULL OR assumption_value_text IS NOT NULL"],
+    ),
+    "val_model_output": Table(
+        """
+        model_output_id BIGINT NOT NULL,
+        val_run_id BIGINT NOT NULL,
+        model_name STRING NOT NULL,
+        model_version STRING NOT NULL,
+        equity_value DECIMAL(24,4),
+        enterprise_value DECIMAL(24,4),
+        target_price DECIMAL(18,6),
+        weight DECIMAL(8,6),
+        currency_code STRING NOT NULL,
+        output_payload STRING,
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["val_run_id", "model_name", "model_version"]],
+        foreign={"val_run_id": ("val_run", "val_run_id")},
+        checks=["model_name IN ('DCF', 'RELATIVE', 'SOTP', 'SCENARIO_WEIGHTED', 'BLENDED')"],
+    ),
+    "val_sensitivity": Table(
+        """
+        sensitivity_id BIGINT NOT NULL,
+        model_output_id BIGINT NOT NULL,
+        assumption_key STRING NOT NULL,
+        shock_label STRING NOT NULL,
+        shock_value DECIMAL(24,8) NOT NULL,
+        result_target_price DECIMAL(18,6) NOT NULL,
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["model_output_id", "assumption_key", "shock_label"]],
+        foreign={"model_output_id": ("val_model_output", "model_output_id")},
+    ),
+    "val_attribution": Table(
+        """
+        attribution_id BIGINT NOT NULL,
+        val_run_id BIGINT NOT NULL,
+        driver_type STRING NOT NULL,
+        driver_key STRING NOT NULL,
+        impact_value_abs DECIMAL(18,6) NOT NULL,
+        impact_value_pct DECIMAL(9,4),
+        direction STRING NOT NULL,
+        evidence_ref STRING,
+        created_at TIMESTAMP NOT NULL
+        """,
+        foreign={"val_run_id": ("val_run", "val_run_id")},
+        checks=["direction IN ('UP', 'DOWN', 'NEUTRAL')"],
+    ),
+    "val_confidence_snapshot": Table(
+        """
+        confidence_id BIGINT NOT NULL,
+        val_run_id BIGINT NOT NULL,
+        overall_confidence DECIMAL(5,2) NOT NULL,
+        data_quality_score DECIMAL(5,2) NOT NULL,
+        management_credibility_score DECIMAL(5,2) NOT NULL,
+        industry_stability_score DECIMAL(5,2) NOT NULL,
+        forecast_accuracy_score DECIMAL(5,2) NOT NULL,
+        news_reliability_score DECIMAL(5,2) NOT NULL,
+        model_agreement_score DECIMAL(5,2) NOT NULL,
+        scenario_dispersion_score DECIMAL(5,2) NOT NULL,
+        scoring_version STRING NOT NULL,
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["val_run_id", "scoring_version"]],
+        foreign={"val_run_id": ("val_run", "val_run_id")},
+        checks=["overall_confidence BETWEEN 0 AND 100", "data_quality_score BETWEEN 0 AND 100", "management_credibility_score BETWEEN 0 AND 100", "industry_stability_score BETWEEN 0 AND 100", "forecast_accuracy_score BETWEEN 0 AND 100", "news_reliability_score BETWEEN 0 AND 100", "model_agreement_score BETWEEN 0 AND 100", "scenario_dispersion_score BETWEEN 0 AND 100"],
+    ),
+    "dq_rule": Table(
+        """
+        dq_rule_id BIGINT NOT NULL,
+        rule_code STRING NOT NULL,
+        rule_name STRING NOT NULL,
+        domain_name STRING NOT NULL,
+        severity STRING NOT NULL,
+        rule_expression STRING NOT NULL,
+        is_active BOOLEAN NOT NULL,
+        owner_team STRING NOT NULL,
+        created_at TIMESTAMP NOT NULL,
+        updated_at TIMESTAMP NOT NULL
+        """,
+        unique=[["rule_code"]],
+        checks=["severity IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL')"],
+    ),
+    "dq_result": Table(
+        """
+        dq_result_id BIGINT NOT NULL,
+        dq_rule_id BIGINT NOT NULL,
+        pipeline_run_id BIGINT,
+        target_table STRING NOT NULL,
+        target_record_key STRING,
+        status STRING NOT NULL,
+        failure_reason STRING,
+        measured_value STRING,
+        threshold_value STRING,
+        evaluated_at TIMESTAMP NOT NULL
+        """,
+        foreign={"pipeline_run_id": ("ops_pipeline_run", "pipeline_run_id"), "dq_rule_id": ("dq_rule", "dq_rule_id")},
+        checks=["status IN ('PASS', 'FAIL', 'WARN', 'SKIPPED')"],
+    ),
+    "dq_incident": Table(
+        """
+        dq_incident_id BIGINT NOT NULL,
+        dq_result_id BIGINT NOT NULL,
+        incident_status STRING NOT NULL,
+        impact_level STRING NOT NULL,
+        assigned_to STRING,
+        opened_at TIMESTAMP NOT NULL,
+        resolved_at TIMESTAMP,
+        resolution_notes STRING
+        """,
+        foreign={"dq_result_id": ("dq_result", "dq_result_id")},
+        checks=["incident_status IN ('OPEN', 'IN_PROGRESS', 'RESOLVED', 'CLOSED')"],
+    ),
+    "auth_user": Table(
+        """
+        user_id BIGINT NOT NULL,
+        user_uuid STRING NOT NULL,
+        email STRING NOT NULL,
+        full_name STRING NOT NULL,
+        status STRING NOT NULL,
+        is_mfa_enabled BOOLEAN NOT NULL,
+        last_login_at TIMESTAMP,
+        created_at TIMESTAMP NOT NULL,
+        updated_at TIMESTAMP NOT NULL
+        """,
+        unique=[["user_uuid"], ["email"]],
+        checks=["status IN ('ACTIVE', 'INACTIVE', 'LOCKED')"],
+    ),
+    "dq_override": Table(
+        """
+        dq_override_id BIGINT NOT NULL,
+        dq_incident_id BIGINT NOT NULL,
+        approved_by_user_id BIGINT NOT NULL,
+        override_reason STRING NOT NULL,
+        override_expiry_ts TIMESTAMP,
+        created_at TIMESTAMP NOT NULL
+        """,
+        foreign={"dq_incident_id": ("dq_incident", "dq_incident_id"), "approved_by_user_id": ("auth_user", "user_id")},
+    ),
+    "ops_job_event": Table(
+        """
+        job_event_id BIGINT NOT NULL,
+        pipeline_run_id BIGINT NOT NULL,
+        job_name STRING NOT NULL,
+        event_type STRING NOT NULL,
+        event_ts TIMESTAMP NOT NULL,
+        message STRING,
+        metrics_payload STRING
+        """,
+        foreign={"pipeline_run_id": ("ops_pipeline_run", "pipeline_run_id")},
+        checks=["event_type IN ('START', 'END', 'WARN', 'ERROR', 'RETRY', 'FAILED')"],
+    ),
+    "ops_data_lineage": Table(
+        """
+        lineage_id BIGINT NOT NULL,
+        pipeline_run_id BIGINT NOT NULL,
+        source_asset STRING NOT NULL,
+        target_asset STRING NOT NULL,
+        transform_id STRING NOT NULL,
+        record_count_in BIGINT,
+        record_count_out BIGINT,
+        lineage_ts TIMESTAMP NOT NULL
+        """,
+        foreign={"pipeline_run_id": ("ops_pipeline_run", "pipeline_run_id")},
+        checks=["record_count_in IS NULL OR record_count_in >= 0", "record_count_out IS NULL OR record_count_out >= 0"],
+    ),
+    "ops_sla_breach": Table(
+        """
+        sla_breach_id BIGINT NOT NULL,
+        pipeline_run_id BIGINT,
+        sla_type STRING NOT NULL,
+        service_name STRING NOT NULL,
+        expected_value DECIMAL(18,4),
+        actual_value DECIMAL(18,4),
+        breach_detected_at TIMESTAMP NOT NULL,
+        resolved_at TIMESTAMP,
+        status STRING NOT NULL
+        """,
+        foreign={"pipeline_run_id": ("ops_pipeline_run", "pipeline_run_id")},
+        checks=["status IN ('OPEN', 'ACKNOWLEDGED', 'RESOLVED')"],
+    ),
+    "auth_role": Table(
+        """
+        role_id BIGINT NOT NULL,
+        role_code STRING NOT NULL,
+        role_name STRING NOT NULL,
+        description STRING,
+        is_system_role BOOLEAN NOT NULL,
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["role_code"]],
+    ),
+    "auth_permission": Table(
+        """
+        permission_id BIGINT NOT NULL,
+        role_id BIGINT NOT NULL,
+        resource_code STRING NOT NULL,
+        action_code STRING NOT NULL,
+        effect STRING NOT NULL,
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["role_id", "resource_code", "action_code"]],
+        foreign={"role_id": ("auth_role", "role_id")},
+        checks=["effect IN ('ALLOW', 'DENY')"],
+    ),
+    "auth_user_role": Table(
+        """
+        user_role_id BIGINT NOT NULL,
+        user_id BIGINT NOT NULL,
+        role_id BIGINT NOT NULL,
+        granted_by_user_id BIGINT,
+        valid_from TIMESTAMP NOT NULL,
+        valid_to TIMESTAMP,
+        created_at TIMESTAMP NOT NULL
+        """,
+        unique=[["user_id", "role_id", "valid_from"]],
+        foreign={"user_id": ("auth_user", "user_id"), "role_id": ("auth_role", "role_id")},
+        checks=["valid_to IS NULL OR valid_to > valid_from"],
+    ),
+    "auth_audit_event": Table(
+        """
+        audit_event_id BIGINT NOT NULL,
+        user_id BIGINT,
+        event_type STRING NOT NULL,
+        resource_code STRING,
+        resource_id STRING,
+        event_ts TIMESTAMP NOT NULL,
+        ip_address STRING,
+        user_agent STRING,
+        event_payload STRING
+        """,
+        foreign={"user_id": ("auth_user", "user_id")},
+    ),
 }
 # -------------------------------------------------------------------------------
 

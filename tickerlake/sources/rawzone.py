@@ -62,27 +62,41 @@ def save_versions(versions: DataFrame, path: str) -> None:
     versions.write.mode("append").partitionBy(*KEYS).parquet(f"{path}/versions")
 
 
+MANIFEST = "source_system string, trade_date date, current_checksum string, previous_checksum string, row_count long"
+
+
 def save_manifest(manifest: DataFrame, path: str, batch: int) -> None:
-    """Manifests are whole snapshots by batch number, so a retry rewrites its own."""
+    """A batch's manifest rows, under its number, so that a retry rewrites its own.  Keys it leaves out stay as they were."""
     manifest.write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")
 
 
+def newest_manifest(spark: SparkSession, path: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The newest row of each key (of ``keys`` only), from all batches or those before a number."""
+    rows = spark.read.schema(f"{MANIFEST}, batch long").parquet(f"{path}/manifest")
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    if keys is not None:
+        rows = rows.join(keys.select(*KEYS).distinct(), KEYS, "left_semi")
+    return timejoin.latest_by(rows, KEYS, [F.col("batch")], ["current_checksum", "previous_checksum", "row_count"])
+
+
 def current_rows(versions: DataFrame, manifest: DataFrame) -> DataFrame:
     """Rows of the current payloads with their record id and arrival time.
 
     ``versions`` has rows_json (array of objects) and written_at.
     """
     current = manifest.select(*KEYS, F.col("current_checksum").alias("checksum"))
-    once = timejoin.latest_by(versions, [*KEYS, "checksum"], [F.col("arrival")], ["rows_json", "written_at"])
-    return once.join(current, [*KEYS, "checksum"]).select(
+    # superseded payloads leave before anything wide is shuffled
+    kept = versions.join(current, [*KEYS, "checksum"], "left_semi")
+    once = timejoin.latest_by(kept, [*KEYS, "checksum"], [F.col("arrival")], ["rows_json", "written_at"])
+    return once.select(
         *KEYS, "checksum", F.col("written_at").alias("ingested_ts"), F.posexplode(F.from_json("rows_json", "array<map<string,string>>")).alias("_i", "row"),
     ).withColumn("source_record_id", F.concat(F.col("checksum"), F.lit(".json:"), F.col("_i").cast("string"))).drop("_i")
 
 
 def raw_zone_read_current(spark: SparkSession, path: str, source: str | None = None, trade_date: dt.date | None = None) -> DataFrame:
-    """Follow the newest manifest to the current payloads and give their rows."""
-    snaps = spark.read.parquet(f"{path}/manifest")
-    manifest = snaps.where(F.col("batch") == snaps.agg(F.max("batch")).head()[0]).drop("batch")
+    """Follow the newest manifest row of each key to the current payload and give its rows."""
+    manifest = newest_manifest(spark, path)
     versions = spark.read.parquet(f"{path}/versions")
     # partition filters reach the file listing
     if source is not None:

@@ -51,9 +51,8 @@ def stream_dedupe_payloads(payloads: DataFrame, out: str, checkpoint: str) -> St
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        past = f"{out}/manifest/batch={number - 1}"
-        manifest = spark.read.parquet(past) if number > 0 else spark.createDataFrame(
-            [], "source_system string, trade_date date, current_checksum string, previous_checksum string, row_count long")
+        # only the batch's keys are read, and their manifest rows appended
+        manifest = rawzone.newest_manifest(spark, out, number, batch) if number > 0 else spark.createDataFrame([], rawzone.MANIFEST)
         stored = None
         if number > 0:  # what earlier batches have stored for this batch's keys: a payload that returns is not created again
             earlier = spark.read.parquet(f"{out}/versions").where(F.col("batch") < number)
