@@ -131,3 +131,12 @@ def test_shared_folder_is_required_on_a_cluster():
         session.work_dir(Session(), "x")
     Context.master = "local[4]"
     assert "tickerlake/x-" in session.work_dir(Session(), "x")
+
+
+def test_order_statistics_of_values_in_one_bin(spark):
+    from tickerlake.operators import orderstats
+
+    values = [1000.0 + i * 1e-7 for i in range(1001)] * 2 + [1000.0] * 50
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, 5.0)] * 3 + [(3, None)], "g int, v double")
+    got = {r.g: r.median for r in orderstats.median_exact(df, ["g"], "v").collect()}
+    assert got == {1: sorted(values)[len(values) // 2 - 1] / 2 + sorted(values)[len(values) // 2] / 2, 2: 5.0}

@@ -1,8 +1,10 @@
 """Exact order statistics per group without gathering a group anywhere.
 
 Values are first collapsed to (value, weight), then counted in narrow monotone
-bins.  Only the bins that hold a wanted position are opened.  A group of any size
-is thus spread over its bins, and what reaches one task is one bin.
+bins.  Only the bins that hold a wanted position are opened, and these are cut
+again into equal parts between their least and greatest value.  A group of any
+size is thus spread over its bins, and what reaches one task is one part of a bin,
+also where all values lie close together.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 BINS_PER_OCTAVE = 256
+SUB_BINS = 4096
 
 
 def monotone_bin(v: Column) -> Column:
@@ -31,24 +34,33 @@ def order_stats(df: DataFrame, keys: list[str], value: str, positions: str) -> D
         .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
         .withColumn("_bin", monotone_bin(F.col(value)))
     )
-    bins = c.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_bw"))
+    plain = F.col(value).cast("double")
+    bins = c.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_bw"), F.min(plain).alias("_least"), F.max(plain).alias("_most"))
     run = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     bins = (
         bins.withColumn("_upto", F.sum("_bw").over(run))
         .withColumn("n", F.sum("_bw").over(whole))
         .withColumn("_from", F.col("_upto") - F.col("_bw"))
-        .withColumn(
-            "_need",
-            F.expr(f"filter(array_distinct({positions}), p -> p >= _from and p < _upto)"),
-        )
+        .withColumn("_need", F.expr(f"filter(array_distinct({positions}), p -> p >= _from and p < _upto)"))
         .where(F.size("_need") > 0)
-        .select(*keys, "_bin", "n", "_from", "_need")
+        .select(*keys, "_bin", "n", "_from", "_need", "_least", "_most")
     )
-    inside = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    part = F.least(F.floor((plain - F.col("_least")) / F.nullif(F.col("_most") - F.col("_least"), F.lit(0.0)) * SUB_BINS), F.lit(SUB_BINS - 1))
+    opened = c.join(bins, [*keys, "_bin"]).withColumn("_sub", F.coalesce(part, F.lit(0)))
+    # the same again inside the opened bins; their rows of all groups are few
+    cut = W.partitionBy(*keys, "_bin").orderBy("_sub").rowsBetween(W.unboundedPreceding, 0)
+    subs = (
+        opened.groupBy(*keys, "_bin", "_sub").agg(F.sum("_w").alias("_bw"), F.first("_from").alias("_base"), F.first("_need").alias("_wanted"))
+        .withColumn("_end", F.sum("_bw").over(cut) + F.col("_base"))
+        .withColumn("_begin", F.col("_end") - F.col("_bw"))
+        .where("exists(_wanted, p -> p >= _begin and p < _end)")
+        .select(*keys, "_bin", "_sub", "_begin")
+    )
+    inside = W.partitionBy(*keys, "_bin", "_sub").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     hits = (
-        c.join(bins, [*keys, "_bin"])
-        .withColumn("_hi", F.sum("_w").over(inside) + F.col("_from"))
+        opened.join(subs, [*keys, "_bin", "_sub"])
+        .withColumn("_hi", F.sum("_w").over(inside) + F.col("_begin"))
         .withColumn("_lo", F.col("_hi") - F.col("_w"))
         .withColumn("_p", F.expr("explode(filter(_need, p -> p >= _lo and p < _hi))"))
     )
