@@ -38,7 +38,8 @@ LONGEST = 31
 LEAST_SCORE = 0.5
 FOLDS, HELD_OUT = 3, 1
 UNDETERMINED = "und"
-BLANKS = b" \t\n\r\f\v"
+#: All ASCII bytes but letters part words.
+BLANKS = b" " + bytes(b for b in range(128) if b != 32 and not chr(b).isalpha())
 LETTERS = re.compile(r"[^\W\d_]+")
 SLICE_BYTES = 2_000_000
 
@@ -59,61 +60,114 @@ def marked_words(chunk: str) -> list[str]:
     return [MARKER + run[a : a + LONGEST] for run in LETTERS.findall(chunk.lower()) for a in range(0, len(run), LONGEST)]
 
 
-def lattice(words: list[str], path: str) -> np.ndarray:
-    """(word, start, length - 1): numbers of the pieces of equally long words; behind the last piece: 0 unknown character, 1 no piece."""
+STEP, SPREAD = common.U64(0x9E3779B97F4A7C15), common.U64(0xD6E8FEB86659FD93)
+SLOT_BITS = 20
+#: Words are scored in groups of lengths up to these (with the marker), and as many at once as keep a table below CELLS.
+LENGTHS = (6, 9, 12, 16, 22, LONGEST + 1)
+CELLS = 4_000_000
+
+
+def points(words: list[str], size: int) -> np.ndarray:
+    """(word, place) code points, 0 behind the end."""
+    return np.array(words, dtype=f"<U{size}").view(np.uint32).reshape(len(words), size).astype(np.uint64)
+
+
+def slot(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> common.U64(29))) * SPREAD >> common.U64(64 - SLOT_BITS)).astype(np.int64)
+
+
+@functools.cache
+def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Open hash table of the pieces: (hash, number) by slot, and how many slots a look-up may take."""
     pieces, longest = vocabulary(path)
-    size, none = len(words[0]), len(pieces) + 1
-    longest = min(longest, size)
-    get = pieces.get
-    flat = [get(w[i : i + m], none) if i + m <= size else none for w in words for i in range(size) for m in range(1, longest + 1)]
-    out = np.array(flat, dtype=np.int32).reshape(len(words), size, longest)
-    out[:, :, 0][out[:, :, 0] == none] = none - 1
+    codes = points(list(pieces), longest)
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(pieces), dtype=np.uint64)
+        for k in range(longest):
+            h = np.where(codes[:, k] > 0, (h + codes[:, k]) * STEP, h)
+        home = slot(h)
+    keys, numbers, most = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32), 1
+    for key, at, n in zip(h.tolist(), home.tolist(), range(len(h))):
+        tries = 1
+        while keys[at]:
+            at, tries = (at + 1) % (1 << SLOT_BITS), tries + 1
+        keys[at], numbers[at], most = key, n, max(most, tries)
+    return keys, numbers, most
+
+
+def lattice(words: list[str], size: int, path: str) -> np.ndarray:
+    """(word, start, length - 1): numbers of the pieces of words of at most ``size`` characters; behind the last piece:
+    0 unknown character, 1 no piece."""
+    pieces, longest = vocabulary(path)
+    keys, numbers, most = piece_table(path)
+    none, longest = len(pieces) + 1, min(longest, size)
+    codes = points(words, size)
+    out = np.full((len(words), size, longest), none, dtype=np.int32)
+    with np.errstate(over="ignore"):
+        h = np.zeros_like(codes)
+        for m in range(1, longest + 1):
+            last = codes[:, m - 1 :]
+            h = (h[:, : size - m + 1] + last) * STEP
+            at = slot(h)
+            found = np.where((keys[at] == h) & (last > 0), numbers[at], none)
+            for k in range(1, most):
+                later = (at + k) % (1 << SLOT_BITS)
+                found = np.where((keys[later] == h) & (last > 0), numbers[later], found)
+            out[:, : size - m + 1, m - 1] = found
+    single = out[:, :, 0]
+    single[(single == none) & (codes > 0)] = none - 1
     return out
 
 
-def by_length(words: list[str]) -> list[np.ndarray]:
+def by_length(words: list[str]) -> list[tuple[int, np.ndarray]]:
+    """(largest size, places of words) of groups of similar lengths, small enough to be scored at once."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    order = np.argsort(sizes, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(words) else []
+    out = []
+    for low, high in zip((0, *LENGTHS), LENGTHS):
+        own = np.flatnonzero((sizes > low) & (sizes <= high))
+        step = max(1, CELLS // (high * high))
+        out += [(high, own[a : a + step]) for a in range(0, len(own), step)]
+    return out
 
 
 def forward(ids: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """(word, place, language): probability of the first characters over all segmentations."""
+    """(place, word, language): probability of the first characters over all segmentations."""
     n, size, longest = ids.shape
-    out = np.zeros((n, size + 1, chance.shape[1]))
-    out[:, 0] = 1.0
+    out = np.zeros((size + 1, n, chance.shape[1]))
+    out[0] = 1.0
     for j in range(1, size + 1):
         for m in range(1, min(longest, j) + 1):
-            out[:, j] += out[:, j - m] * chance[ids[:, j - m, m - 1]]
+            out[j] += out[j - m] * chance[ids[:, j - m, m - 1]]
     return out
 
 
 def log_chances(words: list[str], chance: np.ndarray, path: str) -> np.ndarray:
     """(word, language) logarithms of the marginal probabilities."""
     out = np.zeros((len(words), chance.shape[1]))
-    for group in by_length(words):
-        for part in np.array_split(group, -(-len(group) // 20_000)):
-            out[part] = np.log(forward(lattice([words[i] for i in part], path), chance)[:, -1])
+    for size, part in by_length(words):
+        own = [words[i] for i in part]
+        out[part] = np.log(forward(lattice(own, size, path), chance)[[len(w) for w in own], np.arange(len(own))])
     return out
 
 
 def expected(words: list[str], counts: np.ndarray, chance: np.ndarray, path: str) -> np.ndarray:
-    """Expected uses of every piece under one language's probabilities, (pieces + 2, 1)."""
+    """Expected uses of every piece under one language's probabilities."""
     out = np.zeros(len(chance))
-    for group in by_length(words):
-        for part in np.array_split(group, -(-len(group) // 20_000)):
-            ids = lattice([words[i] for i in part], path)
-            n, size, longest = ids.shape
-            ahead = forward(ids, chance)[:, :, 0]
-            behind = np.zeros((n, size + 1))
-            behind[:, size] = counts[part] / ahead[:, size]
-            for i in range(size - 1, -1, -1):
-                for m in range(1, min(longest, size - i) + 1):
-                    behind[:, i] += behind[:, i + m] * chance[ids[:, i, m - 1], 0]
-            for i in range(size):
-                for m in range(1, min(longest, size - i) + 1):
-                    k = ids[:, i, m - 1]
-                    out += np.bincount(k, weights=ahead[:, i] * chance[k, 0] * behind[:, i + m], minlength=len(out))
+    for high, part in by_length(words):
+        own = [words[i] for i in part]
+        ids = lattice(own, high, path)
+        n, size, longest = ids.shape
+        ahead = forward(ids, chance)[:, :, 0]
+        ends, each = np.array([len(w) for w in own]), np.arange(n)
+        behind = np.zeros((size + 1, n))
+        behind[ends, each] = counts[part] / ahead[ends, each]
+        for i in range(size - 1, -1, -1):
+            for m in range(1, min(longest, size - i) + 1):
+                behind[i] += behind[i + m] * chance[ids[:, i, m - 1], 0]
+        for i in range(size):
+            for m in range(1, min(longest, size - i) + 1):
+                k = ids[:, i, m - 1]
+                out += np.bincount(k, weights=ahead[i] * chance[k, 0] * behind[i + m], minlength=len(out))
     return out
 
 
@@ -186,7 +240,7 @@ class Scorer:
         self.letters = np.empty(1 << 16, dtype=np.int64)
 
     def learn(self, chunks: list[bytes], first: int) -> None:
-        found = [marked_words(c.decode()) for c in chunks]
+        found = [[MARKER + t] if len(t) <= LONGEST and t.isascii() else marked_words(t) for t in b" ".join(chunks).decode().split(" ")]
         flat = [w for words in found for w in words]
         own = np.repeat(np.arange(len(found)), [len(w) for w in found])
         behind = first + len(chunks)
@@ -200,7 +254,7 @@ class Scorer:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         n, languages = len(texts), self.model.languages
         total, letters = np.zeros((n, len(languages))), np.zeros(n, dtype=np.int64)
-        plain = [(t or "").encode() for t in texts]
+        plain = [(t or "").encode().lower() for t in texts]  # bytes: ASCII letters alone, the rest when a word is learned
         for owners, data in segments(plain, BLANKS) if languages else []:
             codes, starts = self.words.codes(data)
             behind = np.cumsum([len(plain[i]) + 1 for i in owners]) if len(owners) > 1 else np.array([len(data)])
