@@ -57,10 +57,14 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_sym", text.normalize_identifier(F.col("symbol"))).withColumn("_ex", text.normalize_exchange(F.col("exchange")))
 
 
-def _alias_hits(keyed: DataFrame, instruments: DataFrame, exchanges: DataFrame, aliases: DataFrame) -> DataFrame:
-    spans = _alias_spans(aliases, instruments).join(exchanges.select("exchange_id", "exchange_code"), "exchange_id").select(
+def _alias_symbol_spans(aliases: DataFrame, instruments: DataFrame, exchanges: DataFrame) -> DataFrame:
+    return _alias_spans(aliases, instruments).join(exchanges.select("exchange_id", "exchange_code"), "exchange_id").select(
         F.upper("alias_symbol").alias("_sym"), F.col("exchange_code").alias("_ex"), "instrument_id", "_from", "_to"
     )
+
+
+def _alias_hits(keyed: DataFrame, instruments: DataFrame, exchanges: DataFrame, aliases: DataFrame) -> DataFrame:
+    spans = _alias_symbol_spans(aliases, instruments, exchanges)
     points = keyed.select("_sym", "_ex", "as_of").where("as_of is not null").distinct()
     return timejoin.active_unique(points, spans, ["_sym", "_ex"], "as_of", "_from", "_to", "instrument_id")
 
@@ -73,18 +77,19 @@ def resolve_symbol_as_of(rows: DataFrame, instruments: DataFrame, exchanges: Dat
     """
     keyed = _keyed(rows)
     points = keyed.select("_sym", "_ex", "as_of").where("as_of is not null").distinct()
-    direct = timejoin.active_unique(points, _symbol_spans(instruments, exchanges), ["_sym", "_ex"], "as_of", "_from", "_to", "instrument_id")
+    # listed symbols and aliases are two kinds of spans of one pass
+    sides = {"": _symbol_spans(instruments, exchanges)}
     if aliases is not None:
-        alias = _alias_hits(keyed, instruments, exchanges, aliases).withColumnsRenamed({"instrument_id": "_aid", "n_active": "_an"})
-        direct = direct.join(alias, ["_sym", "_ex", "as_of"])
-    else:
-        direct = direct.withColumn("_aid", F.lit(None).cast("long")).withColumn("_an", F.lit(0))
+        sides["_alias"] = _alias_symbol_spans(aliases, instruments, exchanges)
+    direct = timejoin.active_unique_of(points, sides, ["_sym", "_ex"], "as_of", "_from", "_to", "instrument_id")
+    if aliases is None:
+        direct = direct.withColumn("instrument_id_alias", F.lit(None).cast("long")).withColumn("n_active_alias", F.lit(0))
     answer = direct.select(
         "_sym", "_ex", "as_of",
-        F.when(F.col("n_active") > 1, F.lit(None)).otherwise(F.coalesce("instrument_id", "_aid")).alias("instrument_id"),
+        F.when(F.col("n_active") > 1, F.lit(None)).otherwise(F.coalesce("instrument_id", "instrument_id_alias")).alias("instrument_id"),
         F.when(F.col("n_active") == 1, "RESOLVED")
         .when(F.col("n_active") > 1, "AMBIGUOUS")
-        .when(F.col("_an") == 1, "RESOLVED_ALIAS")
+        .when(F.col("n_active_alias") == 1, "RESOLVED_ALIAS")
         .otherwise("UNRESOLVED").alias("state"),
     )
     return keyed.join(answer, ["_sym", "_ex", "as_of"], "left").withColumn(

@@ -49,34 +49,37 @@ def _all_set(names: list[str]) -> Column:
 
 
 def active_unique(points: DataFrame, spans: DataFrame, keys: list[str], day: str, start: str, end: str, ident: str) -> DataFrame:
-    """How many spans of the key are open on the day, and which one if just one.
+    """How many spans of the key are open on the day (``n_active``), and which one if just one."""
+    return active_unique_of(points, {"": spans}, keys, day, start, end, ident)
+
+
+def active_unique_of(points: DataFrame, sides: dict[str, DataFrame], keys: list[str], day: str, start: str, end: str, ident: str) -> DataFrame:
+    """For several kinds of spans at once, by name: how many are open on the day, and which one if just one.
 
     Spans are inclusive at both ends.  Each span adds +1 (and its identifier) on
     its first day and takes it back on the day after its last, so the running sums
     give the count and, where the count is one, the identifier itself.  No range
-    join is needed and duplicates of a key only add up.
+    join is needed, duplicates of a key only add up, and all kinds share one shuffle.
     """
-    ident_sum = F.col(ident).cast("decimal(38,0)")
-    opens = spans.select(*keys, F.col(start).alias("_d"), F.lit(1).alias("_n"), ident_sum.alias("_id"))
-    closes = spans.where(F.col(end) < F.lit(OPEN_END).cast("date")).select(
-        *keys, F.date_add(F.col(end), 1).alias("_d"), F.lit(-1).alias("_n"), (-ident_sum).alias("_id")
-    )
-    marks = points.select(*keys, F.col(day).alias("_d"), F.lit(0).alias("_n"), F.lit(0).cast("decimal(38,0)").alias("_id"))
-    days = (
-        opens.unionByName(closes).withColumn("_ask", F.lit(0))
-        .unionByName(marks.withColumn("_ask", F.lit(1)))
-        .groupBy(*keys, "_d").agg(F.sum("_n").alias("_n"), F.sum("_id").alias("_id"), F.max("_ask").alias("_ask"))
-    )
+    ident_sum, none = F.col(ident).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")
+
+    def steps(df: DataFrame, at: Column, own: str | None, sign: int, ask: int) -> DataFrame:
+        counts = [F.lit(sign if side == own else 0).alias(f"_n{k}") for k, side in enumerate(sides)]
+        idents = [((ident_sum if sign > 0 else -ident_sum) if side == own else none).alias(f"_id{k}") for k, side in enumerate(sides)]
+        return df.select(*keys, at.alias("_d"), *counts, *idents, F.lit(ask).alias("_ask"))
+
+    rows = steps(points, F.col(day), None, 0, 1)
+    for side, spans in sides.items():
+        closed = spans.where(F.col(end) < F.lit(OPEN_END).cast("date"))
+        rows = rows.unionByName(steps(spans, F.col(start), side, 1, 0)).unionByName(steps(closed, F.date_add(F.col(end), 1), side, -1, 0))
+    sums = [c for k in range(len(sides)) for c in (f"_n{k}", f"_id{k}")]
+    days = rows.groupBy(*keys, "_d").agg(*[F.sum(c).alias(c) for c in sums], F.max("_ask").alias("_ask"))
     w = W.partitionBy(*keys).orderBy("_d").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        days.withColumn("n_active", F.sum("_n").over(w))
-        .withColumn("_s", F.sum("_id").over(w))
-        .where("_ask = 1")
-        .select(
-            *keys, F.col("_d").alias(day), "n_active",
-            F.when(F.col("n_active") == 1, F.col("_s").cast("long")).alias(ident),
-        )
-    )
+    found = days.select(*keys, "_d", "_ask", *[F.sum(c).over(w).alias(c) for c in sums]).where("_ask = 1")
+    out = []
+    for k, side in enumerate(sides):
+        out += [F.col(f"_n{k}").alias(f"n_active{side}"), F.when(F.col(f"_n{k}") == 1, F.col(f"_id{k}").cast("long")).alias(f"{ident}{side}")]
+    return found.select(*keys, F.col("_d").alias(day), *out)
 
 
 def overlap_counts(probe: DataFrame, wanted: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
