@@ -238,6 +238,7 @@ _FX = "CAST(CASE WHEN ccy = 'INR' THEN {0} ELSE CAST({0} AS DECIMAL(24,6)) * CAS
 SELECT j.instrument_id, CAST(j.trade_date AS VARCHAR) AS trade_date, {_FX.format('o')} AS open_px, {_FX.format('h')} AS high_px, {_FX.format('l')} AS low_px, j.close AS close_px, j.adj AS adj_close_px,
   CAST(rz.volume AS DOUBLE) AS volume, CASE WHEN turnover <> '' THEN {_FX.format('CAST(turnover AS DECIMAL(24,6))')} END AS turnover, upper(trim(rz.source_system)) AS source_system, j.source_record_id, CAST(ingested_ts AS VARCHAR) AS ingested_at
 FROM judged j JOIN rz USING (source_record_id) WHERE NOT stored AND ok
+QUALIFY row_number() OVER (PARTITION BY j.instrument_id, j.trade_date ORDER BY ingested_ts DESC, j.source_record_id DESC) = 1
 UNION ALL SELECT instrument_id, CAST(trade_date AS VARCHAR), CAST(open_px AS DOUBLE), CAST(high_px AS DOUBLE), CAST(low_px AS DOUBLE), CAST(close_px AS DOUBLE), NULL, CAST(volume AS DOUBLE), NULL, source_system, NULL, CAST(ingested_at AS VARCHAR) FROM curated_bars""")
 def normalize_curated(spark, sf):
     return _curated(spark, sf)[0].withColumn("volume", F.col("volume").cast("double"))
@@ -293,11 +294,11 @@ def sma(spark, sf):
 @register("sma_daily", """
 WITH g AS (SELECT *, count(*) OVER w50 AS n50, avg(CAST(close_px AS DOUBLE)) OVER w50 AS a50, count(*) OVER w200 AS n200, avg(CAST(close_px AS DOUBLE)) OVER w200 AS a200, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date DESC) AS back FROM bars
   WINDOW w50 AS (PARTITION BY instrument_id ORDER BY trade_date ROWS 49 PRECEDING), w200 AS (PARTITION BY instrument_id ORDER BY trade_date ROWS 199 PRECEDING))
-SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, CASE WHEN n50 = 50 THEN round(a50, 7) END AS sma_50, CASE WHEN n200 = 200 THEN round(a200, 7) END AS sma_200 FROM g WHERE back <= 20""")
+SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, CASE WHEN n50 = 50 THEN round(a50, 3) END AS sma_50, CASE WHEN n200 = 200 THEN round(a200, 3) END AS sma_200 FROM g WHERE back <= 20""")
 def sma_daily(spark, sf):
     """Means of daily closes, the last 20 rows of every instrument."""
     w, px = W.partitionBy("instrument_id").orderBy("trade_date"), F.col("close_px").cast("double")
-    rows = b.bars(spark, sf).select("instrument_id", "trade_date", *[F.round(indicators.sma(px, n, w), 7).alias(f"sma_{n}") for n in (50, 200)])
+    rows = b.bars(spark, sf).select("instrument_id", "trade_date", *[F.round(indicators.sma(px, n, w), 3).alias(f"sma_{n}") for n in (50, 200)])
     return indicators.tail_each(rows, 20, ["instrument_id"], "trade_date")
 
 
