@@ -69,6 +69,22 @@ def test_recall(spark):
                 assert s == pytest.approx(exact[q][i], rel=1e-12)
 
 
+@pytest.mark.parametrize("n", [100_000, 200_000, 3_000_000, 1_000_000_000])
+def test_long_keys_do_not_lose_neighbours(n):
+    rng = np.random.default_rng(7)
+    count = op.names(n, 64)
+    most = op.looked_up(count, 64)
+    assert most <= op.MOST_PROBES
+    queries = op.prepared(rng.normal(size=(60, 64)).tolist())
+    aside = op.prepared(rng.normal(size=(60, 64)).tolist())
+    near = op.prepared((0.5 * queries + 0.866 * aside).tolist())  # as near as the nearest ones of the given vectors
+    found = np.zeros(60, dtype=bool)
+    for t in range(op.TABLES):
+        looked = op.combined(op.probes(queries, t, count, most)[0], 64)
+        found |= (looked == op.combined(op.keys(near, t, count), 64)[:, None]).any(axis=1)
+    assert found.mean() >= 0.9
+
+
 def test_rotation_keeps_lengths():
     x = op.prepared(np.random.default_rng(5).normal(size=(9, 3)).tolist())
     assert np.allclose(np.linalg.norm(op.rotated(x, 2, 1), axis=1), 1)

@@ -2,8 +2,8 @@
 
 A vector of length one is turned by fast pseudo-rotations (three rounds of random signs and a Hadamard transform)
 and named after the signed axis it is nearest to.  A table's key is made of one or more such names.  A query looks
-up several keys of each table, those whose axes are least farther away than its own (multiprobe), and everything it
-meets is ranked by its exact distance on the original vectors.
+up several keys of each table, those whose axes are least farther away than its own (multiprobe; the more the longer
+keys are), and everything it meets is ranked by its exact distance on the original vectors.
 
 Equal vectors are hashed and compared once.  Rows of a table that share the first name of a key form a group; groups
 of more than LARGE rows are split, and queries go to every part.  Tasks return each query's best few of a part, so
@@ -25,19 +25,32 @@ from tickerlake.llm import common
 
 K = 10
 EVERY = 100
-#: Tables and keys looked up in each; with them recall on the given tables is above 0.95 (see the README).
+#: Tables and the fewest keys looked up in each; looked_up gives more where keys are long (measured in the README).
 TABLES = 24
 PROBES = 128
-#: Axes that are tried for each name of a key.
+#: The most keys looked up in a table: keys are not made of more names than these suffice for.
+MOST_PROBES = 8192
+#: The fewest axes that are tried for each name of a key.
 AXES = 32
+#: Queries whose keys are found at once.
+ASKED = 128
 #: Rows of a group that one task compares.
 LARGE = 8192
 BLOCK = 4096
 
 
+def looked_up(count: int, width: int, least: int = PROBES) -> int:
+    """Keys looked up in each table.  Keys multiply by 2 * width with each name; so that the neighbours met do not
+    become fewer, those looked up multiply by a quarter of that (128 keys of two names at width 64, 4096 of three)."""
+    return max(least, (2 * width) ** count >> (3 + 2 * count))
+
+
 def names(n: int, width: int) -> int:
-    """Names in a key: as many as give about one key for each of n vectors."""
-    return max(1, round(math.log(max(n, 2)) / math.log(2 * width)))
+    """Names in a key: as many as give about one key for each of n vectors, while MOST_PROBES keys are enough."""
+    count = max(1, round(math.log(max(n, 2)) / math.log(2 * width)))
+    while count > 1 and looked_up(count, width) > MOST_PROBES:
+        count -= 1
+    return count
 
 
 @functools.cache
@@ -87,7 +100,7 @@ def probes(unit: np.ndarray, table: int, count: int, most: int) -> tuple[np.ndar
     for name in range(count):
         turned = rotated(unit, table, name)
         both = np.concatenate([turned, -turned], axis=1)
-        axes = np.argsort(-both, axis=1, kind="stable")[:, : max(AXES, most if count == 1 else 0)]
+        axes = np.argsort(-both, axis=1, kind="stable")[:, : most if count == 1 else max(AXES, 2 * math.ceil(most ** (1 / count)))]
         away = np.take_along_axis(both, axes, axis=1)
         total = (cost[:, :, None] + ((away[:, :1] - away) ** 2)[:, None, :]).reshape(n, -1)
         best = np.argsort(total, axis=1, kind="stable")[:, :most]
@@ -116,11 +129,11 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(good).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("size", F.size("embedding"))
 
 
-def best_of(queries: np.ndarray, found: np.ndarray, allowed: np.ndarray | None, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and distances of its k nearest allowed rows, ties to smaller ids."""
+def best_of(queries: np.ndarray, found: np.ndarray, allowed: list[np.ndarray] | None, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ids and distances of its k nearest allowed rows (their places), ties to smaller ids."""
     out = []
     for i, q in enumerate(queries):
-        own = np.arange(len(found)) if allowed is None else np.flatnonzero(allowed[i])
+        own = np.arange(len(found)) if allowed is None else allowed[i]
         gap = np.sqrt(((found[own] - q) ** 2).sum(axis=1))
         if len(own) > k:
             near = np.flatnonzero(gap <= np.partition(gap, k - 1)[k - 1])
@@ -141,8 +154,12 @@ def compare(key, queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """Best of one part of a group for the queries that look it up; each query brings the keys it looks up there."""
     if not len(queries) or not len(found):
         return met(np.empty(0, np.int64), [])
-    own = found["key"].to_numpy()
-    allowed = np.array([np.isin(own, k) for k in queries["keys"]])
+    order = np.argsort(found["key"].to_numpy(), kind="stable")
+    own, allowed = found["key"].to_numpy()[order], []
+    for k in queries["keys"]:
+        first = np.searchsorted(own, k, side="left")
+        met_rows = np.searchsorted(own, k, side="right") - first
+        allowed.append(order[np.repeat(first, met_rows) + common.ragged(met_rows)])
     q, x = (np.array([np.asarray(v, dtype=np.float64) for v in frame["embedding"]]) for frame in (queries, found))
     return met(queries["near"].to_numpy(), best_of(q, x, allowed, found["near"].to_numpy(), K + 1))
 
@@ -191,15 +208,18 @@ def search(rows: DataFrame, every: int = EVERY, tables: int = TABLES, most: int
     def look(frames):
         for frame in frames:
             for size, own in frame.groupby("size"):
-                unit = prepared(list(own["embedding"]))
-                for t in range(tables):
-                    name, _ = probes(unit, t, names(sizes[size], unit.shape[1]), most)
-                    key = combined(name, unit.shape[1])
-                    out = []
-                    for i in range(len(own)):
-                        for first in np.unique(name[i, :, 0]):
-                            out.append((size, t, first, key[i, name[i, :, 0] == first], own["near"].iloc[i], own["embedding"].iloc[i]))
-                    yield pd.DataFrame(out, columns=["size", "table", "first", "keys", "near", "embedding"])
+                for a in range(0, len(own), ASKED):
+                    some = own.iloc[a : a + ASKED]
+                    unit = prepared(list(some["embedding"]))
+                    count = names(sizes[size], unit.shape[1])
+                    for t in range(tables):
+                        name, _ = probes(unit, t, count, looked_up(count, unit.shape[1], most))
+                        key = combined(name, unit.shape[1])
+                        out = []
+                        for i in range(len(some)):
+                            for first in np.unique(name[i, :, 0]):
+                                out.append((size, t, first, key[i, name[i, :, 0] == first], some["near"].iloc[i], some["embedding"].iloc[i]))
+                        yield pd.DataFrame(out, columns=["size", "table", "first", "keys", "near", "embedding"])
 
     kind = "size int, table int, first long"
     rows_of = same.select("near", "size", "embedding").mapInPandas(index, f"{kind}, key long, near long, embedding array<double>")
