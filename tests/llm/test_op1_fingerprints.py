@@ -96,3 +96,53 @@ def test_near_duplicates(spark, monkeypatch, large, part):
         assert r.class_id == least[group[r.doc_id]]
         assert r.fingerprint == op.as_hex(op.embed_bits([next(t or "" for i, t, *_ in rows if i == r.doc_id)]))[0]
     assert op.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_query_carries_classes(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = op.op1_fingerprints(spark, sf)
+    assert sorted((tuple(r) for r in got.drop("class_id", "class_size").collect()), key=key) == sorted((tuple(r) for r in op.with_next(docs).collect()), key=key)
+    rows = got.select("doc_id", "fingerprint", "class_id", "class_size").collect()
+    bits = np.array([np.unpackbits(np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8)) for r in rows])
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(op.likeness(bits, bits[i]) >= op.THRESHOLD):
+            was, now = label[j], label[i]
+            label = [now if x == was else x for x in label]
+    want = {x: min(r.doc_id for r, y in zip(rows, label) if x == y) for x in label}
+    assert [(r.class_id, r.class_size) for r in rows] == [(want[x], label.count(x)) for x in label]
+    assert any(r.class_size > 1 for r in rows)
+
+
+def test_bands_meet_pairs_at_the_threshold():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2, (4000, op.BITS))
+    b = a.copy()
+    for row in b:
+        row[rng.choice(op.BITS, op.most_apart(op.THRESHOLD), replace=False)] ^= 1
+    assert (op.band_keys(a) == op.band_keys(b)).any(axis=1).mean() > 0.99
+
+
+def test_large_bucket_of_near_copies_and_others(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, op.BITS)
+    rows, bits = [], []
+    for i in range(300):
+        x = base.copy()
+        x[rng.choice(op.BITS, 10 if i < 200 else 60, replace=False)] ^= 1  # of these, the last hundred are not all near the leader
+        bits.append(x)
+        packed = np.packbits(x)
+        rows.append((i, packed.view(">i8").astype(np.int64).tolist(), [7]))
+    links = {tuple(sorted((r.a, r.b))) for r in op.near_links(spark.createDataFrame(rows, "node long, bits array<long>, bands array<int>")).collect()}
+    bits = np.array(bits)
+    most = op.most_apart(op.THRESHOLD)
+    assert all((bits[i] != bits[j]).sum() <= most for i, j in links)
+
+    def parts(edges):
+        root = list(range(300))
+        for i, j in edges:
+            root = [root[i] if x == root[j] else x for x in root]
+        return {frozenset(k for k in range(300) if root[k] == x) for x in root}
+
+    assert parts(links) == parts((i, j) for i in range(300) for j in range(i) if (bits[i] != bits[j]).sum() <= most)

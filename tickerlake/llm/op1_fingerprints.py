@@ -225,25 +225,45 @@ def with_next(docs: DataFrame) -> DataFrame:
 # --- near-duplicates by banding and verification ------------------------------------------------
 
 #: Bands, bits sampled for each, likeness of a link, largest bucket whose pairs are listed, rows of a part of larger ones.
-BANDS, BAND_BITS = 24, 20
+BANDS, BAND_BITS = 48, 20
 THRESHOLD = 0.8
 LARGE, PART = 64, 512
 WORDS64 = BITS // 64
 
 
+@functools.cache
+def sampled() -> np.ndarray:
+    """(band, k): the bits that make a band's key."""
+    return (common.mix(np.arange(BANDS * BAND_BITS) + (1 << 42)) % common.U64(BITS)).astype(np.int64).reshape(BANDS, BAND_BITS)
+
+
+def band_keys(bits: np.ndarray) -> np.ndarray:
+    """(fingerprint, band) keys."""
+    return (bits[:, sampled()] << np.arange(BAND_BITS)).sum(axis=2).astype(np.int32)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, bits array<long>, bands array<int>): fingerprint and band keys of every document."""
+    """(doc_id, fingerprint) of every document."""
 
     def run(batches):
-        sampled = (common.mix(np.arange(BANDS * BAND_BITS) + (1 << 42)) % common.U64(BITS)).astype(np.int64).reshape(BANDS, BAND_BITS)
         for batch in common.slices(batches, "text", SLICE_BYTES):
-            bits = embed_bits(batch.column(1).to_pylist())
-            words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-            keys = (bits[:, sampled] << np.arange(BAND_BITS)).sum(axis=2).astype(np.int32)
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)) for x, kind in ((words, pa.int64()), (keys, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "bits", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(as_hex(embed_bits(batch.column(1).to_pylist())))], ["doc_id", "fingerprint"])
+
+    return common.documents(docs).mapInArrow(run, "doc_id long, fingerprint string")
+
+
+def with_bands(nodes: DataFrame) -> DataFrame:
+    """(node, bits array<long>, bands array<int>) of nodes (node long, fingerprint)."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                packed = np.frombuffer(bytes.fromhex("".join(batch.column(1).to_pylist())), dtype=np.uint8).reshape(batch.num_rows, -1)
+                words, keys = packed.view(">i8").astype(np.int64), band_keys(np.unpackbits(packed, axis=1))
+                columns = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)) for x, kind in ((words, pa.int64()), (keys, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "bits", "bands"])
 
-    return common.documents(docs).mapInArrow(run, "doc_id long, bits array<long>, bands array<int>")
+    return nodes.select("node", "fingerprint").mapInArrow(run, "node long, bits array<long>, bands array<int>")
 
 
 def most_apart(threshold: float) -> int:
@@ -264,27 +284,50 @@ def forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def apart(a: str, b: str):
+    """Bits in which two fingerprints differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def near_links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) of distinct fingerprints (node long, bits, bands) that share a band and are verified on all bits.
 
-    Buckets of more than LARGE members are cut into parts of about PART; each two parts meet in a task of their own,
-    which returns enough links to connect its members, so that no pair is lost and none but links are written.
+    In a bucket of more than LARGE members those near its smallest node are linked with it, which connects whatever
+    pairs they form.  Only the others, in parts of about PART, meet all members, each two parts in a task of their
+    own that returns enough links to connect its members, so that no pair is lost and none but links are written.
     """
     most = most_apart(threshold)
-    keyed = distinct.select("node", "bits", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = session.stage(keyed.join(sizes, ["band", "key"]), "bands")
+    keyed = distinct.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    shared = keyed.join(sizes, ["band", "key"]).join(distinct.select("node", "bits"), "node")
+    shared = session.stage(shared, "bands")
     small = shared.where(F.col("n") <= LARGE)
     a, b = (small.select("band", "key", F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = a.join(b, ["band", "key"]).where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b")
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    own = F.pmod(F.xxhash64("node", "band"), parts).cast("int")
-    large = shared.where(F.col("n") > LARGE).select("band", "key", "node", "bits", parts.alias("parts"), own.alias("own"))
-    met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "bits")
-    stars = met.groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: forest(pdf, most), "a long, b long")
-    return pairs.unionByName(stars)
+    pairs = a.join(b, ["band", "key"]).where((F.col("a") < F.col("b")) & (apart("bits_a", "bits_b") <= most)).select("a", "b")
+    leaders = distinct.select(F.col("node").alias("leader"), F.col("bits").alias("leading"))
+    large = shared.where(F.col("n") > LARGE).join(leaders, "leader")
+    large = session.stage(large.select("band", "key", "n", "leader", "node", "bits", (apart("bits", "leading") <= most).alias("near")), "large")
+    stars = large.where("near and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    others = large.where("not near").groupBy("band", "key").agg(F.count("*").alias("others"))
+    left = large.join(others, ["band", "key"])
+    all_parts, other_parts = (F.ceil(F.col(x) / PART).cast("int") for x in ("n", "others"))
+    own = F.xxhash64("node", "band")
+    one_side = left.where("not near").withColumn("i", F.pmod(own, other_parts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), all_parts - 1)))
+    other_side = left.withColumn("j", F.pmod(own, all_parts).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), other_parts - 1)))
+    met = one_side.select("band", "key", "i", "j", "node", "bits").unionByName(other_side.select("band", "key", "i", "j", "node", "bits"))
+    rest = met.groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: forest(pdf.drop_duplicates("node"), most), "a long, b long")
+    return pairs.unionByName(stars).unionByName(rest)
+
+
+def classes_of(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(fingerprint, class_id, class_size) of every fingerprint in prints (doc_id, fingerprint): the smallest doc_id
+    reachable over links, and the rows of the class."""
+    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
+    distinct = session.stage(distinct, "distinct")
+    found = components(near_links(session.stage(with_bands(distinct), "prints"), threshold))
+    whole = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = whole.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+    return whole.join(named, "component").select("fingerprint", "class_id", "class_size")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -294,14 +337,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     an empty table gives an empty result.
     """
     prints = session.stage(fingerprints(docs), "prints")
-    distinct = prints.groupBy("bits", "bands").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
-    distinct = session.stage(distinct, "distinct")
-    found = components(near_links(distinct.select("node", "bits", "bands"), threshold))
-    whole = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = whole.join(whole.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("bits", "class_id")
-    text = F.lower(F.array_join(F.transform("bits", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
-    return prints.join(named, "bits").select("doc_id", text.alias("fingerprint"), "class_id")
+    return prints.join(classes_of(prints, threshold), "fingerprint").select("doc_id", "fingerprint", "class_id")
+
+
+def with_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of with_next with class_id and class_size: the class of near-duplicates that a document belongs to
+    and its rows.  A document without near-duplicates is a class of its own."""
+    rows = session.stage(with_next(docs), "fingerprints")
+    return rows.join(classes_of(rows, threshold), "fingerprint").select(*rows.columns, "class_id", "class_size")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_next(common.table(spark, sf_dir, "documents"))
+    return with_classes(common.table(spark, sf_dir, "documents"))
