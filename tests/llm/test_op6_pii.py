@@ -94,3 +94,36 @@ def test_masked(spark):
     assert op.find(docs.limit(0)).collect() == []
     odd = op.find(spark.createDataFrame(samples.rows(), samples.SCHEMA))
     assert odd.count() == len(samples.rows())
+
+
+def unmarked(line):
+    """The text of a labelled sentence and its marked spans."""
+    text, marks = "", []
+    while m := re.search(r"\[(email|ip|card|phone) ", line):
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"[": 1, "]": -1}.get(line[end], 0)
+            end += 1
+        text += line[: m.start()]
+        marks.append((len(text), len(text) + end - 1 - m.end(), m[1]))
+        text, line = text + line[m.end() : end - 1], line[end:]
+    return text + line, marks
+
+
+def test_labelled_spans_are_found_whole():
+    lines = [unmarked(x) for x in filter(None, op.SENTENCES.split("\n"))]
+    _, spans = op.all_spans([t for t, _ in lines], op.trained())
+    for (text, marks), found in zip(lines, spans):
+        assert set(marks) <= set(found), text
+
+
+def test_long_and_upper_case_addresses():
+    whole = ["karl(at)mail(dot)example(dot)com", "j_doe [AT] mail [DOT] example [DOT] net", "anna [at] a [dot] b [dot] c [dot] example [dot] org"]
+    texts = [f"Please write to {x} today" for x in whole]
+    _, spans = op.all_spans(texts, op.trained())
+    assert [[t[a:b] for a, b, _ in s] for t, s in zip(texts, spans)] == [[x] for x in whole]
+
+
+def test_endless_address_takes_linear_time():
+    _, spans = op.all_spans(["mail joe [at] a" + " [dot] a" * 3_000], op.trained())
+    assert len(spans[0]) <= 1

@@ -8,7 +8,9 @@ by Viterbi steps for many windows at once.  Its spans are added where they touch
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 import zlib
 
@@ -25,8 +27,10 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 DIMENSIONS = 1 << 13
 EPOCHS = 40
 STEP, RIDGE = 0.1, 1e-4
-#: Tokens on either side of a trigger that the tagger sees.
+#: Tokens on either side of a trigger that the tagger sees at first.
 CONTEXT = 7
+#: A span that comes as near to the end of a window, in tokens, is decoded again with more tokens there.
+MARGIN = 4
 #: Windows that are decoded at once.
 DECODED = 4096
 SLICE_BYTES = 4_000_000
@@ -38,7 +42,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]")
+TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -246,7 +250,7 @@ def windows_of(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
             b += 1
         tokens, spans = tokenized(text[a:b])
         spans = [(x + a, y + a) for x, y in spans]
-        here = [i for i, t in enumerate(tokens) if TRIGGER.search(t) or (t == "at" and i and tokens[i - 1] in "[({")]
+        here = [i for i, t in enumerate(tokens) if TRIGGER.search(t) or (t.lower() == "at" and i and tokens[i - 1] in "[({")]
         keep: list[list[int]] = []
         for i in here:
             if keep and i - CONTEXT <= keep[-1][1]:
@@ -257,6 +261,40 @@ def windows_of(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
     return out
 
 
+def longer(text: str, window: tuple[list[str], list[tuple[int, int]]], labels: np.ndarray, more: int) -> tuple[list[str], list[tuple[int, int]]] | None:
+    """The window with more tokens on the sides where a span comes near its end, None if there is nothing to add."""
+    tokens, spans = window
+    before: list[tuple[int, int]] = []
+    if labels[:MARGIN].any():
+        a = b = spans[0][0]
+        while a > 0 and len(before) <= more:
+            a = max(a - 12 * more, 0)
+            while a > 0 and text[a - 1].isalnum():
+                a -= 1
+            before = [m.span() for m in TOKEN.finditer(text, a, b)]
+        before = before[-more:]
+    behind = [m.span() for m in itertools.islice(TOKEN.finditer(text, spans[-1][1]), more)] if labels[-MARGIN:].any() else []
+    if not before and not behind:
+        return None
+    return [text[a:b] for a, b in before] + tokens + [text[a:b] for a, b in behind], before + spans + behind
+
+
+def decoded(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, list[tuple[int, int]], np.ndarray]]:
+    """(text, places of tokens, labels) of every window; windows grow, by twice as much each time, until their spans
+    end inside them or the text ends."""
+    todo = [(d, w) for d, text in enumerate(texts) for w in windows_of(text)]
+    out, more = [], CONTEXT
+    while todo:
+        again = []
+        for (d, w), labels in zip(todo, viterbi([features(tokens, gaps(spans)) for _, (tokens, spans) in todo], model)):
+            if (wider := longer(texts[d], w, labels, more)) is None:
+                out.append((d, w[1], labels))
+            else:
+                again.append((d, wider))
+        todo, more = again, 2 * more
+    return out
+
+
 def plausible(kind: str, text: str) -> bool:
     """What a span of the tagger must have besides its labels."""
     digits = sum("0" <= c <= "9" for c in text)
@@ -270,12 +308,7 @@ def plausible(kind: str, text: str) -> bool:
 def tagged_spans(texts: list[str], taken: list[list[tuple[int, int, str]]], model: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[int, int, str]]]:
     """The tagger's spans of every text that touch none of its taken spans."""
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    owners, windows = [], []
-    for d, text in enumerate(texts):
-        for tokens, spans in windows_of(text):
-            owners.append((d, spans))
-            windows.append(features(tokens, gaps(spans)))
-    for (d, spans), labels in zip(owners, viterbi(windows, model)):
+    for d, spans, labels in decoded(texts, model):
         i = 0
         while i < len(labels):
             if LABELS[labels[i]][0] == "B":
@@ -288,7 +321,19 @@ def tagged_spans(texts: list[str], taken: list[list[tuple[int, int, str]]], mode
                 i = j
             else:
                 i += 1
-    return found
+    return [apart(spans) for spans in found]
+
+
+def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Of spans that overlap, as those of windows that grew into each other, the longest, then the first."""
+    out: list[tuple[int, int, str]] = []
+    starts: list[int] = []
+    for a, b, kind in sorted(spans, key=lambda s: (s[0] - s[1], s[0], KINDS.index(s[2]))):
+        at = bisect.bisect_left(starts, b)  # out is in order and without overlaps
+        if not at or out[at - 1][1] <= a:
+            out.insert(at, (a, b, kind))
+            starts.insert(at, a)
+    return out
 
 
 def all_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> tuple[list[list[tuple[int, int, str]]], list[list[tuple[int, int, str]]]]:
