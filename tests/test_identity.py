@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tickerlake.operators import identity, merge, timejoin
+from tickerlake.operators import aliases, identity, timejoin
 
 D = dt.date
 
@@ -94,8 +94,8 @@ def test_alias_mutations(spark, refs):
         (7, "CLOSE", 4, None, None, None, None, D(2024, 1, 1)), (8, "UPDATE", 55, 20, "NSE", "X", D(2024, 1, 1), None), (9, "UPDATE", 3, 30, "NSE", "NEWBN", D(2024, 4, 2), None),
         (10, "CREATE", 105, 10, "BSE", "TWIN", D(2024, 1, 1), None), (11, "CREATE", 106, 11, "BSE", "TWIN", D(2024, 1, 1), None)],
         "seq long, op string, alias_id long, instrument_id long, source_system string, alias_symbol string, valid_from date, valid_to date")
-    table, errors = merge.merge_aliases(alias, muts, inst)
-    assert {r.seq: r.error for r in errors.collect()} == {2: "ALIAS_CONFLICT", 4: "INSTRUMENT_NOT_FOUND", 5: "UNSUPPORTED_SOURCE", 6: "REVERSED_WINDOW", 8: "ALIAS_NOT_FOUND", 11: "BATCH_CONFLICT"}
+    table, errors = aliases.merge_aliases(alias, muts, inst)
+    assert {r.seq: r.error for r in errors.collect()} == {2: "ALIAS_CONFLICT", 4: "INSTRUMENT_NOT_FOUND", 5: "UNSUPPORTED_SOURCE", 6: "REVERSED_WINDOW", 8: "ALIAS_NOT_FOUND", 11: "ALIAS_CONFLICT"}
     rows = {r.alias_id: r for r in table.collect()}
     assert set(rows) == {1, 2, 3, 4, 100, 102, 105}
     assert rows[4].valid_to == D(2024, 1, 1) and rows[3].valid_from == D(2024, 4, 2) and rows[100].alias_symbol == "RELI"

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tickerlake.operators import identity, merge, serving
+from tickerlake.operators import aliases, identity, serving
 from tickerlake.plans import bindings as b
 from tickerlake.plans import sqlparts
 from tickerlake.plans.registry import register
@@ -151,47 +151,59 @@ def alias_conflicts(spark, sf):
     return identity.alias_conflicts(b.aliases(spark, sf), _incoming_aliases(spark, sf)).select("alias_id", "instrument_id", "conflicts")
 
 
-MUTATIONS = """
-SELECT alias_id AS seq, CASE alias_id // 2 % 3 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'UPDATE' ELSE 'CLOSE' END AS op,
+# a change of every supplier's alias, and for every third a chain: the stored window is closed, its rest goes to another
+# instrument, a third one is refused there, the second is closed and the third one accepted behind it, then moved
+# (n, op, added to the alias id, to the instrument id, days from the stored begin to the window's begin and end)
+_CHAIN = [
+    (1, "CLOSE", 0, 0, 0, 30), (2, "CREATE", 3000000, 1, 31, None), (3, "CREATE", 4000000, 2, 40, None), (4, "CLOSE", 3000000, 0, 0, 60),
+    (5, "CREATE", 5000000, 2, 61, 90), (6, "UPDATE", 5000000, 2, 45, 90), (7, "UPDATE", 5000000, 1, 45, 90), (8, "CREATE", 6000000, 2, 91, None),
+]
+_CHAIN_SQL = ", ".join(f"({n}, '{op}', {plus}, {other}, {begins}, {'NULL' if ends is None else ends})" for n, op, plus, other, begins, ends in _CHAIN)
+MUTATIONS = f"""
+SELECT alias_id * 10 AS seq, CASE alias_id // 2 % 3 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'UPDATE' ELSE 'CLOSE' END AS op,
   CASE WHEN alias_id // 2 % 3 = 0 THEN alias_id + 1000000 WHEN alias_id // 2 % 19 = 1 THEN alias_id + 2000000 ELSE alias_id END AS alias_id,
   CASE WHEN alias_id // 2 % 23 = 4 THEN instrument_id + 1000000000 ELSE instrument_id END AS instrument_id,
-  CASE WHEN alias_id // 2 % 17 = 3 THEN 'FEED' ELSE source_system END AS source_system, alias_symbol, valid_from, valid_to FROM incoming_aliases"""
+  CASE WHEN alias_id // 2 % 17 = 3 THEN 'FEED' ELSE source_system END AS source_system, alias_symbol, valid_from, valid_to FROM incoming_aliases
+UNION ALL SELECT alias_id * 10 + n, op, alias_id + plus, CASE WHEN op <> 'CLOSE' THEN 1 + (instrument_id + other) % (SELECT count(*) FROM supplier) END, source_system, alias_symbol,
+  CASE WHEN op <> 'CLOSE' THEN valid_from + begins::INT END, valid_from + ends::INT FROM aliases, (VALUES {_CHAIN_SQL}) c(n, op, plus, other, begins, ends) WHERE alias_id % 3 = 0"""
 sqlparts.part("mutations", MUTATIONS)
-sqlparts.part("mut_basic", """
-SELECT m.*, CASE WHEN op <> 'CREATE' AND a.alias_id IS NULL THEN 'ALIAS_NOT_FOUND' WHEN op <> 'CLOSE' AND m.source_system = 'FEED' THEN 'UNSUPPORTED_SOURCE'
-  WHEN m.valid_to < CASE WHEN op = 'CLOSE' THEN a.valid_from ELSE m.valid_from END THEN 'REVERSED_WINDOW' WHEN op <> 'CLOSE' AND i.instrument_id IS NULL THEN 'INSTRUMENT_NOT_FOUND' END AS e0
-FROM mutations m LEFT JOIN aliases a USING (alias_id) LEFT JOIN instruments i ON i.instrument_id = m.instrument_id""")
-sqlparts.part("mut_done", """
-SELECT m.*, CASE WHEN e0 IS NOT NULL OR op = 'CLOSE' THEN e0
-  WHEN EXISTS (SELECT 1 FROM aliases a WHERE a.source_system = m.source_system AND a.alias_symbol = m.alias_symbol AND a.instrument_id <> m.instrument_id AND a.alias_id <> m.alias_id
-     AND a.valid_from <= coalesce(m.valid_to, DATE '9999-12-31') AND m.valid_from <= coalesce(a.valid_to, DATE '9999-12-31')) THEN 'ALIAS_CONFLICT'
-  WHEN EXISTS (SELECT 1 FROM mut_basic p WHERE p.e0 IS NULL AND p.op <> 'CLOSE' AND p.source_system = m.source_system AND p.alias_symbol = m.alias_symbol AND p.instrument_id <> m.instrument_id
-     AND p.valid_from <= coalesce(m.valid_to, DATE '9999-12-31') AND m.valid_from <= coalesce(p.valid_to, DATE '9999-12-31'))
-   AND EXISTS (SELECT 1 FROM mut_basic p WHERE p.e0 IS NULL AND p.op <> 'CLOSE' AND p.source_system = m.source_system AND p.alias_symbol = m.alias_symbol AND p.seq < m.seq) THEN 'BATCH_CONFLICT' END AS error
-FROM mut_basic m""")
+# one mutation after the other; ``state`` holds all aliases as they are behind it
+_WALK = """
+WITH RECURSIVE ordered AS (SELECT m.*, row_number() OVER (ORDER BY seq) AS k, i.instrument_id IS NOT NULL AS known FROM mutations m LEFT JOIN instruments i ON i.instrument_id = m.instrument_id),
+walk AS (SELECT 0::BIGINT AS k, (SELECT list({'a': alias_id, 'i': instrument_id, 's': source_system, 'n': alias_symbol, 'f': valid_from, 't': valid_to}) FROM aliases) AS state, 0::BIGINT AS seq, '' AS op, '-' AS error
+UNION ALL SELECT k, CASE WHEN error IS NOT NULL THEN state WHEN op = 'CLOSE' THEN list_append(others, {'a': own.a, 'i': own.i, 's': own.s, 'n': own.n, 'f': own.f, 't': valid_to})
+   ELSE list_append(others, {'a': alias_id, 'i': instrument_id, 's': source_system, 'n': alias_symbol, 'f': valid_from, 't': valid_to}) END, seq, op, error
+ FROM (SELECT *, CASE WHEN op <> 'CREATE' AND own IS NULL THEN 'ALIAS_NOT_FOUND' WHEN op = 'CREATE' AND own IS NOT NULL THEN 'ALIAS_EXISTS' WHEN op <> 'CLOSE' AND source_system = 'FEED' THEN 'UNSUPPORTED_SOURCE'
+   WHEN valid_to < CASE WHEN op = 'CLOSE' THEN own.f ELSE valid_from END THEN 'REVERSED_WINDOW' WHEN op <> 'CLOSE' AND NOT known THEN 'INSTRUMENT_NOT_FOUND'
+   WHEN op <> 'CLOSE' AND len(list_filter(others, lambda o: o.s = source_system AND o.n = alias_symbol AND o.i <> instrument_id AND o.f <= coalesce(valid_to, DATE '9999-12-31') AND valid_from <= coalesce(o.t, DATE '9999-12-31'))) > 0 THEN 'ALIAS_CONFLICT' END AS error
+  FROM (SELECT o.*, w.state, list_filter(w.state, lambda x: x.a = o.alias_id)[1] AS own, list_filter(w.state, lambda x: x.a <> o.alias_id) AS others FROM walk w JOIN ordered o ON o.k = w.k + 1)))
+"""
 
 
 def _mutations(spark, sf):
-    return _incoming_aliases(spark, sf).selectExpr(
-        "alias_id as seq", "case alias_id div 2 % 3 when 0 then 'CREATE' when 1 then 'UPDATE' else 'CLOSE' end as op",
+    base = _incoming_aliases(spark, sf).selectExpr(
+        "alias_id * 10 as seq", "case alias_id div 2 % 3 when 0 then 'CREATE' when 1 then 'UPDATE' else 'CLOSE' end as op",
         "case when alias_id div 2 % 3 = 0 then alias_id + 1000000 when alias_id div 2 % 19 = 1 then alias_id + 2000000 else alias_id end as alias_id",
         "case when alias_id div 2 % 23 = 4 then instrument_id + 1000000000 else instrument_id end as instrument_id",
         "case when alias_id div 2 % 17 = 3 then 'feed' else concat(' ', lower(source_system)) end as source_system", "alias_symbol", "valid_from", "valid_to")
+    n = b.table(spark, sf, "supplier").count()
+    chained = spark.createDataFrame(_CHAIN, "n long, op string, plus long, other long, begins int, ends int")
+    chain = b.aliases(spark, sf).where("alias_id % 3 = 0").join(chained).selectExpr(  # the steps are a list of fixed length
+        "alias_id * 10 + n as seq", "op", "alias_id + plus as alias_id", f"case when op <> 'CLOSE' then 1 + (instrument_id + other) % {n} end as instrument_id", "source_system", "alias_symbol",
+        "case when op <> 'CLOSE' then date_add(valid_from, begins) end as valid_from", "date_add(valid_from, ends) as valid_to")
+    return base.unionByName(chain)
 
 
-@register("merge_aliases", """
-SELECT a.alias_id, CASE WHEN op = 'UPDATE' THEN m.instrument_id ELSE a.instrument_id END AS instrument_id,
-  CASE WHEN op = 'UPDATE' THEN m.source_system ELSE a.source_system END AS source_system, CASE WHEN op = 'UPDATE' THEN m.alias_symbol ELSE a.alias_symbol END AS alias_symbol,
-  CAST(CASE WHEN op = 'UPDATE' THEN m.valid_from ELSE a.valid_from END AS VARCHAR) AS valid_from, CAST(CASE WHEN op IS NOT NULL THEN m.valid_to ELSE a.valid_to END AS VARCHAR) AS valid_to
-FROM aliases a LEFT JOIN (SELECT * FROM mut_done WHERE error IS NULL AND op <> 'CREATE') m USING (alias_id)
-UNION ALL SELECT alias_id, instrument_id, source_system, alias_symbol, CAST(valid_from AS VARCHAR), CAST(valid_to AS VARCHAR) FROM mut_done WHERE error IS NULL AND op = 'CREATE'""")
+@register("merge_aliases", _WALK + """
+SELECT r.a AS alias_id, r.i AS instrument_id, r.s AS source_system, r.n AS alias_symbol, CAST(r.f AS VARCHAR) AS valid_from, CAST(r.t AS VARCHAR) AS valid_to
+FROM (SELECT unnest(state) AS r FROM walk WHERE k = (SELECT max(k) FROM walk))""")
 def merge_aliases(spark, sf):
-    return merge.merge_aliases(b.aliases(spark, sf), _mutations(spark, sf), b.instruments(spark, sf))[0]
+    return aliases.merge_aliases(b.aliases(spark, sf), _mutations(spark, sf), b.instruments(spark, sf))[0]
 
 
-@register("merge_aliases_errors", "SELECT seq, op, error FROM mut_done WHERE error IS NOT NULL")
+@register("merge_aliases_errors", _WALK + "SELECT seq, op, error FROM walk WHERE k > 0 AND error IS NOT NULL")
 def merge_aliases_errors(spark, sf):
-    return merge.merge_aliases(b.aliases(spark, sf), _mutations(spark, sf), b.instruments(spark, sf))[1]
+    return aliases.merge_aliases(b.aliases(spark, sf), _mutations(spark, sf), b.instruments(spark, sf))[1]
 
 
 @register("active_aliases", "SELECT alias_id, alias_symbol FROM aliases WHERE valid_to IS NULL OR valid_to >= DATE '2001-01-31'")
