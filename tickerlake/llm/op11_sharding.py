@@ -44,7 +44,9 @@ def scattered(df: DataFrame, seed: int) -> DataFrame:
     """First pass, written: (row struct, bytes, mark, number); mark is the seeded hash of the row's content."""
     plain = [F.col(f"`{f.name}`") if not isinstance(f.dataType, T.MapType) else F.to_json(F.struct(f"`{f.name}`")) for f in df.schema]
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    return session.stage(df.select(row.alias("row"), weight(df).alias("bytes"), F.xxhash64(F.lit(seed), *plain).alias("mark"), F.monotonically_increasing_id().alias("number")), "scattered")
+    out, path = df.select(row.alias("row"), weight(df).alias("bytes"), F.xxhash64(F.lit(seed), *plain).alias("mark"), F.monotonically_increasing_id().alias("number")), session.work_dir(df.sparkSession, "scattered")
+    out.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def split(n: int, shards: int) -> Column:
@@ -85,7 +87,7 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEE
     mixed = pools.select("before", F.posexplode(F.shuffle("rows", seed)).alias("at", "row")).select((F.col("before") + F.col("at")).alias("position"), "row")
     each, more = divmod(n, shards)
     first = F.col("shard") * each + F.least("shard", F.lit(more))
-    mixed.withColumn("shard", split(n, shards)).select("shard", (F.col("position") - first).alias("slot"), "row").write.partitionBy("shard").parquet(path)
+    mixed.withColumn("shard", split(n, shards)).select("shard", (F.col("position") - first).alias("slot"), "row").write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:
