@@ -7,13 +7,13 @@ of raw trades stood behind it.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
 from tickerlake.functions import numeric
+from tickerlake.operators import recursion
 
 TRADING_DAYS = 252
 
@@ -54,36 +54,18 @@ def bollinger(c: Column, w: WindowSpec, n: int = 20) -> tuple[Column, Column]:
     return F.when(full, mean + 2 * dev), F.when(full, mean - 2 * dev)
 
 
-def _recursive(df: DataFrame, keys: list[str], order: str, c: str, run, made: list[str]) -> DataFrame:
-    """Adds columns that ``run`` makes of each key's values in order.
+def ema(df: DataFrame, keys: list[str], order: str, c: str, spans: dict[str, int]) -> DataFrame:
+    """Add one recursive mean per entry of ``spans`` (alpha 2/(span+1), seeded by the first value).
 
-    Recursion has no window form.  Only key, order and value go through Python; the other columns are joined back
-    by key and order, which name a row.
+    A null value keeps the mean as it is and lets its weight fade, as often as nulls follow each other; nulls before
+    the first value give null.  Rows of a key stand in ``order``, equal ones in any order.
     """
-    narrow = df.select(*keys, order, c)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name != c)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf[[*keys, order]].assign(**run(pdf[c]))
-
-    found = narrow.groupBy(*keys).applyInPandas(one, schema + "".join(f", {m} double" for m in made))
-    return df.join(found, [*keys, order])
-
-
-def ema(df: DataFrame, keys: list[str], order: str, c: str, spans: dict[str, int]) -> DataFrame:
-    """Add one recursive mean per entry of ``spans`` (alpha 2/(span+1), seeded by the first value)."""
-    return _recursive(df, keys, order, c, lambda v: {k: v.ewm(span=n, adjust=False).mean() for k, n in spans.items()}, list(spans))
+    return recursion.sliced(df, keys, order, c, recursion.Means(spans))
 
 
 def macd(df: DataFrame, keys: list[str], order: str, c: str) -> DataFrame:
     """Add ``macd`` = EMA12 - EMA26 and ``signal`` = EMA9 of it."""
-
-    def run(v: pd.Series) -> dict[str, pd.Series]:
-        line = v.ewm(span=12, adjust=False).mean() - v.ewm(span=26, adjust=False).mean()
-        return {"macd": line, "signal": line.ewm(span=9, adjust=False).mean()}
-
-    return _recursive(df, keys, order, c, run, ["macd", "signal"])
+    return recursion.sliced(df, keys, order, c, recursion.Macd())
 
 
 def annualized_drift(prices: DataFrame, keys: list[str], order: str, close: str) -> DataFrame:
