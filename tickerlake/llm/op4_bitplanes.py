@@ -34,13 +34,11 @@ DATASET = f"shard int, block long, first long, n_ids int, planes binary, stretch
 
 def to_planes(ids: np.ndarray, bits: int = 1, level: int = LEVEL) -> bytes:
     """A block's bytes; ids are non-negative and below 2**32."""
-    columns = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8).reshape(-1, 4)
-    if bits == 1:
-        columns = np.unpackbits(columns, axis=1, bitorder="little")
     width = int(ids.max()).bit_length() if len(ids) else 0
     width = -(-width // bits)
+    ids = ids.astype("<u2" if width * bits <= 16 else "<u4")
     pack = zstandard.ZstdCompressor(level=level).compress
-    planes = [pack((np.packbits(columns[:, k]) if bits == 1 else columns[:, k]).tobytes()) for k in range(width)]
+    planes = [pack((np.packbits((ids & ids.dtype.type(1 << k)) != 0) if bits == 1 else ids.view(np.uint8)[k :: ids.itemsize]).tobytes()) for k in range(width)]
     return MAGIC + struct.pack(f"<IBB{width}I", len(ids), bits, width, *map(len, planes)) + b"".join(planes)
 
 
@@ -51,25 +49,33 @@ def from_planes(data: bytes) -> np.ndarray:
     n, bits, width = struct.unpack_from("<IBB", data, 4)
     sizes = struct.unpack_from(f"<{width}I", data, 10)
     at, unpack = 10 + 4 * width, zstandard.ZstdDecompressor().decompress
-    columns = np.zeros((n, 32 // bits), dtype=np.uint8)
+    ids = np.zeros(n, dtype="<u2" if width * bits <= 16 else "<u4")
     for k, size in enumerate(sizes):
         plane = np.frombuffer(unpack(data[at : at + size]), dtype=np.uint8)
-        columns[:, k] = np.unpackbits(plane, count=n) if bits == 1 else plane
+        ids |= (np.unpackbits(plane, count=n) if bits == 1 else plane).astype(ids.dtype) << ids.dtype.type(k * bits)
         at += size
     if at != len(data):
         raise ValueError("a block's size does not fit its header")
-    packed = np.packbits(columns, axis=1, bitorder="little") if bits == 1 else columns
-    return np.ascontiguousarray(packed).view("<u4").ravel()
+    return ids.astype(np.uint32)
 
 
-def encoder(path: str | None = None):
-    """A function that turns batches of (doc_id, text) into batches of (doc_id, ids)."""
+def narrow(ids: np.ndarray) -> bytes:
+    """Ids as bytes for the way to the writer: two bytes each behind a 2 if all of them fit, else four behind a 4."""
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or int(ids.max()) < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
+
+
+def wide(data: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2" if memoryview(data)[0] == 2 else "<u4", offset=1)
+
+
+def encoder(path: str | None = None, form=lambda ids: ids.astype("<u4").tobytes()):
+    """A function that turns batches of (doc_id, text) into batches of (doc_id, ids); form makes bytes of ids."""
     path = path or vocabulary_path()
 
     def run(batches):
         chunks = worker_chunks(path)
         for batch in common.slices(batches, "text", SLICE_BYTES):
-            ids = [np.append(x, END).astype("<u4").tobytes() for x in chunks.ids(batch.column(1).to_pylist())]
+            ids = [form(np.append(x, END)) for x in chunks.ids(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
@@ -86,7 +92,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 def write_documents(docs: DataFrame, path: str, vocabulary: str | None = None, bits: int = 1) -> None:
     """Writes the ids of (doc_id, text) in ascending doc_id as a dataset of blocks.
 
-    Documents without a doc_id come first, those with one doc_id stand in the order of their ids' bytes; an empty
+    Documents without a doc_id come first, those with one doc_id in the order of the bytes of ``narrow``; an empty
     table writes no block.
     """
     docs = common.documents(docs)
@@ -113,7 +119,7 @@ def write_documents(docs: DataFrame, path: str, vocabulary: str | None = None, b
                     if size:
                         yield close()
                     shard, row, block, first = number, 0, 0, 0
-                ids, begin = np.frombuffer(data.as_buffer(), dtype="<u4"), 0
+                ids, begin = wide(data.as_buffer()), 0
                 while begin < len(ids):
                     part = ids[begin : begin + BLOCK - size]
                     stretches.append({"doc_id": doc_id, "row": row, "begin": begin, "place": size, "length": len(part)})
@@ -125,7 +131,7 @@ def write_documents(docs: DataFrame, path: str, vocabulary: str | None = None, b
         if size:
             yield close()
 
-    dealt = ordered.deal(docs, firsts, nulls, with_next=False, prepare=encoder(vocabulary), made="ids binary")
+    dealt = ordered.deal(docs, firsts, nulls, with_next=False, prepare=encoder(vocabulary, narrow), made="ids binary")
     dealt.mapInArrow(run, DATASET).write.option("compression", "none").parquet(path)
 
 
@@ -148,6 +154,23 @@ def join_crc(first: int, second: int, bytes_of_second: int) -> int:
     return times(first, power) ^ second
 
 
+def decoded(batches):
+    """(shard, ids of the shard before the block, stretches, ids, where each stretch begins and ends in them) of every block."""
+    for batch in batches:
+        for number, first, planes, stretches in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4), batch.column(5)):
+            own = {k: stretches.values.field(k).to_numpy() for k in ("row", "begin", "place", "length")}
+            own |= {"doc_id": stretches.values.field("doc_id"), "place": own["place"] + first}
+            yield number, own, from_planes(planes.as_py()), np.concatenate([[0], np.cumsum(own["length"])])
+
+
+def stretch_columns(number: int, own: dict) -> list[pa.Array]:
+    """shard, row, doc_id, begin, place of a block's stretches."""
+    return [pa.array(np.full(len(own["row"]), number, dtype=np.int32)), pa.array(own["row"]), own["doc_id"], pa.array(own["begin"]), pa.array(own["place"].astype(np.int64))]
+
+
+PLACED = "shard int, row long, doc_id long, begin long, place long"
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Every document's stretches, decoded: (shard, row, doc_id, begin, place, ids array<int>).
 
@@ -155,30 +178,25 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
-            for number, first, planes, stretches in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                ids = from_planes(planes).astype(np.int32)
-                offsets = np.concatenate([[0], np.cumsum([s["length"] for s in stretches])]).astype(np.int32)
-                own = {k: pa.array([s[k] for s in stretches], pa.int64()) for k in ("row", "doc_id", "begin", "place")}
-                shard = pa.array([number] * len(stretches), pa.int32())
-                place = pa.array(np.array([s["place"] for s in stretches]) + first)
-                yield pa.RecordBatch.from_arrays([shard, own["row"], own["doc_id"], own["begin"], place, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["shard", "row", "doc_id", "begin", "place", "ids"])
+        for number, own, ids, cuts in decoded(batches):
+            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*stretch_columns(number, own), lists], ["shard", "row", "doc_id", "begin", "place", "ids"])
 
-    return spark.read.schema(DATASET).parquet(path).mapInArrow(run, "shard int, row long, doc_id long, begin long, place long, ids array<int>")
+    return spark.read.schema(DATASET).parquet(path).mapInArrow(run, f"{PLACED}, ids array<int>")
 
 
 def summary(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every written document, from the files.
 
-    Checksums of a document's stretches are joined in order, so that no document has to be gathered whole.
+    Blocks are decoded and their stretches checksummed where they are read; ids go nowhere else.  Checksums of a
+    document's stretches are joined in order, so that no document has to be gathered whole.
     """
 
     def checked(batches):
-        for batch in batches:
-            values = batch.column(5)
-            flat, offsets = values.values.to_numpy(), values.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["shard", "row", "doc_id", "begin", "place", "length", "crc"])
+        for number, own, ids, cuts in decoded(batches):
+            data = memoryview(ids.astype("<u4").tobytes())
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*stretch_columns(number, own), pa.array(own["length"].astype(np.int64)), pa.array(crc, pa.int64())], ["shard", "row", "doc_id", "begin", "place", "length", "crc"])
 
     def joined(batches):
         for batch in batches:
@@ -192,7 +210,7 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
 
     shards = spark.read.schema(DATASET).parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard, MOST_BLOCKS at most
-    stretches = read_ids(spark, path).mapInArrow(checked, "shard int, row long, doc_id long, begin long, place long, length long, crc long")
+    stretches = spark.read.schema(DATASET).parquet(path).mapInArrow(checked, f"{PLACED}, length long, crc long")
     docs = stretches.groupBy("shard", "row").agg(
         F.first("doc_id").alias("doc_id"), F.min("place").alias("place"), F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("begin", "length", "crc"))).alias("parts")
     )
