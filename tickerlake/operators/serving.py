@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickerlake import session
 from tickerlake.functions import dates, text
-from tickerlake.operators import prices, timejoin
+from tickerlake.operators import contain, prices, timejoin
 
 MAX_PAGE = 200
 MOST_TAKEN = 100_000
@@ -218,26 +218,24 @@ def open_incidents(incidents: DataFrame, results: DataFrame, rules: DataFrame, s
 
 
 def key_contains_lookup(incidents: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Add ``instrument``: symbol of the instrument whose uuid the record key holds.
+    """Add ``instrument``: symbol of the instrument whose uuid the record key contains, wherever it stands in it.
 
-    A record key is made of ``:``-separated parts and a uuid is one whole part, so
-    the containment test becomes an equi join on the parts; the lowest instrument
-    id wins, a key without a match stands for itself.
+    The lowest instrument id wins, a key without a match stands for itself.
     """
-    ids = instruments.select(F.col("instrument_uuid").alias("_part"), "instrument_id", "symbol")
-    keys = incidents.select("target_record_key").distinct()
-    parts = keys.withColumn("_part", F.explode(F.array_distinct(F.split("target_record_key", ":"))))
-    hit = parts.join(ids, "_part").groupBy("target_record_key").agg(F.min_by("symbol", "instrument_id").alias("_s"), F.min("instrument_id").alias("_i"))
+    ids = instruments.select(F.col("instrument_uuid").alias("needle"), "instrument_id", "symbol")
+    hit = contain.containing(incidents, "target_record_key", ids, "needle")
+    hit = hit.groupBy("target_record_key").agg(F.min_by("symbol", "instrument_id").alias("_s"), F.min("instrument_id").alias("_i"))
     return incidents.join(hit, "target_record_key", "left").withColumn(
         "instrument", F.coalesce("_s", F.nullif("target_record_key", F.lit("")), F.lit("Unknown"))
     ).withColumnRenamed("_i", "matched_instrument_id").drop("_s")
 
 
 def open_incidents_by_instrument(incidents: DataFrame, results: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Count of OPEN incidents whose record key holds the instrument."""
+    """Count of OPEN incidents whose record key contains the instrument; a key with several counts for each of them."""
     inc = incidents.where("incident_status = 'OPEN'").join(results.select("dq_result_id", "target_record_key"), "dq_result_id")
-    return key_contains_lookup(inc, instruments).where("matched_instrument_id is not null").groupBy(
-        F.col("matched_instrument_id").alias("instrument_id")).agg(F.count(F.lit(1)).alias("open_incidents"))
+    per_key = inc.where("target_record_key is not null").groupBy("target_record_key").agg(F.count("*").alias("_n"))
+    hit = contain.containing(per_key, "target_record_key", instruments.select("instrument_uuid", "instrument_id"), "instrument_uuid")
+    return hit.join(per_key, "target_record_key").groupBy("instrument_id").agg(F.sum("_n").alias("open_incidents"))
 
 
 def data_quality_score(incidents: DataFrame) -> DataFrame:

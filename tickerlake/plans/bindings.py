@@ -392,7 +392,10 @@ def source_runs(spark: SparkSession, sf: str) -> DataFrame:
 def incident_results(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr(
         "event_id as dq_result_id", "event_id % 6 + 1 as dq_rule_id", "'market_ohlcv_1d' as target_table",
-        "case when event_id % 9 = 0 then '' else concat('px:', md5(concat('I', user_id)), ':', cast(cast(ts as date) as string)) end as target_record_key", "concat('why', event_id % 4) as failure_reason")
+        # an instrument is a part of the key, stands inside one, or beside another
+        """case when event_id % 9 = 0 then '' when event_id % 5 = 1 then concat('px-', md5(concat('I', user_id)), 'Z', cast(cast(ts as date) as string))
+          when event_id % 7 = 2 then concat('pair', md5(concat('I', user_id)), md5(concat('I', user_id + 1))) else concat('px:', md5(concat('I', user_id)), ':', cast(cast(ts as date) as string)) end as target_record_key""",
+        "concat('why', event_id % 4) as failure_reason")
 
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,7 +41,8 @@ part("source_runs", """
 SELECT CASE WHEN user_id % 2 = 0 THEN 'nse_eod_ingest' ELSE 'bse_eod_ingest' END AS pipeline_name, CAST(ts AS DATE) AS trade_date, max(user_id % 2) + day(max(CAST(ts AS DATE))) * 2 AS pipeline_run_id,
  max(CASE WHEN event_type = 'purchase' AND (day(ts) % 3 <> 0 OR hour(ts) < 14) THEN ts END) AS confirmed_at FROM events GROUP BY 1, 2""")
 part("incident_results", """
-SELECT event_id AS dq_result_id, event_id % 6 + 1 AS dq_rule_id, CASE WHEN event_id % 9 = 0 THEN '' ELSE 'px:' || md5('I' || user_id) || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) END AS target_record_key, 'why' || (event_id % 4) AS failure_reason FROM events""")
+SELECT event_id AS dq_result_id, event_id % 6 + 1 AS dq_rule_id, CASE WHEN event_id % 9 = 0 THEN '' WHEN event_id % 5 = 1 THEN 'px-' || md5('I' || user_id) || 'Z' || CAST(CAST(ts AS DATE) AS VARCHAR)
+  WHEN event_id % 7 = 2 THEN 'pair' || md5('I' || user_id) || md5('I' || (user_id + 1)) ELSE 'px:' || md5('I' || user_id) || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) END AS target_record_key, 'why' || (event_id % 4) AS failure_reason FROM events""")
 part("incidents", """
 SELECT event_id + 1000000 AS dq_incident_id, event_id AS dq_result_id, ['OPEN','IN_PROGRESS','RESOLVED'][event_id % 3 + 1] AS incident_status, ['MEDIUM','HIGH'][event_id % 2 + 1] AS impact_level, ts AS opened_at FROM events WHERE event_type = 'error'""")
 part("rules", "SELECT k AS dq_rule_id, 'RULE_' || k AS rule_code, ['HIGH','CRITICAL','MEDIUM'][k % 3 + 1] AS severity, CASE WHEN k % 2 = 0 THEN 'MARKET' ELSE 'NEWS' END AS domain_name FROM (SELECT unnest(range(1, 7)) AS k)")
