@@ -6,9 +6,11 @@ File queries first let Spark write the given tables out as the files to be read.
 import datetime as dt
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickerlake import schemas
 from tickerlake.functions import dates, numeric, text
@@ -18,7 +20,7 @@ from tickerlake.plans import sqlparts
 from tickerlake.plans.registry import register
 from tickerlake.session import work_dir
 from tickerlake.sources import bhavcopy, rawzone, sinks
-from tickerlake.streaming import ingest
+from tickerlake.streaming import connector, ingest
 
 # --- exchange files -------------------------------------------------------------------------
 
@@ -413,13 +415,47 @@ def window_guard(spark, sf):
 # --- streams ------------------------------------------------------------------------------------------------------
 
 
-@register("stream_bhavcopy", "SELECT CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS k, coalesce(error, 'valid') AS outcome FROM nse_file")
+_B_CHECKS = _checks("NSE").replace("WHEN l_orderkey % 31 <> 0 AND l_orderkey % 29 = 0 THEN 'DELIV_QTY must be non-negative' ", "")
+# delivery 0 has all rows; delivery 1 comes again for the first ten days of a month, from the sixth on with other quantities
+sqlparts.part("delivered", f"""
+SELECT 0 AS batch, *, l_orderkey % 31 = 0 AS blank, CASE WHEN l_orderkey % 31 = 0 THEN ' ' WHEN l_orderkey % 29 = 0 THEN '-3' ELSE CAST(qty - 1 AS VARCHAR) END <> '9' AS other FROM nse_file
+UNION ALL SELECT 1, *, l_orderkey % 31 = 0, false FROM nse_file WHERE day(trade_date) <= 5
+UNION ALL SELECT 1, *, {_B_CHECKS} AS error, false, CASE WHEN l_orderkey % 31 = 0 THEN ' ' WHEN l_orderkey % 29 = 0 THEN '-3' ELSE CAST(qty - 1 AS VARCHAR) END <> '9' FROM ticks WHERE day(trade_date) BETWEEN 6 AND 10""")
+sqlparts.part("delivered_days", """
+SELECT batch, trade_date, count(*) FILTER (error IS NULL AND NOT blank) AS n, batch = 0 OR bool_or(other) AS updated, 'NSE_EOD|' || trade_date || '|' || batch AS run FROM delivered GROUP BY 1, 2""")
+_SHOWN = "CAST(l_orderkey * 8 + l_linenumber AS VARCHAR)"
+
+
+@register("stream_bhavcopy", f"""
+SELECT batch, 'valid' AS output, {_SHOWN} AS k, 'S' || instrument_id || ' ' || strftime(trade_date, '%Y-%m-%d') AS what FROM delivered WHERE error IS NULL AND NOT blank
+UNION ALL SELECT batch, 'rejected', {_SHOWN}, error FROM delivered WHERE error IS NOT NULL
+UNION ALL SELECT batch, 'refused', {_SHOWN}, 'null_not_allowed field=delivery_qty' FROM delivered WHERE error IS NULL AND blank
+UNION ALL SELECT batch, 'incidents', 'S' || instrument_id, 'RAW_CONTRACT_VALIDATION_FAILED null_not_allowed field=delivery_qty' FROM delivered WHERE error IS NULL AND blank
+UNION ALL SELECT d.batch, 'rows', {_SHOWN}, strftime(trade_date, '%Y-%m-%d') FROM delivered d JOIN delivered_days t USING (batch, trade_date) WHERE error IS NULL AND NOT blank AND updated
+UNION ALL SELECT batch, 'versions', run, n || ' true ' || (batch = 1) FROM delivered_days WHERE updated
+UNION ALL SELECT batch, 'manifest', run, n || ' ' || (batch = 1) FROM delivered_days WHERE updated
+UNION ALL SELECT batch, 'runs', run, 'SUCCESS' FROM delivered_days
+UNION ALL SELECT batch, 'events', run, 'START ~' FROM delivered_days
+UNION ALL SELECT batch, 'events', run, 'END ' || n || ' ' || updated || ' ' || updated FROM delivered_days""")
 def stream_files(spark, sf):
-    out, cp = work_dir(spark, "stream"), work_dir(spark, "stream-cp")
-    order = [NSE_NAMES.get(n, n) for n in FILE_ROW if n != "SC_CODE"] + ["SERIES"]
-    ingest.stream_bhavcopy(spark, _nse_files(spark, sf), out, cp, "WANTED", order, ["k"]).awaitTermination()
-    good, bad = spark.read.parquet(f"{out}/valid"), spark.read.parquet(f"{out}/rejected")
-    return good.select("k", F.lit("valid").alias("outcome")).union(bad.select("k", "error"))
+    out, cp, folder = work_dir(spark, "stream"), work_dir(spark, "stream-cp"), work_dir(spark, "nse-stream")
+    rows = _file_rows(spark, sf, "NSE").drop("SC_CODE").withColumnsRenamed(NSE_NAMES)
+    day = F.dayofmonth(F.col("WANTED").cast("date"))
+    again = rows.where(day <= 10).withColumn("DELIV_QTY", F.when(day <= 5, F.col("DELIV_QTY")).otherwise("9"))
+    contract = T.StructType([T.StructField(f.name, f.dataType, f.nullable and f.name != "delivery_qty") for f in schemas.contract_schema(CONTRACT)])
+    for delivery in (rows, again):
+        delivery.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+        connector.stream_connector(spark, folder, out, cp, "WANTED", contract, dt.datetime(2024, 1, 1), rows.columns, ["k"]).awaitTermination()
+    run = F.concat_ws("|", "source_system", "trade_date", F.col("batch").cast("string"))
+    load = F.concat_ws(" ", *(F.get_json_object("metrics_payload", f"$.{n}") for n in ("row_count", "created", "updated")))
+    shown = {
+        "valid": ("k", F.concat_ws(" ", "symbol", "timestamp")), "rejected": ("k", F.col("error")), "refused": ("k", F.col("reason")), "incidents": ("target_record_key", F.concat_ws(" ", "rule_code", "resolution_notes")),
+        "rows": ("k", F.col("trade_date").cast("string")), "versions": (run, F.concat_ws(" ", F.col("row_count").cast("string"), F.col("created").cast("string"), F.col("previous_checksum").isNotNull().cast("string"))),
+        "manifest": (run, F.concat_ws(" ", F.col("row_count").cast("string"), F.col("previous_checksum").isNotNull().cast("string"))), "runs": ("pipeline_run_id", F.col("status")),
+        "events": ("pipeline_run_id", F.concat_ws(" ", "event_type", F.when(F.col("event_type") == "START", F.coalesce("metrics_payload", F.lit("~"))).otherwise(load))),
+    }
+    parts = [connector.committed(spark, out, name).select("batch", F.lit(name).alias("output"), (F.col(k) if isinstance(k, str) else k).alias("k"), what.alias("what")) for name, (k, what) in shown.items()]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def _batches(spark, df, path, column):

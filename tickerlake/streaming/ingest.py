@@ -16,33 +16,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tickerlake.functions import dates
-from tickerlake.operators import merge, validate
+from tickerlake.operators import merge
 from tickerlake.operators.prices import BREAKER_HIGH, BREAKER_LOW
-from tickerlake.sources import bhavcopy, rawzone
+from tickerlake.sources import rawzone
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_bhavcopy(
-    spark: SparkSession, folder: str, out: str, checkpoint: str, trade_date: dt.date | str, columns: list[str] | None = None, keep: list[str] | None = None
-) -> StreamingQuery:
-    """Arriving NSE files -> checked rows in ``out/valid`` and refusals in ``out/rejected``.
-
-    ``columns``: the file's columns in order, when it has more than the standard ones.
-    """
-    names = columns or bhavcopy.NSE_HEADERS
-    validate.require_columns(spark.createDataFrame([], ", ".join(f"{n} string" for n in names)), bhavcopy.NSE_HEADERS, "required NSE")
-    # enforceSchema off: a file whose header differs in names or order fails instead of being read by position
-    files = spark.readStream.option("header", True).option("enforceSchema", False).schema(", ".join(f"{n} string" for n in names)).csv(folder)
-
-    def store(batch: DataFrame, number: int) -> None:
-        valid, rejected = bhavcopy.nse_rows(batch, trade_date, "quarantine", keep)
-        valid.write.mode("overwrite").parquet(f"{out}/valid/batch={number}")
-        rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
-
-    return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def stream_dedupe_payloads(payloads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Arriving payloads -> raw zone; a payload equal to the current one is dropped.
 
