@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import samples
 
@@ -43,8 +44,19 @@ def test_base_spans_like_the_patterns():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("1" * 300_000, "a@" * 100_000, "1." * 100_000, "+1" * 100_000, "a" * 300_000 + "@", "1 2" * 100_000):
+    for text in ("1" * 1_000_000, "a@" * 100_000, "1." * 100_000, "+1" * 100_000, "a" * 300_000 + "@", "1 2" * 100_000, "+1" + "(" * 1_000_000):
+        start = time.perf_counter()
         assert isinstance(op.base_spans(text), list)
+        assert time.perf_counter() - start < 2, text[:10]
+
+
+def test_dense_numbers_are_tagged_in_bounded_windows():
+    model, text = op.trained(), "7 1.5 a3 " * 40_000 + "Call 555-123-9876 today" + " 12 b" * 40_000
+    start = time.perf_counter()
+    _, spans = op.all_spans([text, "1" * 1_000_000], model)
+    assert time.perf_counter() - start < 60
+    assert any(text[a:b] == "555-123-9876" for a, b, _ in spans[0])
+    assert max(len(tokens) for tokens, _ in op.windows_of(text)) <= op.LONGEST
 
 
 def test_tagger_adds_and_leaves_clean_text_alone():

@@ -13,6 +13,7 @@ import functools
 import itertools
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,21 @@ STEP, RIDGE = 0.1, 1e-4
 CONTEXT = 7
 #: A span that comes as near to the end of a window, in tokens, is decoded again with more tokens there.
 MARGIN = 4
-#: Windows that are decoded at once.
-DECODED = 4096
+#: Tokens that a window has at first, at most; longer stretches are decoded in windows that share CONTEXT tokens.
+LONGEST = 512
+#: Tokens, at least, of the windows whose features are held at once.
+DECODED = 1 << 16
 SLICE_BYTES = 4_000_000
 
 # The base patterns.
-IP = re.compile(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+# An address takes whole runs of digits, so that one which fails at a run's start fails at all its digits.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]", re.I)
+TRIGGER = re.compile(r"[0-9]+|@|[\[({]\s?at\s?[\])}]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -200,9 +204,7 @@ def viterbi(windows: list[list[list[int]]], model: tuple[np.ndarray, np.ndarray]
     weights, go = model
     k, sizes = len(LABELS), np.array([len(w) for w in windows], dtype=np.int64)
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(windows)
-    for chosen in np.array_split(np.argsort(-sizes, kind="stable"), -(-len(windows) // DECODED) or 1):
-        if not len(chosen):
-            continue
+    for chosen in [np.argsort(-sizes, kind="stable")] if len(windows) else []:
         size = sizes[chosen]
         flat = np.array([f for c in chosen for token in windows[c] for f in token], dtype=np.int64).reshape(int(size.sum()), -1)
         emit = np.zeros((len(flat), k))
@@ -257,7 +259,7 @@ def windows_of(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
                 keep[-1][1] = i + CONTEXT + 1
             else:
                 keep.append([max(i - CONTEXT, 0), i + CONTEXT + 1])
-        out += [(tokens[x:y], spans[x:y]) for x, y in keep]
+        out += [(tokens[i : min(i + LONGEST, y)], spans[i : min(i + LONGEST, y)]) for x, y in keep for i in range(x, max(y - CONTEXT, x + 1), LONGEST - CONTEXT)]
     return out
 
 
@@ -286,15 +288,29 @@ def decoded(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[tupl
     out, more = [], CONTEXT
     while todo:
         again = []
-        for (d, w), labels in zip(todo, viterbi([features(tokens, gaps(spans)) for _, (tokens, spans) in todo], model)):
-            if (wider := longer(texts[d], w, labels, more)) is None:
-                out.append((d, w[1], labels))
-            else:
-                again.append((d, wider))
+        for some in held(todo):
+            for (d, w), labels in zip(some, viterbi([features(tokens, gaps(spans)) for _, (tokens, spans) in some], model)):
+                if (wider := longer(texts[d], w, labels, more)) is None:
+                    out.append((d, w[1], labels))
+                else:
+                    again.append((d, wider))
         todo, more = again, 2 * more
     return out
 
 
+def held(todo: list) -> Iterator[list]:
+    """The windows in lists of about DECODED tokens, one window at least."""
+    some, size = [], 0
+    for d, w in todo:
+        some.append((d, w))
+        size += len(w[0])
+        if size >= DECODED:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def plausible(kind: str, text: str) -> bool:
     """What a span of the tagger must have besides its labels."""
     digits = sum("0" <= c <= "9" for c in text)
