@@ -32,8 +32,11 @@ def content_digest(lines: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256)
 
 
-def write(rows: DataFrame, out: str, name: str, number: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+def write(rows: DataFrame, out: str, name: str, number: int) -> DataFrame:
+    """The batch's output, as it is written; what follows from it starts there."""
+    path = f"{out}/{name}/batch={number}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def committed(spark: SparkSession, out: str, name: str) -> DataFrame:
@@ -64,7 +67,10 @@ def deliver(
     fields = F.map_from_arrays(F.array(*(F.lit(n) for n in bhavcopy.ROW)), F.array(*(F.col(n).cast("string") for n in bhavcopy.ROW)))
     good = checked.where("error is null").select(*keep, "trade_date", F.col("symbol").alias("_symbol"), fields.alias("row"))
     valid, refused = validate.validate_contract(good, contract)
-    valid, refused = valid.drop("_symbol"), refused.select(*keep, "trade_date", F.col("_symbol").alias("symbol"), "reason")
+    valid = write(valid.drop("_symbol"), out, "valid", number)
+    write(checked.where("error is not null").select(*keep, "_raw.*", "error"), out, "rejected", number)
+    refused = write(refused.select(*keep, "trade_date", F.col("_symbol").alias("symbol"), "reason"), out, "refused", number)
+    write(quality.contract_incidents(refused, f"raw_zone:{source}", as_of)[1], out, "incidents", number)
 
     counts = checked.where("trade_date is not null").groupBy("trade_date").agg(content_digest(F.col("_line")).alias("checksum"))
     kept = valid.groupBy("trade_date").agg(F.count("*").alias("row_count"))
@@ -88,14 +94,11 @@ def deliver(
     load = text.payload_json(attempt=F.lit(1), row_count=F.col("row_count"), checksum=F.col("checksum"), created=F.col("created"), updated=F.col("updated"))
     first = F.struct(F.lit("START").alias("event_type"), F.concat(F.lit("Connector "), F.col("source_system"), F.lit(" started")).alias("message"), F.lit(None).cast("string").alias("metrics_payload"))
     last = F.struct(F.lit("END").alias("event_type"), F.concat(F.lit("raw_write_confirmed path="), F.concat_ws("/", "source_system", "trade_date")).alias("message"), load.alias("metrics_payload"))
-    frames = {
-        "valid": valid, "rejected": checked.where("error is not null").select(*keep, "_raw.*", "error"), "refused": refused,
-        "incidents": quality.contract_incidents(refused, f"raw_zone:{source}", as_of)[1], "rows": contents, "versions": versions, "manifest": after,
-        "runs": done.select("pipeline_run_id", F.lit("SCHEDULED").alias("run_mode"), F.lit("SYSTEM").alias("triggered_by"), F.lit("SUCCESS").alias("status"), "trade_date", F.lit(as_of).alias("confirmed_at")),
-        "events": done.select("pipeline_run_id", F.explode(F.array(first, last)).alias("_e")).select("pipeline_run_id", "_e.*", F.lit(as_of).alias("event_ts")),
-    }
-    for name in OUTPUTS:
-        write(frames[name], out, name, number)
+    write(contents, out, "rows", number)
+    write(versions, out, "versions", number)
+    write(after, out, "manifest", number)
+    write(done.select("pipeline_run_id", F.lit("SCHEDULED").alias("run_mode"), F.lit("SYSTEM").alias("triggered_by"), F.lit("SUCCESS").alias("status"), "trade_date", F.lit(as_of).alias("confirmed_at")), out, "runs", number)
+    write(done.select("pipeline_run_id", F.explode(F.array(first, last)).alias("_e")).select("pipeline_run_id", "_e.*", F.lit(as_of).alias("event_ts")), out, "events", number)
     write(spark.range(1).select(F.lit(as_of).alias("committed_at")), out, "commits", number)
 
 
