@@ -81,3 +81,9 @@ def test_keep_one(spark):
     kept = op.keep_one(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "bits", "component"]
     assert sorted(kept.collect(), key=str) == sorted([(1, "a b c d", "y", 2), (7, "other words are here", "z", 3), (8, None, "e", 5), (None, "q", "n", 4)], key=str)
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    clean = [(1, "a clean text of its own", "a", 1), (1, "quite another one with more words in it", "b", 2), (1, "a clean text of its own", "c", 3), (5, "quite another one with more words in it", "d", 4)]
+    got = [sorted((tuple(r) for r in op.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) for rows in (clean, clean[::-1])]
+    assert got[0] == got[1] and [r[:2] for r in got[0]] == [(1, clean[0][1]), (1, clean[1][1])]

@@ -61,14 +61,20 @@ def simhash(texts: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, bits long) of every document; a text without words has no bit set."""
+    """(doc_id, mark, bits long) of every document, mark is its row_mark; a text without words has no bit set."""
 
     def run(batches):
         for batch in common.slices(batches, "text", SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(simhash(batch.column(1).to_pylist()))], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(simhash(batch.column(1).to_pylist()))], ["doc_id", "mark", "bits"])
 
-    return common.documents(docs).mapInArrow(run, "doc_id long, bits long")
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, row_mark(docs).alias("mark")).mapInArrow(run, "doc_id long, mark long, bits long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -108,6 +114,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def groups(prints: DataFrame) -> DataFrame:
+    """(bits, component, component_id) of every fingerprint in prints (doc_id, bits): the smallest fingerprint and the
+    smallest doc_id reachable over links."""
+    distinct = session.stage(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
+    found = components(links(distinct.select("bits")))
+    whole = distinct.join(found.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
+    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    return whole.join(least, "component").select("bits", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
@@ -115,13 +131,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id reachable over links (null only if no document of the component has an id); repeated rows give repeated
     rows.  An empty table gives an empty result.
     """
-    prints = session.stage(fingerprints(docs), "simhash")
-    distinct = session.stage(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct.select("bits")))
-    whole = distinct.join(found.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
-    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = whole.join(least, "component").select("bits", "component_id")
-    return prints.join(named, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    prints = session.stage(fingerprints(docs.select("doc_id", "text")), "simhash")
+    return prints.join(groups(prints), "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +142,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id, all columns as they were.
 
-    Of rows that share this doc_id one stays.  Documents without a doc_id are no part of the groups; of those
-    with equal texts one stays.
+    Of a group's rows that share this doc_id the one with the smallest row_mark stays, which depends on their
+    contents alone; rows of other groups with the same doc_id are no rivals.  Documents without a doc_id are no part
+    of the groups; of those with equal texts one stays.
     """
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
+    prints = session.stage(fingerprints(named), "simhash")
+    first = prints.join(groups(prints), "bits").where("doc_id = component_id").groupBy("component", "doc_id").agg(F.min("mark").alias("_mark"))
+    kept = named.withColumn("_mark", row_mark(named)).join(first.select("doc_id", "_mark"), ["doc_id", "_mark"], "left_semi")
     rest = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(rest)
+    return kept.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns).unionByName(rest)
