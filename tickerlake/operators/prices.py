@@ -5,20 +5,18 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tickerlake import session
 from tickerlake.functions import dates, numeric
-from tickerlake.operators import identity, merge, timejoin
+from tickerlake.operators import breaker, identity, merge, timejoin
 
 # --- fixed values -----------------------------------------------------------
 RATIO_ACTIONS = ["SPLIT", "BONUS", "RIGHTS"]
 ACTION_TYPES = ["SPLIT", "BONUS", "RIGHTS", "DIVIDEND", "MERGER", "DEMERGER", "DELISTING"]
 HOME_CURRENCY = "INR"
-BREAKER_HIGH, BREAKER_LOW = 5.0, 0.2
 # ----------------------------------------------------------------------------
 
 
@@ -213,35 +211,11 @@ def asof_prior_close(left: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def _fold_breaker(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk one instrument's days in order; the previous close is the stored one."""
-    pdf = pdf.sort_values(["trade_date", "first_id"], ignore_index=True)
-    verdicts: list[bool] = []
-    day = prev = pending = newest = None
-    rows = zip(
-        pdf["trade_date"].tolist(), pdf["close"].tolist(), pdf["adj"].tolist(),
-        pdf["arrived"].tolist(), pdf["first_seen"].tolist(), pdf["is_stored"].tolist(),
-    )
-    for d, close, adj, arrived, first_seen, is_stored in rows:
-        if d != day:
-            day, prev, pending, newest = d, prev if newest is None else pending, None, None
-        passed = is_stored or prev is None or prev <= 0 or BREAKER_LOW <= adj / prev <= BREAKER_HIGH
-        verdicts.append(passed)
-        # a stored row keeps its place unless a candidate is strictly newer
-        rank = (arrived, is_stored, -first_seen)
-        if passed and (newest is None or rank > newest):
-            pending, newest = close, rank
-    out = pdf.assign(breaker_ok=verdicts)
-    return out.loc[~out["is_stored"].astype(bool), ["instrument_id", "trade_date", "close", "adj", "breaker_ok"]]
-
-
 def sequential_breaker(rows: DataFrame, curated: DataFrame | None = None) -> DataFrame:
     """Add ``breaker_ok``: adjusted close within [0.2, 5] of the last accepted close.
 
-    A rejected row is never stored, so it is not the reference for the next day;
-    the walk is sequential per instrument, and only instruments where a row may
-    fail are walked.  Equal (day, close, adjusted close)
-    versions are merged before the walk, so a group is one instrument's calendar.
+    A rejected row is never stored, so it is not the reference for the next day; only instruments where a row may
+    fail are walked (``breaker.walked``).  Equal (day, close, adjusted close) versions are merged before the walk.
     At equal arrival times the lowest record id counts as first.  ``rows``:
     instrument_id, trade_date, close_px, adj_close_px, ingested_ts, source_record_id.
     """
@@ -263,10 +237,8 @@ def sequential_breaker(rows: DataFrame, curated: DataFrame | None = None) -> Dat
                 F.lit("").alias("first_id"), F.lit(True).alias("is_stored"),
             )
         )
-    walked = cand.join(_unsettled(cand), "instrument_id", "left_semi")
-    verdict = walked.groupBy("instrument_id").applyInPandas(
-        _fold_breaker, "instrument_id long, trade_date date, close double, adj double, breaker_ok boolean"
-    )
+    cand = session.stage(cand, "breaker")  # read twice
+    verdict = breaker.walked(cand.join(_unsettled(cand), "instrument_id", "left_semi"))
     keyed = rows.withColumn("close", F.col("close_px").cast("double")).withColumn("adj", F.col("adj_close_px").cast("double"))
     judged = F.col("instrument_id").isNotNull() & F.col("trade_date").isNotNull() & F.col("adj").isNotNull()
     ok = F.when(judged, F.coalesce("breaker_ok", F.lit(True)))
@@ -284,7 +256,7 @@ def _unsettled(cand: DataFrame) -> DataFrame:
         F.min("close").alias("low"), F.max("close").alias("high"), F.min(own).alias("least"), F.max(own).alias("most"))
     w = W.partitionBy("instrument_id").orderBy("trade_date")
     low, high = F.lag("low").over(w), F.lag("high").over(w)
-    calm = low.isNull() | F.col("least").isNull() | ((low > 0) & (F.col("least") / high >= BREAKER_LOW) & (F.col("most") / low <= BREAKER_HIGH))
+    calm = low.isNull() | F.col("least").isNull() | ((low > 0) & (F.col("least") / high >= breaker.LOW) & (F.col("most") / low <= breaker.HIGH))
     return per_day.select("instrument_id", calm.alias("calm")).where(~F.coalesce("calm", F.lit(False))).select("instrument_id").distinct()
 
 
