@@ -185,10 +185,26 @@ def test_schema_catalog():
             assert schemas.columns_of(check) <= set(t.columns), check
 
 
-def test_stream_breaker_keeps_state_between_batches(spark, tmp_path):
-    schema = "instrument_id long, trade_date date, close double, adj double"
+def test_stream_breaker_judges_late_rows_and_corrects_later_ones(spark, tmp_path):
+    schema = "instrument_id long, trade_date date, close double, adj double, arrived long"
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
-    for n, rows in enumerate([[(1, D(2026, 1, 1), 10.0, 10.0), (1, D(2026, 1, 2), 100.0, 100.0)], [(1, D(2026, 1, 3), 51.0, 51.0), (1, D(2026, 1, 4), 49.0, 49.0)]]):
+    px = lambda day, close, arrived=0, key=1: (key, D(2026, 1, day), float(close), float(close), arrived)
+    batches = [
+        [px(2, 10), px(3, 100), px(5, 49)],  # 100 fails against 10, 49 passes
+        [px(4, 51), px(3, 2, key=2)],  # late: fails against 10, changes nothing
+        [px(1, 30), px(2, 11)],  # a first day, and another version of the second
+        [px(2, 12, 1), px(5, 70)],  # arrived later: now the reference, so 51 and 49 pass; 70 after 51 passes
+        [px(20, 60)], [px(3, 1), px(12, 3)],  # days before the tenth are refused from now on
+    ]
+    for n, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).write.parquet(f"{src}/part={n}")
-        ingest.stream_breaker(spark.readStream.schema(schema).parquet(f"{src}/*"), out, cp).awaitTermination()
-    assert {r.trade_date.day: r.breaker_ok for r in spark.read.parquet(out).collect()} == {1: True, 2: False, 3: False, 4: True}
+        ingest.stream_breaker(spark.readStream.schema(schema).parquet(f"{src}/*"), out, cp, keep_days=10).awaitTermination()
+    got = {(r.instrument_id, r.trade_date.day, r.close): (r.breaker_ok, r.late) for r in ingest.breaker_verdicts(spark, out).collect()}
+    want = {(1, 1, 30): True, (1, 2, 10): True, (1, 2, 11): True, (1, 2, 12): True, (1, 3, 100): False, (1, 4, 51): True, (1, 5, 49): True, (1, 5, 70): True, (2, 3, 2): True, (1, 20, 60): True, (1, 12, 3): False}
+    assert got == {k: (ok, False) for k, ok in want.items()} | {(1, 3, 1): (None, True)}
+    # the same rows at once
+    rows = [r for batch in batches[:5] for r in batch]
+    one = str(tmp_path / "one")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{one}/in/part=0")
+    ingest.stream_breaker(spark.readStream.schema(schema).parquet(f"{one}/in/*"), f"{one}/out", f"{one}/cp").awaitTermination()
+    assert {(r.instrument_id, r.trade_date.day, r.close): r.breaker_ok for r in ingest.breaker_verdicts(spark, f"{one}/out").collect()} == {k: ok for k, ok in want.items() if k != (1, 12, 3)}

@@ -3,7 +3,6 @@
 import datetime as dt
 from decimal import Decimal
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,37 +55,6 @@ def test_walk_only_where_a_row_may_fail(spark):
     assert sorted(r.instrument_id for r in prices._unsettled(cand).collect()) == [2, 3]
 
 
-class _Value:
-    def __init__(self):
-        self.kept = None
-
-    def exists(self):
-        return self.kept is not None
-
-    def get(self):
-        return self.kept
-
-    def update(self, value):
-        self.kept = value
-
-
-def test_stream_breaker_on_redelivered_and_late_days():
-    walker = ingest._LastAccepted()
-    walker._state = _Value()
-
-    def feed(*rows):
-        pdf = pd.DataFrame(rows, columns=["trade_date", "close"]).assign(instrument_id=1, adj=lambda x: x["close"])
-        out = next(iter(walker.handleInputRows((1,), iter([pdf]), None)))
-        return [(None if pd.isna(ok) else bool(ok), bool(late)) for ok, late in zip(out["breaker_ok"], out["late"])]
-
-    a, b, c = D(2024, 1, 1), D(2024, 1, 2), D(2024, 1, 3)
-    assert feed((a, 100.0)) == [(True, False)]
-    assert feed((b, 450.0), (b, 600.0)) == [(True, False), (False, False)]
-    assert feed((b, 550.0)) == [(False, False)]  # another batch of the same day: still judged against the day before
-    assert feed((a, 90.0)) == [(None, True)]
-    assert feed((c, 2000.0)) == [(True, False)]
-
-
 def test_returning_payload_is_not_created_again(spark):
     out, src, cp = (session.work_dir(spark, x) for x in ("zone", "src", "cp"))
     schema = "source_system string, trade_date date, arrival long, checksum string, row_count long"

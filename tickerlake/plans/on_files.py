@@ -479,9 +479,13 @@ def stream_payloads(spark, sf):
 LATE_AS_OF = dt.datetime(2001, 7, 2, 12)
 
 
-@register("stream_late_corrections", """
-SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, CAST(CASE WHEN instrument_id % 2 = 0 THEN close_px + 1 ELSE close_px END AS DOUBLE) AS close_px FROM bars
-WHERE trade_date >= DATE '1996-01-01' AND CAST(trade_date AS TIMESTAMP) + INTERVAL 10 HOUR <= TIMESTAMP '2001-07-02 13:00:00'""")
+_TAKEN = "trade_date >= DATE '1996-01-01' AND CAST(trade_date AS TIMESTAMP) + INTERVAL 10 HOUR <= TIMESTAMP '2001-07-02 13:00:00'"
+
+
+@register("stream_late_corrections", f"""
+SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, CAST(CASE WHEN instrument_id % 2 = 0 THEN close_px + 1 ELSE close_px END AS DOUBLE) AS close_px, 'stored' AS what FROM bars WHERE {_TAKEN}
+UNION ALL SELECT instrument_id, CAST(trade_date AS VARCHAR), CAST(close_px + CASE WHEN n = 0 THEN 0 WHEN instrument_id % 2 = 0 THEN 1 ELSE 7 END AS DOUBLE), n || CASE WHEN trade_date < DATE '1996-01-01' THEN ' event_ts_stale' ELSE ' future_event_ts' END
+FROM bars, range(2) r(n) WHERE NOT ({_TAKEN})""")
 def stream_late(spark, sf):
     src, tab, stage, cp = (work_dir(spark, x) for x in ("late", "late-table", "late-stage", "late-cp"))
     rows = b.bars(spark, sf).select("instrument_id", "trade_date", "close_px", "ingested_at", F.lit("r").alias("source_record_id"), dates.event_ts_default(F.col("trade_date")).alias("event_ts"))
@@ -491,20 +495,27 @@ def stream_late(spark, sf):
         batch.write.parquet(f"{src}/part={n}")
         # a window of 1436 weekdays reaches back to 1996-01-01
         ingest.stream_late_corrections(spark.readStream.schema(rows.schema).parquet(f"{src}/*"), tab, stage, cp, LATE_AS_OF, 1435).awaitTermination()
-    return spark.read.parquet(tab).select("instrument_id", "trade_date", "close_px")
+    refused = spark.read.parquet(f"{stage}/refused").select("instrument_id", "trade_date", "close_px", F.concat_ws(" ", F.col("batch").cast("string"), "reason").alias("what"))
+    return spark.read.parquet(tab).select("instrument_id", "trade_date", "close_px", F.lit("stored").alias("what")).unionByName(refused)
 
 
 from tickerlake.plans.on_prices import WALK  # noqa: E402
 
 
 @register("stream_breaker", WALK.format(pre="", cand="SELECT instrument_id, trade_date, CAST(close_px AS DOUBLE) AS close, CAST(close_px AS DOUBLE) AS adj, false AS stored, '' AS source_record_id FROM bars") + """
-SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, ok AS breaker_ok FROM judged""")
+SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, ok AS breaker_ok, false AS late FROM judged""")
 def stream_breaker(spark, sf):
+    """Days come in an order of their own, so that most rows of the later batches are late."""
     src, out, cp = (work_dir(spark, x) for x in ("breaker", "breaker-out", "breaker-cp"))
-    bars = b.bars(spark, sf).select("instrument_id", "trade_date", F.col("close_px").cast("double").alias("close"), F.col("close_px").cast("double").alias("adj"), F.floor(F.year("trade_date") / 4).alias("part"))
-    schema = bars.drop("part").schema
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.ROCKSDB)
-    for batch, path in _batches(spark, bars, src, "part"):
-        batch.write.parquet(path)
-        ingest.stream_breaker(spark.readStream.schema(schema).parquet(f"{src}/*"), out, cp).awaitTermination()
-    return spark.read.parquet(out).select("instrument_id", "trade_date", "breaker_ok")
+    px = F.col("close_px").cast("double")
+    bars = b.bars(spark, sf).select("instrument_id", "trade_date", px.alias("close"), px.alias("adj"), F.lit(0).cast("long").alias("arrived"), F.pmod(F.xxhash64("instrument_id", "trade_date"), F.lit(3)).alias("part"))
+    schema, setting = bars.drop("part").schema, "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, ingest.ROCKSDB)
+    try:
+        for batch, path in _batches(spark, bars, src, "part"):
+            batch.write.parquet(path)
+            ingest.stream_breaker(spark.readStream.schema(schema).parquet(f"{src}/*"), out, cp).awaitTermination()
+    finally:
+        spark.conf.set(setting, was)
+    return ingest.breaker_verdicts(spark, out).select("instrument_id", "trade_date", "breaker_ok", "late")

@@ -7,17 +7,19 @@ batch replayed after a failure leaves the same state.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tickerlake.functions import dates
-from tickerlake.operators import merge
-from tickerlake.operators.prices import BREAKER_HIGH, BREAKER_LOW
+from tickerlake.operators import breaker, merge
 from tickerlake.sources import rawzone
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -53,68 +55,116 @@ def guard_times(rows: DataFrame, as_of: dt.datetime, days: int = 5) -> DataFrame
 
 
 def stream_late_corrections(rows: DataFrame, table: str, staging: str, checkpoint: str, as_of: dt.datetime, days: int = 5) -> StreamingQuery:
-    """Merge arriving rows into the month-partitioned ``table``: a strictly newer
-    ``ingested_at`` replaces the stored row.  Only the months of the batch are rewritten."""
+    """Merge arriving rows into the month-partitioned ``table``: a strictly newer ``ingested_at`` replaces the stored row.
+
+    Rows that come too late, or from the future, are written to ``staging/refused`` with their reason, in the batch's
+    own folder.  Only the months of the batch are rewritten.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        good = guard_times(batch, as_of, days).where("reason is null").drop("reason", "event_ts").withColumn("month", F.date_format("trade_date", "yyyy-MM"))
-        stored = spark.read.schema(good.schema).parquet(table) if _exists(spark, table) else spark.createDataFrame([], good.schema)
+        guarded = guard_times(batch, as_of, days)
+        guarded.where("reason is not null").write.mode("overwrite").parquet(f"{staging}/refused/batch={number}")
+        good = guarded.where("reason is null").drop("reason", "event_ts").withColumn("month", F.date_format("trade_date", "yyyy-MM"))
         # the stale window bounds the months of a batch; as plain values they prune the table's folders
         months = [r.month for r in good.select("month").distinct().collect()]
-        touched = stored.where(F.col("month").isin(months))
+        touched = _stored(spark, table, good.schema).where(F.col("month").isin(months))
         merged, _ = merge.merge_ohlcv(touched, good, as_of)
-        stage = f"{staging}/batch={number}"
+        stage = f"{staging}/merged/batch={number}"
         merged.write.mode("overwrite").parquet(stage)
         spark.read.parquet(stage).hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
 
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table's rows; none before it is first written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+VERDICT = "instrument_id long, trade_date date, close double, adj double, breaker_ok boolean, late boolean, revision long"
 
 
-class _LastAccepted(StatefulProcessor):
-    """Keeps an instrument's newest day, the close that its rows are judged against, and the day's accepted close."""
+class _Days(StatefulProcessor):
+    """The days of an instrument that may still change, with their versions, and the reference before them."""
+
+    def __init__(self, keep_days: int):
+        self._keep_days = keep_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", "day date, prior double, close double")
+        self._days = handle.getMapState("days", "day int", "versions string")
+        self._before = handle.getValueState("before", "reference double, newest int, revision long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        # one instrument's rows of a batch: at most its trading days and their versions
-        pdf = pd.concat(list(rows)).sort_values("trade_date", kind="stable", ignore_index=True)
-        day, prior, close = self._state.get() if self._state.exists() else (None, None, None)
-        flags: list[bool | None] = []
-        for d, px, adj in zip(pdf["trade_date"].tolist(), pdf["close"].tolist(), pdf["adj"].tolist()):
-            if day is not None and d < day:
-                flags.append(None)
-                continue
-            if d != day:
-                day, prior, close = d, prior if close is None else close, None
-            ok = prior is None or prior <= 0 or BREAKER_LOW <= adj / prior <= BREAKER_HIGH
-            flags.append(ok)
-            close = px if ok else close
-        self._state.update((day, prior, close))
-        late = [f is None for f in flags]
-        yield pd.DataFrame({"instrument_id": pdf["instrument_id"], "trade_date": pdf["trade_date"], "breaker_ok": pd.array(flags, dtype="boolean"), "late": late})
+        reference, newest, revision = self._before.get() if self._before.exists() else (None, None, 0)
+        days = {day: json.loads(versions) for (day,), (versions,) in self._days.iterator()}
+        edge = None if newest is None else newest - self._keep_days
+        touched, out, late = set(), [], []
+        for pdf in rows:
+            numbers = [d.toordinal() for d in pdf["trade_date"]]
+            for day, close, adj, arrived in zip(numbers, pdf["close"].tolist(), pdf["adj"].tolist(), pdf["arrived"].tolist()):
+                if edge is not None and day < edge:
+                    late.append((day, close, adj))
+                    continue
+                own = days.setdefault(day, [])
+                same = next((v for v in own if v[:2] == [close, adj]), None)
+                if same is None:
+                    own.append([close, adj, arrived, None])
+                else:
+                    same[2] = max(same[2], arrived)
+                touched.add(day)
+                newest = day if newest is None else max(newest, day)
+        edge = None if newest is None else newest - self._keep_days
+        walked = reference
+        for day in sorted(days):
+            best = None
+            for version in days[day]:
+                close, adj, arrived, was = version
+                ok = breaker.passes(adj, walked)
+                if ok != was:
+                    version[3] = ok
+                    touched.add(day)
+                    out.append((day, close, adj, ok))
+                if ok:
+                    best = max(best or (arrived, close, adj), (arrived, close, adj))
+            walked = walked if best is None else best[1]
+            if day < edge:  # from here on rows of this day are refused
+                reference = walked
+                self._days.removeKey((day,))
+            elif day in touched:
+                self._days.updateValue((day,), (json.dumps(days[day]),))
+        self._before.update((reference, newest, revision + 1))
+        found = [(*r, False) for r in out] + [(*r, None, True) for r in late]
+        yield pd.DataFrame({
+            "instrument_id": [key[0]] * len(found), "trade_date": [dt.date.fromordinal(r[0]) for r in found], "close": [r[1] for r in found], "adj": [r[2] for r in found],
+            "breaker_ok": pd.array([r[3] for r in found], dtype="boolean"), "late": [r[4] for r in found], "revision": [revision] * len(found)})
 
     def close(self) -> None:
         pass
 
 
-def stream_breaker(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Compare each row with the last accepted close of its instrument.
+def stream_breaker(rows: DataFrame, out: str, checkpoint: str, keep_days: int = 3650) -> StreamingQuery:
+    """Compare each row with the last accepted close of its instrument, whatever order rows come in.
 
-    ``rows``: instrument_id, trade_date, close, adj (doubles).  Rows of one day, also when they come in several
-    batches, are judged against the day before; rejected rows do not become the reference.  A row older than the
-    newest day seen is not judged: ``breaker_ok`` null, ``late`` true, for the batch form to settle.  The session's
-    state store provider must be ROCKSDB.
+    ``rows``: instrument_id, trade_date, close, adj (doubles), arrived (a number: of a day's accepted versions the
+    one that arrived last, then the highest, is the reference for later days).  An instrument's days of the last
+    ``keep_days`` before its newest stay in state.  A row that comes late among them is judged, and verdicts of
+    later days that it changes are written again with a higher ``revision`` (see ``breaker_verdicts``).  An older
+    row is refused: ``breaker_ok`` null, ``late`` true.  The session's state store provider must be ROCKSDB.
     """
     if rows.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
-    judged = rows.groupBy("instrument_id").transformWithStateInPandas(
-        statefulProcessor=_LastAccepted(), outputStructType="instrument_id long, trade_date date, breaker_ok boolean, late boolean", outputMode="Append", timeMode="None")
+    judged = rows.groupBy("instrument_id").transformWithStateInPandas(statefulProcessor=_Days(keep_days), outputStructType=VERDICT, outputMode="Append", timeMode="None")
     return judged.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def breaker_verdicts(spark: SparkSession, out: str) -> DataFrame:
+    """The last verdict of each version (instrument, day, close, adjusted close); refused ones only where none was given."""
+    keys = ["instrument_id", "trade_date", "close", "adj"]
+    place = F.when(F.col("late"), F.lit(-1).cast("long")).otherwise(F.col("revision"))
+    return spark.read.schema(VERDICT).parquet(out).groupBy(*keys).agg(F.max_by("breaker_ok", place).alias("breaker_ok"), F.min("late").alias("late"))
