@@ -4,7 +4,7 @@ Pages with a known outcome (bad or not) are counted per host.  A host's rate of
 of its registered domain, the domain's towards that of its suffix, the suffix's towards the rate of all pages:
 each level is a beta-binomial model whose prior has the posterior mean of the level above and a strength that the
 spread among the siblings tells (by moments).  A host is blocked when even the lower posterior bound of its rate
-is above the threshold.  Only DataFrame functions are used.
+is above the rate of all pages: it is worse than the whole beyond chance.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from tickerlake.llm import common
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Normal quantile of the posterior bound, rate from which a host is bad, strength of a prior without siblings, its limits.
+#: Normal quantile of the posterior bound (one-sided 95 %), how many times the rate of all pages a bad host's bound
+#: exceeds, strength of a prior without siblings, its limits.
 QUANTILE = 1.645
-THRESHOLD = 0.5
+LIFT = 1.0
 STRENGTH = 10.0
 LEAST_STRENGTH, MOST_STRENGTH = 0.5, 1000.0
 
@@ -54,9 +55,9 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
 
 
 def _shrunk(level: DataFrame, key: str, parent: str, above: DataFrame) -> DataFrame:
-    """Posterior of every unit of a level: (key, parent, n, bad, mean, a, b).
+    """Posterior of every unit of a level: (key, parent, n, bad, overall, a, b, mean).
 
-    level: (key, parent, n, bad); above: (parent, mean).  The strength of a parent's prior follows from its children.
+    level: (key, parent, n, bad); above: (parent, mean, overall).  The strength of a parent's prior follows from its children.
     """
     counted = level.where("n > 0").groupBy(parent).agg(F.count("*").alias("k"), F.sum("n").alias("sn"), F.sum("bad").alias("sb"), F.sum(F.col("n") * F.col("n")).alias("snn"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("spp"))
     rate = F.col("sb") / F.col("sn")
@@ -64,29 +65,29 @@ def _shrunk(level: DataFrame, key: str, parent: str, above: DataFrame) -> DataFr
     room = F.nullif(F.col("sn") - F.col("snn") / F.col("sn") - (F.col("k") - 1), F.lit(0.0))
     rho = F.when(F.col("k") > 1, F.least(F.greatest(spread / room, F.lit(1 / (MOST_STRENGTH + 1))), F.lit(1 / (LEAST_STRENGTH + 1))))
     strength = counted.select(parent, F.coalesce(1 / rho - 1, F.lit(STRENGTH)).alias("strength"))
-    prior = above.join(strength, parent, "left").select(parent, F.col("mean").alias("prior"), F.coalesce("strength", F.lit(STRENGTH)).alias("strength"))
+    prior = above.join(strength, parent, "left").select(parent, F.col("mean").alias("prior"), "overall", F.coalesce("strength", F.lit(STRENGTH)).alias("strength"))
     a, b = F.col("strength") * F.col("prior") + F.col("bad"), F.col("strength") * (1 - F.col("prior")) + F.col("n") - F.col("bad")
-    return level.join(prior, parent).select(key, parent, "n", "bad", a.alias("a"), b.alias("b")).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
+    return level.join(prior, parent).select(key, parent, "n", "bad", "overall", a.alias("a"), b.alias("b")).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
 def reputation(hosts: DataFrame) -> DataFrame:
-    """(host, mean, lower, upper): posterior rate of bad pages with its bounds.
+    """(host, mean, overall, lower, upper): posterior rate of bad pages with its bounds, and the rate of all pages.
 
     hosts: (host, n, bad), one row per host, n = 0 where nothing is known.  An empty table gives an empty result.
     """
     own = hosts.select("host", domain(F.col("host")).alias("domain"), "n", "bad")
     domains = own.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("suffix", suffix(F.col("domain")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.left("suffix", F.lit(0)))  # one value, kept a column so that levels join on keys
-    root = suffixes.groupBy("root").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean"))
+    root = suffixes.groupBy("root").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean")).withColumn("overall", F.col("mean"))
     level = _shrunk(suffixes, "suffix", "root", root)
-    level = _shrunk(domains, "domain", "suffix", level.select("suffix", "mean"))
-    level = _shrunk(own, "host", "domain", level.select("domain", "mean"))
+    level = _shrunk(domains, "domain", "suffix", level.select("suffix", "mean", "overall"))
+    level = _shrunk(own, "host", "domain", level.select("domain", "mean", "overall"))
     total = F.col("a") + F.col("b")
     wide = QUANTILE * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
-    return level.select("host", "mean", F.greatest(F.col("mean") - wide, F.lit(0.0)).alias("lower"), F.least(F.col("mean") + wide, F.lit(1.0)).alias("upper"))
+    return level.select("host", "mean", "overall", F.greatest(F.col("mean") - wide, F.lit(0.0)).alias("lower"), F.least(F.col("mean") + wide, F.lit(1.0)).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, lift: float = LIFT) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page.
 
     pages: page_id, url (further columns are ignored); outcomes: page_id, bad boolean.  Repeated pages stay and are
@@ -99,9 +100,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str,
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("long")).alias("was_bad"))
     hosts = rows.join(known, "page_id", "left").groupBy("host").agg(F.count("was_bad").alias("n"), F.coalesce(F.sum("was_bad"), F.lit(0)).alias("bad"))
     name, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    told = F.when(F.col("lower") > threshold, "block").otherwise("allow")
+    told = F.when(F.col("lower") > lift * F.col("overall"), "block").otherwise("allow")
     hosts = session.stage(hosts, "hosts")  # small, read at each level
-    return rows.join(reputation(hosts).select("host", "lower"), "host").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, told).alias("verdict"))
+    return rows.join(reputation(hosts).select("host", "lower", "overall"), "host").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, told).alias("verdict"))
 
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ root AS (SELECT root, (sum(bad) + 1) / (sum(n) + 2)::DOUBLE AS mean FROM suffixe
 {_level('s', 'suffix', 'root', 'suffixes', 'root')},
 {_level('d', 'domain', 'suffix', 'domains', 's_post')},
 {_level('h', 'host', 'domain', 'hosts', 'd_post')},
-told AS (SELECT host, CASE WHEN greatest(mean - {QUANTILE} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) > {THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict FROM h_post),
+told AS (SELECT host, CASE WHEN greatest(mean - {QUANTILE} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) > {LIFT} * (SELECT mean FROM root) THEN 'block' ELSE 'allow' END AS verdict FROM h_post),
 ruled AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
