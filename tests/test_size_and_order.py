@@ -1,6 +1,7 @@
 """Cases of files, factors, pages and streams that the given tables do not hold."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -81,6 +82,26 @@ def test_long_identifiers_get_no_keys(spark):
     assert sorted((r._id, r._name, r.distance) for r in identity._near_pairs(ids, names).collect()) == [("RELIANC", "RELIANCE", 1)]
 
 
+def test_near_pairs_like_all_pairs(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(13))) for _ in range(160)]
+    ids, names = words[:80] + ["x" * 199 + "y", "", "a"], words[80:] + ["x" * 200, "x" * 198, "", "b"]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, last = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(row[-1] + 1, last[j + 1] + 1, last[j] + (x != y)))
+        return row[-1]
+
+    found = identity._near_pairs(spark.createDataFrame([(x,) for x in ids], "_id string"), spark.createDataFrame([(x,) for x in names], "_name string"))
+    want = {(a, b, distance(a, b)) for a in set(ids) for b in set(names) if abs(len(a) - len(b)) <= 2}
+    assert sorted(tuple(r) for r in found.collect()) == sorted(w for w in want if w[2] <= 2)
+    keys = spark.createDataFrame([("q" * 200,)], "t string").select(F.size(identity.segment_keys(F.col("t"), False)).alias("n")).head().n
+    assert keys <= 75
+
+
 def test_shared_folder_is_required_on_a_cluster():
     class Context:
         master = "spark://host:7077"

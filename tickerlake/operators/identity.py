@@ -169,33 +169,36 @@ def _asked(rows: DataFrame) -> DataFrame:
     )
 
 
-def deletion_keys(c: Column) -> Column:
-    """The text itself and every text left after deleting one or two characters.
+def segment_keys(c: Column, own: bool) -> Column:
+    """Keys (length of a name, segment, text of the segment): of a name itself, or of all names that a text may be near.
 
-    Two texts within edit distance two always share such a key, so an equi join on
-    the keys finds every candidate pair.
+    A name is cut into one segment more than there may be edits, so that two texts within the edit distance share one
+    unchanged, moved by as many places at most.  The number of keys does not grow with a text's length.
     """
-
-    def shorter(t: Column) -> Column:
-        return F.transform(
-            F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t))).otherwise(F.array().cast("array<int>")),
-            lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))),
-        )
-
-    once = F.array_distinct(shorter(c))
-    twice = F.array_distinct(F.flatten(F.transform(once, shorter)))
-    return F.array_distinct(F.concat(F.array(c), once, twice))
+    parts, length = MAX_DISTANCE + 1, F.length(c)
+    shifts = [0] if own else range(-MAX_DISTANCE, MAX_DISTANCE + 1)
+    out = []
+    for more in shifts:
+        size = (length + more).cast("int")
+        for i in range(parts):
+            begin, end = F.floor(size * i / parts), F.floor(size * (i + 1) / parts)
+            for shift in shifts:
+                inside = (size >= 0) & (begin + shift >= 0) & (end + shift <= length)
+                key = F.struct(size.alias("_size"), F.lit(i).alias("_part"), F.substring(c, (begin + shift + 1).cast("int"), (end - begin).cast("int")).alias("_text"))
+                out.append(F.when(inside, key))
+    return F.array_distinct(F.array_compact(F.array(*out)))
 
 
 def _near_pairs(ids: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct (_id, _name) text pairs within the edit distance, with distance."""
     b = names.select("_name").distinct()
-    # keys grow with the square of a text's length: only texts as long as some name, give or take two, get any
+    # only texts as long as some name, give or take the edit distance, get keys
     reach = b.select(F.explode(F.array(*(F.length("_name") + k for k in range(-MAX_DISTANCE, MAX_DISTANCE + 1)))).alias("_len")).distinct()
     a = ids.select("_id").distinct().withColumn("_len", F.length("_id")).join(reach, "_len", "left_semi").drop("_len")
-    a, b = (t.withColumn("_k", F.explode(deletion_keys(F.col(c)))) for t, c in ((a, "_id"), (b, "_name")))
+    a = a.select("_id", F.inline(segment_keys(F.col("_id"), False)))
+    b = b.select("_name", F.inline(segment_keys(F.col("_name"), True)))
     return (
-        a.join(b, "_k").select("_id", "_name").distinct()
+        a.join(b, ["_size", "_part", "_text"]).select("_id", "_name").distinct()
         .withColumn("distance", F.levenshtein(F.col("_id"), F.col("_name"), MAX_DISTANCE))
         .where("distance >= 0")
     )
