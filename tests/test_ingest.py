@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickerlake import schemas
 from tickerlake.functions import dates, numeric, text
-from tickerlake.operators import compliance, ops, quality, validate
+from tickerlake.operators import compliance, ops, quality, timejoin, validate
 from tickerlake.sources import bhavcopy, rawzone
 from tickerlake.streaming import ingest
 
@@ -71,7 +71,8 @@ def test_raw_zone_versions(spark):
     assert rawzone.idempotent_anti(payloads(spark, "AC", 9), manifest).head().checksum == "C"
 
 
-def test_sliced_lag_on_a_hot_key(spark):
+def test_sliced_lag_on_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(timejoin, "SLICE_ROWS", 200)
     n = 5000
     df = spark.range(n).selectExpr("case when id % 3 <> 2 then 'hot' else concat('k', id % 11) end as source_system", "date'2026-01-01' as trade_date", "id as arrival", "concat('c', id) as checksum")
     got = {r.arrival: r.previous_checksum for r in rawzone.version_chain(df).collect()}
@@ -81,6 +82,9 @@ def test_sliced_lag_on_a_hot_key(spark):
         want[i] = last.get(k)
         last[k] = f"c{i}"
     assert got == want
+    assert timejoin.sliced_lag(df.limit(0), ["source_system"], "arrival", "checksum", "before").collect() == []
+    cuts = df.select(F.size(timejoin.order_slices(df, "arrival"))).head()[0]
+    assert 20 <= cuts <= 30
 
 
 def record(**over):

@@ -119,33 +119,38 @@ def packed(major: Column, ident: Column) -> Column:
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column], cols: list[str]) -> DataFrame:
-    """Newest row per key by aggregation (map-side combined, no per-key sort)."""
+    """Newest row per key by aggregation, combined map-side (structs are aggregated by sorting)."""
     best = F.max_by(F.struct(*cols), F.struct(*order))
     return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
 
 
-def order_slices(df: DataFrame, order: str, n: int = 32) -> list:
-    """At most ``n - 1`` cut points of a long or timestamp column, equally filled.
+#: Rows of a slice, about, and cut points at most.
+SLICE_ROWS = 500_000
+MARKS = 1000
 
-    The cuts follow the data, so a slice holds about 1/n of all rows even when one
-    key or one hour dominates.  The result is a list of bounded length.
+
+def order_slices(df: DataFrame, order: str, rows: int | None = None) -> Column:
+    """Cut points of a long or timestamp column, as a scalar subquery: a job of the query that uses it, not of its making.
+
+    The cuts follow the data, so that a slice holds about ``rows`` (SLICE_ROWS) of all rows even when one key or one
+    hour dominates; beyond MARKS slices they grow.
     """
-    cuts = df.select(F.percentile_approx(F.col(order), [i / n for i in range(1, n)], 1000).alias("c")).head()[0]
-    return sorted(set(cuts or []))
+    marks = F.percentile_approx(order, [i / MARKS for i in range(1, MARKS)], 10 * MARKS)
+    step = F.greatest(F.lit(1), F.floor(F.lit(MARKS * (rows or SLICE_ROWS)) / F.count("*")))
+    found = df.agg(marks.alias("c"), step.alias("step"))
+    return found.select(F.array_distinct(F.filter("c", lambda x, i: (i + 1) % F.col("step") == 0))).scalar()
 
 
-def sliced_lag(df: DataFrame, keys: list[str], order: str, value: str, out: str, slices: int = 32) -> DataFrame:
+def sliced_lag(df: DataFrame, keys: list[str], order: str, value: str, out: str, rows: int | None = None) -> DataFrame:
     """``lag(value)`` per key in ``order`` without one task per key.
 
     Rows are lagged inside (key, slice); the first row of a slice takes the last
     value of the nearest earlier non-empty slice of its key.  ``order`` is unique
     per key; it is a long (an arrival number or epoch micros).
     """
-    cuts = order_slices(df, order, slices)
-    sl = F.lit(0)
-    for c in cuts:
-        sl = sl + F.when(F.col(order) > c, 1).otherwise(0)
-    df = df.withColumn("_sl", sl)
+    sl = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
+    df = df.withColumn("_cuts", order_slices(df, order, rows))
+    df = df.withColumn("_sl", sl).drop("_cuts")
     tails = df.groupBy(*keys, "_sl").agg(F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_t"))
     tails = tails.withColumn("_carry", F.lag("_t").over(W.partitionBy(*keys).orderBy("_sl"))).drop("_t")
     w = W.partitionBy(*keys, "_sl").orderBy(order)

@@ -161,10 +161,16 @@ def contract(spark, sf):
     return good.select("k", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("k", "reason"))
 
 
-@register("contract_schema", f"SELECT instrument_id, CAST(sum(px_u) AS DOUBLE) AS open, CAST(max(trade_date) AS VARCHAR) AS timestamp FROM ticks WHERE ({REJECT}) IS NULL GROUP BY 1")
+@register("contract_schema", f"""
+SELECT 'row' AS kind, CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS name, concat_ws(' ', 'S' || instrument_id, 'EQ', px_u, px_u, px_u, px_u, CAST(qty AS INTEGER), CASE WHEN l_orderkey % 3 <> 0 THEN 7 END, strftime(trade_date, '%Y-%m-%d')) AS what FROM ticks WHERE ({REJECT}) IS NULL
+UNION ALL SELECT 'field', unnest(['symbol', 'series', 'open', 'high', 'low', 'close', 'volume', 'delivery_qty', 'timestamp']),
+  unnest(['string false', 'string false', 'decimal(24,6) false', 'decimal(24,6) false', 'decimal(24,6) false', 'decimal(24,6) false', 'decimal(24,6) false', 'decimal(24,6) true', 'date false'])""")
 def contract_schema(spark, sf):
-    good, _ = validate.validate_contract(_contract_rows(spark, sf).drop("symbol"), schemas.contract_schema(CONTRACT))
-    return good.groupBy(F.substring("symbol", 2, 20).cast("long").alias("instrument_id")).agg(F.sum("open").alias("open"), F.max("timestamp").alias("timestamp"))
+    schema = schemas.contract_schema(CONTRACT)
+    good, _ = validate.validate_contract(_contract_rows(spark, sf).drop("symbol"), schema)
+    shown = [F.col(f.name).cast("long").cast("string") if isinstance(f.dataType, T.DecimalType) else F.col(f.name).cast("string") for f in schema]
+    fields = spark.createDataFrame([("field", f.name, f"{good.schema[f.name].dataType.simpleString()} {str(f.nullable).lower()}") for f in schema], "kind string, name string, what string")
+    return good.select(F.lit("row").alias("kind"), F.col("k").cast("string").alias("name"), F.concat_ws(" ", *shown).alias("what")).unionByName(fields)
 
 
 @register("contract_incidents", f"SELECT 'S' || instrument_id AS target_record_key, 'MEDIUM' AS impact_level, ({REJECT}) AS resolution_notes FROM ticks WHERE ({REJECT}) IS NOT NULL")
@@ -234,13 +240,13 @@ def raw_zone_read(spark, sf):
 # --- sinks ------------------------------------------------------------------------------------------------
 
 
-@register("quarantine_write", "SELECT rule_code, count(*) AS n FROM verdicts WHERE why IS NOT NULL AND severity = 'HIGH' GROUP BY 1")
+@register("quarantine_write", "SELECT rkey AS record_key, rule_code, CAST(event_id AS VARCHAR) AS event_id FROM verdicts WHERE why IS NOT NULL AND severity = 'HIGH'")
 def quarantine_write(spark, sf):
     from tickerlake.plans import on_ops
 
     path = work_dir(spark, "quarantine")
     sinks.quarantine_write(on_ops._gate(spark, sf)["quarantine"], path)
-    return sinks.quarantine_read(spark, path).groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.quarantine_read(spark, path).select("record_key", "rule_code", F.get_json_object("record", "$.event_id").alias("event_id"))
 
 
 @register("export_metrics_csv", "SELECT metric_code AS metric, round(CAST(metric_value AS DOUBLE), 6) AS value FROM metrics")

@@ -267,10 +267,9 @@ SELECT symbol, isin_primary AS isin, exchange_code AS exchange, CAST(last_price_
 FROM instruments i JOIN companies USING (company_id) JOIN exchanges USING (exchange_id)
 LEFT JOIN (SELECT b.instrument_id, max(trade_date) AS last_price_date FROM bars b JOIN instruments i USING (instrument_id)
   WHERE trade_date BETWEEN DATE '2001-10-01' - 3650 AND DATE '2001-10-01' AND trade_date BETWEEN coalesce(listing_date, DATE '0001-01-01') AND coalesce(delisting_date, DATE '9999-12-31') GROUP BY 1) USING (instrument_id)
-LEFT JOIN (SELECT l_suppkey AS instrument_id, max(CAST(l_shipdate AS TIMESTAMP)) AS last_val_date FROM lineitem WHERE l_suppkey % 4 <> 1 GROUP BY 1) USING (instrument_id)""")
+LEFT JOIN (SELECT o_custkey AS instrument_id, max(CAST(o_orderdate AS TIMESTAMP)) AS last_val_date FROM orders GROUP BY 1) USING (instrument_id)""")
 def coverage(spark, sf):
     c, i, x, _ = _refs(spark, sf)
-    # every order line is a valuation run; suppliers of the fourth kind are the ones not valued yet
-    runs = b.table(spark, sf, "lineitem").where("l_suppkey % 4 <> 1").select(
-        F.col("l_suppkey").alias("instrument_id"), F.col("l_shipdate").cast("timestamp").alias("as_of_ts"))
+    # every order is a valuation run of its customer's number; numbers without an order are the ones not valued yet
+    runs = b.table(spark, sf, "orders").select(F.col("o_custkey").alias("instrument_id"), F.col("o_orderdate").cast("timestamp").alias("as_of_ts"))
     return serving.coverage_map(i, c, x, b.bars(spark, sf), runs, dt.date(2001, 10, 1))

@@ -1,6 +1,7 @@
 """Queries on quality, compliance, operations and the serving layer."""
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -96,9 +97,23 @@ def lineage(spark, sf):
     return _gate(spark, sf)["lineage"].select("record_count_in", "record_count_out", "transform_id")
 
 
-@register("process_batch", "SELECT rule_code, severity, count(*) AS n, count(why) AS failed FROM verdicts GROUP BY 1, 2")
+@register("process_batch", """
+SELECT 'allowed' AS output, CAST(event_id AS VARCHAR) AS k, NULL AS what FROM blocked WHERE NOT bad
+UNION ALL SELECT 'quarantine', rkey, rule_code FROM verdicts WHERE why IS NOT NULL AND severity = 'HIGH'
+UNION ALL SELECT 'results', rkey, concat_ws(' ', rule_code, severity, CASE WHEN why IS NULL THEN 'PASS' ELSE 'FAIL' END, why) FROM verdicts
+UNION ALL SELECT 'incidents', rkey, concat_ws(' ', rule_code, severity, why) FROM verdicts WHERE why IS NOT NULL
+UNION ALL SELECT 'events', CASE WHEN severity = 'CRITICAL' THEN 'critical_quality_failure' ELSE 'quarantined_record' END || ' rule=' || rule_code || ' key=' || rkey, CASE WHEN severity = 'CRITICAL' THEN 'ERROR' ELSE 'WARN' END FROM verdicts WHERE why IS NOT NULL
+UNION ALL SELECT 'counts', CAST(count(*) AS VARCHAR), count(*) FILTER (NOT bad) || ' ' || count(*) FILTER (bad) FROM blocked
+UNION ALL SELECT 'lineage', CAST(count(*) AS VARCHAR), greatest(count(*) - count(*) FILTER (bad), 0) || ' gate_v1' FROM blocked""")
 def process_batch(spark, sf):
-    return _gate(spark, sf)["results"].groupBy("rule_code", "severity").agg(F.count(F.lit(1)).alias("n"), F.count("failure_reason").alias("failed"))
+    gate, line = _gate(spark, sf), lambda *names: F.concat_ws(" ", *(F.col(n).cast("string") for n in names))
+    shown = {
+        "allowed": ("event_id", F.lit(None).cast("string")), "quarantine": ("record_key", F.col("rule_code")), "results": ("target_record_key", line("rule_code", "severity", "status", "failure_reason")),
+        "incidents": ("target_record_key", line("rule_code", "impact_level", "resolution_notes")), "events": ("message", F.col("event_type")),
+        "counts": ("row_count_in", line("row_count_out", "failed_count")), "lineage": ("record_count_in", line("record_count_out", "transform_id")),
+    }
+    parts = [gate[name].select(F.lit(name).alias("output"), F.col(k).cast("string").alias("k"), what.alias("what")) for name, (k, what) in shown.items()]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @register("jsonify_record", """
