@@ -72,3 +72,9 @@ def test_keep_believed(spark):
     more = docs.limit(1).selectExpr("-1L doc_id", "'12 34' text", "lang", "source", "n_chars")
     kept = op.keep_believed(spark, docs.unionByName(more))
     assert kept.columns == docs.columns and kept.count() == docs.count() and kept.where("doc_id = -1").count() == 0
+
+
+def test_numerals_are_no_letters():
+    assert all(op.LETTERS.findall(c) == [] for c in "²½①Ⅷ٣12_ \n.")
+    assert op.LETTERS.findall("x²y é½ 日本①語") == ["x", "y", "é", "日本", "語"]
+    assert all(bool(op.LETTERS.fullmatch(c)) == c.isalpha() for c in map(chr, range(0x3000)))

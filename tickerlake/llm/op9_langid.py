@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import uuid
 from collections import Counter
 
@@ -40,7 +41,9 @@ FOLDS, HELD_OUT = 3, 1
 UNDETERMINED = "und"
 #: All ASCII bytes but letters part words.
 BLANKS = b" " + bytes(b for b in range(128) if b != 32 and not chr(b).isalpha())
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of characters that are letters (str.isalpha); \w also admits numerals that are no digits, such as "²" and "½".
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 SLICE_BYTES = 2_000_000
 
 
