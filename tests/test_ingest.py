@@ -71,6 +71,29 @@ def test_raw_zone_versions(spark):
     assert rawzone.idempotent_anti(payloads(spark, "AC", 9), manifest).head().checksum == "C"
 
 
+def test_manifest_reads_start_from_a_snapshot(spark, tmp_path):
+    zone, schema = str(tmp_path / "zone"), rawzone.MANIFEST
+    assert rawzone.newest_manifest(spark, zone).collect() == [] and rawzone.last_snapshot(spark, zone) == -1
+    want = {}
+    for batch in range(12):
+        rows = [("NSE", D(2026, 6, 1 + k), f"c{batch}-{k}", None, batch) for k in {batch % 5, batch % 3}]
+        rawzone.save_manifest(spark.createDataFrame(rows, schema).coalesce(1), zone, batch)
+        want |= {r[1]: r[2] for r in rows}
+        if batch == 6:
+            early = dict(want)
+        if batch in (4, 9):
+            rawzone.take_snapshot(spark, zone, batch)
+    newest = lambda *a: {r.trade_date: r.current_checksum for r in rawzone.newest_manifest(spark, zone, *a).collect()}
+    assert newest() == want and newest(7) == early
+    assert newest(None, spark.createDataFrame([("NSE", D(2026, 6, 2))], "source_system string, trade_date date")) == {D(2026, 6, 2): want[D(2026, 6, 2)]}
+    rawzone.take_snapshot(spark, zone, 9)
+    assert newest() == want and rawzone.last_snapshot(spark, zone) == 9
+    for batch in range(9):  # nothing before the snapshot is opened
+        for file in (tmp_path / "zone" / "manifest" / f"batch={batch}").glob("*.parquet"):
+            file.write_bytes(b"broken")
+    assert newest() == want
+
+
 def test_sliced_lag_on_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(timejoin, "SLICE_ROWS", 200)
     n = 5000

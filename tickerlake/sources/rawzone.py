@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickerlake.operators import timejoin
 
@@ -62,6 +64,8 @@ def save_versions(versions: DataFrame, path: str) -> None:
     versions.write.mode("append").partitionBy(*KEYS).parquet(f"{path}/versions")
 
 
+#: Batches between two snapshots of the manifest.
+EVERY = 50
 MANIFEST = "source_system string, trade_date date, current_checksum string, previous_checksum string, row_count long"
 
 
@@ -70,11 +74,44 @@ def save_manifest(manifest: DataFrame, path: str, batch: int) -> None:
     manifest.write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")
 
 
+def stored(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A table's rows; none before it is first written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def last_snapshot(spark: SparkSession, path: str, before: int | None = None) -> int:
+    """The last batch that a whole snapshot holds (of those before a number); -1 if there is none."""
+    done = stored(spark, f"{path}/snapshots", "taken_upto long")
+    if before is not None:
+        done = done.where(F.col("taken_upto") < before)
+    return done.agg(F.coalesce(F.max("taken_upto"), F.lit(-1))).head()[0]
+
+
+def take_snapshot(spark: SparkSession, path: str, upto: int) -> None:
+    """The newest manifest row of every key as batch ``upto`` has left it, so that reads open no earlier batch.
+
+    It is written under its number and then entered in the list of snapshots; a repetition leaves the same.
+    """
+    newest_manifest(spark, path, upto + 1).write.mode("overwrite").parquet(f"{path}/snapshot/upto={upto}")
+    spark.range(1).select(F.lit(upto).cast("long").alias("taken_upto")).write.mode("overwrite").parquet(f"{path}/snapshots/number={upto}")
+
+
 def newest_manifest(spark: SparkSession, path: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """The newest row of each key (of ``keys`` only), from all batches or those before a number."""
-    rows = spark.read.schema(f"{MANIFEST}, batch long").parquet(f"{path}/manifest")
+    """The newest row of each key (of ``keys`` only), from all batches or those before a number.
+
+    A read starts from the last snapshot and opens the batches behind it alone.
+    """
+    start = last_snapshot(spark, path, before)
+    rows = stored(spark, f"{path}/manifest", f"{MANIFEST}, batch long").where(F.col("batch") > start)
     if before is not None:
         rows = rows.where(F.col("batch") < before)
+    if start >= 0:
+        rows = rows.unionByName(spark.read.schema(MANIFEST).parquet(f"{path}/snapshot/upto={start}").withColumn("batch", F.lit(start).cast("long")))
     if keys is not None:
         rows = rows.join(keys.select(*KEYS).distinct(), KEYS, "left_semi")
     return timejoin.latest_by(rows, KEYS, [F.col("batch")], ["current_checksum", "previous_checksum", "row_count"])

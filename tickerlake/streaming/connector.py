@@ -100,6 +100,8 @@ def deliver(
     write(done.select("pipeline_run_id", F.lit("SCHEDULED").alias("run_mode"), F.lit("SYSTEM").alias("triggered_by"), F.lit("SUCCESS").alias("status"), "trade_date", F.lit(as_of).alias("confirmed_at")), out, "runs", number)
     write(done.select("pipeline_run_id", F.explode(F.array(first, last)).alias("_e")).select("pipeline_run_id", "_e.*", F.lit(as_of).alias("event_ts")), out, "events", number)
     write(spark.range(1).select(F.lit(as_of).alias("committed_at")), out, "commits", number)
+    if number % rawzone.EVERY == rawzone.EVERY - 1:
+        rawzone.take_snapshot(spark, out, number)
 
 
 def stream_connector(

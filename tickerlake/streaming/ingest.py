@@ -11,10 +11,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -42,6 +40,8 @@ def stream_dedupe_payloads(payloads: DataFrame, out: str, checkpoint: str) -> St
         versions, after = rawzone.raw_zone_write(batch, manifest, stored)
         versions.write.mode("overwrite").parquet(f"{out}/versions/batch={number}")
         rawzone.save_manifest(after, out, number)
+        if number % rawzone.EVERY == rawzone.EVERY - 1:
+            rawzone.take_snapshot(spark, out, number)
 
     return payloads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -68,7 +68,7 @@ def stream_late_corrections(rows: DataFrame, table: str, staging: str, checkpoin
         good = guarded.where("reason is null").drop("reason", "event_ts").withColumn("month", F.date_format("trade_date", "yyyy-MM"))
         # the stale window bounds the months of a batch; as plain values they prune the table's folders
         months = [r.month for r in good.select("month").distinct().collect()]
-        touched = _stored(spark, table, good.schema).where(F.col("month").isin(months))
+        touched = rawzone.stored(spark, table, good.schema).where(F.col("month").isin(months))
         merged, _ = merge.merge_ohlcv(touched, good, as_of)
         stage = f"{staging}/merged/batch={number}"
         merged.write.mode("overwrite").parquet(stage)
@@ -77,16 +77,6 @@ def stream_late_corrections(rows: DataFrame, table: str, staging: str, checkpoin
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table's rows; none before it is first written."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 VERDICT = "instrument_id long, trade_date date, close double, adj double, breaker_ok boolean, late boolean, revision long"
 
 
