@@ -98,12 +98,16 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda w: F.lower(F.regexp_replace(w, f"^{cut}|{cut}$", ""))))
 
 
+def keyword_intersection(found: Column, lexicon: list[str]) -> Column:
+    """The distinct words of an array that a lexicon holds."""
+    return F.array_intersect(found, F.array(*[F.lit(w) for w in lexicon]))
+
+
 def keyword_score(c: Column, positive: list[str] | None = None, negative: list[str] | None = None) -> Column:
     """Count of distinct positive words minus count of distinct negative words."""
     found = words(c)
-    plus = F.array(*[F.lit(w) for w in (positive or POSITIVE_WORDS)])
-    minus = F.array(*[F.lit(w) for w in (negative or NEGATIVE_WORDS)])
-    return F.size(F.array_intersect(found, plus)) - F.size(F.array_intersect(found, minus))
+    plus, minus = (keyword_intersection(found, lexicon) for lexicon in (positive or POSITIVE_WORDS, negative or NEGATIVE_WORDS))
+    return F.size(plus) - F.size(minus)
 
 
 def valuation_status_text(flag: Column) -> Column:

@@ -7,6 +7,7 @@ the answer back, so repeated identifiers cost nothing and cannot skew a window.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,16 +178,15 @@ def segment_keys(c: Column, own: bool) -> Column:
     """
     parts, length = MAX_DISTANCE + 1, F.length(c)
     shifts = [0] if own else range(-MAX_DISTANCE, MAX_DISTANCE + 1)
-    out = []
-    for more in shifts:
-        size = (length + more).cast("int")
-        for i in range(parts):
-            begin, end = F.floor(size * i / parts), F.floor(size * (i + 1) / parts)
-            for shift in shifts:
-                inside = (size >= 0) & (begin + shift >= 0) & (end + shift <= length)
-                key = F.struct(size.alias("_size"), F.lit(i).alias("_part"), F.substring(c, (begin + shift + 1).cast("int"), (end - begin).cast("int")).alias("_text"))
-                out.append(F.when(inside, key))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+    # (letters more than the text has, segment, places moved), a constant
+    cases = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("mps", case))) for case in itertools.product(shifts, range(parts), shifts)))
+
+    def edge(x: Column, segment: Column) -> Column:
+        return F.floor((length + x.m) * segment / parts).cast("int")
+
+    inside = F.filter(cases, lambda x: (length + x.m >= 0) & (edge(x, x.p) + x.s >= 0) & (edge(x, x.p + 1) + x.s <= length))
+    keys = F.transform(inside, lambda x: F.struct((length + x.m).alias("_size"), x.p.alias("_part"), F.substring(c, edge(x, x.p) + x.s + 1, edge(x, x.p + 1) - edge(x, x.p)).alias("_text")))
+    return F.array_distinct(keys)
 
 
 def _near_pairs(ids: DataFrame, names: DataFrame) -> DataFrame:
@@ -204,8 +204,9 @@ def _near_pairs(ids: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def _fuzzy_hits(points: DataFrame, aliases: DataFrame, instruments: DataFrame) -> DataFrame:
-    """(_id, as_of) -> n_best, alias_id, distance among aliases open on the day."""
+def best_match_rank(points: DataFrame, aliases: DataFrame, instruments: DataFrame) -> DataFrame:
+    """(_id, as_of, distance, n_best, alias_id) of the aliases open on the day that are nearest to each text: the
+    least distance, how many aliases have it, and the alias if just one has."""
     spans = _alias_spans(aliases, instruments).select(text.normalize_identifier(F.col("alias_symbol")).alias("_name"), "alias_id", "_from", "_to")
     pairs = _near_pairs(points, spans)
     near = points.select("_id", "as_of").where("as_of is not null").distinct().join(pairs, "_id")
@@ -235,7 +236,7 @@ def _fuzzy_columns(hits: DataFrame, aliases: DataFrame) -> DataFrame:
 def resolve_fuzzy_alias(rows: DataFrame, aliases: DataFrame, instruments: DataFrame, companies: DataFrame) -> DataFrame:
     """Add the nearest alias within distance two; a tie at the best is ambiguous."""
     keyed = rows.withColumn("_id", text.normalize_identifier(F.col("identifier")))
-    hits = _with_company(_fuzzy_columns(_fuzzy_hits(keyed, aliases, instruments), aliases), instruments, companies)
+    hits = _with_company(_fuzzy_columns(best_match_rank(keyed, aliases, instruments), aliases), instruments, companies)
     return keyed.join(hits, ["_id", "as_of"], "left").withColumn(
         "state",
         F.when(F.col("n_best") == 1, "MATCHED").when(F.col("n_best") > 1, "AMBIGUOUS").otherwise("UNRESOLVED"),
@@ -252,7 +253,7 @@ def resolve_cascade(rows: DataFrame, companies: DataFrame, instruments: DataFram
     ticker = ticker.select("_id", "_mic", "as_of", "_i2", *[F.col(c).alias(f"_t_{c}") for c in ("confidence_score", "matched_input", "source_provenance")])
     exact = points.join(isin, ["_id", "as_of"], "left").join(ticker, ["_id", "_mic", "as_of"], "left")
     rest = exact.where("_i1 is null and _i2 is null").select("_id", "as_of").distinct()
-    fuzzy = _fuzzy_columns(_fuzzy_hits(rest, aliases, instruments), aliases)
+    fuzzy = _fuzzy_columns(best_match_rank(rest, aliases, instruments), aliases)
     fuzzy = fuzzy.select("_id", "as_of", "n_best", F.col("instrument_id").alias("_i3"),
                          *[F.col(c).alias(f"_f_{c}") for c in ("confidence_score", "matched_input", "source_provenance")])
     full = exact.join(fuzzy, ["_id", "as_of"], "left")

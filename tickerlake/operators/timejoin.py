@@ -124,6 +124,16 @@ def latest_by(df: DataFrame, keys: list[str], order: list[Column], cols: list[st
     return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
 
 
+def top1_by_time(df: DataFrame, keys: list[str], time: str, ident: str, cols: list[str]) -> DataFrame:
+    """``cols`` (of fixed width: numbers, days, times) of each key's row with the latest time, then the greatest id.
+
+    A hash aggregate, combined map-side: time and id are packed into one number.  Rows without a time or an id count
+    for nothing where the key has others.
+    """
+    order = packed(F.unix_micros(F.col(time).cast("timestamp")), F.col(ident))
+    return df.groupBy(*keys).agg(*(F.max_by(c, order).alias(c) for c in cols))
+
+
 #: Rows of a slice, about, and cut points at most.
 SLICE_ROWS = 500_000
 MARKS = 1000

@@ -407,8 +407,7 @@ def keyword_score(spark, sf):
 @register("keyword_intersection", f"""
 SELECT conv_id, turn, CAST(len(list_intersect(w, {PLUS + MINUS})) AS BIGINT) AS hits FROM (SELECT conv_id, turn, {WORDS_SQL} AS w FROM conversations)""")
 def keyword_hits(spark, sf):
-    lexicon = F.array(*[F.lit(w) for w in PLUS + MINUS])
-    return b.table(spark, sf, "conversations").select("conv_id", "turn", F.size(F.array_intersect(text.words(F.col("text")), lexicon)).alias("hits"))
+    return b.table(spark, sf, "conversations").select("conv_id", "turn", F.size(text.keyword_intersection(text.words(F.col("text")), PLUS + MINUS)).alias("hits"))
 
 
 @register("date_window_guard", "SELECT count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")

@@ -124,7 +124,7 @@ SELECT id, CAST(as_of AS VARCHAR) AS as_of, CAST(d AS BIGINT) AS distance, CAST(
 def best_match(spark, sf):
     _, i, _, a = _refs(spark, sf)
     pts = b.identifier_requests(spark, sf).select(F.upper(F.trim("identifier")).alias("_id"), "as_of")
-    return identity._fuzzy_hits(pts, a, i).select(F.col("_id").alias("id"), "as_of", "distance", "n_best")
+    return identity.best_match_rank(pts, a, i).select(F.col("_id").alias("id"), "as_of", "distance", "n_best")
 
 
 def _incoming_aliases(spark, sf):

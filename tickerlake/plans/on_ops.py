@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tickerlake.functions import dates, text
-from tickerlake.operators import compliance, merge, ops, quality, serving
+from tickerlake.operators import compliance, merge, ops, quality, serving, timejoin
 from tickerlake.plans import bindings as b
 from tickerlake.plans import sqlparts_ops  # noqa: F401
 from tickerlake.plans.registry import register
@@ -419,9 +419,7 @@ def sort_keys(spark, sf):
 
 @register("top1_by_time", "SELECT instrument_id, max_by(val_run_id, (as_of_ts, val_run_id)) AS val_run_id FROM val_runs GROUP BY 1")
 def top1(spark, sf):
-    from tickerlake.operators import timejoin
-
-    return timejoin.latest_by(b.val_runs(spark, sf), ["instrument_id"], [F.col("as_of_ts"), F.col("val_run_id")], ["val_run_id"])
+    return timejoin.top1_by_time(b.val_runs(spark, sf), ["instrument_id"], "as_of_ts", "val_run_id", ["val_run_id"])
 
 
 @register("requeue_runs", "SELECT val_run_id, 'QUEUED' AS status FROM val_runs WHERE status IN ('QUEUED', 'RUNNING')")
