@@ -20,7 +20,7 @@ assert names["action_factor"](session.local_session(2, partitions=2), e.SMOKE_DI
 """
 
 
-@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",), ("corpus_pipeline.py", "tickerlake/llm/__pycache__/x.pyc")])
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py", "tickerlake/llm/__pycache__/x.pyc")])
 def test_copy_without_folders(tmp_path, left):
     copy = tmp_path / "copy"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py", "*.json"))
