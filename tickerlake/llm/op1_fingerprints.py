@@ -17,7 +17,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerlake import session
@@ -31,6 +31,8 @@ PERIOD = 512
 CLASSES = 256
 PAD = CLASSES
 SLICE_BYTES = 4_000_000
+#: Stretches that walk at once.
+PIECES = 1024
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -104,6 +106,11 @@ def walk(pieces: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
     return [ends.take(start[: len(p)] + r, axis=1) for r, p in zip(rank, pieces)]
 
 
+def walk_all(pieces: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
+    """The walks of any number of pieces, PIECES at a time: what a long text takes besides its walks is bounded."""
+    return [ends for a in range(0, len(pieces), PIECES) for ends in walk(pieces[a : a + PIECES], begin[:, a : a + PIECES])]
+
+
 class Embedded:
     """A text with its walks, block by block."""
 
@@ -131,7 +138,7 @@ class Embedded:
 def embed(texts: list[str]) -> list[Embedded]:
     out = [Embedded(classes(t)) for t in texts]
     cut = [(e, e.chars[a : a + RESTART]) for e in out for a in range(0, len(e.chars), RESTART)]
-    for (e, _), ends in zip(cut, walk([p for _, p in cut], np.zeros((WALKS, len(cut))))):
+    for (e, _), ends in zip(cut, walk_all([p for _, p in cut], np.zeros((WALKS, len(cut))))):
         e.blocks.append(ends)
     return out
 
@@ -149,7 +156,7 @@ def embed_changed(old: list[Embedded], texts: list[str], kept: list[int]) -> lis
             heads.append(head)
             begin.append(head[:, -1] if head.shape[1] else np.zeros(WALKS))
         out.append(e)
-    for (e, _), head, ends in zip(cut, heads, walk([p for _, p in cut], np.array(begin).reshape(-1, WALKS).T)):
+    for (e, _), head, ends in zip(cut, heads, walk_all([p for _, p in cut], np.array(begin).reshape(-1, WALKS).T)):
         e.blocks.append(np.hstack([head, ends]) if head.shape[1] else ends)
     return out
 
@@ -289,6 +296,19 @@ def apart(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def needed(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what all of them connect: each once, without those that two others make up for.
+
+    A link from b to another node than its smallest one, c, can go when that node is linked with c itself: it stays
+    connected with c over smaller nodes, and c with b.  A group whose members are all near each other keeps as
+    many links as it has members.
+    """
+    one = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    told = session.stage(one, "links").withColumn("c", F.min("a").over(Window.partitionBy("b")))  # neighbours within buckets of LARGE, and leaders
+    first, others = told.where("a = c").select("a", "b"), told.where("a > c")
+    return first.unionByName(others.join(told.select(F.col("a").alias("c"), F.col("b").alias("a")), ["c", "a"], "left_anti").select("a", "b"))
+
+
 def near_links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) of distinct fingerprints (node long, bits, bands) that share a band and are verified on all bits.
 
@@ -316,7 +336,7 @@ def near_links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other_side = left.withColumn("j", F.pmod(own, all_parts).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), other_parts - 1)))
     met = one_side.select("band", "key", "i", "j", "node", "bits").unionByName(other_side.select("band", "key", "i", "j", "node", "bits"))
     rest = met.groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: forest(pdf.drop_duplicates("node"), most), "a long, b long")
-    return pairs.unionByName(stars).unionByName(rest)
+    return needed(pairs.unionByName(stars).unionByName(rest))
 
 
 def classes_of(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
