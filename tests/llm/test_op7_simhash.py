@@ -87,3 +87,12 @@ def test_keep_one_of_rows_that_share_an_id(spark):
     clean = [(1, "a clean text of its own", "a", 1), (1, "quite another one with more words in it", "b", 2), (1, "a clean text of its own", "c", 3), (5, "quite another one with more words in it", "d", 4)]
     got = [sorted((tuple(r) for r in op.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) for rows in (clean, clean[::-1])]
     assert got[0] == got[1] and [r[:2] for r in got[0]] == [(1, clean[0][1]), (1, clean[1][1])]
+
+
+def test_bits_counted_in_parts(monkeypatch):
+    rng = random.Random(9)
+    texts = ["", "one two three four", *(" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(n)) for n in (1, 900, 3, 40)), " \n"]
+    want = [brute_print(t) for t in texts]
+    for counted in (1 << 18, 7, 1):
+        monkeypatch.setattr(op, "COUNTED", counted)
+        assert op.simhash(texts).view("uint64").tolist() == want

@@ -31,6 +31,8 @@ RADIUS = 2
 PIVOTS = 24
 LARGE = 64
 SLICE_BYTES = 2_000_000
+#: Hashes whose bits are counted at once.
+COUNTED = 1 << 18
 
 
 def shingle_hashes(text: str) -> list[int]:
@@ -53,9 +55,12 @@ def simhash(texts: list[str]) -> np.ndarray:
     if not len(full):
         return out.view(np.int64)
     flat = np.fromiter(itertools.chain.from_iterable(hashes), dtype=np.uint64, count=int(sizes.sum()))
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    starts = (np.cumsum(sizes) - sizes)[full]
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    owner = np.repeat(np.arange(len(full)), sizes[full])
+    ones = np.zeros((len(full), 64), dtype=np.int64)
+    for a in range(0, len(flat), COUNTED):
+        bits = np.unpackbits(flat[a : a + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        starts = np.flatnonzero(np.diff(owner[a : a + COUNTED], prepend=-1))
+        ones[owner[a : a + COUNTED][starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
     packed = np.packbits(2 * ones > sizes[full, None], axis=1, bitorder="little")
     out[full] = np.ascontiguousarray(packed).view(np.uint64).ravel()
     return out.view(np.int64)
