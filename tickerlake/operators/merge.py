@@ -24,6 +24,16 @@ def latest_version(df: DataFrame, keys: list[str], version: str, arrival: list[s
     return timejoin.latest_by(df, keys, [F.col(version), *[-F.col(a) for a in arrival]], cols)
 
 
+def superseded(replaced: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """A WARN result for each row that took a stored one's place; ``existing_ingested_at`` is the stored one's time."""
+    return replaced.select(
+        F.concat_ws(":", "instrument_id", "trade_date").alias("target_record_key"),
+        F.lit("SUPERSEDED_NORMALIZED_ROW").alias("rule_code"), F.lit("WARN").alias("status"),
+        F.lit("superseded_row").alias("failure_reason"), "existing_ingested_at",
+        F.col("ingested_at").alias("incoming_ingested_at"), F.lit(as_of).alias("evaluated_at"),
+    )
+
+
 def merge_ohlcv(current: DataFrame, incoming: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """(merged, superseded): incoming replaces the stored row only when its
     ``ingested_at`` is strictly newer; each replacement is reported as WARN."""
@@ -34,12 +44,7 @@ def merge_ohlcv(current: DataFrame, incoming: DataFrame, as_of: dt.datetime) ->
     rank = [F.col("ingested_at"), -F.col("_new"), F.col("source_record_id")]
     best = timejoin.latest_by(both, keys, rank, [*cols, "_new"])
     old = current.select(*keys, F.col("ingested_at").alias("existing_ingested_at"))
-    gone = best.where("_new = 1").join(old, keys).select(
-        F.concat_ws(":", "instrument_id", "trade_date").alias("target_record_key"),
-        F.lit("SUPERSEDED_NORMALIZED_ROW").alias("rule_code"), F.lit("WARN").alias("status"),
-        F.lit("superseded_row").alias("failure_reason"), "existing_ingested_at",
-        F.col("ingested_at").alias("incoming_ingested_at"), F.lit(as_of).alias("evaluated_at"),
-    )
+    gone = superseded(best.where("_new = 1").join(old, keys), as_of)
     return best.drop("_new").select(*current.columns), gone
 
 

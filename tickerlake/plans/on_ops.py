@@ -10,6 +10,8 @@ from tickerlake.operators import compliance, merge, ops, quality, serving, timej
 from tickerlake.plans import bindings as b
 from tickerlake.plans import sqlparts_ops  # noqa: F401
 from tickerlake.plans.registry import register
+from tickerlake.session import work_dir
+from tickerlake.sources import bucketed
 
 NOW = dt.datetime(2024, 1, 25, 12, 0)
 REQUIRED = ["instrument_id", "open_px", "event_ts"]
@@ -441,11 +443,38 @@ def merge_ohlcv(spark, sf):
     return _merged(spark, sf)[0].select("instrument_id", "trade_date", "close_px")
 
 
-def _merged(spark, sf):
+def _versions(spark, sf):
     cur = b.bars(spark, sf).withColumn("source_record_id", F.lit("cur"))
     newer = cur.where("instrument_id % 2 = 0").withColumn("close_px", (F.col("close_px") + 1).cast("decimal(18,6)")).withColumn("source_record_id", F.lit("new")).withColumn(
         "ingested_at", F.expr("case when day(trade_date) % 3 = 0 then ingested_at + interval 1 hour when day(trade_date) % 3 = 1 then ingested_at else ingested_at - interval 1 hour end"))
-    return merge.merge_ohlcv(cur, newer, NOW)
+    return cur, newer
+
+
+def _merged(spark, sf):
+    return merge.merge_ohlcv(*_versions(spark, sf), NOW)
+
+
+MERGED_SQL = "SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, CAST(CASE WHEN instrument_id % 2 = 0 AND day(trade_date) % 3 = 0 THEN close_px + 1 ELSE close_px END AS DOUBLE) AS close_px, CASE WHEN instrument_id % 2 = 0 AND day(trade_date) % 3 = 0 THEN 'new' ELSE 'cur' END AS source_record_id FROM bars"
+
+
+def _stored_merge(spark, sf):
+    """Bars merged into an empty stored table, then corrections of every second instrument into that."""
+    cur, newer = _versions(spark, sf)
+    path = work_dir(spark, "bucketed")
+    table = bucketed.Bucketed(f"ohlcv_{path[-32:]}", f"{path}/table", slots=2, buckets=4, period="yyyy")
+    bucketed.open_table(spark, table, cur.schema)
+    bucketed.merge_into(spark, table, cur, NOW, f"{path}/first")
+    return spark.table(table.name), bucketed.merge_into(spark, table, newer, NOW, f"{path}/second")
+
+
+@register("merge_ohlcv_stored", MERGED_SQL)
+def merge_stored(spark, sf):
+    return _stored_merge(spark, sf)[0].select("instrument_id", "trade_date", "close_px", "source_record_id")
+
+
+@register("merge_ohlcv_stored_superseded", "SELECT instrument_id || ':' || CAST(trade_date AS VARCHAR) AS target_record_key, 'WARN' AS status FROM bars WHERE instrument_id % 2 = 0 AND day(trade_date) % 3 = 0")
+def merge_stored_superseded(spark, sf):
+    return _stored_merge(spark, sf)[1].select("target_record_key", "status")
 
 
 @register("merge_ohlcv_superseded", "SELECT instrument_id || ':' || CAST(trade_date AS VARCHAR) AS target_record_key, 'WARN' AS status FROM bars WHERE instrument_id % 2 = 0 AND day(trade_date) % 3 = 0")
