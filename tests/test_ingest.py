@@ -45,6 +45,34 @@ def test_bse_zip_and_mapping(spark, tmp_path):
     assert bad.head().error == "Missing ISIN mapping for BSE scrip code 999"
 
 
+def test_zipped_payloads(spark, tmp_path):
+    def pack(body):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            z.writestr("readme.txt", "x")
+            z.writestr("eq.Csv", body)
+        return buf.getvalue()
+
+    given = {
+        "empty": b"", "header": b"a,b\n", "empty member": pack(b""), "no b": b"z,a\n1,2\n", "marked": pack(b"\xef\xbb\xbfa,b\n1,\n"),
+        "uneven": pack(b'a,b\n1\n2,3\n\n4,5,6\n"x\ny",""\n'), "all uneven": b"b,a\n1\n"}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in given.items()], "path string, content binary")
+    found = sorted((tuple(r) for r in bhavcopy.unzip_csv(df, ["a", "b"]).collect()), key=str)
+    assert found == sorted([("no b", "2", None), ("marked", "1", ""), ("uneven", "1", None), ("uneven", "2", "3"), ("uneven", "4", "5"), ("uneven", "x\ny", ""), ("all uneven", None, "1")], key=str)
+    with pytest.raises(PySparkException, match="does not contain a CSV"):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            z.writestr("readme.txt", "x")
+        bhavcopy.unzip_csv(spark.createDataFrame([("p", bytearray(buf.getvalue()))], "path string, content binary"), ["a"]).collect()
+    # written archives are whole, one for each batch, and read back
+    rows = spark.createDataFrame([(i, f'q"{i},\n' if i % 3 else f" {i}") for i in range(25_000)], "i int, t string")
+    bhavcopy.write_zipped_csv(rows, str(tmp_path / "z"))
+    files = list((tmp_path / "z").glob("part-*"))
+    assert len(files) >= 3 and all(zipfile.ZipFile(f).testzip() is None for f in files)
+    back = bhavcopy.read_zipped_csv(spark, str(tmp_path / "z"), ["t", "i"]).select(F.col("i").cast("int"), "t")
+    assert back.exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
+
+
 def test_contract_reasons(spark):
     schema = schemas.contract_schema(schemas.__file__.replace("schemas.py", "contracts/nse_eod.json"))
     base = {f.name: "1" for f in schema.fields} | {"timestamp": "2026-06-26"}

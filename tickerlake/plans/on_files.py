@@ -113,6 +113,22 @@ def scan_bse(spark, sf):
     return bhavcopy.scan_bse_bhavcopy(spark, path, "WANTED", _scrips(spark, sf), "quarantine", keep=["k"])[0].select(*SCAN)
 
 
+def _zip_files(spark, sf):
+    path = work_dir(spark, "zips")
+    bhavcopy.write_zipped_csv(_file_rows(spark, sf, "BSE").withColumnsRenamed(BSE_NAMES), path)
+    return path
+
+
+@register("scan_bse_zipped", _file_sql("bse_file", BSE_SERIES_SQL))
+def scan_bse_zipped(spark, sf):
+    return bhavcopy.scan_bse_bhavcopy(spark, _zip_files(spark, sf), "WANTED", _scrips(spark, sf), "quarantine", zipped=True, keep=["k", "WANTED"])[0].select(*SCAN)
+
+
+@register("scan_bse_zipped_rejects", "SELECT CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS k, error FROM bse_file WHERE error IS NOT NULL")
+def scan_bse_zipped_rejects(spark, sf):
+    return bhavcopy.scan_bse_bhavcopy(spark, _zip_files(spark, sf), "WANTED", _scrips(spark, sf), "quarantine", zipped=True, keep=["k", "WANTED"])[1].select("k", "error")
+
+
 @register("read_zipped_csv", "SELECT 'p' || (l_orderkey * 8 + l_linenumber) AS path, ' s' || instrument_id AS \"SC_NAME\", CAST(qty AS VARCHAR) AS \"NO_OF_SHRS\" FROM ticks")
 def zipped(spark, sf):
     rows = b.ticks(spark, sf).selectExpr("concat('p', l_orderkey * 8 + l_linenumber) as path", "l_orderkey % 3 as kind", "concat('SC_NAME,NO_OF_SHRS\n s', instrument_id, ',', qty, '\n') as body")

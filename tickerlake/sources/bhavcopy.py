@@ -9,7 +9,8 @@ import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.csv as pacsv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ FIELDS = {
 }
 # ----------------------------------------------------------------------------
 
-EMIT_ROWS = 50_000  # rows per emitted Arrow batch
+EMIT_ROWS = 50_000  # rows per emitted Arrow batch, about
+BLOCK_BYTES = 8 << 20  # of CSV that are parsed at once; a longer row is an error
 
 
 def _wanted(trade_date: dt.date | str) -> Column:
@@ -129,38 +131,85 @@ def scan_bse_bhavcopy(spark: SparkSession, path: str, trade_date: dt.date | str,
     return bse_rows(df, trade_date, isin_map, mode, keep)
 
 
+def _member(content: bytes) -> io.BufferedIOBase:
+    data = io.BytesIO(content)
+    if content[:2] != b"PK":
+        return data
+    z = zipfile.ZipFile(data)
+    names = [n for n in z.namelist() if n.lower().endswith(".csv")]
+    if not names:
+        raise ValueError("archive does not contain a CSV payload")
+    return z.open(names[0])  # unpacked as it is read
+
+
+def _csv_batches(content: bytes, columns: list[str]) -> Iterator[list[pa.Array]]:
+    """The wanted columns of a CSV payload, block by block; other columns are not built."""
+    uneven: list[str] = []
+
+    def put_aside(row: pacsv.InvalidRow) -> str:
+        uneven.append(row.text)
+        return "skip"
+
+    stream = io.BufferedReader(_member(content))
+    if not stream.peek(1):
+        return
+    reader = pacsv.open_csv(
+        stream, read_options=pacsv.ReadOptions(block_size=BLOCK_BYTES), parse_options=pacsv.ParseOptions(newlines_in_values=True, invalid_row_handler=put_aside),
+        convert_options=pacsv.ConvertOptions(include_columns=columns, column_types={c: pa.string() for c in columns}, include_missing_columns=True, strings_can_be_null=False))
+    for batch in reader:
+        yield batch.columns
+    if uneven:  # rows with too few or too many fields: missing ones are null, further ones have no name
+        header = next(csv.reader(io.TextIOWrapper(_member(content), encoding="utf-8-sig", newline="")))
+        named = [dict(zip(header, row)) for row in csv.reader(uneven)]
+        yield [pa.array([row.get(c) for row in named], pa.string()) for c in columns]
+
+
 def unzip_csv(payloads: DataFrame, columns: list[str]) -> DataFrame:
     """Payloads (path, content) to text rows with the given columns.
 
     A payload that begins with PK is a zip whose first CSV member counts; any other
     is CSV itself.  One payload is one exchange's file of a day, so it fits a task;
-    payloads spread over tasks.  Columns a file lacks are null.
+    payloads spread over tasks.  Columns a file lacks are null, an empty payload has no rows.
     """
-
-    def lines(content: bytes) -> Iterator[str]:
-        data = io.BytesIO(content)
-        if content[:2] == b"PK":
-            z = zipfile.ZipFile(data)
-            names = [n for n in z.namelist() if n.lower().endswith(".csv")]
-            if not names:
-                raise ValueError("archive does not contain a CSV payload")
-            data = z.open(names[0])  # unpacked as it is read
-        return io.TextIOWrapper(data, encoding="utf-8", newline="")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[tuple] = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                for r in csv.DictReader(lines(bytes(content))):
-                    out.append((path, *(r.get(c) for c in columns)))
-                    if len(out) >= EMIT_ROWS:
-                        yield pd.DataFrame(out, columns=["path", *columns])
-                        out = []
-            yield pd.DataFrame(out, columns=["path", *columns])
-
-    return payloads.select("path", "content").mapInPandas(rows, "path string, " + ", ".join(f"{c} string" for c in columns))
+    schema = pa.schema([(c, pa.string()) for c in ["path", *columns]])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                for found in _csv_batches(content.as_py(), columns):
+                    n = len(found[0])
+                    small.append(pa.RecordBatch.from_arrays([pa.repeat(path, n).cast(pa.string()), *found], schema=schema))
+                    held += n
+                    if held >= EMIT_ROWS:
+                        yield pa.concat_batches(small)
+                        small, held = [], 0
+        if small:
+            yield pa.concat_batches(small)
+
+    return payloads.select("path", "content").mapInArrow(rows, "path string, " + ", ".join(f"`{c}` string" for c in columns))
 
 
 def read_zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Zip or CSV payload files to text rows with the given columns."""
     return unzip_csv(spark.read.format("binaryFile").load(path), columns)
+
+
+def write_zipped_csv(rows: DataFrame, path: str, member: str = "EQ.CSV") -> None:
+    """Text columns as zip files of one CSV member; each Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch``) gives a file.
+
+    Nulls are written as empty fields.  Spark's text writer ends a file with a line end: it is the archive's comment.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                z.comment = b"\n"
+                with z.open(member, "w") as out:
+                    pacsv.write_csv(batch, out, pacsv.WriteOptions(quoting_style="needed"))
+            yield pa.RecordBatch.from_pydict({"value": pa.array([buffer.getvalue()[:-1]], pa.binary())})
+
+    zips = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns]).mapInArrow(pack, "value binary")
+    zips.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
