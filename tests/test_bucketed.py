@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerlake.operators import merge
 from tickerlake.sources import bucketed
+from tickerlake.streaming import ingest
 
 NOW = dt.datetime(2026, 6, 26, 12)
 ROW = "instrument_id long, trade_date date, close_px double, ingested_at timestamp, source_record_id string"
@@ -87,3 +88,24 @@ def test_empty_batch_missing_key_and_other_layout(spark, table, tmp_path):
     # another session's catalog finds what is stored
     spark.sql(f"DROP TABLE {table.name}")
     assert bucketed.open_table(spark, table, rows(spark).schema).count() == 1
+
+
+def test_stream_by_event_time(spark, table, tmp_path):
+    """Ten deliveries: corrections within five weekdays of what was seen before are merged, older ones written as refused."""
+    src, staging = tmp_path / "in", str(tmp_path / "staging")
+    accepted, late = [], []
+    for n in range(10):
+        given = [(1, n, 1.0, 1), (1, n - 1, 2.0, 2 + n)] if n else [(1, n, 1.0, 1)]
+        if n == 9:
+            late = [(1, 0, 5.0, 20)]  # the newest day seen is the ninth, a Friday; the first is six weekdays before it
+        accepted += given
+        rows(spark, *given, *(late if n == 9 else [])).withColumn("event_ts", F.col("trade_date").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(f"{ROW}, event_ts timestamp").parquet(str(src))
+        ingest.stream_late_corrections(stream, table, staging, str(tmp_path / "cp"), None).awaitTermination()
+    expected, _ = merge.merge_ohlcv(rows(spark), rows(spark, *accepted), NOW)
+    assert content(spark, table) == sorted(tuple(r) for r in expected.collect())
+    refused = spark.read.parquet(f"{staging}/refused").collect()
+    assert [(r.instrument_id, r.close_px, r.reason, r.batch) for r in refused] == [(1, 5.0, "event_ts_stale", 9)]
+    assert spark.read.parquet(f"{staging}/superseded").count() == 9
+    assert spark.read.parquet(f"{staging}/clock/upto=9").head().newest == dt.datetime(2026, 1, 10)
+    assert all(spark.read.parquet(f"{staging}/clock/upto={n}").count() == 1 for n in range(10))

@@ -24,13 +24,13 @@ def latest_version(df: DataFrame, keys: list[str], version: str, arrival: list[s
     return timejoin.latest_by(df, keys, [F.col(version), *[-F.col(a) for a in arrival]], cols)
 
 
-def superseded(replaced: DataFrame, as_of: dt.datetime) -> DataFrame:
+def superseded(replaced: DataFrame, as_of: dt.datetime | None) -> DataFrame:
     """A WARN result for each row that took a stored one's place; ``existing_ingested_at`` is the stored one's time."""
     return replaced.select(
         F.concat_ws(":", "instrument_id", "trade_date").alias("target_record_key"),
         F.lit("SUPERSEDED_NORMALIZED_ROW").alias("rule_code"), F.lit("WARN").alias("status"),
         F.lit("superseded_row").alias("failure_reason"), "existing_ingested_at",
-        F.col("ingested_at").alias("incoming_ingested_at"), F.lit(as_of).alias("evaluated_at"),
+        F.col("ingested_at").alias("incoming_ingested_at"), F.lit(as_of).cast("timestamp").alias("evaluated_at"),
     )
 
 

@@ -19,7 +19,7 @@ from tickerlake.plans import bindings as b
 from tickerlake.plans import sqlparts
 from tickerlake.plans.registry import register
 from tickerlake.session import work_dir
-from tickerlake.sources import bhavcopy, rawzone, sinks
+from tickerlake.sources import bhavcopy, bucketed, rawzone, sinks
 from tickerlake.streaming import connector, ingest
 
 # --- exchange files -------------------------------------------------------------------------
@@ -520,6 +520,31 @@ def stream_late(spark, sf):
     return spark.read.parquet(tab).select("instrument_id", "trade_date", "close_px", F.lit("stored").alias("what")).unionByName(refused)
 
 
+_SEEN = "(SELECT c - CAST(CASE isodow(c) WHEN 6 THEN 362 WHEN 7 THEN 363 ELSE 364 END AS INTEGER) AS bound FROM (SELECT max(trade_date) AS c FROM bars WHERE trade_date < DATE '1998-01-01'))"
+
+
+@register("stream_late_by_event_time", f"""
+SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, CAST(CASE WHEN instrument_id % 2 = 0 AND trade_date < DATE '1998-01-01' AND trade_date >= bound THEN close_px + 1 ELSE close_px END AS DOUBLE) AS close_px, 'stored' AS what FROM bars, {_SEEN}
+UNION ALL SELECT instrument_id, CAST(trade_date AS VARCHAR), CAST(close_px + 1 AS DOUBLE), '1 event_ts_stale' FROM bars, {_SEEN} WHERE instrument_id % 2 = 0 AND trade_date < bound
+UNION ALL SELECT instrument_id, CAST(trade_date AS VARCHAR), NULL, '1 superseded_row' FROM bars, {_SEEN} WHERE instrument_id % 2 = 0 AND trade_date < DATE '1998-01-01' AND trade_date >= bound""")
+def stream_late_by_event_time(spark, sf):
+    """Two deliveries into a bucketed table; what the first has shown decides which corrections of the second are late."""
+    src, tab, stage, cp = (work_dir(spark, x) for x in ("event", "event-table", "event-stage", "event-cp"))
+    rows = b.bars(spark, sf).select("instrument_id", "trade_date", "close_px", "ingested_at", F.lit("r").alias("source_record_id"), dates.event_ts_default(F.col("trade_date")).alias("event_ts"))
+    first = rows.where("trade_date < date'1998-01-01'")
+    newer = first.where("instrument_id % 2 = 0").withColumn("close_px", (F.col("close_px") + 1).cast("decimal(18,6)")).withColumn("ingested_at", F.expr("ingested_at + interval 1 day"))
+    table = bucketed.Bucketed(f"corrections_{tab[-32:]}", tab, slots=1, buckets=4, period="yyyy")
+    bucketed.open_table(spark, table, rows.drop("event_ts").schema)
+    for n, batch in enumerate([first, newer.unionByName(rows.where("trade_date >= date'1998-01-01'"))]):
+        batch.write.parquet(f"{src}/part={n}")
+        ingest.stream_late_corrections(spark.readStream.schema(rows.schema).parquet(f"{src}/*"), table, stage, cp, None, 260).awaitTermination()
+    refused = spark.read.parquet(f"{stage}/refused").select("instrument_id", "trade_date", "close_px", F.concat_ws(" ", F.col("batch").cast("string"), "reason").alias("what"))
+    key = F.split("target_record_key", ":")
+    gone = spark.read.parquet(f"{stage}/superseded").select(
+        key[0].cast("long").alias("instrument_id"), key[1].cast("date").alias("trade_date"), F.lit(None).cast("decimal(18,6)").alias("close_px"), F.concat_ws(" ", F.col("batch").cast("string"), "failure_reason").alias("what"))
+    return spark.table(table.name).select("instrument_id", "trade_date", "close_px", F.lit("stored").alias("what")).unionByName(refused).unionByName(gone)
+
+
 from tickerlake.plans.on_prices import WALK  # noqa: E402
 
 

@@ -9,7 +9,7 @@ from tickerlake.operators import fundamentals as fu
 from tickerlake.operators import merge, orderstats, serving
 from tickerlake.operators import valuation as va
 from tickerlake.plans import bindings as b
-from tickerlake.plans import sqlparts_value  # noqa: F401
+from tickerlake.plans import sqlparts, sqlparts_value  # noqa: F401
 from tickerlake.plans.registry import register
 
 DAY = dt.date(2000, 12, 31)
@@ -320,6 +320,18 @@ def relative(spark, sf):
     return _relative(spark, sf).select("instrument_id", "rel_status", F.round("rel_equity", 2).alias("rel_equity"), F.round("rel_price", 5).alias("rel_price"), F.round("rel_enterprise", 2).alias("rel_enterprise"), "max_peer_count")
 
 
+_THREE = sqlparts.PARTS["rel_value"].replace("FROM rel_multiple r JOIN", "FROM (SELECT * FROM rel_multiple WHERE m IN ('P/E', 'P/B', 'EV/Sales')) r JOIN")
+
+
+@register("relative_valuation_subset", f"""
+SELECT instrument_id, rel_status, round(rel_equity, 2) AS rel_equity, round(rel_price, 5) AS rel_price, CAST(peers AS BIGINT) AS max_peer_count FROM ({_THREE})
+UNION ALL SELECT instrument_id, 'REFUSED', NULL, NULL, NULL FROM universe WHERE instrument_id NOT IN (SELECT instrument_id FROM ({_THREE}))""")
+def relative_subset(spark, sf):
+    """Only the multiples that a caller names take part; an odd number of them makes the median one of them."""
+    r = va.relative_valuation(_groups(spark, sf), va.asof_metric(b.metrics(spark, sf), va.PEER_METRICS, DAY), multiples=["P/E", "P/B", "EV/Sales"])
+    return r.select("instrument_id", "rel_status", F.round("rel_equity", 2).alias("rel_equity"), F.round("rel_price", 5).alias("rel_price"), "max_peer_count")
+
+
 @register("implied_values", """
 SELECT r.instrument_id, m AS multiple_name, n AS peer_count, round(q1, 8) AS q1, round(med, 8) AS med, round(q3, 8) AS q3,
  round(CASE m WHEN 'EV/EBITDA' THEN q1 * ebitda - nd WHEN 'P/E' THEN q1 * earn WHEN 'P/B' THEN q1 * book ELSE q1 * sales - nd END, 2) AS equity_q1,

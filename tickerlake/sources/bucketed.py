@@ -86,7 +86,7 @@ def _merged(stored: DataFrame, fresh: DataFrame, cols: list[str]) -> DataFrame:
         won.alias("_won"), F.when(won, F.col("_o_ingested_at")).alias("existing_ingested_at"), F.col("_stored").isNotNull().alias("_stored"))
 
 
-def merge_into(spark: SparkSession, table: Bucketed, incoming: DataFrame, as_of: dt.datetime, folder: str) -> DataFrame:
+def merge_into(spark: SparkSession, table: Bucketed, incoming: DataFrame, as_of: dt.datetime | None, folder: str) -> DataFrame:
     """Merge rows into an opened table by the rule of ``merge.merge_ohlcv``; gives the superseded rows.
 
     ``folder`` keeps the merged folders until the table has them.  A merge that was cut off is called again with the

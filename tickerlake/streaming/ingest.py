@@ -18,7 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tickerlake.functions import dates
 from tickerlake.operators import breaker, merge
-from tickerlake.sources import rawzone
+from tickerlake.sources import bucketed, rawzone
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -54,23 +54,52 @@ def guard_times(rows: DataFrame, as_of: dt.datetime, days: int = 5) -> DataFrame
         F.when(F.col("event_ts") > F.lit(as_of) + F.expr("interval 1 hour"), "future_event_ts").when(F.col("event_ts").cast("date") < limit, "event_ts_stale"))
 
 
-def stream_late_corrections(rows: DataFrame, table: str, staging: str, checkpoint: str, as_of: dt.datetime, days: int = 5) -> StreamingQuery:
-    """Merge arriving rows into the month-partitioned ``table``: a strictly newer ``ingested_at`` replaces the stored row.
+def _event_clock(batch: DataFrame, number: int, staging: str) -> dt.datetime | None:
+    """The newest event time of all earlier batches (none before the first), and the batch's own kept for the next.
+
+    Each batch leaves one row that covers all before it, so that only the last one is read; a repeated batch leaves the same.
+    """
+    spark = batch.sparkSession
+    before = rawzone.stored(spark, f"{staging}/clock/upto={number - 1}", "newest timestamp").head() if number > 0 else None
+    known = before.newest if before else None
+    batch.agg(F.greatest(F.max("event_ts"), F.lit(known).cast("timestamp")).alias("newest")).write.mode("overwrite").parquet(f"{staging}/clock/upto={number}")
+    return known
+
+
+def stream_late_corrections(rows: DataFrame, table: str | bucketed.Bucketed, staging: str, checkpoint: str, as_of: dt.datetime | None, days: int = 5) -> StreamingQuery:
+    """Merge arriving rows into ``table``: a strictly newer ``ingested_at`` replaces the stored row.
 
     Rows that come too late, or from the future, are written to ``staging/refused`` with their reason, in the batch's
-    own folder.  Only the months of the batch are rewritten.
+    own folder.  Without ``as_of`` the clock is the newest event time of earlier batches, as a watermark's: a row is
+    late by what has been seen, none comes from the future, and the first batch is taken whole.  Unlike with a
+    watermark in the plan, late rows are kept as refused ones.  ``table`` is a folder partitioned by month, of which the
+    batch's months are rewritten, or an opened bucketed table, whose superseded rows go to ``staging/superseded``.
     """
 
+    def guarded(batch: DataFrame, number: int) -> DataFrame:
+        if as_of is not None:
+            return guard_times(batch, as_of, days)
+        clock = _event_clock(batch, number, staging)
+        if clock is None:
+            return batch.withColumn("reason", F.lit(None).cast("string"))
+        limit = dates.subtract_trading_days(F.lit(clock.date()), days)
+        return batch.withColumn("reason", F.when(F.col("event_ts").cast("date") < limit, "event_ts_stale"))
+
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        guarded = guard_times(batch, as_of, days)
-        guarded.where("reason is not null").write.mode("overwrite").parquet(f"{staging}/refused/batch={number}")
-        good = guarded.where("reason is null").drop("reason", "event_ts").withColumn("month", F.date_format("trade_date", "yyyy-MM"))
+        judged = guarded(batch, number)
+        judged.where("reason is not null").write.mode("overwrite").parquet(f"{staging}/refused/batch={number}")
+        kept = judged.where("reason is null").drop("reason", "event_ts")
+        stage = f"{staging}/merged/batch={number}"
+        if isinstance(table, bucketed.Bucketed):
+            gone = bucketed.merge_into(spark, table, kept, as_of, stage)
+            gone.write.mode("overwrite").parquet(f"{staging}/superseded/batch={number}")
+            return
+        good = kept.withColumn("month", F.date_format("trade_date", "yyyy-MM"))
         # the stale window bounds the months of a batch; as plain values they prune the table's folders
         months = [r.month for r in good.select("month").distinct().collect()]
         touched = rawzone.stored(spark, table, good.schema).where(F.col("month").isin(months))
         merged, _ = merge.merge_ohlcv(touched, good, as_of)
-        stage = f"{staging}/merged/batch={number}"
         merged.write.mode("overwrite").parquet(stage)
         spark.read.parquet(stage).hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
 
