@@ -25,7 +25,10 @@ def require_text(c: Column) -> Column:
 
 def require_non_negative_decimal(c: Column) -> Column:
     """Decimal, null when it is no number or negative."""
-    v = numeric.parse_decimal(c)
+    return non_negative(numeric.parse_decimal(c))
+
+
+def non_negative(v: Column) -> Column:
     return F.when(v >= 0, v)
 
 
@@ -40,11 +43,15 @@ def is_blank(c: Column) -> Column:
 
 def decimal_error(c: Column, field: str, optional: bool = False) -> Column:
     """Why a numeric field is refused, else null."""
-    v = numeric.parse_decimal(c)
-    bad = F.when(v.isNull(), f"{field} must be numeric").when(v < 0, f"{field} must be non-negative")
+    bad = number_error(numeric.parse_decimal(c), field)
     return F.when(~is_blank(c), bad) if optional else bad
 
 
+def number_error(v: Column, field: str) -> Column:
+    """The same for a field that is parsed already."""
+    return F.when(v.isNull(), f"{field} must be numeric").when(v < 0, f"{field} must be non-negative")
+
+
 def ohlc_bounds_raw(o: Column, h: Column, lo: Column, c: Column) -> Column:
     """Why the four prices do not fit together, else null."""
     return F.when(h < F.greatest(o, lo, c), "HIGH must be greater than or equal to OPEN, LOW, and CLOSE").when(
@@ -60,7 +67,11 @@ def parse_trade_date(c: Column) -> Column:
 
 
 def trade_date_error(c: Column, wanted: Column, field: str) -> Column:
-    d = dates.parse_trade_date(c)
+    return day_error(dates.parse_trade_date(c), c, wanted, field)
+
+
+def day_error(d: Column, c: Column, wanted: Column, field: str) -> Column:
+    """The same for a day ``d`` that is parsed already."""
     return F.when(d.isNull(), F.concat(F.lit("Unsupported trade date format: "), F.coalesce(c, F.lit("")))).when(d != wanted, f"{field} does not match requested trade date")
 
 
@@ -94,21 +105,24 @@ def validate_contract(df: DataFrame, contract: T.StructType, row: str = "row") -
     ``row`` is a map of field name to text.  Fields must be exactly those of the
     contract; then the first failing field in contract order gives the reason.
     """
-    diff = field_difference(F.array(*[F.lit(f.name) for f in contract.fields]), F.map_keys(row))
+    expected, actual = F.array(*[F.lit(f.name) for f in contract.fields]), F.map_keys(row)
+    diff = field_difference(expected, actual)
     drift = F.when(
-        (F.size(diff.missing) > 0) | (F.size(diff.extra) > 0),
+        (F.size(F.array_except(expected, actual)) > 0) | (F.size(F.array_except(actual, expected)) > 0),
         F.concat(F.lit("schema_drift missing="), _listed(diff.missing), F.lit(" extra="), _listed(diff.extra)))
-    checks = [drift]
-    for f in contract.fields:
-        v = F.col(row)[f.name]
+    # a generator of one row: what is taken from the map is typed once, as the optimizer copies nothing from behind it into the checks
+    taken = [x for i, f in enumerate(contract.fields) for x in (F.col(row)[f.name].isNull().alias(f"_none{i}"), _typed(F.col(row)[f.name], f.dataType).alias(f"_typed{i}"))]
+    read = df.select("*", F.inline(F.array(F.struct(drift.alias("_drift"), *taken))))
+    checks = [F.col("_drift")]
+    for i, f in enumerate(contract.fields):
         if not f.nullable:
-            checks.append(F.when(v.isNull(), f"null_not_allowed field={f.name}"))
+            checks.append(F.when(F.col(f"_none{i}"), f"null_not_allowed field={f.name}"))
         if not isinstance(f.dataType, T.StringType):
-            checks.append(F.when(v.isNotNull() & _typed(v, f.dataType).isNull(), f"type_mismatch field={f.name} expected={_type_name(f.dataType)}"))
-    judged = df.withColumn("reason", F.coalesce(*checks))
+            checks.append(F.when(~F.col(f"_none{i}") & F.col(f"_typed{i}").isNull(), f"type_mismatch field={f.name} expected={_type_name(f.dataType)}"))
+    judged = read.withColumn("reason", F.coalesce(*checks))
     rest = [c for c in df.columns if c != row]
-    valid = judged.where("reason is null").select(*rest, *[_typed(F.col(row)[f.name], f.dataType).alias(f.name) for f in contract.fields])
-    return valid, judged.where("reason is not null")
+    valid = judged.where("reason is null").select(*rest, *[F.col(f"_typed{i}").alias(f.name) for i, f in enumerate(contract.fields)])
+    return valid, judged.where("reason is not null").select(*[c for c in df.columns if c != "reason"], "reason")
 
 
 def normalize_history_frame(df: DataFrame) -> DataFrame:
