@@ -263,3 +263,31 @@ def test_stream_breaker_judges_late_rows_and_corrects_later_ones(spark, tmp_path
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{one}/in/part=0")
     ingest.stream_breaker(spark.readStream.schema(schema).parquet(f"{one}/in/*"), f"{one}/out", f"{one}/cp").awaitTermination()
     assert {(r.instrument_id, r.trade_date.day, r.close): r.breaker_ok for r in ingest.breaker_verdicts(spark, f"{one}/out").collect()} == {k: ok for k, ok in want.items() if k != (1, 12, 3)}
+
+
+def test_small_payloads_like_blocks(spark, monkeypatch):
+    """Small payloads are split without an Arrow reader; what they give is what the reader gives."""
+    texts = ["a,b\n1,2\n", "b,a\n1,\n\n,2", "a\n1\n", "c\n1\n", "a,b\n", "﻿a,b\n1,é\n", 'a,b\n"x,y",2\n', "a,b\r\n1,2\r\n", "a,b\n1\n1,2,3\n4,5\n", "", "a,b\n" + "1,2\n" * 30_000]
+    payloads = []
+    for i, text in enumerate(texts):
+        for kind in (None, zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            buf = io.BytesIO()
+            if kind is not None:
+                with zipfile.ZipFile(buf, "w", kind) as z:
+                    z.writestr("readme.txt", "x")
+                    z.writestr("EQ.csv", text)
+            payloads.append((f"{i} {kind}", bytearray(buf.getvalue() if kind is not None else text.encode())))
+    read = lambda content: [pa_rows for block in bhavcopy._csv_batches(content, ["b", "a"]) for pa_rows in zip(*(c.to_pylist() for c in block))]
+    want = sorted(((p, *r) for p, content in payloads for r in read(bytes(content))), key=str)
+    df = spark.createDataFrame(payloads, "path string, content binary")
+    assert sorted((tuple(r) for r in bhavcopy.unzip_csv(df, ["b", "a"]).collect()), key=str) == want and len(want) > 90_000
+    monkeypatch.setattr(bhavcopy, "_csv_batches", None)
+    assert bhavcopy._small_rows(bytes(payloads[2][1]), ["b", "a"]) == [["2"], ["1"]]  # no reader is opened
+
+
+def test_damaged_small_archive_fails(spark):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("EQ.csv", "a,b\n1,2\n")
+    with pytest.raises(Exception):
+        bhavcopy.unzip_csv(spark.createDataFrame([("p", bytearray(buf.getvalue().replace(b"1,2", b"1,3")))], "path string, content binary"), ["a"]).collect()

@@ -6,7 +6,8 @@ File queries first let Spark write the given tables out as the files to be read.
 import datetime as dt
 import io
 import zipfile
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -129,22 +130,25 @@ def scan_bse_zipped_rejects(spark, sf):
     return bhavcopy.scan_bse_bhavcopy(spark, _zip_files(spark, sf), "WANTED", _scrips(spark, sf), "quarantine", zipped=True, keep=["k", "WANTED"])[1].select("k", "error")
 
 
+@lru_cache(50_000)  # equal bodies give equal archives
+def _archive(body: str, kind: int) -> bytes:
+    if kind == 0:
+        return body.encode()
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("readme.txt", "x")
+        z.writestr("EQ.CSV" if kind == 1 else "eq.csv", body)
+    return buf.getvalue()
+
+
 @register("read_zipped_csv", "SELECT 'p' || (l_orderkey * 8 + l_linenumber) AS path, ' s' || instrument_id AS \"SC_NAME\", CAST(qty AS VARCHAR) AS \"NO_OF_SHRS\" FROM ticks")
 def zipped(spark, sf):
     rows = b.ticks(spark, sf).selectExpr("concat('p', l_orderkey * 8 + l_linenumber) as path", "l_orderkey % 3 as kind", "concat('SC_NAME,NO_OF_SHRS\n s', instrument_id, ',', qty, '\n') as body")
 
     @F.pandas_udf("binary")
-    def pack(body: pd.Series, kind: pd.Series) -> pd.Series:
-        def one(t, k):
-            if k == 0:
-                return t.encode()
-            buf = io.BytesIO()
-            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("readme.txt", "x")
-                z.writestr("EQ.CSV" if k == 1 else "eq.csv", t)
-            return buf.getvalue()
-
-        return pd.Series([one(t, k) for t, k in zip(body, kind)])
+    def pack(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for body, kind in parts:
+            yield pd.Series([_archive(t, k) for t, k in zip(body, kind)])
 
     return bhavcopy.unzip_csv(rows.select("path", pack("body", "kind").alias("content")), ["SC_NAME", "NO_OF_SHRS"])
 
