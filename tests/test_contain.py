@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tickerlake.operators import contain
 
 
@@ -25,3 +27,14 @@ def test_like_all_pairs(spark):
 
 def test_empty(spark):
     assert pairs(spark, [], ["abc"]) == pairs(spark, ["abc"], []) == []
+
+
+def test_few_pieces_of_long_needles(spark):
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    needles = [make(32) for _ in range(30)] + ["a" * 20]
+    texts = [f"px:{rng.choice(needles)}:{make(10)}" for _ in range(60)] + [needles[0], needles[0][1:], "a" * 19, "b" + "a" * 25, needles[1] + needles[2], make(70)]
+    want = sorted((t, s, i) for t in set(texts) for i, s in enumerate(needles) if s in t)
+    assert pairs(spark, texts, needles) == want and len(want) > 40
+    kept = spark.createDataFrame([(make(46),) for _ in range(100)], "t string").select(F.size(contain.pieces(F.col("t"), [], 25)).alias("n"))
+    assert kept.agg(F.avg("n")).head()[0] < 8  # of 39 stretches
