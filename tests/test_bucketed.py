@@ -109,3 +109,18 @@ def test_stream_by_event_time(spark, table, tmp_path):
     assert spark.read.parquet(f"{staging}/superseded").count() == 9
     assert spark.read.parquet(f"{staging}/clock/upto=9").head().newest == dt.datetime(2026, 1, 10)
     assert all(spark.read.parquet(f"{staging}/clock/upto={n}").count() == 1 for n in range(10))
+
+
+def test_buckets_follow_the_rows_and_get_few_files(spark, tmp_path):
+    """A task of a merge has a bounded number of rows, and a folder one file a bucket."""
+    assert [bucketed.buckets_for(n) for n in (0, 4_000_000, 4_000_001, 200_000_000)] == [4, 4, 5, 200]
+    t = bucketed.Bucketed("t_many_buckets", str(tmp_path / "t"), slots=1, buckets=8, period="yyyy")
+    first = rows(spark, *[(i, d, 1.0, 5) for i in range(20) for d in range(0, 90, 3)]).repartition(6)
+    bucketed.open_table(spark, t, first.schema)
+    try:
+        for name in "ab":
+            bucketed.merge_into(spark, t, first.withColumn("ingested_at", F.expr(f"ingested_at + interval {ord(name)} hours")), NOW, str(tmp_path / name))
+            assert len([f for f in files(t) if "period=" in f]) == 8
+        assert len(content(spark, t)) == first.count()
+    finally:
+        spark.sql(f"DROP TABLE {t.name}")

@@ -537,7 +537,7 @@ def stream_late_by_event_time(spark, sf):
     rows = b.bars(spark, sf).select("instrument_id", "trade_date", "close_px", "ingested_at", F.lit("r").alias("source_record_id"), dates.event_ts_default(F.col("trade_date")).alias("event_ts"))
     first = rows.where("trade_date < date'1998-01-01'")
     newer = first.where("instrument_id % 2 = 0").withColumn("close_px", (F.col("close_px") + 1).cast("decimal(18,6)")).withColumn("ingested_at", F.expr("ingested_at + interval 1 day"))
-    table = bucketed.Bucketed(f"corrections_{tab[-32:]}", tab, slots=1, buckets=4, period="yyyy")
+    table = bucketed.Bucketed(f"corrections_{tab[-32:]}", tab, slots=1, buckets=bucketed.buckets_for(b.table(spark, sf, "lineitem").count()), period="yyyy")
     bucketed.open_table(spark, table, rows.drop("event_ts").schema)
     for n, batch in enumerate([first, newer.unionByName(rows.where("trade_date >= date'1998-01-01'"))]):
         batch.write.parquet(f"{src}/part={n}")
