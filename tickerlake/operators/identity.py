@@ -1,18 +1,20 @@
 """Point-in-time symbol resolution: exact, alias, ISIN, ticker and fuzzy.
 
-Each resolver works on the distinct (identifier, day) pairs of its input and joins
-the answer back, so repeated identifiers cost nothing and cannot skew a window.
+Each resolver turns the reference tables into stretches of days by symbol or text, in which the answer stays the
+same; rows meet them by an equi join, so that no window runs over rows and adaptive execution splits a hot key.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import itertools
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tickerlake import session
 from tickerlake.functions import dates, text
 from tickerlake.operators import timejoin
 
@@ -48,8 +50,8 @@ def _alias_spans(aliases: DataFrame, instruments: DataFrame) -> DataFrame:
 def resolve_alias_as_of(rows: DataFrame, instruments: DataFrame, exchanges: DataFrame, aliases: DataFrame) -> DataFrame:
     """Add instrument_id and state by alias windows alone (exactly one must be open)."""
     keyed = _keyed(rows)
-    hit = _alias_hits(keyed, instruments, exchanges, aliases)
-    return keyed.join(hit, ["_sym", "_ex", "as_of"], "left").withColumn(
+    open_now = timejoin.active_segments({"": _alias_symbol_spans(aliases, instruments, exchanges)}, ["_sym", "_ex"], "_from", "_to", "instrument_id")
+    return timejoin.at_segment(keyed, open_now, ["_sym", "_ex"], "as_of").withColumn(
         "state", F.when(F.col("n_active") == 1, "RESOLVED").otherwise("UNRESOLVED")
     ).drop("_sym", "_ex", "n_active")
 
@@ -64,52 +66,43 @@ def _alias_symbol_spans(aliases: DataFrame, instruments: DataFrame, exchanges: D
     )
 
 
-def _alias_hits(keyed: DataFrame, instruments: DataFrame, exchanges: DataFrame, aliases: DataFrame) -> DataFrame:
-    spans = _alias_symbol_spans(aliases, instruments, exchanges)
-    points = keyed.select("_sym", "_ex", "as_of").where("as_of is not null").distinct()
-    return timejoin.active_unique(points, spans, ["_sym", "_ex"], "as_of", "_from", "_to", "instrument_id")
-
-
 def resolve_symbol_as_of(rows: DataFrame, instruments: DataFrame, exchanges: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Add instrument_id and state for (symbol, exchange, as_of).
 
     Exactly one listed instrument wins; several are ambiguous; none falls back to
     the alias windows, of which again exactly one must be open.
     """
-    keyed = _keyed(rows)
-    points = keyed.select("_sym", "_ex", "as_of").where("as_of is not null").distinct()
     # listed symbols and aliases are two kinds of spans of one pass
     sides = {"": _symbol_spans(instruments, exchanges)}
     if aliases is not None:
         sides["_alias"] = _alias_symbol_spans(aliases, instruments, exchanges)
-    direct = timejoin.active_unique_of(points, sides, ["_sym", "_ex"], "as_of", "_from", "_to", "instrument_id")
+    spans = timejoin.active_segments(sides, ["_sym", "_ex"], "_from", "_to", "instrument_id")
     if aliases is None:
-        direct = direct.withColumn("instrument_id_alias", F.lit(None).cast("long")).withColumn("n_active_alias", F.lit(0))
-    answer = direct.select(
-        "_sym", "_ex", "as_of",
+        spans = spans.withColumn("instrument_id_alias", F.lit(None).cast("long")).withColumn("n_active_alias", F.lit(0))
+    answer = spans.select(
+        "_sym", "_ex", "_since", "_until",
         F.when(F.col("n_active") > 1, F.lit(None)).otherwise(F.coalesce("instrument_id", "instrument_id_alias")).alias("instrument_id"),
         F.when(F.col("n_active") == 1, "RESOLVED")
         .when(F.col("n_active") > 1, "AMBIGUOUS")
         .when(F.col("n_active_alias") == 1, "RESOLVED_ALIAS")
         .otherwise("UNRESOLVED").alias("state"),
     )
-    return keyed.join(answer, ["_sym", "_ex", "as_of"], "left").withColumn(
+    return timejoin.at_segment(_keyed(rows), answer, ["_sym", "_ex"], "as_of").withColumn(
         "state", F.coalesce("state", F.lit("UNRESOLVED"))
     ).drop("_sym", "_ex")
 
 
-def _isin_hits(points: DataFrame, companies: DataFrame, instruments: DataFrame) -> DataFrame:
-    """(_id, as_of) -> lowest listed instrument of the ISIN."""
+def _isin_segments(companies: DataFrame, instruments: DataFrame) -> DataFrame:
+    """(_id, _since, _until, instrument_id): the lowest listed instrument of an ISIN between two days on which its listings change."""
     spans = (
         _life(instruments.join(companies.select("company_id", "isin_primary"), "company_id"))
-        .where("isin_primary is not null")
-        .groupBy(F.upper("isin_primary").alias("_id"), "_from", "_to").agg(F.min("instrument_id").alias("instrument_id"))
-    )
-    asked = points.where(F.col("_id").rlike(text.ISIN_REGEX)).select("_id", "as_of").distinct()
-    return (
-        asked.join(spans, "_id").where("as_of between _from and _to")
-        .groupBy("_id", "as_of").agg(F.min("instrument_id").alias("instrument_id"))
+        .withColumn("_id", F.upper("isin_primary")).where(F.col("_id").rlike(text.ISIN_REGEX) & (F.col("_from") <= F.col("_to")))
+        .groupBy("_id", "_from", "_to").agg(F.min("instrument_id").alias("instrument_id"))
     )
+    closed = spans.where(F.col("_to") < F.lit(dates.OPEN_END).cast("date"))
+    edges = spans.select("_id", F.col("_from").alias("_since")).union(closed.select("_id", F.date_add("_to", 1))).distinct()
+    edges = edges.withColumn("_until", F.lead("_since").over(W.partitionBy("_id").orderBy("_since")))
+    return edges.join(spans, "_id").where("_since between _from and _to").groupBy("_id", "_since", "_until").agg(F.min("instrument_id").alias("instrument_id"))
 
 
 def _with_company(hits: DataFrame, instruments: DataFrame, companies: DataFrame) -> DataFrame:
@@ -120,8 +113,8 @@ def _with_company(hits: DataFrame, instruments: DataFrame, companies: DataFrame)
 def resolve_isin(rows: DataFrame, companies: DataFrame, instruments: DataFrame) -> DataFrame:
     """Add the ISIN match of (identifier, as_of): lowest instrument, confidence 100."""
     keyed = rows.withColumn("_id", text.normalize_identifier(F.col("identifier")))
-    hits = _with_company(_isin_hits(keyed, companies, instruments), instruments, companies)
-    return keyed.join(hits, ["_id", "as_of"], "left").withColumns(
+    listed = _with_company(_isin_segments(companies, instruments), instruments, companies)
+    return timejoin.at_segment(keyed, listed, ["_id"], "as_of").withColumns(
         {
             "rule_used": F.when(F.col("instrument_id").isNotNull(), "ISIN_EXACT"),
             "confidence_score": F.when(F.col("instrument_id").isNotNull(), 100),
@@ -129,27 +122,23 @@ def resolve_isin(rows: DataFrame, companies: DataFrame, instruments: DataFrame)
     ).drop("_id")
 
 
-def _ticker_hits(points: DataFrame, instruments: DataFrame, exchanges: DataFrame) -> DataFrame:
-    """(_id, _mic, as_of) -> unique listed instrument of the ticker."""
-    parts = text.split_symbol_exchange(F.col("_id"), F.nullif(F.col("_mic"), F.lit("")))
-    asked = (
-        points.select("_id", "_mic", "as_of").distinct().withColumn("_p", parts)
-        .withColumn("_sym", F.col("_p.symbol")).withColumn("_ex", F.coalesce("_p.exchange", F.lit(ANY_EXCHANGE))).drop("_p")
-    )
+def _ticker_segments(instruments: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """(_sym, _ex, _since, _until, instrument_id): while the ticker has one listed instrument, on an exchange or anywhere."""
     spans = _symbol_spans(instruments, exchanges)
     spans = spans.unionByName(spans.withColumn("_ex", F.lit(ANY_EXCHANGE)))
-    one = timejoin.active_unique(
-        asked.select("_sym", "_ex", "as_of").distinct(), spans, ["_sym", "_ex"], "as_of", "_from", "_to", "instrument_id"
-    ).where("n_active = 1").drop("n_active")
-    return asked.join(one, ["_sym", "_ex", "as_of"])
+    return timejoin.active_segments({"": spans}, ["_sym", "_ex"], "_from", "_to", "instrument_id").where("n_active = 1").drop("n_active")
+
+
+def _ticker_parts(keyed: DataFrame) -> DataFrame:
+    """Add the symbol and the exchange (or any) that an identifier asks for."""
+    parts = text.split_symbol_exchange(F.col("_id"), F.nullif(F.col("_mic"), F.lit("")))
+    return keyed.withColumn("_p", parts).withColumn("_sym", F.col("_p.symbol")).withColumn("_ex", F.coalesce("_p.exchange", F.lit(ANY_EXCHANGE))).drop("_p")
 
 
 def resolve_ticker_exact(rows: DataFrame, companies: DataFrame, instruments: DataFrame, exchanges: DataFrame) -> DataFrame:
     """Add the exact ticker match of (identifier, exchange_mic, as_of)."""
-    keyed = _asked(rows)
-    hits = _with_company(_ticker_hits(keyed, instruments, exchanges), instruments, companies)
-    hits = hits.withColumns(_ticker_columns()).drop("_sym", "_ex")
-    return keyed.join(hits, ["_id", "_mic", "as_of"], "left").drop("_id", "_mic")
+    listed = _with_company(_ticker_segments(instruments, exchanges), instruments, companies).withColumns(_ticker_columns())
+    return timejoin.at_segment(_ticker_parts(_asked(rows)), listed, ["_sym", "_ex"], "as_of").drop("_id", "_mic", "_sym", "_ex")
 
 
 def _ticker_columns() -> dict[str, Column]:
@@ -204,30 +193,33 @@ def _near_pairs(ids: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def best_match_rank(points: DataFrame, aliases: DataFrame, instruments: DataFrame) -> DataFrame:
-    """(_id, as_of, distance, n_best, alias_id) of the aliases open on the day that are nearest to each text: the
+def _nearest_segments(ids: DataFrame, aliases: DataFrame, instruments: DataFrame) -> DataFrame:
+    """(_id, _since, _until, distance, n_best, alias_id): between days on which an alias near the text opens or ends, the
     least distance, how many aliases have it, and the alias if just one has."""
     spans = _alias_spans(aliases, instruments).select(text.normalize_identifier(F.col("alias_symbol")).alias("_name"), "alias_id", "_from", "_to")
-    pairs = _near_pairs(points, spans)
-    near = points.select("_id", "as_of").where("as_of is not null").distinct().join(pairs, "_id")
-    open_now = timejoin.active_unique(near.select("_name", "as_of").distinct(), spans, ["_name"], "as_of", "_from", "_to", "alias_id").where("n_active > 0")
-    level = near.join(open_now, ["_name", "as_of"]).groupBy("_id", "as_of").agg(
-        F.min("distance").alias("distance"),
-        *[F.sum(F.when(F.col("distance") == d, F.col("n_active"))).alias(f"_n{d}") for d in range(MAX_DISTANCE + 1)],
-        *[F.max(F.when(F.col("distance") == d, F.col("alias_id"))).alias(f"_a{d}") for d in range(MAX_DISTANCE + 1)],
-    )
+    # aliases at each distance are a kind of spans of the text
+    near = _near_pairs(ids, spans).join(spans, "_name").withColumn("_kind", F.col("distance").cast("string"))
+    found = timejoin.segments_by_kind(near, [str(d) for d in range(MAX_DISTANCE + 1)], ["_id"], "_from", "_to", "alias_id")
+
+    def pick(of: Callable[[int], Column]) -> Column:
+        return F.coalesce(*[F.when(F.col(f"n_active{d}") > 0, of(d)) for d in range(MAX_DISTANCE + 1)])
 
-    def pick(prefix: str) -> Column:
-        return F.coalesce(*[F.when(F.col("distance") == d, F.col(f"{prefix}{d}")) for d in range(MAX_DISTANCE + 1)])
+    n_best = pick(lambda d: F.col(f"n_active{d}"))
+    alias = reduce(lambda rest, d: F.when(F.col(f"n_active{d}") > 0, F.col(f"alias_id{d}")).otherwise(rest), reversed(range(MAX_DISTANCE + 1)), F.lit(None))
+    return found.select("_id", "_since", "_until", pick(F.lit).alias("distance"), n_best.alias("n_best"), alias.alias("alias_id"))
 
-    n_best = pick("_n")
-    return level.select("_id", "as_of", "distance", n_best.alias("n_best"), F.when(n_best == 1, pick("_a")).alias("alias_id"))
+
+def best_match_rank(points: DataFrame, aliases: DataFrame, instruments: DataFrame) -> DataFrame:
+    """(_id, as_of, distance, n_best, alias_id) of the aliases open on the day that are nearest to each text: the
+    least distance, how many aliases have it, and the alias if just one has."""
+    asked = points.select("_id", "as_of").where("as_of is not null").distinct()
+    return timejoin.at_segment(asked, _nearest_segments(points, aliases, instruments), ["_id"], "as_of").where("n_best > 0")
 
 
 def _fuzzy_columns(hits: DataFrame, aliases: DataFrame) -> DataFrame:
     detail = aliases.select("alias_id", "instrument_id", F.col("alias_symbol").alias("matched_input"), "source_system")
     return hits.join(detail, "alias_id", "left").select(
-        "_id", "as_of", "instrument_id", "matched_input", "n_best", "distance",
+        "_id", "_since", "_until", "instrument_id", "matched_input", "n_best", "distance",
         F.concat(F.lit("ref_symbol_alias.source_system="), F.col("source_system")).alias("source_provenance"),
         F.when(F.col("n_best") == 1, F.when(F.col("distance") == 0, 90).otherwise(F.greatest(F.lit(70), 90 - F.col("distance") * 10))).alias("confidence_score"),
     )
@@ -236,42 +228,46 @@ def _fuzzy_columns(hits: DataFrame, aliases: DataFrame) -> DataFrame:
 def resolve_fuzzy_alias(rows: DataFrame, aliases: DataFrame, instruments: DataFrame, companies: DataFrame) -> DataFrame:
     """Add the nearest alias within distance two; a tie at the best is ambiguous."""
     keyed = rows.withColumn("_id", text.normalize_identifier(F.col("identifier")))
-    hits = _with_company(_fuzzy_columns(best_match_rank(keyed, aliases, instruments), aliases), instruments, companies)
-    return keyed.join(hits, ["_id", "as_of"], "left").withColumn(
+    nearest = _with_company(_fuzzy_columns(_nearest_segments(keyed, aliases, instruments), aliases), instruments, companies)
+    return timejoin.at_segment(keyed, nearest, ["_id"], "as_of").withColumn(
         "state",
         F.when(F.col("n_best") == 1, "MATCHED").when(F.col("n_best") > 1, "AMBIGUOUS").otherwise("UNRESOLVED"),
     ).drop("_id", "n_best")
 
 
 def resolve_cascade(rows: DataFrame, companies: DataFrame, instruments: DataFrame, exchanges: DataFrame, aliases: DataFrame) -> DataFrame:
-    """ISIN, then ticker, then fuzzy alias for (identifier, exchange_mic, as_of)."""
+    """ISIN, then ticker, then fuzzy alias for (identifier, exchange_mic, as_of).
+
+    Each resolver is a table of stretches of days by its key; rows meet them one after the other, and those by the
+    identifier share an exchange.  What is looked for by distance is each distinct text once.
+    """
+
+    def named(side: DataFrame, prefix: str) -> DataFrame:
+        keys = ["_id", "_sym", "_ex", "_since", "_until", "n_best"]
+        return side.select(*[F.col(c).alias(c if c in keys else f"_{prefix}_{c}") for c in side.columns])
+
     asked = _asked(rows)
-    # distinct questions, staged once for the three resolvers
-    points = session.stage(asked.select("_id", "_mic", "as_of").distinct(), "identifiers")
-    isin = _isin_hits(points, companies, instruments).select("_id", "as_of", F.col("instrument_id").alias("_i1"))
-    ticker = _ticker_hits(points, instruments, exchanges).withColumns(_ticker_columns()).withColumn("_i2", F.col("instrument_id"))
-    ticker = ticker.select("_id", "_mic", "as_of", "_i2", *[F.col(c).alias(f"_t_{c}") for c in ("confidence_score", "matched_input", "source_provenance")])
-    exact = points.join(isin, ["_id", "as_of"], "left").join(ticker, ["_id", "_mic", "as_of"], "left")
-    rest = exact.where("_i1 is null and _i2 is null").select("_id", "as_of").distinct()
-    fuzzy = _fuzzy_columns(best_match_rank(rest, aliases, instruments), aliases)
-    fuzzy = fuzzy.select("_id", "as_of", "n_best", F.col("instrument_id").alias("_i3"),
-                         *[F.col(c).alias(f"_f_{c}") for c in ("confidence_score", "matched_input", "source_provenance")])
-    full = exact.join(fuzzy, ["_id", "as_of"], "left")
-    first, second, third = F.col("_i1").isNotNull(), F.col("_i2").isNotNull(), F.col("n_best") == 1
-
-    def choose(a: Column, b: str, c: str) -> Column:
-        return F.when(first, a).when(second, F.col(b)).when(third, F.col(c))
-
-    answer = full.select(
-        "_id", "_mic", "as_of",
-        choose(F.col("_i1"), "_i2", "_i3").alias("instrument_id"),
+    ticker = _with_company(_ticker_segments(instruments, exchanges), instruments, companies).withColumns(_ticker_columns())
+    isin = _with_company(_isin_segments(companies, instruments), instruments, companies)
+    nearest = _with_company(_fuzzy_columns(_nearest_segments(asked, aliases, instruments), aliases), instruments, companies)
+    full = timejoin.at_segment(_ticker_parts(asked), named(ticker, "t"), ["_sym", "_ex"], "as_of")
+    full = timejoin.at_segment(full, named(isin, "i"), ["_id"], "as_of")
+    full = timejoin.at_segment(full, named(nearest.drop("distance"), "f"), ["_id"], "as_of")
+    first, second, third = F.col("_i_instrument_id").isNotNull(), F.col("_t_instrument_id").isNotNull(), F.col("n_best") == 1
+
+    def choose(a: Column, name: str) -> Column:
+        return F.when(first, a).when(second, F.col(f"_t_{name}")).when(third, F.col(f"_f_{name}")).alias(name)
+
+    return full.select(
+        *rows.columns,
+        choose(F.col("_i_instrument_id"), "instrument_id"),
         F.when(first, "ISIN_EXACT").when(second, "TICKER_EXACT").when(third, "ALIAS_FUZZY").alias("rule_used"),
-        choose(F.lit(100), "_t_confidence_score", "_f_confidence_score").alias("confidence_score"),
-        choose(F.col("_id"), "_t_matched_input", "_f_matched_input").alias("matched_input"),
-        choose(F.lit("ref_company.isin_primary"), "_t_source_provenance", "_f_source_provenance").alias("source_provenance"),
+        choose(F.lit(100), "confidence_score"),
+        choose(F.col("_id"), "matched_input"),
+        choose(F.lit("ref_company.isin_primary"), "source_provenance"),
         F.when(first | second | third, "MATCHED").when(F.col("n_best") > 1, "AMBIGUOUS").otherwise("UNRESOLVED").alias("state"),
+        choose(F.col("_i_company_uuid"), "company_uuid"),
     )
-    return asked.join(_with_company(answer, instruments, companies), ["_id", "_mic", "as_of"], "left").drop("_id", "_mic")
 
 
 def alias_conflicts(aliases: DataFrame, incoming: DataFrame) -> DataFrame:
