@@ -47,6 +47,24 @@ class Walk:
             self.best, self.pending = rank, close
         return ok
 
+    def rows(self, *columns: list) -> list[bool]:
+        """``row`` for each of many rows, given by columns."""
+        reference, today, best, pending = self.reference, self.day, self.best, self.pending
+        out = []
+        for day, close, adj, arrived, first_seen, stored in zip(*columns):
+            if day != today:
+                if best is not None:
+                    reference = pending
+                today, best = day, None
+            ok = stored or reference is None or reference <= 0 or LOW <= adj / reference <= HIGH
+            if ok:
+                rank = (arrived, stored, -first_seen)
+                if best is None or rank > best:
+                    best, pending = rank, close
+            out.append(ok)
+        self.reference, self.day, self.best, self.pending = reference, today, best, pending
+        return out
+
     def behind(self) -> float | None:
         """The reference behind the rows so far."""
         return self.reference if self.best is None else self.pending
@@ -155,6 +173,13 @@ def references(dealt: DataFrame) -> dict[tuple, float | None]:
     return out
 
 
+def plain(column: pa.Array) -> list:
+    """The values of a column, days as numbers (their objects take longer to make than a row to walk)."""
+    if pa.types.is_date32(column.type):
+        column = column.cast(pa.int32())
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def walked(versions: DataFrame, rows: int | None = None) -> DataFrame:
     """Verdicts (OUT) of the versions that are not stored.
 
@@ -169,11 +194,11 @@ def walked(versions: DataFrame, rows: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, walk = None, Walk()
         for batch in batches:
-            verdicts = []
-            for own_key, *rest in zip(zip(*(c.to_pylist() for c in batch.columns[:2])), *(c.to_pylist() for c in batch.columns[2:8])):
-                if own_key != key:
-                    key, walk = own_key, Walk(begin.get(own_key))
-                verdicts.append(walk.row(*rest))
+            verdicts, columns = [], [plain(c) for c in batch.columns[2:8]]
+            for a, b, own in recursion.stretches(batch, 2):
+                if own != key:
+                    key, walk = own, Walk(begin.get(own))
+                verdicts += walk.rows(*(c[a:b] for c in columns))
             new = pa.compute.invert(batch.column(7))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 2, 3, 4)), pa.array(verdicts, pa.bool_())], ["instrument_id", "trade_date", "close", "adj", "breaker_ok"]).filter(new)
 

@@ -151,13 +151,7 @@ def _feed_rows(spark, sf):
     from tickerlake.operators import identity
 
     raw = b.raw_feed(spark, sf, since="0001-01-01")
-    day = F.when(F.col("timestamp").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("timestamp").try_cast("date"))
-    typed = raw.select(
-        "symbol", "exchange", "currency_code", "source_record_id", day.alias("trade_date"),
-        *[numeric.parse_decimal(F.col(n)).alias(f"{n}_px") for n in ("open", "high", "low", "close")],
-        numeric.parse_decimal(F.col("volume")).alias("volume"), numeric.parse_decimal(F.col("turnover")).alias("turnover"),
-        prices.bad_number(raw).alias("bad_number"),
-    ).withColumn("event_ts", dates.event_ts_default(F.col("trade_date"))).withColumn("as_of", F.col("trade_date"))
+    typed = prices.typed_feed(raw, ["symbol", "exchange", "currency_code", "source_record_id"]).withColumn("as_of", F.col("trade_date"))
     found = identity.resolve_symbol_as_of(typed, b.instruments(spark, sf), b.exchanges(spark, sf), b.aliases(spark, sf))
     return prices.fx_convert(found, b.fx_rates(spark, sf), ["open_px", "high_px", "low_px", "close_px"])
 
