@@ -5,7 +5,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tickerlake.functions import dates, numeric
 from tickerlake.operators import indicators, merge, prices, timejoin
 from tickerlake.plans import bindings as b
 from tickerlake.plans.registry import register
