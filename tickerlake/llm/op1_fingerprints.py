@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -231,10 +232,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 # --- near-duplicates by banding and verification ------------------------------------------------
 
-#: Bands, bits sampled for each, likeness of a link, largest bucket whose pairs are listed, rows of a part of larger ones.
+#: Bands, bits sampled for each, likeness of a link, largest group that is linked in one go, rows of a part of larger ones.
 BANDS, BAND_BITS = 48, 20
 THRESHOLD = 0.8
 LARGE, PART = 64, 512
+#: Largest bucket that is split by two words of its members, pairs compared at once, and how likely the words may hide a link.
+MANY, AT_ONCE, MISSED = 1024, 1 << 21, 1e-9
 WORDS64 = BITS // 64
 
 
@@ -277,6 +280,183 @@ def most_apart(threshold: float) -> int:
     return int((1 - threshold) / 2 * BITS)
 
 
+def most_in_words(most: int, bits: int = 128) -> int:
+    """In how many of ``bits`` bits two fingerprints may differ that differ in ``most`` of all bits, but for a chance of MISSED."""
+    beyond = 0.0
+    for n in range(bits, -1, -1):
+        beyond += math.comb(most, n) * math.comb(BITS - most, bits - n) / math.comb(BITS, bits)
+        if beyond > MISSED:
+            return n
+    return 0
+
+
+def groups(words: list[np.ndarray], most: int) -> np.ndarray:
+    """(bucket, member): the first member of the bucket that is reached over words at most ``most`` bits apart together."""
+    near = sum(np.bitwise_count(w[:, :, None] ^ w[:, None, :]) for w in words) <= most
+    size = near.shape[1]
+    found = np.broadcast_to(np.arange(size), near.shape[:2])
+    while True:
+        least = np.where(near, found[:, None, :], size).min(axis=2)
+        least = np.take_along_axis(least, least, axis=1)
+        if np.array_equal(least, found):
+            return found
+        found = least
+
+
+def met(buckets: DataFrame, most: int) -> DataFrame:
+    """(bucket, leader, n, node) of the members of (bucket, node, one, other) that may be near another one of their bucket.
+
+    A bucket's members fall into groups by two words of their fingerprints, which hold apart those that share a band by
+    chance; ``leader`` is the smallest node of a group and n its members.  A bucket of more than MANY members is a
+    group as it is, with MANY + 1 for n.
+    """
+    limit = most_in_words(most)
+
+    def out(bucket: np.ndarray, leader: np.ndarray, n: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (bucket, leader, n, node)], ["bucket", "leader", "n", "node"])
+
+    def split(bucket: np.ndarray, node: np.ndarray, *words: np.ndarray):
+        """The groups of whole buckets, those of one size together."""
+        _, first, sizes = np.unique(bucket, return_index=True, return_counts=True)
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            starts, step = first[sizes == size], max(1, AT_ONCE // size**2)
+            for a in range(0, len(starts), step):
+                at = starts[a : a + step, None] + np.arange(size)
+                if size > MANY:
+                    yield out(bucket[at].ravel(), np.repeat(node[at[:, 0]], size), np.full(at.size, MANY + 1), node[at].ravel())
+                    continue
+                found = groups([w[at].view(np.uint64) for w in words], limit)
+                n = (found[:, :, None] == found[:, None, :]).sum(axis=2)
+                kept = n > 1
+                yield out(bucket[at][kept], np.take_along_axis(node[at], found, axis=1)[kept], n[kept], node[at][kept])
+
+    def run(batches):
+        held, wide = [np.empty(0, dtype=np.int64)] * 4, None  # the bucket that may go on; (bucket, leader) of one above MANY
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            if wide is not None:
+                own = np.searchsorted(rows[0], wide[0], side="right")
+                if own:
+                    yield out(rows[0][:own], np.full(own, wide[1]), np.full(own, MANY + 1), rows[1][:own])
+                rows = [r[own:] for r in rows]
+            if len(rows[0]):
+                last = np.searchsorted(rows[0], rows[0][-1])
+                wide = None
+                if last:
+                    yield from split(*(r[:last] for r in rows))
+                rows = [r[last:] for r in rows]
+                if len(rows[0]) > MANY:
+                    wide = rows[0][0], rows[1][0]
+                    yield out(rows[0], np.full(len(rows[0]), wide[1]), np.full(len(rows[0]), MANY + 1), rows[1])
+                    rows = [r[:0] for r in rows]
+            held = rows
+        if len(held[0]):
+            yield from split(*held)
+
+    dealt = buckets.select("bucket", "node", "one", "other").repartition("bucket").sortWithinPartitions("bucket", "node")
+    return dealt.mapInArrow(run, "bucket long, leader long, n long, node long")
+
+
+def trees(nodes: np.ndarray, words: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links that connect whatever the verified pairs of these fingerprints connect, fewer than there are nodes."""
+    root = np.arange(len(nodes))
+    out = []
+    for i in range(len(nodes)):
+        near = np.flatnonzero(np.bitwise_count(words[: i + 1] ^ words[i]).sum(axis=1) <= most)
+        groups = np.unique(root[near])
+        out += [(nodes[g], nodes[i]) for g in groups if g != i]
+        root[np.isin(root, groups)] = i
+    return out
+
+
+def forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+    """``trees`` of a part."""
+    nodes = pdf["node"].to_numpy()
+    words = np.array(pdf["bits"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(nodes), WORDS64)
+    return pd.DataFrame(trees(nodes, words, most), columns=["a", "b"])
+
+
+def most_in_words(most: int, bits: int = 128) -> int:
+    """In how many of ``bits`` bits two fingerprints may differ that differ in ``most`` of all bits, but for a chance of MISSED."""
+    beyond = 0.0
+    for n in range(bits, -1, -1):
+        beyond += math.comb(most, n) * math.comb(BITS - most, bits - n) / math.comb(BITS, bits)
+        if beyond > MISSED:
+            return n
+    return 0
+
+
+def groups(words: list[np.ndarray], most: int) -> np.ndarray:
+    """(bucket, member): the first member of the bucket that is reached over words at most ``most`` bits apart together."""
+    near = sum(np.bitwise_count(w[:, :, None] ^ w[:, None, :]) for w in words) <= most
+    size = near.shape[1]
+    found = np.broadcast_to(np.arange(size), near.shape[:2])
+    while True:
+        least = np.where(near, found[:, None, :], size).min(axis=2)
+        least = np.take_along_axis(least, least, axis=1)
+        if np.array_equal(least, found):
+            return found
+        found = least
+
+
+def met(buckets: DataFrame, most: int) -> DataFrame:
+    """(bucket, leader, n, node) of the members of (bucket, node, one, other) that may be near another one of their bucket.
+
+    A bucket's members fall into groups by two words of their fingerprints, which hold apart those that share a band by
+    chance; ``leader`` is the smallest node of a group and n its members.  A bucket of more than MANY members is a
+    group as it is, with MANY + 1 for n.
+    """
+    limit = most_in_words(most)
+
+    def out(bucket: np.ndarray, leader: np.ndarray, n: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (bucket, leader, n, node)], ["bucket", "leader", "n", "node"])
+
+    def split(bucket: np.ndarray, node: np.ndarray, *words: np.ndarray):
+        """The groups of whole buckets, those of one size together."""
+        _, first, sizes = np.unique(bucket, return_index=True, return_counts=True)
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            starts, step = first[sizes == size], max(1, AT_ONCE // size**2)
+            for a in range(0, len(starts), step):
+                at = starts[a : a + step, None] + np.arange(size)
+                if size > MANY:
+                    yield out(bucket[at].ravel(), np.repeat(node[at[:, 0]], size), np.full(at.size, MANY + 1), node[at].ravel())
+                    continue
+                found = groups([w[at].view(np.uint64) for w in words], limit)
+                n = (found[:, :, None] == found[:, None, :]).sum(axis=2)
+                kept = n > 1
+                yield out(bucket[at][kept], np.take_along_axis(node[at], found, axis=1)[kept], n[kept], node[at][kept])
+
+    def run(batches):
+        held, wide = [np.empty(0, dtype=np.int64)] * 4, None  # the bucket that may go on; (bucket, leader) of one above MANY
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            if wide is not None:
+                own = np.searchsorted(rows[0], wide[0], side="right")
+                if own:
+                    yield out(rows[0][:own], np.full(own, wide[1]), np.full(own, MANY + 1), rows[1][:own])
+                rows = [r[own:] for r in rows]
+            if len(rows[0]):
+                last = np.searchsorted(rows[0], rows[0][-1])
+                wide = None
+                if last:
+                    yield from split(*(r[:last] for r in rows))
+                rows = [r[last:] for r in rows]
+                if len(rows[0]) > MANY:
+                    wide = rows[0][0], rows[1][0]
+                    yield out(rows[0], np.full(len(rows[0]), wide[1]), np.full(len(rows[0]), MANY + 1), rows[1])
+                    rows = [r[:0] for r in rows]
+            held = rows
+        if len(held[0]):
+            yield from split(*held)
+
+    dealt = buckets.select("bucket", "node", "one", "other").repartition("bucket").sortWithinPartitions("bucket", "node")
+    return dealt.mapInArrow(run, "bucket long, leader long, n long, node long")
+
+
 def forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     """Links that connect whatever a part's verified pairs connect, fewer than there are rows."""
     nodes = pdf["node"].to_numpy()
@@ -304,39 +484,74 @@ def needed(links: DataFrame) -> DataFrame:
     many links as it has members.
     """
     one = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    told = session.stage(one, "links").withColumn("c", F.min("a").over(Window.partitionBy("b")))  # neighbours within buckets of LARGE, and leaders
+    told = session.stage(one, "links").withColumn("c", F.min("a").over(Window.partitionBy("b")))  # neighbours within groups of LARGE, and leaders
     first, others = told.where("a = c").select("a", "b"), told.where("a > c")
     return first.unionByName(others.join(told.select(F.col("a").alias("c"), F.col("b").alias("a")), ["c", "a"], "left_anti").select("a", "b"))
 
 
+def linked(members: DataFrame, most: int) -> DataFrame:
+    """(a, b): ``trees`` of every group of (bucket, leader, node, bits), fewer than it has members; no pairs are listed.
+
+    Groups stream through a task in order.  Mostly all members are near the smallest node, which takes no more than that look.
+    """
+
+    def links(bucket: np.ndarray, leader: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (np.diff(bucket) != 0) | (np.diff(leader) != 0))
+        first, own = np.flatnonzero(new), np.cumsum(new) - 1
+        size = np.diff(first, append=len(node))
+        near = np.bitwise_count(words ^ words[first][own]).sum(axis=1) <= most
+        star = np.logical_and.reduceat(near, first)
+        kept = star[own] & ~new
+        more = [x for g in np.flatnonzero(~star & (size > 2)).tolist() for x in trees(*(c[first[g] : first[g] + size[g]] for c in (node, words)), most)]
+        a, b = np.array(more, dtype=np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.append(node[first][own][kept], a)), pa.array(np.append(node[kept], b))], ["a", "b"])
+
+    def run(batches):
+        held = None  # the group that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, leader, node = (c.to_numpy() for c in batch.columns[:3])
+            rows = [bucket, leader, node, batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS64)]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            last = np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]))[0]
+            if last:
+                yield links(*(x[:last] for x in rows))
+            held = [x[last:] for x in rows]
+        if held is not None:
+            yield links(*held)
+
+    dealt = members.select("bucket", "leader", "node", "bits").repartition("bucket", "leader").sortWithinPartitions("bucket", "leader", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) of distinct fingerprints (node long, bits, bands) that share a band and are verified on all bits.
 
-    In a bucket of more than LARGE members those near its smallest node are linked with it, which connects whatever
-    pairs they form.  Only the others, in parts of about PART, meet all members, each two parts in a task of their
-    own that returns enough links to connect its members, so that no pair is lost and none but links are written.
+    A bucket is moved once, with two words of each member, and split by them (``met``); bits are brought to the members that
+    are left.  A group of up to LARGE members is linked in one go.  In a larger one those near its smallest node are linked with it, which connects
+    whatever pairs they form.  Only the others, in parts of about PART, meet all members, each two parts in a task of
+    their own that returns enough links to connect its members, so that no pair is lost and none but links are written.
     """
-    most = most_apart(threshold)
-    keyed = distinct.select("node", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    shared = keyed.join(sizes, ["band", "key"]).join(distinct.select("node", "bits"), "node")
-    shared = session.stage(shared, "bands")
-    small = shared.where(F.col("n") <= LARGE)
-    a, b = (small.select("band", "key", F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    pairs = a.join(b, ["band", "key"]).where((F.col("a") < F.col("b")) & (apart("bits_a", "bits_b") <= most)).select("a", "b")
+    most, group = most_apart(threshold), ["bucket", "leader"]
+    keyed = distinct.select("node", "bits", F.posexplode("bands").alias("band", "key"))
+    one, other = (F.get("bits", (F.col("band") + k) % WORDS64) for k in (0, 3))  # the bands take turns, so that no link hangs on two words alone
+    shared = met(keyed.select((F.col("band") * F.lit(1 << BAND_BITS).cast("long") + F.col("key")).alias("bucket"), "node", one.alias("one"), other.alias("other")), most)
+    shared = session.stage(shared.join(distinct.select("node", "bits"), "node"), "bands")
+    small = linked(shared.where(F.col("n") <= LARGE), most)
     leaders = distinct.select(F.col("node").alias("leader"), F.col("bits").alias("leading"))
     large = shared.where(F.col("n") > LARGE).join(leaders, "leader")
-    large = session.stage(large.select("band", "key", "n", "leader", "node", "bits", (apart("bits", "leading") <= most).alias("near")), "large")
+    large = session.stage(large.select(*group, "node", "bits", (apart("bits", "leading") <= most).alias("near")), "large")
     stars = large.where("near and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    others = large.where("not near").groupBy("band", "key").agg(F.count("*").alias("others"))
-    left = large.join(others, ["band", "key"])
+    sizes = large.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("others")).where("others > 0")
+    left = large.join(sizes, group)
     all_parts, other_parts = (F.ceil(F.col(x) / PART).cast("int") for x in ("n", "others"))
-    own = F.xxhash64("node", "band")
+    own = F.xxhash64("node", "bucket")
     one_side = left.where("not near").withColumn("i", F.pmod(own, other_parts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), all_parts - 1)))
     other_side = left.withColumn("j", F.pmod(own, all_parts).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), other_parts - 1)))
-    met = one_side.select("band", "key", "i", "j", "node", "bits").unionByName(other_side.select("band", "key", "i", "j", "node", "bits"))
-    rest = met.groupBy("band", "key", "i", "j").applyInPandas(lambda pdf: forest(pdf.drop_duplicates("node"), most), "a long, b long")
-    return needed(pairs.unionByName(stars).unionByName(rest))
+    both = one_side.select(*group, "i", "j", "node", "bits").unionByName(other_side.select(*group, "i", "j", "node", "bits"))
+    rest = both.groupBy(*group, "i", "j").applyInPandas(lambda pdf: forest(pdf.drop_duplicates("node"), most), "a long, b long")
+    return needed(small.unionByName(stars).unionByName(rest))
 
 
 def classes_of(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
