@@ -129,3 +129,25 @@ def test_order_statistics_of_values_in_one_bin(spark):
     df = spark.createDataFrame([(1, v) for v in values] + [(2, 5.0)] * 3 + [(3, None)], "g int, v double")
     got = {r.g: r.median for r in orderstats.median_exact(df, ["g"], "v").collect()}
     assert got == {1: sorted(values)[len(values) // 2 - 1] / 2 + sorted(values)[len(values) // 2] / 2, 2: 5.0}
+
+
+def test_corrections_make_their_bars_once(spark, tmp_path, monkeypatch):
+    """The second delivery corrects the first as it was written; bars were made three times."""
+    from tickerlake.plans import bindings, on_files
+
+    made = tmp_path / "made"
+
+    def mark(batches):
+        with open(made, "a") as f:
+            f.write("x")
+        yield from batches
+
+    bars = spark.range(0, 40, 1, 1).selectExpr(
+        "id % 5 as instrument_id", "date_add(date'1995-12-20', cast(id as int)) as trade_date", "cast(10 + id as decimal(18,6)) as close_px", "timestamp'2001-07-01 12:00:00' as ingested_at")
+    monkeypatch.setattr(bindings, "bars", lambda *_: bars.mapInArrow(mark, bars.schema))
+    rows = on_files.stream_late(spark, "").collect()
+    assert made.read_text() == "x"
+    assert {(r.instrument_id, str(r.trade_date), int(r.close_px), r.what) for r in rows} == {
+        (k % 5, str(d), int(10 + k + more), what)
+        for k in range(40) for d in [D(1995, 12, 20) + dt.timedelta(k)]
+        for more, what in ([((k % 5 + 1) % 2, "stored")] if d >= D(1996, 1, 1) else [(0, "0 event_ts_stale"), (1 if k % 5 % 2 == 0 else 7, "1 event_ts_stale")])}

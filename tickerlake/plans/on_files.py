@@ -514,9 +514,13 @@ FROM bars, range(2) r(n) WHERE NOT ({_TAKEN})""")
 def stream_late(spark, sf):
     src, tab, stage, cp = (work_dir(spark, x) for x in ("late", "late-table", "late-stage", "late-cp"))
     rows = b.bars(spark, sf).select("instrument_id", "trade_date", "close_px", "ingested_at", F.lit("r").alias("source_record_id"), dates.event_ts_default(F.col("trade_date")).alias("event_ts"))
-    newer = rows.where("instrument_id % 2 = 0").withColumn("close_px", (F.col("close_px") + 1).cast("decimal(18,6)")).withColumn("ingested_at", F.expr("ingested_at + interval 1 day"))
-    older = rows.where("instrument_id % 2 = 1").withColumn("close_px", (F.col("close_px") + 7).cast("decimal(18,6)"))
-    for n, batch in enumerate([rows, newer.unionByName(older)]):
+    for n in range(2):
+        if n == 0:
+            batch = rows
+        else:  # corrections of what was delivered, read as it was written: bars are made once
+            newer, px = F.col("instrument_id") % 2 == 0, F.col("close_px") + F.when(F.col("instrument_id") % 2 == 0, 1).otherwise(7)
+            taken = F.when(newer, F.expr("ingested_at + interval 1 day")).otherwise(F.col("ingested_at"))
+            batch = spark.read.schema(rows.schema).parquet(f"{src}/part=0").withColumns({"close_px": px.cast("decimal(18,6)"), "ingested_at": taken})
         batch.write.parquet(f"{src}/part={n}")
         # a window of 1436 weekdays reaches back to 1996-01-01
         ingest.stream_late_corrections(spark.readStream.schema(rows.schema).parquet(f"{src}/*"), tab, stage, cp, LATE_AS_OF, 1435).awaitTermination()
