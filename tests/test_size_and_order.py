@@ -151,3 +151,20 @@ def test_corrections_make_their_bars_once(spark, tmp_path, monkeypatch):
         (k % 5, str(d), int(10 + k + more), what)
         for k in range(40) for d in [D(1995, 12, 20) + dt.timedelta(k)]
         for more, what in ([((k % 5 + 1) % 2, "stored")] if d >= D(1996, 1, 1) else [(0, "0 event_ts_stale"), (1 if k % 5 % 2 == 0 else 7, "1 event_ts_stale")])}
+
+
+def test_bars_are_dealt_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    """A task of the adjustment sorted more rows the more there were."""
+    from tickerlake.plans import bindings
+
+    spark.range(100).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert bindings.parts(spark, str(tmp_path)) == 8
+    monkeypatch.setattr(bindings, "PART_ROWS", 9)
+    assert bindings.parts(spark, str(tmp_path)) == 12
+    px = spark.createDataFrame([(i, D(2000, 1, d), Decimal(d)) for i in range(30) for d in (1, 2, 3)], "instrument_id long, trade_date date, close_px decimal(18,6)")
+    acts = spark.createDataFrame([(i, D(2000, 1, 3), "SPLIT", None, 2, 1) for i in range(0, 30, 2)], "instrument_id long, ex_date date, action_type string, action_value double, action_ratio_num int, action_ratio_den int")
+    dealt, plain = prices.adjusted_close(px, acts, parts=12), prices.adjusted_close(px, acts)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert ", 12), REPARTITION_BY_NUM" in plan
+    assert dealt.rdd.getNumPartitions() == 12
+    assert sorted(dealt.collect()) == sorted(plain.collect())

@@ -23,7 +23,7 @@ m AS (SELECT *, count(*) OVER w50 AS n50, avg(CAST(adj_close_px AS DOUBLE)) OVER
 SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, CAST(adj_close_px AS DOUBLE) AS close_px,
   CASE WHEN n50 = 50 THEN round(a50, 9) END AS sma_50 FROM m""")
 def flagship(spark, sf):
-    bars = prices.adjusted_close(b.bars(spark, sf), b.actions(spark, sf))
+    bars = prices.adjusted_close(b.bars(spark, sf), b.actions(spark, sf), parts=b.parts(spark, sf))
     inside = prices.price_history_window(bars, b.instruments(spark, sf), D(1995, 2, 1), D(2001, 9, 30), D(2001, 12, 31))
     out = prices.adjusted_prices(inside)
     w = W.partitionBy("instrument_id").orderBy("trade_date")
@@ -74,7 +74,7 @@ def adjusted_close(spark, sf):
     asks = b.ticks(spark, sf).select(
         F.expr("instrument_id + case when l_orderkey % 50 = 0 then 1000000000 else 0 end").alias("instrument_id"),
         F.expr("date_add(trade_date, cast(l_orderkey % 2 as int))").alias("as_of_date")).distinct()
-    return prices.adjusted_close_requests(asks, b.bars(spark, sf), b.actions(spark, sf), b.instruments(spark, sf)).select(
+    return prices.adjusted_close_requests(asks, b.bars(spark, sf), b.actions(spark, sf), b.instruments(spark, sf), b.parts(spark, sf)).select(
         "instrument_id", "as_of_date", "error", "adj_close_px")
 
 
@@ -93,7 +93,7 @@ _RATIO = "CAST(adj_close_px AS DOUBLE) / CAST(close_px AS DOUBLE)"
 SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, CAST(adj_close_px AS DOUBLE) AS close_px,
   {half_even("open_px", _RATIO)} AS open_px, {half_even("high_px", _RATIO)} AS high_px, {half_even("low_px", _RATIO)} AS low_px FROM adjusted""")
 def adjusted_prices(spark, sf):
-    p = prices.adjusted_prices(prices.adjusted_close(b.bars(spark, sf), b.actions(spark, sf)))
+    p = prices.adjusted_prices(prices.adjusted_close(b.bars(spark, sf), b.actions(spark, sf), parts=b.parts(spark, sf)))
     return p.select("instrument_id", "trade_date", "close_px", "open_px", "high_px", "low_px")
 
 
@@ -101,7 +101,7 @@ def adjusted_prices(spark, sf):
 SELECT instrument_id, CAST(trade_date AS VARCHAR) AS date, CAST(open_px AS DOUBLE) AS open, CAST(high_px AS DOUBLE) AS high, CAST(low_px AS DOUBLE) AS low,
   CAST(adj_close_px AS DOUBLE) AS close, volume FROM adjusted""")
 def price_frame(spark, sf):
-    return prices.price_frame_close(prices.adjusted_prices(prices.adjusted_close(b.bars(spark, sf), b.actions(spark, sf)), adjusted=False))
+    return prices.price_frame_close(prices.adjusted_prices(prices.adjusted_close(b.bars(spark, sf), b.actions(spark, sf), parts=b.parts(spark, sf)), adjusted=False))
 
 
 @register("fx_convert", """
@@ -181,7 +181,7 @@ judged AS (SELECT pos.*, CASE WHEN p = 1 THEN ok1 ELSE ok2 END AS ok FROM pos JO
 @register("sequential_breaker", WALK.format(pre="", cand="SELECT instrument_id, trade_date, CAST(close_px AS DOUBLE) AS close, CAST(adj_close_px AS DOUBLE) AS adj, false AS stored, '' AS source_record_id FROM adjusted") + """
 SELECT instrument_id, CAST(trade_date AS VARCHAR) AS trade_date, ok AS breaker_ok FROM judged""")
 def sequential_breaker(spark, sf):
-    rows = prices.adjusted_close(b.bars(spark, sf), b.actions(spark, sf)).withColumn("ingested_ts", F.col("ingested_at")).withColumn("source_record_id", F.lit(""))
+    rows = prices.adjusted_close(b.bars(spark, sf), b.actions(spark, sf), parts=b.parts(spark, sf)).withColumn("ingested_ts", F.col("ingested_at")).withColumn("source_record_id", F.lit(""))
     return prices.sequential_breaker(rows).select("instrument_id", "trade_date", "breaker_ok")
 
 
