@@ -225,3 +225,26 @@ def test_groups_list_no_pairs(spark):
     assert len([x for x in got if x[1] < 100]) == 48 * 59 and {x[1] for x in got if x[0] == 0} == set(range(1, 60))
     chained = [x for x in got if x[0] >= 100]
     assert len(chained) == 3 and {x for link in chained for x in link} == {100, 101, 102, 103}
+
+
+def test_links_of_many_bands_fall_together(spark):
+    """A group's links from 48 bands with other leaders each were all joined with labels in every round."""
+    rng = np.random.default_rng(7)
+    pairs = {(int(min(g)), int(i)) for _ in range(48) for g in np.array_split(rng.permutation(400), 50) for i in g if i != min(g)}
+    pairs |= {(1000 + i, 1001 + i) for i in range(30)} | {(2000, 2000 + i) for i in range(1, 30)} | {(3000 + i, 3100) for i in range(30)}
+    frame = spark.createDataFrame([*pairs, *[(b, a) for a, b in pairs], (7, 7)], "a long, b long")
+    kept = [tuple(r) for r in op.thinned(frame).collect()]
+    nodes = {x for p in pairs for x in p}
+    assert len(pairs) > 8 * len(nodes) and len(kept) == len(set(kept)) < 1.1 * len(nodes) and all(a < b for a, b in kept)
+
+    def parts(edges):
+        label = {x: x for x in nodes}
+        while True:
+            was = dict(label)
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+            if was == label:
+                return label
+
+    assert parts(kept) == parts(pairs)
+    assert op.thinned(frame.limit(0)).collect() == []

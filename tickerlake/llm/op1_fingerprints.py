@@ -378,115 +378,30 @@ def forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame(trees(nodes, words, most), columns=["a", "b"])
 
 
-def most_in_words(most: int, bits: int = 128) -> int:
-    """In how many of ``bits`` bits two fingerprints may differ that differ in ``most`` of all bits, but for a chance of MISSED."""
-    beyond = 0.0
-    for n in range(bits, -1, -1):
-        beyond += math.comb(most, n) * math.comb(BITS - most, bits - n) / math.comb(BITS, bits)
-        if beyond > MISSED:
-            return n
-    return 0
-
-
-def groups(words: list[np.ndarray], most: int) -> np.ndarray:
-    """(bucket, member): the first member of the bucket that is reached over words at most ``most`` bits apart together."""
-    near = sum(np.bitwise_count(w[:, :, None] ^ w[:, None, :]) for w in words) <= most
-    size = near.shape[1]
-    found = np.broadcast_to(np.arange(size), near.shape[:2])
-    while True:
-        least = np.where(near, found[:, None, :], size).min(axis=2)
-        least = np.take_along_axis(least, least, axis=1)
-        if np.array_equal(least, found):
-            return found
-        found = least
-
-
-def met(buckets: DataFrame, most: int) -> DataFrame:
-    """(bucket, leader, n, node) of the members of (bucket, node, one, other) that may be near another one of their bucket.
-
-    A bucket's members fall into groups by two words of their fingerprints, which hold apart those that share a band by
-    chance; ``leader`` is the smallest node of a group and n its members.  A bucket of more than MANY members is a
-    group as it is, with MANY + 1 for n.
-    """
-    limit = most_in_words(most)
-
-    def out(bucket: np.ndarray, leader: np.ndarray, n: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (bucket, leader, n, node)], ["bucket", "leader", "n", "node"])
-
-    def split(bucket: np.ndarray, node: np.ndarray, *words: np.ndarray):
-        """The groups of whole buckets, those of one size together."""
-        _, first, sizes = np.unique(bucket, return_index=True, return_counts=True)
-        for size in np.unique(sizes[sizes > 1]).tolist():
-            starts, step = first[sizes == size], max(1, AT_ONCE // size**2)
-            for a in range(0, len(starts), step):
-                at = starts[a : a + step, None] + np.arange(size)
-                if size > MANY:
-                    yield out(bucket[at].ravel(), np.repeat(node[at[:, 0]], size), np.full(at.size, MANY + 1), node[at].ravel())
-                    continue
-                found = groups([w[at].view(np.uint64) for w in words], limit)
-                n = (found[:, :, None] == found[:, None, :]).sum(axis=2)
-                kept = n > 1
-                yield out(bucket[at][kept], np.take_along_axis(node[at], found, axis=1)[kept], n[kept], node[at][kept])
-
-    def run(batches):
-        held, wide = [np.empty(0, dtype=np.int64)] * 4, None  # the bucket that may go on; (bucket, leader) of one above MANY
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
-            if wide is not None:
-                own = np.searchsorted(rows[0], wide[0], side="right")
-                if own:
-                    yield out(rows[0][:own], np.full(own, wide[1]), np.full(own, MANY + 1), rows[1][:own])
-                rows = [r[own:] for r in rows]
-            if len(rows[0]):
-                last = np.searchsorted(rows[0], rows[0][-1])
-                wide = None
-                if last:
-                    yield from split(*(r[:last] for r in rows))
-                rows = [r[last:] for r in rows]
-                if len(rows[0]) > MANY:
-                    wide = rows[0][0], rows[1][0]
-                    yield out(rows[0], np.full(len(rows[0]), wide[1]), np.full(len(rows[0]), MANY + 1), rows[1])
-                    rows = [r[:0] for r in rows]
-            held = rows
-        if len(held[0]):
-            yield from split(*held)
-
-    dealt = buckets.select("bucket", "node", "one", "other").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(run, "bucket long, leader long, n long, node long")
-
-
-def forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Links that connect whatever a part's verified pairs connect, fewer than there are rows."""
-    nodes = pdf["node"].to_numpy()
-    words = np.array(pdf["bits"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(nodes), WORDS64)
-    root = np.arange(len(nodes))
-    out = []
-    for i in range(len(nodes)):
-        near = np.flatnonzero(np.bitwise_count(words[: i + 1] ^ words[i]).sum(axis=1) <= most)
-        groups = np.unique(root[near])
-        out += [(nodes[g], nodes[i]) for g in groups if g != i]
-        root[np.isin(root, groups)] = i
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
 def apart(a: str, b: str):
     """Bits in which two fingerprints differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def needed(links: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what all of them connect: each once, without those that two others make up for.
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what all of them connect, each once, hardly more than there are nodes.
 
-    A link from b to another node than its smallest one, c, can go when that node is linked with c itself: it stays
-    connected with c over smaller nodes, and c with b.  A group whose members are all near each other keeps as
-    many links as it has members.
+    In the place of b the smallest of its smaller neighbours, c, is linked with the others.  That makes no link more and
+    connects the same, and links that members of a group have found in many bands fall together.  It is repeated while
+    it takes a tenth of them away.  The new links connect, but are not verified pairs.
     """
-    one = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    told = session.stage(one, "links").withColumn("c", F.min("a").over(Window.partitionBy("b")))  # neighbours within groups of LARGE, and leaders
-    first, others = told.where("a = c").select("a", "b"), told.where("a > c")
-    return first.unionByName(others.join(told.select(F.col("a").alias("c"), F.col("b").alias("a")), ["c", "a"], "left_anti").select("a", "b"))
+
+    def once(found: DataFrame) -> DataFrame:
+        return session.stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+
+    kept = once(links)
+    n, was = kept.count(), math.inf
+    while n < 0.9 * was:
+        told = kept.withColumn("c", F.min("a").over(Window.partitionBy("b")))  # neighbours within groups of LARGE, and leaders
+        first, others = told.where("a = c").select("a", "b"), told.where("a > c").select(F.col("c").alias("a"), F.col("a").alias("b"))
+        kept, was = once(first.unionByName(others)), n
+        n = kept.count()
+    return kept
 
 
 def linked(members: DataFrame, most: int) -> DataFrame:
@@ -532,6 +447,7 @@ def near_links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are left.  A group of up to LARGE members is linked in one go.  In a larger one those near its smallest node are linked with it, which connects
     whatever pairs they form.  Only the others, in parts of about PART, meet all members, each two parts in a task of
     their own that returns enough links to connect its members, so that no pair is lost and none but links are written.
+    Links found in several bands are repeated.
     """
     most, group = most_apart(threshold), ["bucket", "leader"]
     keyed = distinct.select("node", "bits", F.posexplode("bands").alias("band", "key"))
@@ -551,7 +467,7 @@ def near_links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other_side = left.withColumn("j", F.pmod(own, all_parts).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), other_parts - 1)))
     both = one_side.select(*group, "i", "j", "node", "bits").unionByName(other_side.select(*group, "i", "j", "node", "bits"))
     rest = both.groupBy(*group, "i", "j").applyInPandas(lambda pdf: forest(pdf.drop_duplicates("node"), most), "a long, b long")
-    return needed(small.unionByName(stars).unionByName(rest))
+    return small.unionByName(stars).unionByName(rest)
 
 
 def classes_of(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -559,7 +475,7 @@ def classes_of(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reachable over links, and the rows of the class."""
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
     distinct = session.stage(distinct, "distinct")
-    found = components(near_links(session.stage(with_bands(distinct), "prints"), threshold))
+    found = components(thinned(near_links(session.stage(with_bands(distinct), "prints"), threshold)))
     whole = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = whole.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     return whole.join(named, "component").select("fingerprint", "class_id", "class_size")
