@@ -181,3 +181,14 @@ def test_segments_and_words():
     for data in (b"a b a c ", b"c  b d e f", b"", b"   ", b"zz a", b"e f a d", b"y"):
         codes, starts = words.codes(data)
         assert [kept[c] for c in codes] == data.split() and [data[s : s + 1] for s in starts] == [w[:1] for w in data.split()]
+
+
+def test_words_share_an_entry_whatever_marks_follow(word_ids):
+    """A word had an entry for each capital and each mark behind it."""
+    chunks = wordtokens.Chunks(wordtokens.vocabulary_path())
+    text = " ".join(w + m for w in ("tree", "Tree", "TREE") for m in ("", ",", ".", "!?"))
+    assert [*chunks.ids([text])[0], 1] == word_ids(text) and len(chunks.words.code) == 4
+    rng = random.Random(4)
+    parts = [*"abAZzéÉßÿÀ×÷µªº'’.,!<|>#%&*()[]{}~`^_-=+09 \t\n\r\f\v\x1c\x85\xa0　̸́‍ΣσİıK日", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "Foo,", "foo", "ÉTÉ.", "été", "a×", "a̸"]
+    many = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    assert [[*x, 1] for x in chunks.ids(many)] == [word_ids(t) for t in many]

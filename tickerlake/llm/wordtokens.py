@@ -1,7 +1,8 @@
 """Token ids of whole texts by way of distinct white-space-free chunks.
 
 The word tokenizer drops white space and never joins across it, so a text's ids are those of its chunks, one after
-the other.  A worker keeps the chunks that it has met in a bounded table and hands only new ones to the library.
+the other.  Marks behind a plain word are a chunk of their own.  A worker keeps the chunks that it has met in a bounded
+table and hands only new ones to the library.
 """
 
 from __future__ import annotations
@@ -20,9 +21,43 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Bytes that are white space for the tokenizer; other white space stays inside chunks, where the library sees it.
 BLANKS = b" \t\n\r\f\v"
-#: Chunks that need no normalizing but lower case: ASCII and Latin-1 letters, then ASCII marks without the apostrophe.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-MOST_MARKS = 10_000
+#: Words that need no normalizing but lower case: ASCII and Latin-1 letters.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def among(members: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(members)] = True
+    return out
+
+
+#: ASCII letters; the second bytes of Latin-1 letters, which follow LEAD; ASCII marks without the apostrophe.
+UPPER, LOWER = among(bytes(range(65, 91))), among(bytes(range(97, 123)))
+LEAD, SECOND = 0xC3, among(bytes(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)))
+MARK, BLANK = among(bytes(x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'")), among(BLANKS)
+
+
+def parted(data: bytes) -> tuple[bytes, np.ndarray]:
+    """The data with a blank between a plain word and the marks behind it, which the tokenizer never joins, and with
+    ASCII letters of plain words in lower case; and where blanks have been put in.  Data end with a blank.
+
+    Only chunks of letters, marks or letters and then marks are changed.
+    """
+    buffer = np.frombuffer(data, dtype=np.uint8)
+    upper, mark, blank = UPPER[buffer], MARK[buffer], BLANK[buffer]
+    letter = upper | LOWER[buffer]
+    lead = np.flatnonzero(buffer == LEAD)
+    lead = lead[SECOND[buffer[lead + 1]]]
+    letter[lead] = letter[lead + 1] = True
+    blanks = np.flatnonzero(blank)
+    other = np.zeros(len(blanks), dtype=bool)  # chunks, by the blank behind them, that stay as they are
+    for at in (~(letter | mark | blank), mark[:-1] & letter[1:]):
+        other[np.searchsorted(blanks, np.flatnonzero(at))] = True
+    marks, capitals = np.flatnonzero(letter[:-1] & mark[1:]) + 1, np.flatnonzero(upper)
+    marks, capitals = (at[~other[np.searchsorted(blanks, at)]] for at in (marks, capitals))
+    lower = buffer.copy()
+    lower[capitals] |= 0x20
+    return np.insert(lower, marks, BLANKS[0]).tobytes(), marks
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -69,39 +104,30 @@ class Chunks:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spell = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.marks: dict[str, list[int]] = {}
         self.pool = Pool()
         self.words = Words(BLANKS, self.learn)
 
     def learn(self, chunks: list[bytes], first: int) -> None:
-        found, rows = {}, []
+        rows = []
         tokenize, plain, spell = self.tokenize, PLAIN.fullmatch, self.spell
         for chunk in b" ".join(chunks).decode().split(" "):
-            if m := plain(chunk):
-                word, marks = m.groups()
-                word = word.lower()
-                if (ids := found.get(word)) is None:
-                    ids = found[word] = [t.id for t in tokenize(word if word.isascii() else word.translate(spell))]
-                rows.append(ids + self.mark(marks) if marks else ids)
+            if plain(chunk):
+                word = chunk.lower()
+                rows.append([t.id for t in tokenize(word if word.isascii() else word.translate(spell))])
             else:
                 rows.append(self.library.encode(chunk, add_special_tokens=False).ids)
         self.pool.put(rows, first)
 
-    def mark(self, text: str) -> list[int]:
-        if text not in self.marks:
-            if len(self.marks) > MOST_MARKS:
-                self.marks.clear()
-            self.marks[text] = self.library.encode(text, add_special_tokens=False).ids
-        return self.marks[text]
-
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """int32 ids of every text."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         plain = [b"" if any(s in t for s in self.special) else t.encode() for t in texts]
         for owners, data in segments(plain, BLANKS):
+            behind = np.cumsum([len(plain[i]) + 1 for i in owners]) if len(owners) > 1 else np.array([len(data)])
+            data, added = parted(data)
             codes, starts = self.words.codes(data)
             ids, sizes = self.pool.take(codes)
-            behind = np.cumsum([len(plain[i]) + 1 for i in owners]) if len(owners) > 1 else [len(data)]
+            behind = behind + np.searchsorted(added, behind)
             cuts = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, behind)]
             for i, a, b in zip(owners, [0, *cuts[:-1].tolist()], cuts.tolist()):
                 out[i].append(ids[a:b])
