@@ -99,30 +99,40 @@ def _type_name(t: T.DataType) -> str:
     return {"decimal": "decimal", "date": "date"}.get(t.typeName(), "string")
 
 
-def validate_contract(df: DataFrame, contract: T.StructType, row: str = "row") -> tuple[DataFrame, DataFrame]:
-    """(typed valid rows, rejected rows with ``reason``).
+def judge_contract(df: DataFrame, contract: T.StructType, row: str = "row") -> DataFrame:
+    """The rows with ``reason`` (null where the contract is kept) and ``_typed``, a struct of the contract's fields.
 
-    ``row`` is a map of field name to text.  Fields must be exactly those of the
-    contract; then the first failing field in contract order gives the reason.
+    ``row`` is a map of field name to text, or a struct: its fields that have the contract's type already are taken as
+    they are, others by their text.  Fields must be exactly those of the contract; then the first failing field in
+    contract order gives the reason.
     """
-    expected, actual = F.array(*[F.lit(f.name) for f in contract.fields]), F.map_keys(row)
+    kind = df.schema[row].dataType
+    given = {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else None
+    expected, actual = F.array(*[F.lit(f.name) for f in contract.fields]), F.map_keys(row) if given is None else F.array(*[F.lit(n) for n in given])
     diff = field_difference(expected, actual)
     drift = F.when(
         (F.size(F.array_except(expected, actual)) > 0) | (F.size(F.array_except(actual, expected)) > 0),
         F.concat(F.lit("schema_drift missing="), _listed(diff.missing), F.lit(" extra="), _listed(diff.extra)))
-    # a generator of one row: what is taken from the map is typed once, as the optimizer copies nothing from behind it into the checks
-    taken = [x for i, f in enumerate(contract.fields) for x in (F.col(row)[f.name].isNull().alias(f"_none{i}"), _typed(F.col(row)[f.name], f.dataType).alias(f"_typed{i}"))]
-    read = df.select("*", F.inline(F.array(F.struct(drift.alias("_drift"), *taken))))
+    value = {f.name: F.col(row)[f.name] if given is None or f.name in given else F.lit(None).cast("string") for f in contract.fields}
+    taken = {f.name: value[f.name] if given and given.get(f.name) == f.dataType else _typed(value[f.name].cast("string"), f.dataType) for f in contract.fields}
+    # a generator of one row: what is taken from the row is typed once, as the optimizer copies nothing from behind it into the checks
+    read = df.select("*", F.inline(F.array(F.struct(
+        drift.alias("_drift"), *[x for i, f in enumerate(contract.fields) for x in (value[f.name].isNull().alias(f"_none{i}"), taken[f.name].alias(f"_typed{i}"))]))))
     checks = [F.col("_drift")]
     for i, f in enumerate(contract.fields):
         if not f.nullable:
             checks.append(F.when(F.col(f"_none{i}"), f"null_not_allowed field={f.name}"))
         if not isinstance(f.dataType, T.StringType):
             checks.append(F.when(~F.col(f"_none{i}") & F.col(f"_typed{i}").isNull(), f"type_mismatch field={f.name} expected={_type_name(f.dataType)}"))
-    judged = read.withColumn("reason", F.coalesce(*checks))
-    rest = [c for c in df.columns if c != row]
-    valid = judged.where("reason is null").select(*rest, *[F.col(f"_typed{i}").alias(f.name) for i, f in enumerate(contract.fields)])
-    return valid, judged.where("reason is not null").select(*[c for c in df.columns if c != "reason"], "reason")
+    typed = F.struct(*[F.col(f"_typed{i}").alias(f.name) for i, f in enumerate(contract.fields)])
+    return read.select(*[c for c in df.columns if c != "reason"], F.coalesce(*checks).alias("reason"), typed.alias("_typed"))
+
+
+def validate_contract(df: DataFrame, contract: T.StructType, row: str = "row") -> tuple[DataFrame, DataFrame]:
+    """(typed valid rows, rejected rows with ``reason``) as ``judge_contract`` parts them."""
+    judged = judge_contract(df, contract, row)
+    valid = judged.where("reason is null").select(*[c for c in df.columns if c != row], "_typed.*")
+    return valid, judged.where("reason is not null").drop("_typed")
 
 
 def normalize_history_frame(df: DataFrame) -> DataFrame:

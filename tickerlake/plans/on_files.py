@@ -449,6 +449,7 @@ UNION ALL SELECT 1, *, {_B_CHECKS} AS error, false, CASE WHEN l_orderkey % 31 =
 sqlparts.part("delivered_days", """
 SELECT batch, trade_date, count(*) FILTER (error IS NULL AND NOT blank) AS n, batch = 0 OR bool_or(other) AS updated, 'NSE_EOD|' || trade_date || '|' || batch AS run FROM delivered GROUP BY 1, 2""")
 _SHOWN = "CAST(l_orderkey * 8 + l_linenumber AS VARCHAR)"
+FILE_ROWS = 100_000
 
 
 @register("stream_bhavcopy", f"""
@@ -469,7 +470,9 @@ def stream_files(spark, sf):
     again = rows.where(day <= 10).withColumn("DELIV_QTY", F.when(day <= 5, F.col("DELIV_QTY")).otherwise("9"))
     contract = T.StructType([T.StructField(f.name, f.dataType, f.nullable and f.name != "delivery_qty") for f in schemas.contract_schema(CONTRACT)])
     for delivery in (rows, again):
-        delivery.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+        # packed, as files arrive from an exchange; a packed file is read by one task, so that its rows are bounded
+        packed = delivery.write.mode("append").option("compression", "snappy").option("maxRecordsPerFile", FILE_ROWS)
+        packed.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
         connector.stream_connector(spark, folder, out, cp, "WANTED", contract, dt.datetime(2024, 1, 1), rows.columns, ["k"]).awaitTermination()
     run = F.concat_ws("|", "source_system", "trade_date", F.col("batch").cast("string"))
     load = F.concat_ws(" ", *(F.get_json_object("metrics_payload", f"$.{n}") for n in ("row_count", "created", "updated")))

@@ -22,20 +22,33 @@ from tickerlake.sources import bhavcopy, rawzone
 SOURCE = "NSE_EOD"
 #: What a batch writes, in this order; "rows" are the contents of the versions it creates.
 OUTPUTS = ("valid", "rejected", "refused", "incidents", "rows", "versions", "manifest", "runs", "events")
+#: A batch's checked rows, which are left empty once its outputs are parted; a repeated batch writes them again.
+CHECKED = "checked"
 
 
-def content_digest(lines: Column) -> Column:
-    """A digest of a set of lines in any order, as an aggregate that combines map-side: their number and two sums of
-    parts of their hashes."""
+def line_parts(lines: Column) -> list[Column]:
+    """Two parts of each line's hash, whole numbers of 60 bits."""
     whole = F.md5(lines)
-    parts = [F.sum(F.conv(F.substring(whole, at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 17)]
-    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256)
+    return [F.conv(F.substring(whole, at, 15), 16, 10).cast("long") for at in (1, 17)]
+
+
+def digest_of(parts: list[Column]) -> Column:
+    """A digest of a set of lines in any order, from their parts, as an aggregate that combines map-side: their number and
+    the parts' sums.  Halves of a part are added as whole numbers and put together once, as adding decimals costs more."""
+    half = 1 << 30
+    sums = [F.sum(F.shiftright(p, 30)).cast("decimal(20,0)") * F.lit(half).cast("decimal(10,0)") + F.sum(p.bitwiseAND(F.lit(half - 1))).cast("decimal(20,0)") for p in parts]
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[s.cast("string") for s in sums]), 256)
+
+
+def content_digest(lines: Column) -> Column:
+    """The same of the lines themselves."""
+    return digest_of(line_parts(lines))
 
 
 def write(rows: DataFrame, out: str, name: str, number: int) -> DataFrame:
     """The batch's output, as it is written; what follows from it starts there."""
     path = f"{out}/{name}/batch={number}"
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -62,20 +75,23 @@ def deliver(
     line = F.to_json(F.struct(*(F.coalesce(F.col(c), F.lit("")).alias(f"_{i}") for i, c in enumerate(bhavcopy.NSE_HEADERS))))
     # typed columns take the place of those of the file whose names differ in case only, so these are set aside first
     marked = batch.withColumns({"_raw": raw, "_line": line, "_day": day})
-    checked = session.stage(bhavcopy.check_rows(marked, "NSE", trade_date).select(*keep, F.col("_day").alias("trade_date"), *bhavcopy.ROW, "error", "_raw", "_line"), "delivered")
-
-    fields = F.map_from_arrays(F.array(*(F.lit(n) for n in bhavcopy.ROW)), F.array(*(F.col(n).cast("string") for n in bhavcopy.ROW)))
-    good = checked.where("error is null").select(*keep, "trade_date", F.col("symbol").alias("_symbol"), fields.alias("row"))
-    valid, refused = validate.validate_contract(good, contract)
-    valid = write(valid.drop("_symbol"), out, "valid", number)
-    write(checked.where("error is not null").select(*keep, "_raw.*", "error"), out, "rejected", number)
-    refused = write(refused.select(*keep, "trade_date", F.col("_symbol").alias("symbol"), "reason"), out, "refused", number)
+    fields = bhavcopy.check_rows(marked, "NSE", trade_date).withColumn("_fields", F.struct(*bhavcopy.ROW))
+    outcome = F.when(F.col("error").isNotNull(), "rejected").when(F.col("reason").isNotNull(), "refused").otherwise("valid")
+    judged = validate.judge_contract(fields, contract, "_fields").withColumn("_outcome", outcome)
+    own = lambda name, c: F.when(F.col("_outcome") == name, F.col(c))
+    # every row is parsed and judged once; it is kept until the outputs are parted, and of its texts what its own output holds
+    checked = write(judged.select(
+        *keep, F.col("_day").alias("trade_date"), "_outcome", own("valid", "_typed").alias("_row"), own("rejected", "_raw").alias("_raw"), "error",
+        own("refused", "symbol").alias("_symbol"), own("refused", "reason").alias("_reason"), *[p.alias(f"_part{i}") for i, p in enumerate(line_parts(F.col("_line")))]), out, CHECKED, number)
+    valid = write(checked.where("_outcome = 'valid'").select(*keep, "trade_date", "_row.*"), out, "valid", number)
+    write(checked.where("_outcome = 'rejected'").select(*keep, "_raw.*", "error"), out, "rejected", number)
+    refused = write(checked.where("_outcome = 'refused'").select(*keep, "trade_date", F.col("_symbol").alias("symbol"), F.col("_reason").alias("reason")), out, "refused", number)
     write(quality.contract_incidents(refused, f"raw_zone:{source}", as_of)[1], out, "incidents", number)
 
-    counts = checked.where("trade_date is not null").groupBy("trade_date").agg(content_digest(F.col("_line")).alias("checksum"))
-    kept = valid.groupBy("trade_date").agg(F.count("*").alias("row_count"))
-    payloads = counts.join(kept, "trade_date", "left").select(
-        F.lit(source).alias("source_system"), "trade_date", F.lit(number).cast("long").alias("arrival"), "checksum", F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"))
+    parts = [F.col("_part0"), F.col("_part1")]
+    payloads = checked.where("trade_date is not null").groupBy("trade_date").agg(
+        digest_of(parts).alias("checksum"), F.count_if(F.col("_outcome") == "valid").alias("row_count")).select(
+        F.lit(source).alias("source_system"), "trade_date", F.lit(number).cast("long").alias("arrival"), "checksum", "row_count")
     keys = rawzone.KEYS
     if number > 0:
         before = rawzone.newest_manifest(spark, out, number, payloads).select(*keys, F.col("current_checksum").alias("previous_checksum"))
@@ -87,6 +103,7 @@ def deliver(
     done = judged.withColumns({
         "updated": updated, "created": updated & F.col("_stored").isNull(), "pipeline_run_id": F.concat_ws("|", "source_system", "trade_date", F.lit(str(number)))}).drop("_stored")
     done = session.stage(done, "runs")
+    write(spark.createDataFrame([], checked.schema), out, CHECKED, number)  # nothing reads the checked rows from here on
     versions = done.where("updated").drop("pipeline_run_id")
     contents = valid.join(versions.where("created").select("trade_date", "source_system", "checksum"), "trade_date")
     after = versions.select(*keys, F.col("checksum").alias("current_checksum"), "previous_checksum", "row_count")
